@@ -1,0 +1,38 @@
+"""Bounded lists per key, however many rows the key has."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 32
+
+
+def split_groups(df: DataFrame, keys: list[str], item: str, max_items: int = 10_000) -> DataFrame:
+    """Add ``part`` so that no (keys, part) group holds much more than ``max_items`` rows.
+
+    Ordinary keys stay whole in part 0. Keys above the limit are spread over
+    ceil(rows / max_items) parts by the hash of ``item``. The join with the few big keys is
+    salted, so a key with a third of all rows is shared by many tasks.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > max_items)
+    spread = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), F.col(item)), F.lit(SALTS)).cast("int"))
+    joined = salted.join(spread, [*keys, "_salt"], "left")
+    parts = F.ceil(F.col("_rows") / F.lit(max_items))
+    part = F.when(F.col("_rows").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(item)), parts))
+    return joined.withColumn("part", part.cast("int")).drop("_salt", "_rows")
+
+
+def bounded_lists(df: DataFrame, keys: list[str], item: str, name: str, max_items: int = 10_000) -> DataFrame:
+    """Sorted distinct ``item`` values per key; a huge key yields several parts, none is cut."""
+    unique = df.select(*keys, item).distinct()
+    return (
+        split_groups(unique, keys, item, max_items)
+        .groupBy(*keys, "part")
+        .agg(F.array_sort(F.collect_list(item)).alias(name))
+    )
+
+
+def joined_text(items: str | Column, separator: str = ",") -> Column:
+    return F.array_join(items, separator)
