@@ -132,18 +132,17 @@ def threats_by_severity(threats: DataFrame) -> DataFrame:
     return threats.withColumn("severity_rank", rank).orderBy(F.desc("severity_rank"), "idx")
 
 
-def top_events(links: DataFrame, id_column: str, n: int = 5) -> DataFrame:
-    """First ``n`` events of each finding in event order, and how many more there are.
+def top_events(links: DataFrame, id_column: str, order_by: str, n: int = 5) -> DataFrame:
+    """First ``n`` events of each finding, and how many more there are.
 
-    A running top-n: ordered prefixes are merged pairwise in the aggregate by taking the
-    smallest ``n`` per salt first, so a finding with very many events is never held whole.
+    The rank filter is applied per map task before the shuffle (window group limit), so a
+    finding with very many events sends only ``n`` rows per task.
     """
-    salted = links.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(64)))
-    by_salt = Window.partitionBy(id_column, "_salt").orderBy("event_id")
-    kept = salted.withColumn("_rn", F.row_number().over(by_salt)).filter(F.col("_rn") <= n)
-    counts = links.groupBy(id_column).agg(F.count("*").alias("total"))
+    ranked = Window.partitionBy(id_column).orderBy(order_by, "event_id")
+    kept = links.withColumn("_rn", F.row_number().over(ranked)).filter(F.col("_rn") <= n)
     head = kept.groupBy(id_column).agg(
-        F.slice(F.array_sort(F.collect_list("event_id")), 1, n).alias("events"))
+        F.transform(F.array_sort(F.collect_list(F.struct("_rn", "event_id"))), lambda e: e["event_id"]).alias("events"))
+    counts = links.groupBy(id_column).agg(F.count("*").alias("total"))
     return head.join(counts, id_column).select(
         id_column, "events", F.greatest(F.col("total") - n, F.lit(0)).alias("more"))
 
