@@ -11,7 +11,6 @@ LAYOUTS = [
     "yyyy/MM/dd HH:mm:ss",
     "MM/dd/yyyy HH:mm:ss",
     "dd-MMM-yyyy HH:mm:ss",
-    "EEE, dd MMM yyyy HH:mm:ss Z",
 ]
 
 

@@ -43,8 +43,8 @@ def combine_patterns(raw: DataFrame) -> DataFrame:
 
 def links_of(kept: DataFrame, raw_links: DataFrame, id_column: str) -> DataFrame:
     """Event links of the findings that were kept."""
-    return raw_links.join(kept.select("chunk_idx", "pos", id_column, "idx"), ["chunk_idx", "pos"]).select(
-        "idx", id_column, "event_id")
+    return raw_links.join(kept.select("chunk_idx", "pos", id_column, "idx"), ["chunk_idx", "pos"]).drop(
+        "chunk_idx", "pos")
 
 
 def distinct_texts(raw: DataFrame, column: str) -> DataFrame:

@@ -78,6 +78,8 @@ def score_chunks(
     the calls in flight. Write the result before reading it twice: calls may cost money.
     """
 
+    chars_per_token = C.CHARS_PER_TOKEN
+
     def answer(prompt: str) -> tuple[str | None, str | None, int]:
         if budget is not None and len(prompt) >= budget:
             return None, f"prompt of {len(prompt)} characters is over the budget", 0
@@ -97,7 +99,7 @@ def score_chunks(
                 started = time.monotonic()
                 reply, error, attempts = answer(prompt)
                 spent = time.monotonic() - started
-                tokens = (len(prompt) + len(reply or "")) / C.CHARS_PER_TOKEN if reply is not None else 0.0
+                tokens = (len(prompt) + len(reply or "")) / chars_per_token if reply is not None else 0.0
                 rows.append((chunk, reply, error, attempts, spent, tokens))
             yield pd.DataFrame(rows, columns=["chunk_idx", "reply", "error", "attempts", "seconds", "tokens"])
 

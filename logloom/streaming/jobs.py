@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.detectors import is_private
-
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available, exactly once, then stop."""
@@ -44,19 +42,17 @@ def deduplicate(events: DataFrame, delay: str) -> DataFrame:
     return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def scanning(events: DataFrame, width: str, minimum: int, delay: str, lanes: int = 16) -> DataFrame:
+def scanning(events: DataFrame, width: str, minimum: int, delay: str) -> DataFrame:
     """Sources that meet many destinations in one window.
 
-    Two chained aggregations: the first counts destinations in lanes of their hash, so one
-    source is shared by several tasks; the second adds the lanes, which are disjoint.
+    Two chained aggregations: one row per (window, source, destination) first, then a count
+    per source, so one busy source is shared by many tasks.
     """
-    lane = F.pmod(F.xxhash64("destination"), F.lit(lanes))
-    per_lane = (
+    per_destination = (
         events.withWatermark("timestamp", delay)
-        .groupBy(F.window("timestamp", width), "source", lane.alias("lane"))
-        .agg(F.size(F.collect_set("destination")).alias("destinations"), F.count("*").alias("n")))
-    total = per_lane.groupBy(F.window("window", width), "source").agg(
-        F.sum("destinations").alias("distinct_count"), F.sum("n").alias("event_count"))
+        .groupBy(F.window("timestamp", width), "source", "destination").agg(F.count("*").alias("n")))
+    total = per_destination.groupBy(F.window("window", width), "source").agg(
+        F.count("*").alias("distinct_count"), F.sum("n").alias("event_count"))
     return total.filter(F.col("distinct_count") >= minimum).select(
         "source", F.col("window.start").alias("slot"), "distinct_count", "event_count")
 
@@ -133,4 +129,4 @@ def sequences(events: DataFrame, stages: list[tuple[str, Column]], limit_seconds
         outputMode="Append", timeMode="None")
 
 
-__all__ = ["run_to_files", "ingest", "event_frequency", "deduplicate", "scanning", "failed_bursts", "sequences", "is_private"]
+__all__ = ["run_to_files", "ingest", "event_frequency", "deduplicate", "scanning", "failed_bursts", "sequences"]
