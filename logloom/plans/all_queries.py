@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import event_queries, findings_queries  # noqa: F401
+from . import (  # noqa: F401
+    detector_queries,
+    evaluation_queries,
+    event_queries,
+    findings_queries,
+    scoring_queries,
+    source_queries,
+)
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -20,11 +20,8 @@ CTES["tl"] = (["ev", "links", "pattern_links"], """tl AS (
     USING (event_id)
   WHERE t.ids IS NOT NULL OR p.ids IS NOT NULL)""")
 
-# The order-dependent chains as a fold over the threats in order: a threat whose events meet an
-# opener joins the first such opener, otherwise it opens a chain.
-CTES["seq"] = (["threats", "links"], """seq AS (
-  SELECT t.threat_id, t.chunk_idx, t.pos, row_number() OVER (ORDER BY t.chunk_idx, t.pos) AS no,
-    list_sort(list(l.event_id)) AS events FROM threats t JOIN links l USING (threat_id) GROUP BY ALL)""")
+CTES["seq"] = (["threats"], """seq AS (
+  SELECT threat_id, row_number() OVER (ORDER BY chunk_idx, pos) AS no FROM threats)""")
 
 
 def _timeline(spark, sf_dir):
@@ -131,17 +128,24 @@ def max_timeline_events(spark, sf_dir):
 
 # --- chains ----------------------------------------------------------------------------
 
-CTES["assigned"] = (["seq"], """assigned AS (
-  WITH RECURSIVE step(no, threat_id, events, head, openers) AS (
-    SELECT no, threat_id, events, no, map_from_entries(list_transform(events, lambda e: {'k': e, 'v': no}))
-      FROM seq WHERE no = 1
+# Pairs (threat, earlier threat with a common event). A threat opens a chain once all its earlier
+# partners are known members, and is a member once one of them opens a chain.
+CTES["assigned"] = (["seq", "links"], """earlier AS (
+  SELECT DISTINCT b.no AS no, a.no AS other FROM links x JOIN links y ON x.event_id = y.event_id
+  JOIN seq a ON a.threat_id = x.threat_id JOIN seq b ON b.threat_id = y.threat_id WHERE a.no < b.no),
+settled AS (
+  WITH RECURSIVE state(turn, no, role) AS (
+    SELECT 0, no, 'open' FROM seq
     UNION ALL
-    SELECT n.no, n.threat_id, n.events, coalesce(n.h, n.no),
-      CASE WHEN n.h IS NULL THEN map_concat(n.openers, map_from_entries(list_transform(n.events, lambda e: {'k': e, 'v': n.no})))
-        ELSE n.openers END
-    FROM (SELECT q.no, q.threat_id, q.events, s.openers, list_min(list_filter(list_transform(q.events,
-        lambda e: s.openers[e]), lambda x: x IS NOT NULL)) AS h FROM step s JOIN seq q ON q.no = s.no + 1) n)
-  SELECT no, threat_id, head FROM step)""")
+    SELECT s.turn + 1, s.no, CASE WHEN any_value(s.role) <> 'open' THEN any_value(s.role)
+        WHEN bool_or(n.role = 'head') THEN 'member' WHEN bool_and(n.no IS NULL OR n.role = 'member') THEN 'head' ELSE 'open' END
+    FROM state s LEFT JOIN earlier e ON e.no = s.no LEFT JOIN state n ON n.no = e.other
+    WHERE (SELECT count(*) FROM state WHERE role = 'open') > 0 GROUP BY s.turn, s.no)
+  SELECT no, role FROM state WHERE turn = (SELECT max(turn) FROM state)),
+assigned AS (
+  SELECT s.no, q.threat_id, coalesce(min(h.no), s.no) AS head FROM settled s JOIN seq q USING (no)
+  LEFT JOIN earlier e ON e.no = s.no AND s.role = 'member' LEFT JOIN settled h ON h.no = e.other AND h.role = 'head'
+  GROUP BY s.no, q.threat_id)""")
 
 
 @query("attack_chains", """, numbered AS (SELECT head, dense_rank() OVER (ORDER BY head) AS chain_no FROM (SELECT DISTINCT head FROM assigned)),
