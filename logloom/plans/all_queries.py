@@ -9,7 +9,10 @@ from . import (  # noqa: F401
     findings_queries,
     scoring_queries,
     source_queries,
+    streaming_queries,
 )
-from .catalog import ORACLES, QUERIES
+from .catalog import QUERIES, oracle_sql
+
+ORACLES = oracle_sql()
 
 __all__ = ["ORACLES", "QUERIES"]

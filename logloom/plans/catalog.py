@@ -12,7 +12,7 @@ from .adapter import EV
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_PARTS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 # name -> (names it builds on, definition)
 CTES: dict[str, tuple[list[str], str]] = {
@@ -98,12 +98,16 @@ def query(key: str, body: str | None = None, *needs: str):
             raise ValueError(f"query {key} is registered twice")
         QUERIES[key] = run
         if body is not None:
-            ORACLES[key] = sql(body, *needs)
+            _PARTS[key] = (body, needs)
         return run
 
     return register
 
 
+def oracle_sql() -> dict[str, str]:
+    return {key: sql(body, *needs) for key, (body, needs) in _PARTS.items()}
+
+
 def stamp(column: Column | str) -> Column:
     """Timestamp as text with microseconds, the same on both sides of a comparison."""
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")

@@ -193,12 +193,13 @@ CTES["cost"] = (["runs"], """cost AS (
     WHEN 2 THEN 0.0075 WHEN 3 THEN 0 ELSE 0.05 END AS cout FROM runs)""")
 
 
-@query("cost_estimate", """SELECT conv_id, provider, model, round(cin, 6) AS input_cost, round(cout, 6) AS output_cost,
-  round(cin + cout, 6) AS total_cost, 'USD' AS currency FROM cost""", "cost")
+@query("cost_estimate", """SELECT conv_id, provider, model, floor(cin * 1e6)::BIGINT AS input_micro_usd,
+  floor(cout * 1e6)::BIGINT AS output_micro_usd, floor((cin + cout) * 1e6)::BIGINT AS total_micro_usd, 'USD' AS currency FROM cost""", "cost")
 def cost_estimate(spark, sf_dir):
+    """Whole millionths of a dollar, so that no rounding rule matters."""
     priced = costs.cost_estimate(_runs(spark, sf_dir))
-    return priced.select("conv_id", "provider", "model", *[F.round(c, 6).alias(c) for c in ("input_cost", "output_cost", "total_cost")],
-                         "currency")
+    return priced.select("conv_id", "provider", "model", *[
+        F.floor(F.col(f"{c}_cost") * 1e6).alias(f"{c}_micro_usd") for c in ("input", "output", "total")], "currency")
 
 
 # --- resource samples: every event is one measurement ----------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import normalize
-from ..schemas import RAW_EVENT, strings
+from ..schemas import strings
 from ..sources import delimited, files, json_logs, line_formats, results, windows_xml
 from ..workspace import new_path
 from .adapter import load_events
@@ -115,11 +115,10 @@ def src_parquet(spark, sf_dir):
 def src_directory(spark, sf_dir):
     """All JSON files of a folder by time, capped at the configured number of events."""
     item = F.struct("event_id", stamp("timestamp").alias("timestamp"), "event_type")
-    path = new_path(spark, "directory")
-    _arrays(spark, sf_dir, item).select("items").write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
-    rows = spark.read.schema(RAW_EVENT).option("multiLine", True).json(path)
-    folder = new_path(spark, "directory-json")
-    rows.select("event_id", "timestamp", "event_type").write.json(folder)
+    folder = new_path(spark, "directory")
+    named = _arrays(spark, sf_dir, item).select(
+        F.col("items").alias("value"), F.concat(F.lit("part-"), "doc", F.lit(".json")).alias("name"))
+    _write_named(named, folder)
     return delimited.read_directory(spark, folder, "json", strings("event_id", "timestamp", "event_type"), 1000).select(
         "event_id", "event_type")
 

@@ -33,21 +33,17 @@ def read_json_object(spark: SparkSession, path, schema: T.StructType = RAW_EVENT
 
 
 def read_telemetry(spark: SparkSession, path) -> DataFrame:
-    """Telemetry documents as VARIANT records.
+    """Telemetry documents as VARIANT records, one per event.
 
     The root may be a list, an object with ``telemetry``, ``telemetry_events`` or ``events``,
-    or one event. Elements keep their own shape, so they are read as VARIANT.
+    or one event. A document is one VARIANT, so its size is limited by that type; big logs
+    should be JSON Lines.
     """
-    wraps = ["telemetry", "telemetry_events", "events"]
-    wrapper = T.StructType([T.StructField(w, T.ArrayType(T.VariantType())) for w in wraps]
-                           + [T.StructField("_whole", T.StringType())])
-    lists = spark.read.schema(wrapper).option("multiLine", True).json(path)
-    inside = F.coalesce(*[F.col(w) for w in wraps])
-    wrapped = lists.filter(inside.isNotNull()).select(F.explode(inside).alias("record"))
-    single = spark.read.option("multiLine", True).option("singleVariantColumn", "record").json(path)
-    bare = single.filter(
-        F.coalesce(*[F.try_variant_get("record", f"$.{w}", "variant") for w in wraps]).isNull())
-    return wrapped.unionByName(bare)
+    document = F.col("document")
+    lists = [F.try_variant_get(document, f"$.{w}", "array<variant>") for w in ("telemetry", "telemetry_events", "events")]
+    items = F.coalesce(*lists, F.try_variant_get(document, "$", "array<variant>"), F.array(document))
+    documents = spark.read.option("multiLine", True).option("singleVariantColumn", "document").json(path)
+    return documents.select(F.explode(items).alias("record"))
 
 
 def tolerant_lines(text: DataFrame) -> DataFrame:

@@ -44,10 +44,20 @@ def event_fields(df: DataFrame) -> DataFrame:
     return df.select(F.lit("windows_event").alias("event_type"), fields.alias("fields"))
 
 
-def read_windows_xml(spark: SparkSession, path, schema: T.StructType | None = WINDOWS_EVENT) -> DataFrame:
-    """Splittable by row tag. Without a schema the structure is inferred in an extra pass."""
-    reader = spark.read.format("xml").option("rowTag", "Event").option("inferSchema", False).option(
-        "ignoreNamespace", True)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return event_fields(reader.load(path))
+def split_events(spark: SparkSession, path) -> DataFrame:
+    """``xml``: one text per Event element.
+
+    The end tag serves as line separator, so big files split between tasks, and it does not
+    matter whether the file has a root element, a declaration or line breaks inside events.
+    """
+    pieces = spark.read.option("lineSep", "</Event>").text(path)
+    return pieces.select(F.regexp_extract("value", r"(?s)(<Event(?:\s|>).*)", 1).alias("xml")).filter(
+        F.col("xml") != "").select(F.concat("xml", F.lit("</Event>")).alias("xml"))
+
+
+def read_windows_xml(spark: SparkSession, path, schema: T.StructType = WINDOWS_EVENT) -> DataFrame:
+    """Parsed events; elements that are not well-formed are left out."""
+    checked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = split_events(spark, path).select(F.from_xml("xml", checked, {"ignoreNamespace": "true"}).alias("e"))
+    return event_fields(parsed.filter(F.col("e._corrupt_record").isNull()).select(
+        *[F.col(f"e.{name}").alias(name) for name in schema.names]))

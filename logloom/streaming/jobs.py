@@ -11,12 +11,30 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything available, exactly once, then stop."""
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start(path))
-    query.awaitTermination()
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", rocksdb: bool = False) -> None:
+    """Process everything available, exactly once, then stop.
+
+    ``rocksdb`` picks that state store for this run: custom state needs it, and big windows
+    profit from it because their state leaves the heap.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(PROVIDER, None)
+    if rocksdb:
+        spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start(path))
+        query.awaitTermination()
+    finally:
+        if rocksdb and before is not None:
+            spark.conf.set(PROVIDER, before)
+        elif rocksdb:
+            spark.conf.unset(PROVIDER)
 
 
 def ingest(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "json", glob: str | None = None,
