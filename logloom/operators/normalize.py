@@ -90,10 +90,13 @@ def _kind(record: Column, path: str) -> Column:
 
 
 def _scalar(record: Column, path: str) -> Column:
-    """Text of a scalar at ``path``; objects and arrays count as absent."""
+    """Text of a scalar at ``path``; objects and arrays count as absent.
+
+    The kind is looked up only for text that could be an object or an array.
+    """
+    text = F.try_variant_get(record, path, "string")
     kind = _kind(record, path)
-    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    return F.when(~nested, F.try_variant_get(record, path, "string"))
+    return F.when(~text.rlike(r"^[\[{]"), text).when(~kind.rlike("^(OBJECT|ARRAY)"), text)
 
 
 def unify_fields(record: Column) -> dict[str, Column]:

@@ -51,8 +51,8 @@ def overlapping_chunks(ordered: DataFrame, size: int, overlap: int) -> DataFrame
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below the chunk size")
     step = size - overlap
-    total = ordered.select(F.count("*").alias("n")).scalar()
-    last = F.when(total <= size, F.lit(0)).otherwise(F.ceil((total - size) / F.lit(step)))
+    events = F.count("*")
+    last = ordered.select(F.when(events <= size, F.lit(0)).otherwise(F.ceil((events - size) / F.lit(step)))).scalar()
     position = F.col("ord")
     first = F.greatest(F.lit(0), F.floor((position - size + step) / F.lit(step)))
     final = F.least(F.floor(position / F.lit(step)), last)

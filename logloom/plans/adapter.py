@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.severity import default_severity
+from ..workspace import spread
 
 _TYPES = {"error": "alert", "click": "process", "view": "netconn", "signup": "regmod", "purchase": "filemod"}
 
@@ -41,8 +42,10 @@ def shape_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def load_events(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """``heavy`` callers do much work per row and want every core even on a small table."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return shape_events(spread(raw) if heavy else raw)
 
 
 EV = r"""ev AS (

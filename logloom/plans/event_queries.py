@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import severity as sev
-from ..functions import text, times
+from ..functions import text
 from ..operators import filters, normalize, ordering, stats
+from ..workspace import spread
 from .adapter import load_events
 from .catalog import query, stamp, stamp_sql
 from .rule_findings import chunked_events
@@ -87,7 +88,7 @@ _WORDS = "CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELS
 
 
 def _telemetry(spark, sf_dir) -> DataFrame:
-    return telemetry_record(load_events(spark, sf_dir)).select("event_no", F.try_parse_json("json").alias("record"))
+    return telemetry_record(load_events(spark, sf_dir, heavy=True)).select("event_no", F.try_parse_json("json").alias("record"))
 
 
 @query("unify_fields", f"""SELECT event_no, {TS} AS timestamp_text, CASE WHEN k % 4 = 3 THEN NULL ELSE event_type END AS event_type,
@@ -137,7 +138,7 @@ def _nested_json(spark, sf_dir) -> DataFrame:
         F.array("source", "destination").alias("flow"),
         F.array(F.struct(F.col("event_type").alias("type")), F.struct(F.col("action").alias("type"))).alias("steps"),
         F.lit(True).alias("ok"))
-    return load_events(spark, sf_dir).select("event_id", "k", F.to_json(record).alias("json"))
+    return load_events(spark, sf_dir, heavy=True).select("event_id", "k", F.to_json(record).alias("json"))
 
 
 _FLAT = r"""'id: ' || event_id || ', a' || chr(92) || 'u003Cb::hostname: ' || hostname || ', a' || chr(92) || 'u003Cb::actor::username: ' || username ||
@@ -173,7 +174,7 @@ def wrap_record(spark, sf_dir):
         WHEN unicode(g) > 127 OR unicode(g) < 32 THEN '\u' || lpad(lower(to_hex(unicode(g))), 4, '0') ELSE g END), '')), ''),
     '<', chr(92) || 'u003C'), '>', chr(92) || 'u003E'), '&', chr(92) || 'u0026')) AS escaped_md5 FROM documents""")
 def escape_text(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.select("doc_id", F.md5(text.escape_text(F.col("text"))).alias("escaped_md5"))
 
 
@@ -290,5 +291,3 @@ def union_sources(spark, sf_dir):
     network = events.filter(F.col("event_type") == "netconn").select("event_id", "destination")
     return normalize.union_sources(events.filter(F.col("event_type") != "netconn").select("event_id", "hostname"), network)
 
-
-__all__ = ["telemetry_record", "times"]

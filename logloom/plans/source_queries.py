@@ -74,7 +74,7 @@ def src_json_lines(spark, sf_dir):
         .when(k == 2, F.concat(F.lit("[\n"), body, F.lit("\n]\n"))).when(k == 3, F.concat(F.lit('{"event_id": "'), "event_id", F.lit('"')))
         .otherwise(body))
     path = new_path(spark, "json-lines")
-    load_events(spark, sf_dir).select(line).write.text(path)
+    load_events(spark, sf_dir, heavy=True).select(line).write.text(path)
     records, rejects = json_logs.read_json_lines(spark, path)
     good = json_logs.typed(records).select("event_id", "event_type", "hostname", F.lit(False).alias("rejected"))
     none = F.lit(None).cast("string")
@@ -185,7 +185,7 @@ def parse_syslog(spark, sf_dir):
     quoted = F.concat(F.lit('id="'), "event_id", F.lit('" User="'), "username", F.lit('" dst="a b" act="'), "action", F.lit('" x=1'))
     plain = F.concat(F.lit("done id="), "event_id", F.lit(" USER="), "username", F.lit(" dst="), "destination", F.lit(" act="), "action")
     spaced = F.concat(F.lit("id = "), "event_id", F.lit(" user = "), "username", F.lit(" dst = 0 dst = "), "destination")
-    lines = load_events(spark, sf_dir).select(
+    lines = load_events(spark, sf_dir, heavy=True).select(
         F.concat(F.lit("  "), head, F.when(k == 0, quoted).when(k == 1, plain).otherwise(spaced)).alias("value"))
     parsed = line_formats.parse_syslog(lines, F.lit(2024))
 
@@ -204,7 +204,7 @@ def parse_leef(spark, sf_dir):
     k = F.col("k") % 4
     head = F.concat(F.lit("LEEF:2.0|"), "hostname", F.lit("|agent|1|"), "event_id")
     attributes = F.concat(F.lit("|src="), "source", F.lit("\tUsr="), "username", F.lit("\tnote=a|b"))
-    lines = load_events(spark, sf_dir).select(
+    lines = load_events(spark, sf_dir, heavy=True).select(
         F.when(k == 0, head).when(k == 1, F.lit("LEEF:2.0|a|b|c")).otherwise(F.concat(head, attributes)).alias("value"))
     return line_formats.parse_leef(lines).select(
         "event_id", "vendor", F.try_element_at("fields", F.lit("src")).alias("src"),
@@ -217,7 +217,7 @@ def parse_cef(spark, sf_dir):
     k = F.col("k") % 4
     line = F.concat(F.lit("CEF:0|vendor|product|1|"), "event_id", F.lit("|"), "action", F.lit("|"), F.col("severity"),
                     F.lit("|src="), "source", F.lit(" DST="), "destination", F.lit(" msg=one two"))
-    lines = load_events(spark, sf_dir).select(F.when(k == 1, F.lit("CEF:0|vendor|product")).otherwise(line).alias("value"))
+    lines = load_events(spark, sf_dir, heavy=True).select(F.when(k == 1, F.lit("CEF:0|vendor|product")).otherwise(line).alias("value"))
     return line_formats.parse_cef(lines).select(
         "signature_id", "name", "severity", F.try_element_at("fields", F.lit("src")).alias("src"),
         F.try_element_at("fields", F.lit("dst")).alias("dst"))
@@ -234,7 +234,7 @@ def src_xml_eventlog(spark, sf_dir):
         F.lit('</Computer></System><EventData><Data Name="Image">'), "process_name", F.lit("</Data><Data>"), "username",
         F.lit("</Data></EventData></Event>"))
     path = new_path(spark, "xml")
-    load_events(spark, sf_dir).select(text).write.text(path)
+    load_events(spark, sf_dir, heavy=True).select(text).write.text(path)
     parsed = windows_xml.read_windows_xml(spark, path)
     names = ["eventid", "computer", "provider_name", "eventid_qualifiers", "image", "data_9"]
     return parsed.select(*[F.try_element_at("fields", F.lit(n)).alias(n) for n in names], "event_type")

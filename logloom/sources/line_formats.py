@@ -6,23 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.maps import last_value_map
 from ..functions.text import strip
 from ..functions.times import syslog_timestamp
 
 
-def _pairs(text: Column, pattern: str) -> Column:
-    """All ``key=value`` matches as an array of structs with lower-case keys."""
-    keys = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.zip_with(keys, values, lambda k, v: F.struct(F.lower(k).alias("key"), v.alias("value")))
+def _pairs(text: Column, pattern: str, quoted: bool = False) -> Column:
+    """All ``key=value`` matches as an array of structs with lower-case keys.
 
+    The pattern runs once over the text; its matches are cut at the first sign of equality.
+    """
 
-def _as_map(pairs: Column) -> Column:
-    """Last value of each key."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    newest = F.reverse(pairs)
-    return F.map_from_arrays(keys, F.transform(
-        keys, lambda k: F.element_at(F.filter(newest, lambda p: p["key"] == k), 1)["value"]))
+    def cut(match: Column) -> Column:
+        at = F.locate("=", match)
+        value = strip(F.substring(match, at + 1, F.length(match)))
+        if quoted:
+            value = F.substring(value, F.lit(2), F.length(value) - 2)
+        return F.struct(F.lower(strip(F.substring(match, F.lit(1), at - 1))).alias("key"), value.alias("value"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), cut)
 
 
 def _overlay(df: DataFrame, base: dict[str, Column]) -> DataFrame:
@@ -33,17 +35,17 @@ def _overlay(df: DataFrame, base: dict[str, Column]) -> DataFrame:
 
 def parse_syslog(lines: DataFrame, year: Column | None = None) -> DataFrame:
     """``Mon dd hh:mm:ss host program: message``; quoted pairs if there are any, else plain ones."""
-    df = lines.withColumn("line", strip(F.col("value"))).filter(F.col("line").rlike(C.SYSLOG_LINE))
-
-    def part(i: int) -> Column:
-        return F.regexp_extract("line", C.SYSLOG_LINE, i)
-
-    quoted = _pairs(part(4), C.SYSLOG_QUOTED_PAIR)
-    plain = _pairs(part(4), C.SYSLOG_PLAIN_PAIR)
-    df = df.withColumn("quoted", quoted).withColumn(
-        "fields", _as_map(F.when(F.size("quoted") > 0, F.col("quoted")).otherwise(plain)))
-    parsed = _overlay(df, {
-        "timestamp": part(1), "hostname": part(2), "program": part(3), "message": part(4), "event_type": F.lit("syslog")})
+    mark = "\x01"
+    line = strip(F.col("value"))
+    cut = F.split(F.regexp_replace("line", C.SYSLOG_LINE, mark.join(f"${i}" for i in (1, 2, 3, 4))), mark, 4)
+    df = lines.withColumn("line", line).filter(F.col("line").rlike(C.SYSLOG_LINE)).withColumn("parts", cut)
+    message = F.get("parts", 3)
+    df = df.withColumn("quoted", _pairs(message, C.SYSLOG_QUOTED_PAIR, quoted=True))
+    pairs = F.when(F.size("quoted") > 0, F.col("quoted")).otherwise(_pairs(message, C.SYSLOG_PLAIN_PAIR))
+    df = df.withColumn("pairs", pairs).withColumn("fields", last_value_map(F.col("pairs")))
+    names = ["timestamp", "hostname", "program", "message"]
+    base = {name: F.get("parts", i) for i, name in enumerate(names)}
+    parsed = _overlay(df, {**base, "event_type": F.lit("syslog")})
     if year is not None:
         parsed = parsed.withColumn("timestamp", syslog_timestamp(F.col("timestamp"), year))
     return parsed
@@ -55,7 +57,7 @@ def _headed(lines: DataFrame, tag: str, parts: int, needed: int, names: list[str
     df = lines.filter(line.startswith(tag)).withColumn("parts", F.split(body, r"\|", parts)).filter(
         F.size("parts") >= needed)
     rest = F.coalesce(F.get("parts", parts - 1), F.lit(""))
-    df = df.withColumn("fields", _as_map(_pairs(rest, C.ATTRIBUTE_PAIR)))
+    df = df.withColumn("pairs", _pairs(rest, C.ATTRIBUTE_PAIR)).withColumn("fields", last_value_map(F.col("pairs")))
     base = {name: F.get("parts", i) for i, name in enumerate(names)}
     return _overlay(df, {**base, "event_type": F.lit(event_type)})
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.maps import last_value_map
 from ..schemas import WINDOWS_EVENT
 
 
@@ -36,12 +37,8 @@ def event_fields(df: DataFrame) -> DataFrame:
     data = F.transform(
         F.coalesce("EventData.Data", F.array()),
         lambda d, i: _entry(F.lower(F.coalesce(d["_Name"], F.concat(F.lit("data_"), offset + i))), d["_VALUE"]))
-    entries = F.concat("_system", data)
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    newest = F.reverse(entries)
-    fields = F.map_from_arrays(keys, F.transform(
-        keys, lambda k: F.element_at(F.filter(newest, lambda e: e["key"] == k), 1)["value"]))
-    return df.select(F.lit("windows_event").alias("event_type"), fields.alias("fields"))
+    df = df.withColumn("_entries", F.concat("_system", data))
+    return df.select(F.lit("windows_event").alias("event_type"), last_value_map(F.col("_entries")).alias("fields"))
 
 
 def split_events(spark: SparkSession, path) -> DataFrame:

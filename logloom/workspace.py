@@ -52,3 +52,12 @@ def once(spark: SparkSession, key: tuple, build: Callable[[], object]) -> object
     if full not in _memo:
         _memo[full] = build()
     return _memo[full]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a CPU-heavy step work for all cores when its small input is a single split.
+
+    Inputs with enough splits, so any big one, pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
