@@ -105,6 +105,16 @@ def wrap_record(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in raw], columns=WRAPPED.names, dtype=object)
 
 
+def strict_json(text: Column) -> Column:
+    """VARIANT of a text that is exactly one JSON value, else null.
+
+    The parser alone would accept anything after the first value; inside brackets it cannot.
+    """
+    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(boxed, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(boxed, "$[0]", "variant"))
+
+
 def event_description(process_name: Column, command_line: Column) -> Column:
     blank = F.lit("")
     return strip(F.concat(F.coalesce(process_name, blank), F.lit(" "), F.coalesce(command_line, blank)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.text import strict_json
 from ..functions.times import timestamp_text
 from ..schemas import FINDINGS, SUMMARY
 from .ordering import with_ordinal
@@ -118,7 +119,7 @@ def parse_replies(scored: DataFrame, schema=FINDINGS, name: str = "findings") ->
     """Structured findings per reply, or the reason why there are none, with the raw text."""
     reply = F.col("reply")
     found = json_slice(reply)
-    valid = F.try_parse_json(found).isNotNull()
+    valid = strict_json(found).isNotNull()
     missing = ~(F.contains(reply, F.lit("{")) & F.contains(reply, F.lit("}")))
     error = (
         F.when(F.col("error").isNotNull(), F.concat(F.lit("Processing error: "), F.col("error")))

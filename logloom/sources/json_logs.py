@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
-from ..functions.text import strip
+from ..functions.text import strict_json, strip
 from ..schemas import PROCESS, RAW_EVENT
 
 
@@ -54,7 +54,7 @@ def tolerant_lines(text: DataFrame) -> DataFrame:
     line = strip(F.col("value"))
     kept = text.withColumn("line", line).filter((line != "") & ~line.isin(C.BRACKET_LINES))
     return kept.withColumn("line", F.regexp_replace("line", ",$", "")).withColumn(
-        "record", F.try_parse_json("line"))
+        "record", strict_json(F.col("line")))
 
 
 def read_json_lines(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
