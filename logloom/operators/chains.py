@@ -8,7 +8,7 @@ expands into threat pairs. Inputs carry ``idx``, an integer that orders the thre
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.severity import severity_rank
@@ -163,10 +163,11 @@ def correlated_sets(links: DataFrame, id_column: str, threshold: float) -> DataF
         .join(frequency, "event_id")
         .select("set_id", "size", "event_id", "uses")
     )
-    items = stage(items, "set-items")
-    rarity = Window.partitionBy("set_id").orderBy("uses", "event_id")
+    # Places inside a set come from one distributed sort, so a huge set needs no task of its own.
+    items = with_ordinal(items, ["set_id", "uses", "event_id"])
+    starts = items.groupBy("set_id").agg(F.min("ord").alias("start"))
     prefix = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1
-    lead = items.withColumn("place", F.row_number().over(rarity)).filter(F.col("place") <= prefix)
+    lead = items.join(starts, "set_id").filter(F.col("ord") - F.col("start") < prefix)
     left = lead.select("event_id", F.col("set_id").alias("set_a"), F.col("size").alias("size_a"))
     right = lead.select("event_id", F.col("set_id").alias("set_b"), F.col("size").alias("size_b"))
     candidates = (

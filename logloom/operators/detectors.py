@@ -71,7 +71,7 @@ def lateral_movement(events: DataFrame, width: str = "10 minutes", minimum: int
     return _fan(internal, "destination", "source", width, minimum, "LATERAL", "Lateral Movement")
 
 
-def beaconing(events: DataFrame, max_variation: float = 0.1, min_gaps: int = 10, slice_seconds: int = 3600) -> Detection:
+def beaconing(events: DataFrame, max_variation: float = 0.1, min_gaps: int = 10, slice_seconds: int = 300) -> Detection:
     """(source, destination) pairs with regular gaps.
 
     Gaps are taken inside (pair, time slice) groups; the gap between two slices comes from
@@ -121,15 +121,15 @@ def exfiltration(events: DataFrame, width: str = "1 hour", q: float = 0.99) -> D
     return Detection(_headers(large, "Data Exfiltration", F.lit("High"), "Low"), links)
 
 
-def sessions(events: DataFrame, key: str, gap_seconds: int, slice_seconds: int = 86400) -> DataFrame:
+def sessions(events: DataFrame, key: str, gap_seconds: int) -> DataFrame:
     """Add ``session_start``: events of one key with less than ``gap_seconds`` between them.
 
-    First inside (key, time slice), then over the partial sessions of a key. Partial sessions
-    of a key are at least a gap apart or one per slice, so their number is bounded by the time
-    span, not by the number of events.
+    First inside (key, time slice), with slices as long as the gap, then over the partial
+    sessions of a key. A slice holds at most two partial sessions, so their number is bounded
+    by the time span, not by the number of events.
     """
     second = F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6
-    timed = events.withColumn("_t", second).withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_seconds)))
+    timed = events.withColumn("_t", second).withColumn("_slice", F.floor(F.col("_t") / F.lit(gap_seconds)))
     inside = Window.partitionBy(key, "_slice").orderBy("_t")
     starts = F.coalesce((F.col("_t") - F.lag("_t").over(inside) >= gap_seconds).cast("int"), F.lit(1))
     local = timed.withColumn("_new", starts).withColumn(

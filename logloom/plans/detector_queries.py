@@ -100,7 +100,7 @@ def attack_stages():
     ]
 
 
-@query("det_sequence", """, a AS (SELECT * FROM ev WHERE event_type = 'netconn' AND destination LIKE '203.%'),
+DET_SEQUENCE_SQL = """, a AS (SELECT * FROM ev WHERE event_type = 'netconn' AND destination LIKE '203.%'),
   b AS (SELECT a.event_id AS e1, a.hostname, a."timestamp" AS t1, min(x."timestamp") AS t2 FROM a JOIN ev x ON x.hostname = a.hostname
     AND x.event_type = 'process' AND x."timestamp" > a."timestamp" GROUP BY ALL),
   c AS (SELECT b.*, min(y."timestamp") AS t3 FROM b JOIN ev y ON y.hostname = b.hostname AND y.event_type = 'alert'
@@ -108,7 +108,10 @@ def attack_stages():
   SELECT 'SEQ-' || c.hostname || '-' || e1 AS threat_id, c.hostname, e1 || ',' || x.event_id || ',' || y.event_id AS related_events
   FROM c JOIN ev x ON x.hostname = c.hostname AND x."timestamp" = t2 AND x.event_type = 'process'
   JOIN ev y ON y.hostname = c.hostname AND y."timestamp" = t3 AND y.event_type = 'alert'
-  WHERE epoch_us(t3) - epoch_us(t1) <= 21600000000""", "ev")
+  WHERE epoch_us(t3) - epoch_us(t1) <= 21600000000"""
+
+
+@query("det_sequence", DET_SEQUENCE_SQL, "ev")
 def det_sequence(spark, sf_dir):
     found = detectors.sequences(load_events(spark, sf_dir), attack_stages(), SEQUENCE_LIMIT)
     return found.select("threat_id", "hostname", F.array_join("related_events", ",").alias("related_events"))

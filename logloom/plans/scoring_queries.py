@@ -142,16 +142,42 @@ def _summary_prompts(spark, sf_dir):
     return scoring.summary_prompt(reports.risk_assessment(f.threats), f.patterns.agg(F.count("*")).scalar(), head, lines)
 
 
-@query("summary_prompt")
+_ASK = ("Reply with one JSON object with the keys conclusion, confidence, attack_summary, key_indicators, "
+        "false_positives, reasoning and limitations.")
+CTES["summary"] = (["tl", "chain", "threats", "patterns", "ce"], f"""head10 AS (
+  SELECT '  ' || strftime("timestamp", '%Y-%m-%d %H:%M:%S') || ' - ' || event_type || ' - ' || description AS t, "timestamp" AS tm, event_id
+  FROM tl ORDER BY "timestamp", event_id LIMIT 10),
+counted AS (SELECT count(*) AS n, count(*) FILTER (severity = 'High') AS h, count(*) FILTER (severity = 'Medium') AS m,
+  count(*) FILTER (coalesce(severity, 'Low') = 'Low') AS l FROM threats),
+intro AS (SELECT 'Write the closing summary of a log analysis.' || chr(10) || 'Threats: ' || n || ', patterns: ' ||
+    (SELECT count(*) FROM patterns) || '.' || chr(10) || 'Risk: ' || CASE WHEN h > 0 THEN 'High' WHEN m > 0 THEN 'Medium' WHEN l > 0 THEN 'Low'
+    ELSE 'Minimal' END || '. Based on ' || n || ' identified threats (' || h || ' high, ' || m || ' medium, ' || l || ' low severity).' ||
+    chr(10) || chr(10) || 'Timeline:' || chr(10) || (SELECT string_agg(t, chr(10) ORDER BY tm, event_id) FROM head10) ||
+    CASE WHEN (SELECT count(*) FROM tl) > 10 THEN chr(10) || '  ... and ' || ((SELECT count(*) FROM tl) - 10) || ' more events' ELSE '' END ||
+    chr(10) || chr(10) || 'Chains and limitations:' || chr(10) AS text FROM counted),
+line AS (
+  SELECT 0 AS section, -rank AS rank, chain_no, -1 AS item, '  ' || chain_id || ' (Severity: ' || severity || '): ' || threat_count ||
+    ' threats across ' || event_count || ' events' AS text FROM header
+  UNION ALL SELECT 0, -h.rank, c.chain_no, t.chunk_idx * 16777216 + t.pos, '    - Threat: ' || t.threat_type || ' - ' || left(t.description, 100) || '...'
+    FROM chain c JOIN header h USING (chain_no) JOIN threats t USING (threat_id)
+  UNION ALL SELECT DISTINCT 1, 0, 0, 0, '- Context limited to ' || n || ' events' FROM (SELECT count(*) AS n FROM ce GROUP BY chunk_idx)),
+summary AS (
+  SELECT part AS chunk_idx, (SELECT text FROM intro) || string_agg(text, chr(10) ORDER BY ord) || chr(10) || chr(10) || '{_ASK}' AS prompt
+  FROM (SELECT *, ord // 200 AS part FROM (SELECT *, row_number() OVER (ORDER BY section, rank, chain_no, item, text) - 1 AS ord FROM line))
+  GROUP BY part)""")
+
+
+@query("summary_prompt", "SELECT chunk_idx, prompt FROM summary", "summary")
 def summary_prompt(spark, sf_dir):
     return _summary_prompts(spark, sf_dir).select("chunk_idx", "prompt")
 
 
-@query("final_summary")
+@query("final_summary", """SELECT chunk_idx, 'Summary of ' || split_part(prompt, chr(10), 2) AS conclusion, 'Medium' AS confidence
+  FROM summary""", "summary")
 def final_summary(spark, sf_dir):
     scored = stage(scoring.score_chunks(_summary_prompts(spark, sf_dir), offline_scorer.summary_scorer, budget=None), "replies")
     found = load_findings(spark, sf_dir).threats.agg(F.count("*")).scalar()
-    return scoring.final_summary(scored, found)
+    return scoring.final_summary(scored, found).select("chunk_idx", "conclusion", "confidence")
 
 
 @query("token_estimate", """SELECT conv_id, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) / 4.0 AS prompt_tokens,

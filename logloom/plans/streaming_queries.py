@@ -9,7 +9,7 @@ from ..streaming import jobs
 from ..workspace import new_path
 from .adapter import shape_events
 from .catalog import query, stamp, stamp_sql
-from .detector_queries import SEQUENCE_LIMIT, attack_stages
+from .detector_queries import DET_SEQUENCE_SQL, SEQUENCE_LIMIT, attack_stages
 
 DELAY = "1 hour"
 # The last watermark is the newest event time less the delay; later windows stay open.
@@ -68,8 +68,8 @@ def stream_detect(spark, sf_dir):
     return scans.union(bursts)
 
 
-@query("stream_sequence")
+@query("stream_sequence", DET_SEQUENCE_SQL.replace("'SEQ-' || c.hostname || '-' || e1 AS threat_id, ", ""), "ev")
 def stream_sequence(spark, sf_dir):
-    """Compared with the batch detector in the tests."""
+    """The same rows as the batch detector gives."""
     found = jobs.sequences(_stream(spark, sf_dir), attack_stages(), SEQUENCE_LIMIT, DELAY)
     return _finish(found, "sequences", rocksdb=True).select("hostname", F.array_join("related_events", ",").alias("related_events"))

@@ -12,6 +12,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# Sessions of a busy key are merged inside the map tasks before the shuffle.
+LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -22,19 +24,21 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     profit from it because their state leaves the heap.
     """
     spark = stream.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    if rocksdb:
-        spark.conf.set(PROVIDER, ROCKSDB)
+    wanted = {LOCAL_MERGE: "true", **({PROVIDER: ROCKSDB} if rocksdb else {})}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         query = (
             stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start(path))
         query.awaitTermination()
     finally:
-        if rocksdb and before is not None:
-            spark.conf.set(PROVIDER, before)
-        elif rocksdb:
-            spark.conf.unset(PROVIDER)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def ingest(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "json", glob: str | None = None,

@@ -54,6 +54,18 @@ def once(spark: SparkSession, key: tuple, build: Callable[[], object]) -> object
     return _memo[full]
 
 
+def release(spark: SparkSession) -> None:
+    """Delete everything this application wrote below the shared folder. Frames read from it end here."""
+    from pyarrow import fs
+
+    root = shared_root(spark)
+    system, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
+    folder = f"{base}/{spark.sparkContext.applicationId}"
+    if system.get_file_info(folder).type == fs.FileType.Directory:
+        system.delete_dir(folder)
+    _memo.clear()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy step work for all cores when its small input is a single split.
 

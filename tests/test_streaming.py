@@ -66,3 +66,15 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert run() == [(1, 2)]
     (source / "2.json").write_text(row % 2 + row % 20)
     assert run() == [(1, 2), (10, 1)]
+
+
+def test_release_removes_what_was_written(spark):
+    from pathlib import Path
+
+    from logloom.workspace import release, shared_root, stage
+
+    stage(spark.range(3), "probe")
+    folder = Path(shared_root(spark).removeprefix("file:")) / spark.sparkContext.applicationId
+    assert folder.exists()
+    release(spark)
+    assert not folder.exists()
