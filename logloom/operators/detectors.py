@@ -121,8 +121,8 @@ def exfiltration(events: DataFrame, width: str = "1 hour", q: float = 0.99) -> D
     return Detection(_headers(large, "Data Exfiltration", F.lit("High"), "Low"), links)
 
 
-def sessions(events: DataFrame, key: str, gap_seconds: int) -> DataFrame:
-    """Add ``session_start``: events of one key with less than ``gap_seconds`` between them.
+def _partial_sessions(events: DataFrame, key: str, gap_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """Events with the number of their partial session, and the partial sessions with their ``session_start``.
 
     First inside (key, time slice), with slices as long as the gap, then over the partial
     sessions of a key. A slice holds at most two partial sessions, so their number is bounded
@@ -135,24 +135,28 @@ def sessions(events: DataFrame, key: str, gap_seconds: int) -> DataFrame:
     local = timed.withColumn("_new", starts).withColumn(
         "_local", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     partial = local.groupBy(key, "_slice", "_local").agg(
-        F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.min("timestamp").alias("started"))
+        F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.min("timestamp").alias("started"),
+        F.max("timestamp").alias("ended"), F.count("*").alias("n"))
     across = Window.partitionBy(key).orderBy("lo")
     opens = F.coalesce(F.col("lo") - F.lag("hi").over(across) >= gap_seconds, F.lit(True))
     named = partial.withColumn("_opened", F.when(opens, F.col("started"))).withColumn(
         "session_start", F.last("_opened", True).over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    return local.join(named.select(key, "_slice", "_local", "session_start"), [key, "_slice", "_local"]).drop(
-        "_t", "_slice", "_new", "_local")
+    return local, named
 
 
 def failed_burst(events: DataFrame, failed: Column, gap_seconds: int = 300, minimum: int = 5) -> Detection:
-    """Many failures of one source without a pause."""
-    marked = sessions(events.filter(failed), "source", gap_seconds).withColumn(
-        "threat_id", _id("BURST", F.col("source"), _slot(F.col("session_start"))))
+    """Many failures of one source without a pause.
+
+    Headers come from the partial sessions alone; only the links go back to the events.
+    """
+    local, named = _partial_sessions(events.filter(failed), "source", gap_seconds)
+    marked = named.withColumn("threat_id", _id("BURST", F.col("source"), _slot(F.col("session_start"))))
     groups = marked.groupBy("threat_id", "source", "session_start").agg(
-        F.count("*").alias("event_count"), F.max("timestamp").alias("session_end")).filter(
-        F.col("event_count") >= minimum)
+        F.sum("n").alias("event_count"), F.max("ended").alias("session_end")).filter(F.col("event_count") >= minimum)
     severity = F.when(F.col("event_count") >= 2 * minimum, "High").otherwise("Medium")
-    links = marked.select("threat_id", "event_id").join(groups.select("threat_id"), "threat_id", "left_semi")
+    parts = marked.join(groups.select("threat_id"), "threat_id", "left_semi").select(
+        "source", "_slice", "_local", "threat_id")
+    links = local.join(parts, ["source", "_slice", "_local"]).select("threat_id", "event_id")
     return Detection(_headers(groups, "Repeated Failures", severity, "High"), links)
 
 

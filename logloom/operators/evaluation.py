@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..workspace import stage
 from .skew import bounded_lists
 
 WIDE_SET = 10  # chunks with more distinct types than this take the candidate-join way
@@ -72,8 +73,8 @@ def chunk_pairs(threats: DataFrame) -> DataFrame:
     """
     kinds = threats.select("source_chunk", F.coalesce("threat_type", F.lit("Unknown")).alias("t")).distinct()
     chunk_sets = kinds.groupBy("source_chunk").agg(F.array_sort(F.collect_list("t")).alias("types"))
-    # Chunks with equal sets collapse before anything is expanded.
-    sets = chunk_sets.groupBy("types").agg(F.count("*").alias("chunks")).withColumn("size", F.size("types"))
+    # Chunks with equal sets collapse before anything is expanded; written, as four branches read them.
+    sets = stage(chunk_sets.groupBy("types").agg(F.count("*").alias("chunks")).withColumn("size", F.size("types")), "type-sets")
     big = "decimal(38,0)"
 
     narrow = sets.filter(F.col("size") <= WIDE_SET)

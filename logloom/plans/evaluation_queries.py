@@ -206,7 +206,7 @@ def cost_estimate(spark, sf_dir):
 
 CTES["samples"] = (["ev"], """samples AS (
   SELECT "timestamp" AS t, 'chunk_' || (event_no // 2) || CASE WHEN event_no % 2 = 0 THEN '_start' ELSE '_end' END AS tag,
-    bytes % 100 AS cpu, CAST(k AS DOUBLE) AS mem, k * 0.32 AS gb, bytes % 50 AS g0, CAST(k % 10 AS DOUBLE) AS g1, hostname FROM ev)""")
+    bytes % 100 AS cpu, CAST(k AS DOUBLE) AS mem, k * 0.32::DOUBLE AS gb, bytes % 50 AS g0, CAST(k % 10 AS DOUBLE) AS g1, hostname FROM ev)""")
 
 
 def _samples(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chains, filters, findings, reports, scoring, timeline
+from ..workspace import stage
 from .adapter import load_events
 from .catalog import CTES, query, stamp, stamp_sql
 from .rule_findings import load_chains, load_findings, rule_replies
@@ -117,7 +118,7 @@ def timeline_position(spark, sf_dir):
 @query("summary_timeline_head", f"""SELECT event_id, {TS} AS timestamp_text, description,
   (SELECT greatest(count(*) - 10, 0) FROM tl) AS remaining FROM (SELECT * FROM tl ORDER BY "timestamp", event_id LIMIT 10)""", "tl")
 def summary_timeline_head(spark, sf_dir):
-    return timeline.timeline_head(_timeline(spark, sf_dir)).select(
+    return timeline.timeline_head(stage(_timeline(spark, sf_dir), "timeline")).select(
         "event_id", stamp("timestamp").alias("timestamp_text"), "description", F.col("remaining").cast("long").alias("remaining"))
 
 

@@ -102,10 +102,10 @@ def explode_findings(spark, sf_dir):
     parsed = scoring.parse_replies(rule_replies(load_findings(spark, sf_dir)))
     events = F.array_join("related_events", ",").alias("events")
     threats = scoring.explode_threats(parsed).select(
-        "chunk_idx", F.lit("threat").alias("kind"), "pos", F.col("threat_id").alias("id"), F.col("threat_type").alias("type"),
+        "chunk_idx", F.lit("threat").alias("kind"), F.col("pos").cast("long").alias("pos"), F.col("threat_id").alias("id"), F.col("threat_type").alias("type"),
         "severity", "description", events)
     patterns = scoring.explode_patterns(parsed).select(
-        "chunk_idx", F.lit("pattern").alias("kind"), "pos", F.col("pattern_id").alias("id"), F.col("pattern_type").alias("type"),
+        "chunk_idx", F.lit("pattern").alias("kind"), F.col("pos").cast("long").alias("pos"), F.col("pattern_id").alias("id"), F.col("pattern_type").alias("type"),
         F.lit(None).cast("string").alias("severity"), "description", events)
     return threats.union(patterns)
 
@@ -135,7 +135,8 @@ def pending_chunks(spark, sf_dir):
 
 def _summary_prompts(spark, sf_dir):
     f, c = load_findings(spark, sf_dir), load_chains(spark, sf_dir)
-    head = timeline.timeline_head(timeline.timeline(load_events(spark, sf_dir), f.links, f.pattern_links))
+    rows = stage(timeline.timeline(load_events(spark, sf_dir), f.links, f.pattern_links), "timeline")
+    head = timeline.timeline_head(rows)
     texts = scoring.text_lists(scoring.parse_replies(rule_replies(f)))
     limits = texts.select(F.explode("limitations").alias("text")).distinct()
     lines = scoring.summary_lines(c.headers, c.members, limits)
