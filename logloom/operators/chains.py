@@ -8,6 +8,7 @@ expands into threat pairs. Inputs carry ``idx``, an integer that orders the thre
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +17,47 @@ from ..workspace import stage
 from .ordering import with_ordinal
 
 
+# A block is a range of 4096 chunks (see ``findings.POSITION_BITS``); bigger blocks than this many
+# rows are left to the plain rule.
+BLOCK_SHIFT = 24 + 12
+BLOCK_ROWS = 2_000_000
+
+
+def _openers_in_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """Openers that follow from one block alone: threats in order, those that depend on an
+    undecided threat of an earlier block, directly or through others, stay undecided."""
+    claimed: set = set()
+    waiting: set = set()
+    opened = []
+    for idx, group in rows.sort_values("idx").groupby("idx", sort=False):
+        events = set(group["event_id"])
+        if events & claimed:
+            continue
+        if group["foreign"].any() or events & waiting:
+            waiting |= events
+        else:
+            opened.append(idx)
+            claimed |= events
+    return pd.DataFrame({"idx": pd.Series(opened, dtype="int64")})
+
+
+def _block_openers(undecided: DataFrame, first: DataFrame) -> DataFrame:
+    """Openers by whole blocks, so a long run of overlapping threats needs one round per block."""
+    block = F.shiftright("idx", BLOCK_SHIFT)
+    sized = undecided.groupBy(block.alias("block")).agg(F.count("*").alias("rows")).filter(F.col("rows") <= BLOCK_ROWS)
+    known = first.select("event_id", F.shiftright("idx", BLOCK_SHIFT).alias("first_block"))
+    marked = undecided.join(known, "event_id").select(
+        "idx", "event_id", block.alias("block"), (F.col("first_block") < block).alias("foreign"))
+    return marked.join(sized, "block", "left_semi").groupBy("block").applyInPandas(_openers_in_block, "idx long")
+
+
 def _openers(edges: DataFrame) -> DataFrame:
     """Chain openers among the threats that have events.
 
     Each round: a threat that is the first undecided one on all its events opens a chain,
     and every other threat on those events is settled as a member. Only undecided rows go
-    into the next round, each round is written out.
+    into the next round, each round is written out. The first round settles nearly all
+    rows; later ones also solve blocks of neighbouring threats, of bounded size, in one go.
     """
     undecided = stage(edges, "chain-edges")
     found = []
@@ -29,10 +65,12 @@ def _openers(edges: DataFrame) -> DataFrame:
         first = undecided.groupBy("event_id").agg(F.min("idx").alias("idx"))
         leads = first.groupBy("idx").agg(F.count("*").alias("leading"))
         degree = undecided.groupBy("idx").agg(F.count("*").alias("degree"))
-        opened = stage(
-            leads.join(degree, "idx").filter(F.col("leading") == F.col("degree")).select("idx"), "chain-heads")
+        opened = leads.join(degree, "idx").filter(F.col("leading") == F.col("degree")).select("idx")
+        if found:
+            opened = opened.union(_block_openers(undecided, first)).distinct()
+        opened = stage(opened, "chain-heads")
         found.append(opened)
-        claimed = first.join(opened, "idx", "left_semi").select("event_id")
+        claimed = undecided.join(opened, "idx", "left_semi").select("event_id").distinct()
         settled = undecided.join(claimed, "event_id", "left_semi").select("idx").distinct()
         undecided = stage(undecided.join(settled, "idx", "left_anti"), "chain-edges")
     heads = edges.select("idx").limit(0)

@@ -157,6 +157,17 @@ def test_chains_equal_model(spark, threats):
     assert {r.idx: r.head for r in chains.connected_chains(t, links).collect()} == components(threats)
 
 
+@pytest.mark.parametrize("shift,rows", [(3, 1000), (5, 1000), (5, 20)])
+def test_long_runs_by_blocks(spark, monkeypatch, shift, rows):
+    """Runs of overlapping threats over several small blocks, some of them above the block limit."""
+    monkeypatch.setattr(chains, "BLOCK_SHIFT", shift)
+    monkeypatch.setattr(chains, "BLOCK_ROWS", rows)
+    rnd = random.Random(shift + rows)
+    threats = [{i, i + 1} | ({i + 2} if rnd.random() < 0.3 else set()) for i in range(45)] + [{0, 44}, {90}, {90, 12}]
+    t, links = frames(spark, threats)
+    assert {r.idx: r.head for r in chains.assign_chains(t, links).collect()} == greedy(threats)
+
+
 def test_chain_headers(spark):
     t = spark.createDataFrame([(0, "a", "Low", "X"), (5, "b", "High", "Y"), (9, "c", "Critical", "X"), (11, "d", None, "X")],
                               "idx long, threat_id string, severity string, threat_type string")
