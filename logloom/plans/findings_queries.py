@@ -8,7 +8,7 @@ from ..operators import chains, filters, findings, reports, scoring, timeline
 from ..workspace import stage
 from .adapter import load_events
 from .catalog import CTES, query, stamp, stamp_sql
-from .rule_findings import load_chains, load_findings, rule_replies
+from .rule_findings import load_chains, load_findings, load_replies
 
 TS = stamp_sql('"timestamp"')
 
@@ -73,18 +73,18 @@ def generated_ids(spark, sf_dir):
   UNION SELECT 'limitation', 'Context limited to ' || n || ' events' FROM (SELECT count(*) AS n FROM ce GROUP BY chunk_idx)""",
        "raw_threats", "ce")
 def distinct_recommendations(spark, sf_dir):
-    texts = scoring.text_lists(scoring.parse_replies(rule_replies(load_findings(spark, sf_dir))))
+    texts = scoring.text_lists(scoring.parse_replies(load_replies(spark, sf_dir)))
     frames = [findings.distinct_texts(texts, c).select(F.lit(kind).alias("kind"), "text")
               for kind, c in (("recommendation", "recommendations"), ("limitation", "limitations"))]
     return frames[0].union(frames[1])
 
 
-@query("collect_proposed_chains", """SELECT chunk_idx, 'CHAIN-' || (chunk_idx + 1) || '-' || row_number() OVER
+@query("collect_llm_chains", """SELECT chunk_idx, 'CHAIN-' || (chunk_idx + 1) || '-' || row_number() OVER
     (PARTITION BY chunk_idx ORDER BY "key") AS chain_id, 'Several stages on ' || "key" AS description, 'Medium' AS severity,
     techniques FROM (SELECT chunk_idx, "key", string_agg(DISTINCT threat_type, ',' ORDER BY threat_type) AS techniques
       FROM raw_threats WHERE rule <= 4 GROUP BY ALL HAVING count(DISTINCT threat_type) >= 2)""", "raw_threats")
 def collect_proposed_chains(spark, sf_dir):
-    parsed = scoring.parse_replies(rule_replies(load_findings(spark, sf_dir)))
+    parsed = scoring.parse_replies(load_replies(spark, sf_dir))
     return findings.collect_chains(scoring.proposed_chains(parsed)).select(
         "chunk_idx", "chain_id", "description", "severity", F.array_join("techniques", ",").alias("techniques"))
 

@@ -177,3 +177,8 @@ def rule_replies(f: Findings) -> DataFrame:
         F.array(F.concat(F.lit("Context limited to "), "events", F.lit(" events"))).alias("limitations")))
     text = F.concat(F.lit("Slice "), F.col("chunk_idx") + 1, F.lit(" reviewed:\n```json\n"), body, F.lit("\n```\nEnd of reply."))
     return joined.select("chunk_idx", text.alias("reply"), F.lit(None).cast("string").alias("error"))
+
+
+def load_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replies, written before anything reads them."""
+    return once(spark, ("replies", sf_dir), lambda: stage(rule_replies(load_findings(spark, sf_dir)), "replies"))

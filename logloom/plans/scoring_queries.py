@@ -10,7 +10,7 @@ from ..workspace import once, stage
 from . import offline_scorer
 from .adapter import load_events
 from .catalog import CTES, query
-from .rule_findings import chunked_events, load_chains, load_findings, rule_replies
+from .rule_findings import chunked_events, load_chains, load_findings, load_replies
 
 _WHEN = """CASE WHEN strftime("timestamp", '%f') = '000000' THEN strftime("timestamp", '%Y-%m-%d %H:%M:%S')
       ELSE strftime("timestamp", '%Y-%m-%d %H:%M:%S.%f') END"""
@@ -67,7 +67,7 @@ def score_chunks(spark, sf_dir):
 
 def _mixed_replies(spark, sf_dir):
     """Rule replies; of ten chunks one has no JSON, one is cut off and one failed."""
-    replies = rule_replies(load_findings(spark, sf_dir))
+    replies = load_replies(spark, sf_dir)
     case = F.col("chunk_idx") % 10
     reply = (
         F.when(case == 3, "I found nothing to report.").when(case == 7, F.replace("reply", F.lit('"limitations":'), F.lit("")))
@@ -99,7 +99,7 @@ def filter_parse_ok(spark, sf_dir):
     FROM raw_patterns JOIN raw_pattern_links USING (chunk_idx, pos) GROUP BY ALL""",
        "raw_threats", "raw_links", "raw_patterns", "raw_pattern_links")
 def explode_findings(spark, sf_dir):
-    parsed = scoring.parse_replies(rule_replies(load_findings(spark, sf_dir)))
+    parsed = scoring.parse_replies(load_replies(spark, sf_dir))
     events = F.array_join("related_events", ",").alias("events")
     threats = scoring.explode_threats(parsed).select(
         "chunk_idx", F.lit("threat").alias("kind"), F.col("pos").cast("long").alias("pos"), F.col("threat_id").alias("id"), F.col("threat_type").alias("type"),
@@ -137,7 +137,7 @@ def _summary_prompts(spark, sf_dir):
     f, c = load_findings(spark, sf_dir), load_chains(spark, sf_dir)
     rows = stage(timeline.timeline(load_events(spark, sf_dir), f.links, f.pattern_links), "timeline")
     head = timeline.timeline_head(rows)
-    texts = scoring.text_lists(scoring.parse_replies(rule_replies(f)))
+    texts = scoring.text_lists(scoring.parse_replies(load_replies(spark, sf_dir)))
     limits = texts.select(F.explode("limitations").alias("text")).distinct()
     lines = scoring.summary_lines(c.headers, c.members, limits)
     return scoring.summary_prompt(reports.risk_assessment(f.threats), f.patterns.agg(F.count("*")).scalar(), head, lines)

@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import normalize
+from ..operators.scoring import parse_replies
 from ..schemas import strings
 from ..sources import delimited, files, json_logs, line_formats, results, windows_xml
 from ..workspace import new_path
 from .adapter import load_events
 from .catalog import query, stamp, stamp_sql
 from .event_queries import telemetry_record
+from .rule_findings import load_replies
 
 DOCUMENT_EVENTS = 1000  # events per JSON document: one document is read by one task
 
@@ -285,10 +287,7 @@ def sink_events_parquet(spark, sf_dir):
 
 
 def _chunk_results(spark, sf_dir) -> DataFrame:
-    from .rule_findings import load_findings, rule_replies
-    from ..operators.scoring import parse_replies
-
-    parsed = parse_replies(rule_replies(load_findings(spark, sf_dir)))
+    parsed = parse_replies(load_replies(spark, sf_dir))
     return parsed.select("chunk_idx", "findings.*")
 
 

@@ -6,13 +6,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.normalize import std_columns, union_sources
 from ..operators.ordering import with_ordinal
 from ..schemas import FLOW
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """Headered CSV with a given schema; malformed values become null."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Headered CSV with a given schema; malformed values become null, a header that differs is an error."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def read_csv_by_header(spark: SparkSession, path) -> DataFrame:
+    """Headered CSV files as text columns by name, whatever columns and order each file has.
+
+    Files with the same header are read together; only file names and headers reach the driver.
+    """
+    from .files import head_sample, list_files
+
+    heads = head_sample(list_files(spark, path).select("path")).select(
+        "path", F.btrim(F.split_part("sample", F.lit("\n"), F.lit(1)), F.lit("\r ")).alias("header"))
+    by_header: dict[str, list[str]] = {}
+    for row in heads.toLocalIterator():
+        by_header.setdefault(row["header"], []).append(row["path"])
+    if not by_header:
+        raise ValueError(f"no csv files found in {path}")
+    frames = [std_columns(spark.read.option("header", True).csv(paths)) for _, paths in sorted(by_header.items())]
+    return union_sources(*frames)
 
 
 def read_flows(spark: SparkSession, path, start: Column) -> DataFrame:
@@ -39,7 +58,10 @@ def read_directory(spark: SparkSession, path: str, kind: str, schema: T.StructTy
     if kind == "json":
         rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
     elif kind == "csv":
-        rows = spark.read.schema(schema).option("header", True).option("pathGlobFilter", "*.csv").csv(path)
+        named = read_csv_by_header(spark, f"{path.rstrip('/')}/*.csv")
+        rows = named.select(*[
+            (F.col(f.name).try_cast(f.dataType) if f.name in named.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema.fields])
     else:
         raise ValueError(f"unsupported log format: {kind}")
     ordered = rows.orderBy("timestamp", "event_id")

@@ -31,7 +31,8 @@ def _heads(listing: DataFrame, size: int, render: Callable[[bytes], str], name:
         from pyarrow import fs
 
         def head(uri: str) -> str:
-            system, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+            uri = re.sub("^s3a:", "s3:", re.sub("^file:/+", "file:///", uri))
+            system, inner = fs.FileSystem.from_uri(uri)
             with system.open_input_file(inner) as handle:
                 return render(handle.read(size))
 
@@ -111,20 +112,12 @@ def _json_lines(spark: SparkSession, paths) -> DataFrame:
     return normalize_telemetry(json_logs.read_json_lines(spark, paths)[0].select("record")).drop("record")
 
 
-def _csv(spark: SparkSession, paths) -> DataFrame:
-    """Columns by name from the header of each file; unknown columns are left out."""
-    frames = spark.read.option("header", True).csv(paths)
-    from ..operators.normalize import std_columns
-
-    return std_columns(frames)
-
-
 # Reader per format; add an entry to plug in another one.
 READERS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
     "json-array": json_logs.read_json_array,
     "json-events": lambda spark, paths: json_logs.read_json_wrapped(spark, paths, "events"),
     "json-object": json_logs.read_json_object,
-    "csv": _csv,
+    "csv": delimited.read_csv_by_header,
     "syslog": _lines(line_formats.parse_syslog),
     "leef": _lines(line_formats.parse_leef),
     "cef": _lines(line_formats.parse_cef),

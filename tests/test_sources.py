@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.schemas import strings
 from logloom.sources import delimited, files, json_logs, line_formats, results, windows_xml
 
 
@@ -93,6 +94,18 @@ def test_flow_csv(spark, tmp_path):
         ("evt-1", "a", "allow", "2025-01-01 00:00:00"), ("evt-2", "c", "deny", "2025-01-01 00:00:01")]
 
 
+def test_directory_of_csv_files(spark, tmp_path):
+    """Columns go by name, also when files order them differently; the cap keeps the first by time."""
+    (tmp_path / "a.csv").write_text("event_id,timestamp,event_type\n1,2025-01-02,x\n")
+    (tmp_path / "b.csv").write_text("Timestamp,Event ID\n2025-01-01,2\n2025-01-03,3\n")
+    (tmp_path / "c.txt").write_text("other")
+    schema = strings("event_id", "timestamp", "event_type")
+    rows = delimited.read_directory(spark, str(tmp_path), "csv", schema, max_events=2).collect()
+    assert [tuple(r) for r in rows] == [("2", "2025-01-01", None), ("1", "2025-01-02", "x")]
+    with pytest.raises(ValueError):
+        delimited.read_directory(spark, str(tmp_path), "xml", schema)
+
+
 HEADS = {
     "a.json": ('[{"a": 1}]', "json-array"),
     "b.json": ('{"events": [{"a": 1}]}', "json-events"),
