@@ -77,30 +77,37 @@ WRAPPED = T.StructType([
 
 @F.pandas_udf(T.StringType())
 def flatten_json(raw: pd.Series) -> pd.Series:
-    """JSON object text to its flat one-line form; null for text that is not an object."""
+    """JSON object text to its flat one-line form; null for text that is not an object or nests too deep."""
 
     def one(text):
         try:
             node = json.loads(text)
-        except ValueError:
+            return flatten_object(node) if isinstance(node, dict) else None
+        except (ValueError, RecursionError):
             return None
-        return flatten_object(node) if isinstance(node, dict) else None
 
     return raw.map(one, na_action="ignore").astype(object)
 
 
 @F.pandas_udf(WRAPPED)
 def wrap_record(raw: pd.Series) -> pd.DataFrame:
-    """Record envelope around one JSON text: object, or anything else as an escaped value."""
+    """Record envelope around one JSON text: object, or anything else as an escaped value.
+
+    Null stays without any field. A text that is not JSON, or nests too deep, comes back as it is with the
+    reason in ``processing_error``; no record fails the job.
+    """
 
     def one(text):
-        node = json.loads(text)
-        if not isinstance(node, dict):
-            return (None, None, None, _escaped(node if node is None else str(node)))
+        if not isinstance(text, str):
+            return (None, None, None, None)
         try:
+            node = json.loads(text)
+            if not isinstance(node, dict):
+                return (None, None, None, _escaped(node if node is None else str(node)))
             return (json.dumps(node), flatten_object(node), None, None)
-        except RecursionError as error:
-            return (json.dumps(node), f"Error processing: {str(error)[:100]}...", str(error), None)
+        except (ValueError, RecursionError) as error:
+            reason = "nested too deep" if isinstance(error, RecursionError) else "not valid JSON"
+            return (text, f"Error processing: {reason}", reason, None)
 
     return pd.DataFrame([one(t) for t in raw], columns=WRAPPED.names, dtype=object)
 

@@ -11,13 +11,22 @@ LAYOUTS = [
     "yyyy/MM/dd HH:mm:ss",
     "MM/dd/yyyy HH:mm:ss",
     "dd-MMM-yyyy HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]xx",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS] xx",
+    "dd/MMM/yyyy:HH:mm:ss xx",
+    "MMM d yyyy HH:mm:ss",
+    "yyyy MMM d HH:mm:ss",
 ]
+#: Digits of an epoch text, and what turns the number into microseconds.
+EPOCHS = ((10, 1_000_000), (13, 1_000), (16, 1))
 
 
 def coerce_timestamp(text: Column) -> Column:
     """Text to timestamp; null where no known layout fits."""
     attempts = [F.try_to_timestamp(text)]
     attempts += [F.try_to_timestamp(text, F.lit(layout)) for layout in LAYOUTS]
+    number = text.try_cast("bigint")
+    attempts += [F.when(text.rlike(f"^[0-9]{{{digits}}}$"), F.timestamp_micros(number * scale)) for digits, scale in EPOCHS]
     return F.coalesce(*attempts)
 
 

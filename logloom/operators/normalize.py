@@ -13,7 +13,12 @@ from .ordering import with_ordinal
 
 
 def std_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*[name.lower().replace(" ", "_") for name in df.columns])
+    """Lower-case names with underscores; columns whose names become equal merge, the first value present wins."""
+    merged: dict[str, list[str]] = {}
+    for name in df.columns:
+        merged.setdefault(name.lower().replace(" ", "_"), []).append(name)
+    quoted = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    return df.select(*[(quoted(own[0]) if len(own) == 1 else F.coalesce(*map(quoted, own))).alias(name) for name, own in merged.items()])
 
 
 def require_columns(df: DataFrame) -> DataFrame:
@@ -42,15 +47,31 @@ def add_default_severity(df: DataFrame) -> DataFrame:
     return df.withColumn("severity", default_severity(F.col("event_type")))
 
 
-def assign_event_id(df: DataFrame, tie_break: list[str] | None = None) -> DataFrame:
-    """``evt-0``, ``evt-1``, ... in time order, across the whole input, when there is no id."""
+def assign_event_id(df: DataFrame, tie_break: list[str] | None = None, first: list[str] | None = None) -> DataFrame:
+    """``evt-0``, ``evt-1``, ... in time order, across the whole input, when there is no id.
+
+    Ties go by ``tie_break``, else by all other columns; maps and variants, which have no order, go by
+    their JSON text. Without a timestamp column the tie-break alone gives the order.
+    """
     if "event_id" in df.columns:
         return df
-    order = ["timestamp", *(tie_break or [c for c in df.columns if c != "timestamp"])]
-    numbered = with_ordinal(df, order)
+    first = first or [c for c in ("timestamp",) if c in df.columns]
+    ties = tie_break or [c for c in df.columns if c not in first]
+    unordered = [c for c in ties if _has_no_order(df.schema[c].dataType)]
+    texts = {f"_text_{i}": F.to_json(F.struct(c)) for i, c in enumerate(unordered)}
+    names = dict(zip(unordered, texts, strict=True))
+    numbered = with_ordinal(df.withColumns(texts) if texts else df, [*first, *(names.get(c, c) for c in ties)]).drop(*texts)
     return numbered.withColumn("event_id", F.concat(F.lit("evt-"), F.col("ord"))).drop("ord")
 
 
+def _has_no_order(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_no_order(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_no_order(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def normalize_events(df: DataFrame, max_events: int | None = None) -> DataFrame:
     """The whole preparation; the event cap applies only on request."""
     df = require_columns(std_columns(df))
@@ -135,7 +156,7 @@ def telemetry_severity(record: Column, text: Column) -> Column:
 
 
 def normalize_telemetry(df: DataFrame, record: str = "record") -> DataFrame:
-    """One VARIANT column in, the standard telemetry fields out, the record kept beside them."""
+    """One VARIANT column in, the standard telemetry fields out, all columns kept beside them."""
     source = F.col(record)
     fields = lift_nested(source, unify_fields(source))
     severity = telemetry_severity(source, fields.pop("severity"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import severity as sev
 from ..functions import text
 from ..operators import filters, normalize, ordering, stats
-from ..workspace import spread
 from .adapter import load_events
 from .catalog import query, stamp, stamp_sql
 from .rule_findings import chunked_events
@@ -88,7 +87,7 @@ _WORDS = "CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELS
 
 
 def _telemetry(spark, sf_dir) -> DataFrame:
-    return telemetry_record(load_events(spark, sf_dir, heavy=True)).select("event_no", F.try_parse_json("json").alias("record"))
+    return telemetry_record(load_events(spark, sf_dir)).select("event_no", F.try_parse_json("json").alias("record"))
 
 
 @query("unify_fields", f"""SELECT event_no, {TS} AS timestamp_text, CASE WHEN k % 4 = 3 THEN NULL ELSE event_type END AS event_type,
@@ -138,7 +137,7 @@ def _nested_json(spark, sf_dir) -> DataFrame:
         F.array("source", "destination").alias("flow"),
         F.array(F.struct(F.col("event_type").alias("type")), F.struct(F.col("action").alias("type"))).alias("steps"),
         F.lit(True).alias("ok"))
-    return load_events(spark, sf_dir, heavy=True).select("event_id", "k", F.to_json(record).alias("json"))
+    return load_events(spark, sf_dir).select("event_id", "k", F.to_json(record).alias("json"))
 
 
 _FLAT = r"""'id: ' || event_id || ', a' || chr(92) || 'u003Cb::hostname: ' || hostname || ', a' || chr(92) || 'u003Cb::actor::username: ' || username ||
@@ -151,17 +150,20 @@ def flatten_json(spark, sf_dir):
     return _nested_json(spark, sf_dir).select("event_id", text.flatten_json("json").alias("flattened"))
 
 
-@query("wrap_record", f"""SELECT event_id, CASE WHEN k % 10 >= 2 THEN {_FLAT} END AS flattened_data,
-  CASE WHEN k % 10 >= 2 THEN length(event_id) + length(hostname) + length(username) + length(CAST(k AS VARCHAR))
+@query("wrap_record", f"""SELECT event_id, CASE WHEN k % 10 >= 5 THEN {_FLAT} WHEN k % 10 = 3 THEN 'Error processing: not valid JSON'
+    WHEN k % 10 = 4 THEN 'Error processing: nested too deep' END AS flattened_data,
+  CASE k % 10 WHEN 3 THEN 'not valid JSON' WHEN 4 THEN 'nested too deep' END AS processing_error,
+  CASE WHEN k % 10 = 3 THEN 5 WHEN k % 10 = 4 THEN 200000 WHEN k % 10 >= 5 THEN length(event_id) + length(hostname) + length(username) + length(CAST(k AS VARCHAR))
     + length(source) + length(destination) + length(event_type) + length(action) + 138 END AS original_length,
   CASE k % 10 WHEN 0 THEN 'null' WHEN 1 THEN 'x\\u0026y' END AS raw_value FROM ev""", "ev")
 def wrap_record(spark, sf_dir):
-    """Objects, and in two of ten cases a null or a plain text."""
+    """Objects; in five of ten cases a JSON null, a plain text, no text, a broken text, or far too many brackets."""
     k = F.col("k") % 10
     raw = _nested_json(spark, sf_dir).withColumn(
-        "json", F.when(k == 0, F.lit("null")).when(k == 1, F.lit('"x&y"')).otherwise(F.col("json")))
+        "json", F.when(k == 0, F.lit("null")).when(k == 1, F.lit('"x&y"')).when(k == 2, None).when(k == 3, F.lit('{"a":'))
+        .when(k == 4, F.repeat(F.lit("["), 200000)).otherwise(F.col("json")))
     wrapped = raw.select("event_id", text.wrap_record("json").alias("w"))
-    return wrapped.select("event_id", "w.flattened_data", F.length("w.original_json").cast("long").alias("original_length"),
+    return wrapped.select("event_id", "w.flattened_data", "w.processing_error", F.length("w.original_json").cast("long").alias("original_length"),
                           "w.raw_value")
 
 
@@ -174,7 +176,7 @@ def wrap_record(spark, sf_dir):
         WHEN unicode(g) > 127 OR unicode(g) < 32 THEN '\u' || lpad(lower(to_hex(unicode(g))), 4, '0') ELSE g END), '')), ''),
     '<', chr(92) || 'u003C'), '>', chr(92) || 'u003E'), '&', chr(92) || 'u0026')) AS escaped_md5 FROM documents""")
 def escape_text(spark, sf_dir):
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return docs.select("doc_id", F.md5(text.escape_text(F.col("text"))).alias("escaped_md5"))
 
 

@@ -11,7 +11,7 @@ from ..operators.scoring import parse_replies
 from ..schemas import strings
 from ..sources import delimited, files, json_logs, line_formats, results, windows_xml
 from ..workspace import new_path
-from .adapter import load_events
+from .adapter import load_events, shape_events
 from .catalog import query, stamp, stamp_sql
 from .event_queries import telemetry_record
 from .rule_findings import load_replies
@@ -19,7 +19,12 @@ from .rule_findings import load_replies
 DOCUMENT_EVENTS = 1000  # events per JSON document: one document is read by one task
 
 _FIELDS = ["event_id", "event_type", "process_name", "hostname", "username", "source", "destination", "action"]
-_FIELD_SQL = "SELECT " + ", ".join(_FIELDS) + " FROM ev"
+_FIELD_SQL = "SELECT " + ", ".join(_FIELDS) + ", '{\"k\":' || k || '}' AS unlisted FROM ev"
+
+
+def _unlisted(df: DataFrame) -> DataFrame:
+    """The known fields, and a nested key that the schema doesn't list."""
+    return df.select(*_FIELDS, F.try_element_at("extra", F.lit("more")).alias("unlisted"))
 
 
 def _write_documents(documents: DataFrame, label: str) -> str:
@@ -32,7 +37,7 @@ def _write_documents(documents: DataFrame, label: str) -> str:
 def _arrays(spark, sf_dir, record: Column | None = None) -> DataFrame:
     """``items``: JSON array text of DOCUMENT_EVENTS events each; a document is bounded by its id range."""
     events = load_events(spark, sf_dir)
-    item = record if record is not None else F.struct(*_FIELDS)
+    item = record if record is not None else F.struct(*_FIELDS, F.struct("k").alias("more"))
     group = F.floor(F.col("event_no") / F.lit(DOCUMENT_EVENTS))
     return events.groupBy(group.alias("doc")).agg(F.to_json(F.collect_list(item)).alias("items"))
 
@@ -40,29 +45,30 @@ def _arrays(spark, sf_dir, record: Column | None = None) -> DataFrame:
 @query("src_json_array", _FIELD_SQL, "ev")
 def src_json_array(spark, sf_dir):
     path = _write_documents(_arrays(spark, sf_dir).select("items"), "json-array")
-    return json_logs.read_json_array(spark, path).select(*_FIELDS)
+    return _unlisted(json_logs.read_json_array(spark, path))
 
 
 @query("src_json_events", _FIELD_SQL, "ev")
 def src_json_events(spark, sf_dir):
     wrapped = _arrays(spark, sf_dir).select(F.concat(F.lit('{"host": "a", "events": '), "items", F.lit("}")))
-    return json_logs.read_json_wrapped(spark, _write_documents(wrapped, "json-events"), "events").select(*_FIELDS)
+    return _unlisted(json_logs.read_json_wrapped(spark, _write_documents(wrapped, "json-events"), "events"))
 
 
 @query("src_json_data", _FIELD_SQL, "ev")
 def src_json_data(spark, sf_dir):
     wrapped = _arrays(spark, sf_dir).select(F.concat(F.lit('{"data": '), "items", F.lit("}")))
-    return json_logs.read_json_wrapped(spark, _write_documents(wrapped, "json-data"), "data").select(*_FIELDS)
+    return _unlisted(json_logs.read_json_wrapped(spark, _write_documents(wrapped, "json-data"), "data"))
 
 
-@query("src_json_object", f"""SELECT 'block-' || (event_no // {DOCUMENT_EVENTS}) AS event_id, CAST(count(*) AS VARCHAR) AS bytes
+@query("src_json_object", f"""SELECT 'block-' || (event_no // {DOCUMENT_EVENTS}) AS event_id, CAST(count(*) AS VARCHAR) AS bytes, 'v' AS other
   FROM ev GROUP BY event_no // {DOCUMENT_EVENTS}""", "ev")
 def src_json_object(spark, sf_dir):
     """One object per file, here the size of a block of events."""
     blocks = load_events(spark, sf_dir).groupBy(F.floor(F.col("event_no") / F.lit(DOCUMENT_EVENTS)).alias("b")).agg(
         F.count("*").alias("n"))
-    text = F.to_json(F.struct(F.concat(F.lit("block-"), "b").alias("event_id"), F.col("n").alias("bytes")))
-    return json_logs.read_json_object(spark, _write_documents(blocks.select(text), "json-object")).select("event_id", "bytes")
+    text = F.to_json(F.struct(F.concat(F.lit("block-"), "b").alias("event_id"), F.col("n").alias("bytes"), F.lit("v").alias("other")))
+    return json_logs.read_json_object(spark, _write_documents(blocks.select(text), "json-object")).select(
+        "event_id", "bytes", F.try_element_at("extra", F.lit("other")).alias("other"))
 
 
 @query("src_json_lines", """SELECT event_id, event_type, hostname, false AS rejected FROM ev WHERE k % 10 <> 3
@@ -76,7 +82,7 @@ def src_json_lines(spark, sf_dir):
         .when(k == 2, F.concat(F.lit("[\n"), body, F.lit("\n]\n"))).when(k == 3, F.concat(F.lit('{"event_id": "'), "event_id", F.lit('"')))
         .otherwise(body))
     path = new_path(spark, "json-lines")
-    load_events(spark, sf_dir, heavy=True).select(line).write.text(path)
+    load_events(spark, sf_dir).select(line).write.text(path)
     records, rejects = json_logs.read_json_lines(spark, path)
     good = json_logs.typed(records).select("event_id", "event_type", "hostname", F.lit(False).alias("rejected"))
     none = F.lit(None).cast("string")
@@ -109,20 +115,21 @@ def src_flow_csv(spark, sf_dir):
 
 @query("src_parquet", f"""SELECT event_id, {stamp_sql('"timestamp"')} AS timestamp_text, event_type, severity FROM ev""", "ev")
 def src_parquet(spark, sf_dir):
-    """The driver's own Parquet table, prepared column by column."""
-    return load_events(spark, sf_dir).select("event_id", stamp("timestamp").alias("timestamp_text"), "event_type", "severity")
+    """The driver's own Parquet table through the reader, prepared column by column."""
+    return shape_events(delimited.read_parquet(spark, f"{sf_dir}/events.parquet")).select(
+        "event_id", stamp("timestamp").alias("timestamp_text"), "event_type", "severity")
 
 
-@query("src_directory", """SELECT event_id, event_type FROM ev ORDER BY strftime("timestamp", '%Y-%m-%d %H:%M:%S.%f'), event_id LIMIT 1000""", "ev")
+@query("src_directory", "SELECT event_id, event_type, action AS other FROM ev", "ev")
 def src_directory(spark, sf_dir):
-    """All JSON files of a folder by time, capped at the configured number of events."""
-    item = F.struct("event_id", stamp("timestamp").alias("timestamp"), "event_type")
+    """All JSON files of a folder, with a key that the schema doesn't list."""
+    item = F.struct("event_id", stamp("timestamp").alias("timestamp"), "event_type", F.col("action").alias("other"))
     folder = new_path(spark, "directory")
     named = _arrays(spark, sf_dir, item).select(
         F.col("items").alias("value"), F.concat(F.lit("part-"), "doc", F.lit(".json")).alias("name"))
     _write_named(named, folder)
-    return delimited.read_directory(spark, folder, "json", strings("event_id", "timestamp", "event_type"), 1000).select(
-        "event_id", "event_type")
+    return delimited.read_directory(spark, folder, "json", strings("event_id", "timestamp", "event_type")).select(
+        "event_id", "event_type", F.try_element_at("extra", F.lit("other")).alias("other"))
 
 
 def _samples() -> list[tuple[str, Column]]:
@@ -154,13 +161,17 @@ _FORMATS = ["json-array", "json-events", "json-object", "csv", "syslog", "xml-ev
             "elastic-ecs", "leef", "cef", "unknown"]
 
 
-@query("detect_format",
-       "SELECT event_id, ([" + ", ".join(f"'{f}'" for f in _FORMATS) + "])[k % 12 + 1] AS format FROM ev", "ev")
+@query("detect_format", "SELECT (k % 12) || ' of ' || (event_no // 1000) AS name, any_value([" + ", ".join(f"'{f}'" for f in _FORMATS) +
+       "][k % 12 + 1]) AS format FROM ev GROUP BY 1", "ev")
 def detect_format(spark, sf_dir):
-    """Every event becomes the head of a file in one of twelve formats."""
+    """Files in twelve formats, one per format and thousand events, with spaces in their names."""
     samples = F.array(*[text for _, text in _samples()])
-    chosen = F.element_at(samples, F.col("k") % 12 + 1)
-    return load_events(spark, sf_dir).select("event_id", files.classify_sample(chosen).alias("format"))
+    case, block = F.col("k") % 12, F.floor(F.col("event_no") / F.lit(1000))
+    named = load_events(spark, sf_dir).select(
+        F.element_at(samples, case + 1).alias("value"), F.concat(case, F.lit(" of "), block).alias("name"))
+    folder = new_path(spark, "formats")
+    _write_named(named.groupBy("name").agg(F.min("value").alias("value")), folder)
+    return files.detect_formats(spark, folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "format")
 
 
 @query("src_telemetry", f"""SELECT CASE WHEN k % 4 = 2 THEN CAST(event_no AS VARCHAR) ELSE event_id END AS event_id, event_type, process_name,
@@ -187,7 +198,7 @@ def parse_syslog(spark, sf_dir):
     quoted = F.concat(F.lit('id="'), "event_id", F.lit('" User="'), "username", F.lit('" dst="a b" act="'), "action", F.lit('" x=1'))
     plain = F.concat(F.lit("done id="), "event_id", F.lit(" USER="), "username", F.lit(" dst="), "destination", F.lit(" act="), "action")
     spaced = F.concat(F.lit("id = "), "event_id", F.lit(" user = "), "username", F.lit(" dst = 0 dst = "), "destination")
-    lines = load_events(spark, sf_dir, heavy=True).select(
+    lines = load_events(spark, sf_dir).select(
         F.concat(F.lit("  "), head, F.when(k == 0, quoted).when(k == 1, plain).otherwise(spaced)).alias("value"))
     parsed = line_formats.parse_syslog(lines, F.lit(2024))
 
@@ -206,7 +217,7 @@ def parse_leef(spark, sf_dir):
     k = F.col("k") % 4
     head = F.concat(F.lit("LEEF:2.0|"), "hostname", F.lit("|agent|1|"), "event_id")
     attributes = F.concat(F.lit("|src="), "source", F.lit("\tUsr="), "username", F.lit("\tnote=a|b"))
-    lines = load_events(spark, sf_dir, heavy=True).select(
+    lines = load_events(spark, sf_dir).select(
         F.when(k == 0, head).when(k == 1, F.lit("LEEF:2.0|a|b|c")).otherwise(F.concat(head, attributes)).alias("value"))
     return line_formats.parse_leef(lines).select(
         "event_id", "vendor", F.try_element_at("fields", F.lit("src")).alias("src"),
@@ -219,26 +230,26 @@ def parse_cef(spark, sf_dir):
     k = F.col("k") % 4
     line = F.concat(F.lit("CEF:0|vendor|product|1|"), "event_id", F.lit("|"), "action", F.lit("|"), F.col("severity"),
                     F.lit("|src="), "source", F.lit(" DST="), "destination", F.lit(" msg=one two"))
-    lines = load_events(spark, sf_dir, heavy=True).select(F.when(k == 1, F.lit("CEF:0|vendor|product")).otherwise(line).alias("value"))
+    lines = load_events(spark, sf_dir).select(F.when(k == 1, F.lit("CEF:0|vendor|product")).otherwise(line).alias("value"))
     return line_formats.parse_cef(lines).select(
         "signature_id", "name", "severity", F.try_element_at("fields", F.lit("src")).alias("src"),
         F.try_element_at("fields", F.lit("dst")).alias("dst"))
 
 
 @query("src_xml_eventlog", """SELECT CAST(event_no AS VARCHAR) AS eventid, hostname AS computer, 'agent' AS provider_name, '7' AS eventid_qualifiers,
-  process_name AS image, username AS data_9, 'windows_event' AS event_type FROM ev""", "ev")
+  process_name AS image, username AS data_11, action AS odd, 'a&b' AS odd_kind, 'windows_event' AS event_type FROM ev""", "ev")
 def src_xml_eventlog(spark, sf_dir):
-    """Namespaced events; the second data element has no name."""
+    """Namespaced events; a child of System is not in the schema, the second data element has no name."""
     text = F.concat(
         F.lit('<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System><Provider Name="agent"/>'
               '<EventID Qualifiers="7">'), F.col("event_no"), F.lit("</EventID><Level>4</Level><TimeCreated SystemTime=\""),
         stamp("timestamp"), F.lit('"/><EventRecordID>1</EventRecordID><Computer>'), "hostname",
-        F.lit('</Computer></System><EventData><Data Name="Image">'), "process_name", F.lit("</Data><Data>"), "username",
+        F.lit('</Computer><Odd Kind="a&amp;b">'), "action", F.lit('</Odd></System><EventData><Data Name="Image">'), "process_name", F.lit("</Data><Data>"), "username",
         F.lit("</Data></EventData></Event>"))
     path = new_path(spark, "xml")
-    load_events(spark, sf_dir, heavy=True).select(text).write.text(path)
+    load_events(spark, sf_dir).select(text).write.text(path)
     parsed = windows_xml.read_windows_xml(spark, path)
-    names = ["eventid", "computer", "provider_name", "eventid_qualifiers", "image", "data_9"]
+    names = ["eventid", "computer", "provider_name", "eventid_qualifiers", "image", "data_11", "odd", "odd_kind"]
     return parsed.select(*[F.try_element_at("fields", F.lit(n)).alias(n) for n in names], "event_type")
 
 
@@ -260,6 +271,69 @@ def load_auto(spark, sf_dir):
     return loaded.select("format", F.try_element_at("fields", F.lit("src")).alias("src"), "hostname")
 
 
+_MIXED = ["json-array", "json-events", "json-events", "jsonl", "jsonl", "csv", "syslog", "leef", "cef", "xml-eventlog"]
+
+
+def _mixed_folder(spark, sf_dir) -> str:
+    """A folder of files in all formats, a tenth of the events in each; in every hundred one line or time is broken."""
+    events, path = load_events(spark, sf_dir), new_path(spark, "all-formats")
+    case, at = F.col("event_no") % 10, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss")
+    broken = F.col("event_no") % 100 < 10
+    block = F.floor(F.col("event_no") / F.lit(DOCUMENT_EVENTS))
+    flat = F.struct("event_id", at.alias("timestamp"), "event_type", "hostname", F.struct("k").alias("more"))
+    ecs = F.struct(at.alias("@timestamp"), F.struct(F.col("event_type").alias("type")).alias("event"), F.col("event_id").alias("id"),
+                   F.struct(F.col("hostname").alias("name")).alias("host"))
+    lists = events.filter(case <= 2).groupBy(case.alias("case"), block.alias("block")).agg(
+        F.to_json(F.collect_list(flat), {"pretty": "true"}).alias("items"))
+    root = F.when(F.col("block") % 2 == 0, F.lit("events")).otherwise(F.lit("telemetry_events"))
+    wrapped = F.when(F.col("case") == 0, F.col("items")).when(
+        F.col("case") == 1, F.concat(F.lit('{"'), root, F.lit('":\n'), "items", F.lit("}"))).otherwise(
+        F.concat(F.lit('{\n"data": '), "items", F.lit("}")))
+    named = lists.select(wrapped.alias("value"), F.concat(F.lit("block #"), "block", F.lit(" [a] {b} 100% "), "case", F.lit(".json")).alias("name"))
+    _write_named(named, path)
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    host, event, kind = F.col("hostname"), F.col("event_id"), F.col("event_type")
+    lines = {
+        3: F.to_json(ecs),
+        4: F.when(broken, text('{"event_id": "', event)).otherwise(F.to_json(flat)),
+        6: F.when(broken, text("-- mark --")).otherwise(text(
+            F.date_format("timestamp", "MMM dd HH:mm:ss"), " ", host, ' app[1]: id="', event, '" kind="', kind, '"')),
+        7: F.when(broken, text("LEEF:1.0|v")).otherwise(text("LEEF:1.0|v|p|1|", event, "|devTime=", at, "\tkind=", kind, "\thostname=", host)),
+        8: F.when(broken, text("CEF:0|v")).otherwise(text("CEF:0|v|p|1|", event, "|n|5|id=", event, " rt=", F.unix_millis("timestamp"), " hostname=", host)),
+        9: text("<Event xmlns=\"http://x\"><System><EventRecordID>", event, "</EventRecordID><TimeCreated SystemTime=\"", at, "\"/><Computer>", host,
+                "</Computer>", F.when(broken, F.lit("<open>")).otherwise(F.lit("")), "</System></Event>"),
+    }
+    for number, line in lines.items():
+        events.filter(case == number).select(line).write.mode("append").text(path)
+    rows = events.filter(case == 5).select("event_id", F.when(broken, F.lit("soon")).otherwise(at).alias("timestamp"), "event_type", "hostname", "username")
+    rows.write.mode("append").option("header", True).csv(path)
+    return path
+
+
+@query("load_events", "SELECT event_id AS id, ([" + ", ".join(f"'{f}'" for f in _MIXED) + """])[event_no % 10 + 1] AS format, hostname,
+  strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS second_text FROM ev WHERE event_no % 10 <= 3 OR event_no % 100 >= 10""", "ev")
+def load_all_formats(spark, sf_dir):
+    """Normalised events of a folder that mixes all formats."""
+    events = files.load_events(spark, _mixed_folder(spark, sf_dir), year=2024).records
+    field = lambda name: F.try_element_at("fields", F.lit(name))
+    return events.select(
+        F.coalesce(field("id"), field("eventrecordid"), "event_id").alias("id"),
+        F.replace("format", F.lit("custom-telemetry"), F.lit("json-events")).alias("format"),
+        F.coalesce(F.get_json_object("hostname", "$.name"), "hostname", field("computer"), F.get_json_object(
+            F.try_element_at("extra", F.lit("host")), "$.name")).alias("hostname"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("second_text"))
+
+
+_REASONS = {4: "not a JSON line", 5: "unreadable time", 6: "not a syslog line", 7: "not a LEEF line", 8: "not a CEF line", 9: "not well-formed XML"}
+
+
+@query("load_rejects", "SELECT CASE event_no % 10 " + " ".join(f"WHEN {n} THEN '{r}'" for n, r in _REASONS.items()) +
+       " END AS reason, count(*) AS n FROM ev WHERE event_no % 100 BETWEEN 4 AND 9 GROUP BY 1", "ev")
+def load_rejects(spark, sf_dir):
+    """What could not be read of the same folder, by reason."""
+    rejects = files.load_events(spark, _mixed_folder(spark, sf_dir), year=2024).rejects
+    return rejects.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def _processes(spark, sf_dir) -> DataFrame:
     """Process records with their events; one record holds one block of event numbers."""
     event = F.struct("event_type", stamp("timestamp").alias("timestamp"), F.col("action").alias("detail"))
@@ -291,13 +365,14 @@ def _chunk_results(spark, sf_dir) -> DataFrame:
     return parsed.select("chunk_idx", "findings.*")
 
 
-@query("sink_chunk_results", "SELECT chunk_idx, count(*) AS threats FROM raw_threats GROUP BY 1", "raw_threats")
+@query("sink_chunk_results", """SELECT chunk_idx, coalesce(n, 0) AS threats FROM (SELECT DISTINCT chunk_idx FROM ce)
+  LEFT JOIN (SELECT chunk_idx, count(*) AS n FROM raw_threats GROUP BY 1) USING (chunk_idx)""", "raw_threats", "ce")
 def sink_chunk_results(spark, sf_dir):
     path = new_path(spark, "chunk-results")
     results.write_chunk_results(_chunk_results(spark, sf_dir), path)
     stored = spark.read.schema(_chunk_results(spark, sf_dir).schema).json(path)
-    return stored.filter(F.size("identified_threats") > 0).select(
-        "chunk_idx", F.size("identified_threats").cast("long").alias("threats"))
+    count = F.greatest(F.coalesce(F.size("identified_threats"), F.lit(0)), F.lit(0))
+    return stored.select("chunk_idx", count.cast("long").alias("threats"))
 
 
 @query("load_results", """SELECT chunk_idx AS source_chunk, threat_type, severity, count(*) AS n FROM raw_threats GROUP BY ALL""", "raw_threats")

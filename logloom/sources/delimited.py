@@ -19,18 +19,32 @@ def read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
 def read_csv_by_header(spark: SparkSession, path) -> DataFrame:
     """Headered CSV files as text columns by name, whatever columns and order each file has.
 
-    Files with the same header are read together; only file names and headers reach the driver.
+    Files whose whole header record is equal are read together. File names and headers reach the driver,
+    which holds every name in Spark's own file index as well.
     """
-    from .files import head_sample, list_files
+    frames = [std_columns(spark.read.option("header", True).csv(paths)) for paths in _by_header(spark, path)]
+    return union_sources(*frames)
+
+
+def _by_header(spark: SparkSession, path) -> list[list[str]]:
+    from .files import exact, head_record, list_files
 
-    heads = head_sample(list_files(spark, path).select("path")).select(
-        "path", F.btrim(F.split_part("sample", F.lit("\n"), F.lit(1)), F.lit("\r ")).alias("header"))
     by_header: dict[str, list[str]] = {}
-    for row in heads.toLocalIterator():
-        by_header.setdefault(row["header"], []).append(row["path"])
+    for row in head_record(list_files(spark, path).select("path")).toLocalIterator():
+        by_header.setdefault(row["header"], []).append(exact(row["path"]))
     if not by_header:
         raise ValueError(f"no csv files found in {path}")
-    frames = [std_columns(spark.read.option("header", True).csv(paths)) for _, paths in sorted(by_header.items())]
+    return [paths for _, paths in sorted(by_header.items())]
+
+
+def read_csv_placed(spark: SparkSession, path) -> DataFrame:
+    """As ``read_csv_by_header``, each row with its ``file`` and ``place``."""
+    frames = []
+    for paths in _by_header(spark, path):
+        raw = spark.read.option("header", True).csv(paths)
+        placed = raw.select(*[F.col("`" + c.replace("`", "``") + "`") for c in raw.columns], F.col("_metadata.file_path").alias("_file"),
+                            F.monotonically_increasing_id().alias("_place"))
+        frames.append(std_columns(placed).withColumnsRenamed({"_file": "file", "_place": "place"}))
     return union_sources(*frames)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..functions.severity import default_severity
+from ..functions.text import strip
 from ..schemas import RAW_EVENT
 from . import delimited, json_logs, line_formats, windows_xml
 
@@ -23,18 +26,32 @@ def list_files(spark: SparkSession, path) -> DataFrame:
         .select("path", "length", F.col("modificationTime").alias("modification_time")))
 
 
-def _heads(listing: DataFrame, size: int, render: Callable[[bytes], str], name: str) -> DataFrame:
-    """First ``size`` bytes of every file, read in the tasks; nothing beyond them is fetched."""
+def _open(path: str):
+    """A listed path as an input file, whatever characters its name has."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + (rest or path).lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(quote(re.sub("^s3a:", "s3:", path), safe=":/"))
+    return system.open_input_file(inner)
+
+
+def exact(path: str) -> str:
+    """A listed path in a form that readers don't take for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _heads(listing: DataFrame, render: Callable, name: str) -> DataFrame:
+    """``render`` of every file, opened in the tasks; nothing is fetched but what it reads."""
     schema = T.StructType([*listing.schema.fields, T.StructField(name, T.StringType())])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        def head(uri: str) -> str:
-            uri = re.sub("^s3a:", "s3:", re.sub("^file:/+", "file:///", uri))
-            system, inner = fs.FileSystem.from_uri(uri)
-            with system.open_input_file(inner) as handle:
-                return render(handle.read(size))
+        def head(path: str) -> str:
+            with _open(path) as handle:
+                return render(handle)
 
         for batch in batches:
             yield batch.assign(**{name: [head(u) for u in batch["path"]]})
@@ -42,14 +59,33 @@ def _heads(listing: DataFrame, size: int, render: Callable[[bytes], str], name:
     return listing.mapInPandas(read, schema)
 
 
+def head_record(listing: DataFrame) -> DataFrame:
+    """``header``: the first CSV record of each file, whole, with line breaks inside quotes."""
+
+    def first(handle) -> str:
+        text = b""
+        while True:
+            more = handle.read(1 << 16)
+            text += more
+            quotes = 0
+            for i, byte in enumerate(text):
+                quotes += byte == 34
+                if byte == 10 and quotes % 2 == 0:
+                    return text[:i].decode("utf-8", "ignore").strip("\r ")
+            if not more:
+                return text.decode("utf-8", "ignore").strip("\r ")
+
+    return _heads(listing, first, "header")
+
+
 def head_sample(listing: DataFrame, chars: int = C.DETECT_SAMPLE_CHARS) -> DataFrame:
     """``sample``: the first characters of each file (a character is at most four bytes)."""
-    return _heads(listing, 4 * chars, lambda b: b.decode("utf-8", "ignore")[:chars], "sample")
+    return _heads(listing, lambda f: f.read(4 * chars).decode("utf-8", "ignore")[:chars], "sample")
 
 
 def head_hash(listing: DataFrame) -> DataFrame:
     """``head_md5`` of the first megabyte."""
-    return _heads(listing, 1 << 20, lambda b: hashlib.md5(b, usedforsecurity=False).hexdigest(), "head_md5")
+    return _heads(listing, lambda f: hashlib.md5(f.read(1 << 20), usedforsecurity=False).hexdigest(), "head_md5")
 
 
 def classify_sample(sample: Column) -> Column:
@@ -73,8 +109,9 @@ def classify_sample(sample: Column) -> Column:
     known = F.filter(headers, lambda h: h.rlike("|".join(C.CSV_HEADER_WORDS)))
     csv = has("\n") & (F.size(headers) >= 4) & (F.size(known) >= 2)
     return (
-        F.when(in_object & ecs, "elastic-ecs")
-        .when(in_object & (F.size(objects) >= 2), "jsonl")
+        F.when(in_object & (F.size(objects) >= 2) & ~ecs, "jsonl")
+        .when(in_object & ecs & (F.size(objects) >= 2), "jsonl")
+        .when(in_object & ecs, "elastic-ecs")
         .when(in_object & telemetry, "custom-telemetry")
         .when(in_array, "json-array")
         .when(in_object & has('"events"', F.substring(sample, 1, 1000)), "json-events")
@@ -96,58 +133,141 @@ def detect_formats(spark: SparkSession, path) -> DataFrame:
     return sampled.select("path", classify_sample(F.col("sample")).alias("format"))
 
 
-def _lines(parse: Callable[[DataFrame], DataFrame]) -> Callable:
-    return lambda spark, paths: parse(spark.read.text(paths))
+class Loaded(NamedTuple):
+    """Rows of a reader with ``file`` and ``place``, and what it could not read: file, line, reason."""
 
+    records: DataFrame
+    rejects: DataFrame
 
-def _telemetry(spark: SparkSession, paths) -> DataFrame:
-    from ..operators.normalize import normalize_telemetry
 
-    return normalize_telemetry(json_logs.read_telemetry(spark, paths)).drop("record")
+def _rejects(rows: DataFrame, reason: str) -> DataFrame:
+    return rows.select("file", "line", F.lit(reason).alias("reason"))
+
+
+def _lines(parse: Callable[..., DataFrame], knows: Callable[[Column], Column], reason: str) -> Callable:
+    """Reader of a line format; lines that it doesn't know are rejects, blank ones aside."""
+
+    def read(spark: SparkSession, paths, year: int | None) -> Loaded:
+        text = spark.read.text(paths).select(
+            "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+        dated = {"year": F.lit(year)} if year is not None and parse is line_formats.parse_syslog else {}
+        rest = text.where(~knows(F.col("value")) & (strip(F.col("value")) != ""))
+        return Loaded(parse(text, keep=("file", "place"), **dated), _rejects(rest.select("file", F.col("value").alias("line")), reason))
+
+    return read
 
 
-def _json_lines(spark: SparkSession, paths) -> DataFrame:
+def _records(records: DataFrame) -> DataFrame:
     from ..operators.normalize import normalize_telemetry
 
-    return normalize_telemetry(json_logs.read_json_lines(spark, paths)[0].select("record")).drop("record")
+    known = [*C.EVENT_ID_FALLBACKS, *(name for names in C.FIELD_SYNONYMS.values() for name in names)]
+    shaped = normalize_telemetry(records.select("record", "file", "place"))
+    known_names = F.array(*[F.lit(n) for n in known])
+    return shaped.withColumn("extra", F.map_filter(F.from_json(F.to_json("record"), "map<string,string>"),
+                                                   lambda k, _: ~F.array_contains(known_names, k))).drop("record")
 
 
-# Reader per format; add an entry to plug in another one.
-READERS: dict[str, Callable[[SparkSession, list[str]], DataFrame]] = {
-    "json-array": json_logs.read_json_array,
-    "json-events": lambda spark, paths: json_logs.read_json_wrapped(spark, paths, "events"),
-    "json-object": json_logs.read_json_object,
-    "csv": delimited.read_csv_by_header,
-    "syslog": _lines(line_formats.parse_syslog),
-    "leef": _lines(line_formats.parse_leef),
-    "cef": _lines(line_formats.parse_cef),
-    "xml-eventlog": windows_xml.read_windows_xml,
-    "custom-telemetry": _telemetry,
+def _documents(spark: SparkSession, paths, year: int | None) -> Loaded:
+    records, broken = json_logs.read_json_documents(spark, paths)
+    return Loaded(_records(records), _rejects(broken, "not a JSON document"))
+
+
+def _json_lines(spark: SparkSession, paths, year: int | None) -> Loaded:
+    records, broken = json_logs.read_json_lines(spark, paths)
+    return Loaded(_records(records), _rejects(broken, "not a JSON line"))
+
+
+def _csv(spark: SparkSession, paths, year: int | None) -> Loaded:
+    rows = delimited.read_csv_placed(spark, paths)
+    return Loaded(rows, rows.select("file", F.lit(None).cast("string").alias("line"), F.lit("").alias("reason")).limit(0))
+
+
+def _xml(spark: SparkSession, paths, year: int | None) -> Loaded:
+    events, broken = windows_xml.read_xml_events(spark, paths)
+    return Loaded(events, _rejects(broken, "not well-formed XML"))
+
+
+# Reader per format, (spark, paths, year) to ``Loaded``; add an entry to plug in another one.
+READERS: dict[str, Callable[[SparkSession, list[str], int | None], Loaded]] = {
+    "json-array": _documents,
+    "json-events": _documents,
+    "json-object": _documents,
+    "custom-telemetry": _documents,
+    "elastic-ecs": _documents,
     "jsonl": _json_lines,
-    "elastic-ecs": _json_lines,
+    "csv": _csv,
+    "syslog": _lines(line_formats.parse_syslog, line_formats.is_syslog, "not a syslog line"),
+    "leef": _lines(line_formats.parse_leef, line_formats.is_leef, "not a LEEF line"),
+    "cef": _lines(line_formats.parse_cef, line_formats.is_cef, "not a CEF line"),
+    "xml-eventlog": _xml,
 }
 
 
-def load_auto(spark: SparkSession, path, readers=None) -> DataFrame:
+def load_with_rejects(spark: SparkSession, path, readers=None, year: int | None = None, strict: bool = True) -> Loaded:
     """Detect the format of every file, read each with its reader, union by column name.
 
-    Only file names reach the driver, which lists them anyway. All columns are text unless a
-    reader typed them alike. A file of unknown format is an error.
+    There is one read per format. Keys without a column of their own are in ``fields`` or ``extra``, rows
+    that can't be read in ``rejects``. ``year`` completes syslog times. File names reach the driver, whose
+    file index holds them anyway. A file of unknown format is an error, or a reject if not ``strict``.
     """
     readers = readers or READERS
     by_format: dict[str, list[str]] = {}
     for row in detect_formats(spark, path).toLocalIterator():
         by_format.setdefault(row["format"], []).append(row["path"])
     unknown = [p for name, paths in by_format.items() if name not in readers for p in paths]
-    if unknown:
+    if unknown and strict:
         raise ValueError(f"unsupported log format in {unknown[:5]}")
     if not by_format:
         raise ValueError(f"no files found in {path}")
-    result = None
-    for name in sorted(by_format):
-        frame = readers[name](spark, by_format[name]).withColumn("format", F.lit(name))
-        result = frame if result is None else result.unionByName(frame, allowMissingColumns=True)
-    return result
+    records, rejects = None, spark.createDataFrame([(p, None, "unknown format") for p in unknown], "file string, line string, reason string")
+    for name in sorted(set(by_format) & set(readers)):
+        own = readers[name](spark, [exact(p) for p in by_format[name]], year)
+        frame = own.records.withColumn("format", F.lit(name))
+        frame = frame.withColumns({c: F.col(c).cast("string") for c in ("timestamp", "severity") if c in frame.columns})
+        records = frame if records is None else records.unionByName(frame, allowMissingColumns=True)
+        rejects = rejects.unionByName(own.rejects)
+    if records is None:
+        raise ValueError(f"no file of a known format in {path}")
+    return Loaded(records, rejects)
+
+
+def load_auto(spark: SparkSession, path, readers=None, year: int | None = None) -> DataFrame:
+    """The records of ``load_with_rejects``."""
+    return load_with_rejects(spark, path, readers, year).records
+
+
+# Where line and XML formats carry an event's time, kind and severity, in order.
+_FIELD_TIMES = ("timestamp", "time", "rt", "start", "end", "devtime", "timecreated_systemtime")
+_FIELD_SEVERITIES = ("sev", "level")
+
+
+def load_events(spark: SparkSession, path, year: int | None = None, strict: bool = True) -> Loaded:
+    """Normalised events of a folder of any formats, and all rejects, those with unreadable times included.
+
+    Events get ``event_id`` from their record or their place in the whole input: by time, then file and
+    place in the file. Rows that carry no time keep a null timestamp and come last, in source order.
+    """
+    from ..operators.normalize import assign_event_id, std_columns
+    from ..functions.times import coerce_timestamp
+
+    records, rejects = load_with_rejects(spark, path, year=year, strict=strict)
+    frame = std_columns(records)
+    text = lambda name: F.col(name) if name in frame.columns else F.lit(None).cast("string")
+    field = lambda name: F.try_element_at("fields", F.lit(name)) if "fields" in frame.columns else F.lit(None).cast("string")
+    said = F.nullif(F.coalesce(text("timestamp"), text("time"), *map(field, _FIELD_TIMES)), F.lit(""))
+    severity = F.coalesce(text("severity"), *map(field, _FIELD_SEVERITIES)).try_cast("int")
+    if "severity_level" in frame.columns:
+        severity = F.coalesce(severity, F.col("severity_level"))
+    kind = F.coalesce(text("event_type"), text("type"))
+    frame = frame.withColumns({"_said": said, "timestamp": coerce_timestamp(said), "severity": severity, "event_type": kind})
+    bad = F.col("_said").isNotNull() & F.col("timestamp").isNull()
+    untimed = frame.where(bad).select("file", F.col("_said").alias("line"), F.lit("unreadable time").alias("reason"))
+    good = frame.where(~bad).withColumn("_late", F.col("timestamp").isNull())
+    given = F.nullif(text("event_id"), F.lit(""))
+    numbered = assign_event_id(good.withColumn("_given", given).drop("event_id"), ["file", "place"], first=["_late", "timestamp"])
+    events = numbered.withColumn("event_id", F.coalesce("_given", "event_id")).drop("_given", "_said", "_late")
+    filled = F.coalesce("severity", default_severity(F.col("event_type")))
+    return Loaded(events.withColumn("severity", filled), rejects.unionByName(untimed))
 
 
 def pending_inputs(listing: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -162,4 +282,4 @@ def pending_inputs(listing: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 __all__ = ["RAW_EVENT", "READERS", "classify_sample", "delimited", "detect_formats", "head_hash", "head_sample",
-           "list_files", "load_auto", "pending_inputs"]
+           "list_files", "load_auto", "load_events", "load_with_rejects", "pending_inputs"]

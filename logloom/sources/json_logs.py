@@ -12,24 +12,61 @@ from ..functions.text import strict_json, strip
 from ..schemas import PROCESS, RAW_EVENT
 
 
-def _document(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+#: Keys under which a document may hold its list of events, in the order they are tried.
+WRAPPERS = ("events", "data", "telemetry", "telemetry_events")
+
+
+def _documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One VARIANT per document, null for text that is not JSON, and the file it comes from."""
+    raw = spark.read.option("multiLine", True).option("singleVariantColumn", "document").json(path)
+    return raw.select("document", F.col("_metadata.file_path").alias("file"))
+
+
+def known_fields(records: DataFrame, schema: T.StructType = RAW_EVENT, record: str = "record") -> DataFrame:
+    """VARIANT records as columns of ``schema``, and every other key in the map ``extra``.
+
+    Nested values are in ``extra`` as JSON text. Further columns of ``records`` stay.
+    """
+    text = F.to_json(record)
+    known = F.array(*[F.lit(n) for n in schema.names])
+    rest = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, _: ~F.array_contains(known, k))
+    others = [c for c in records.columns if c not in (record, *schema.names, "extra")]
+    return records.withColumn("_row", F.from_json(text, schema)).withColumn("_extra", rest).select(
+        *others, "_row.*", F.col("_extra").alias("extra"))
 
 
 def read_json_array(spark: SparkSession, path, schema: T.StructType = RAW_EVENT) -> DataFrame:
-    """Root array: one row per element."""
-    return _document(spark, path, schema)
+    """Root array: one row per element, keys outside ``schema`` in ``extra``."""
+    items = F.try_variant_get("document", "$", "array<variant>")
+    return known_fields(_documents(spark, path).select(F.explode(items).alias("record")), schema)
 
 
 def read_json_wrapped(spark: SparkSession, path, field: str, schema: T.StructType = RAW_EVENT) -> DataFrame:
     """Root object whose ``field`` ("events" or "data") holds the array."""
-    wrapper = T.StructType([T.StructField(field, T.ArrayType(schema))])
-    return _document(spark, path, wrapper).select(F.inline(field))
+    items = F.try_variant_get("document", f"$.{field}", "array<variant>")
+    return known_fields(_documents(spark, path).select(F.explode(items).alias("record")), schema)
 
 
 def read_json_object(spark: SparkSession, path, schema: T.StructType = RAW_EVENT) -> DataFrame:
     """Any other root object: one row."""
-    return _document(spark, path, schema)
+    return known_fields(_documents(spark, path).where(F.col("document").isNotNull()).select(F.col("document").alias("record")), schema)
+
+
+def read_json_documents(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of documents of any form: a list under one of ``WRAPPERS``, a list, or one event.
+
+    Records are VARIANT with their file and place in it; rejects are the files that hold no JSON document.
+    """
+    read = _documents(spark, path)
+    return (
+        read.where(F.col("document").isNotNull()).select(F.posexplode(_items(F.col("document"))).alias("place", "record"), "file"),
+        read.where(F.col("document").isNull()).select("file", F.lit(None).cast("string").alias("line")),
+    )
+
+
+def _items(document: Column) -> Column:
+    lists = [F.try_variant_get(document, f"$.{w}", "array<variant>") for w in WRAPPERS]
+    return F.coalesce(*lists, F.try_variant_get(document, "$", "array<variant>"), F.array(document))
 
 
 def read_telemetry(spark: SparkSession, path) -> DataFrame:
@@ -39,11 +76,7 @@ def read_telemetry(spark: SparkSession, path) -> DataFrame:
     or one event. A document is one VARIANT, so its size is limited by that type; big logs
     should be JSON Lines.
     """
-    document = F.col("document")
-    lists = [F.try_variant_get(document, f"$.{w}", "array<variant>") for w in ("telemetry", "telemetry_events", "events")]
-    items = F.coalesce(*lists, F.try_variant_get(document, "$", "array<variant>"), F.array(document))
-    documents = spark.read.option("multiLine", True).option("singleVariantColumn", "document").json(path)
-    return documents.select(F.explode(items).alias("record"))
+    return read_json_documents(spark, path)[0].select("record")
 
 
 def tolerant_lines(text: DataFrame) -> DataFrame:
@@ -58,18 +91,18 @@ def tolerant_lines(text: DataFrame) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects): parsed lines, and the lines that were not JSON with their file."""
+    """(records, rejects): parsed lines with file and place, and the lines that were not JSON with their file."""
     text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     lines = tolerant_lines(text)
     return (
-        lines.filter(F.col("record").isNotNull()).select("line", "record", "file"),
+        lines.filter(F.col("record").isNotNull()).select("line", "record", "file", F.monotonically_increasing_id().alias("place")),
         lines.filter(F.col("record").isNull()).select("line", "file"),
     )
 
 
-def typed(records: DataFrame, schema: T.StructType = RAW_EVENT, column: str = "line") -> DataFrame:
-    """Known fields of JSON text rows as columns."""
-    return records.withColumn("_row", F.from_json(column, schema)).select("_row.*")
+def typed(records: DataFrame, schema: T.StructType = RAW_EVENT) -> DataFrame:
+    """Known fields of parsed lines as columns, the others in ``extra``."""
+    return known_fields(records.select("record"), schema)
 
 
 def explode_process_events(processes: DataFrame) -> DataFrame:

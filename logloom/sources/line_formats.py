@@ -27,13 +27,17 @@ def _pairs(text: Column, pattern: str, quoted: bool = False) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), cut)
 
 
-def _overlay(df: DataFrame, base: dict[str, Column]) -> DataFrame:
+def _overlay(df: DataFrame, base: dict[str, Column], keep: tuple[str, ...]) -> DataFrame:
     """Base fields as columns, each replaced by a pair of the same name; all pairs in ``fields``."""
     named = {name: F.coalesce(F.try_element_at("fields", F.lit(name)), value) for name, value in base.items()}
-    return df.select(*[value.alias(name) for name, value in named.items()], "fields")
+    return df.select(*keep, *[value.alias(name) for name, value in named.items()], "fields")
 
 
-def parse_syslog(lines: DataFrame, year: Column | None = None) -> DataFrame:
+def is_syslog(value: Column) -> Column:
+    return strip(value).rlike(C.SYSLOG_LINE)
+
+
+def parse_syslog(lines: DataFrame, year: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``Mon dd hh:mm:ss host program: message``; quoted pairs if there are any, else plain ones."""
     mark = "\x01"
     line = strip(F.col("value"))
@@ -45,28 +49,38 @@ def parse_syslog(lines: DataFrame, year: Column | None = None) -> DataFrame:
     df = df.withColumn("pairs", pairs).withColumn("fields", last_value_map(F.col("pairs")))
     names = ["timestamp", "hostname", "program", "message"]
     base = {name: F.get("parts", i) for i, name in enumerate(names)}
-    parsed = _overlay(df, {**base, "event_type": F.lit("syslog")})
+    parsed = _overlay(df, {**base, "event_type": F.lit("syslog")}, keep)
     if year is not None:
         parsed = parsed.withColumn("timestamp", syslog_timestamp(F.col("timestamp"), year))
     return parsed
 
 
-def _headed(lines: DataFrame, tag: str, parts: int, needed: int, names: list[str], event_type: str) -> DataFrame:
-    line = strip(F.col("value"))
-    body = F.substring(line, len(tag) + 1, 1 << 30)
-    df = lines.filter(line.startswith(tag)).withColumn("parts", F.split(body, r"\|", parts)).filter(
-        F.size("parts") >= needed)
+def _parts(value: Column, tag: str, parts: int) -> Column:
+    return F.split(F.substring(strip(value), len(tag) + 1, 1 << 30), r"\|", parts)
+
+
+def is_leef(value: Column) -> Column:
+    return strip(value).startswith("LEEF:") & (F.size(_parts(value, "LEEF:", 6)) >= 5)
+
+
+def is_cef(value: Column) -> Column:
+    return strip(value).startswith("CEF:") & (F.size(_parts(value, "CEF:", 8)) >= 7)
+
+
+def _headed(lines: DataFrame, tag: str, parts: int, needed: int, names: list[str], event_type: str, keep: tuple[str, ...]) -> DataFrame:
+    value = F.col("value")
+    df = lines.filter(strip(value).startswith(tag)).withColumn("parts", _parts(value, tag, parts)).filter(F.size("parts") >= needed)
     rest = F.coalesce(F.get("parts", parts - 1), F.lit(""))
     df = df.withColumn("pairs", _pairs(rest, C.ATTRIBUTE_PAIR)).withColumn("fields", last_value_map(F.col("pairs")))
     base = {name: F.get("parts", i) for i, name in enumerate(names)}
-    return _overlay(df, {**base, "event_type": F.lit(event_type)})
+    return _overlay(df, {**base, "event_type": F.lit(event_type)}, keep)
 
 
-def parse_leef(lines: DataFrame) -> DataFrame:
-    return _headed(lines, "LEEF:", 6, 5, ["leef_version", "vendor", "product", "version", "event_id"], "leef")
+def parse_leef(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return _headed(lines, "LEEF:", 6, 5, ["leef_version", "vendor", "product", "version", "event_id"], "leef", keep)
 
 
-def parse_cef(lines: DataFrame) -> DataFrame:
+def parse_cef(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return _headed(
         lines, "CEF:", 8, 7,
-        ["cef_version", "vendor", "product", "version", "signature_id", "name", "severity"], "cef")
+        ["cef_version", "vendor", "product", "version", "signature_id", "name", "severity"], "cef", keep)

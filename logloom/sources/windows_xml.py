@@ -30,15 +30,48 @@ def _system_entries(schema: T.StructType) -> Column:
     return F.filter(F.array(*entries), lambda e: e.isNotNull())
 
 
-def event_fields(df: DataFrame) -> DataFrame:
-    """``event_type`` and the ``fields`` map of parsed Event rows."""
-    df = df.withColumn("_system", _system_entries(df.schema))
+_CHILD = r"<(?:[\w.-]+:)?([\w.-]+)(\s[^<>]*?)?(?:/>|>([^<]*)</[^>]*>)"
+
+
+def _plain(text: Column) -> Column:
+    """Text with the five named entities resolved."""
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
+
+
+def _other_entries(xml: Column, schema: T.StructType) -> Column:
+    """Children of System that the schema doesn't list: their text, and attributes under ``child_attribute``."""
+    listed = F.array(*[F.lit(name.lower()) for name in schema["System"].dataType.names])
+    children = F.regexp_extract_all(F.regexp_extract(xml, r"(?s)<(?:\w+:)?System(?:\s[^>]*)?>(.*?)</(?:\w+:)?System>", 1), F.lit(_CHILD), F.lit(0))
+    name = lambda child: F.lower(F.regexp_extract(child, _CHILD, 1))
+    unlisted = F.filter(children, lambda child: ~F.array_contains(listed, name(child)))
+
+    def entries(child: Column) -> Column:
+        said = F.regexp_extract(child, _CHILD, 3)
+        attributes = F.regexp_extract_all(F.regexp_extract(child, _CHILD, 2), F.lit(r"[\w.:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')"), F.lit(0))
+        own = F.transform(attributes, lambda a: _entry(
+            F.concat(name(child), F.lit("_"), F.lower(F.btrim(F.split_part(a, F.lit("="), F.lit(1))))),
+            _plain(F.regexp_extract(a, r"(?s)=\s*[\"'](.*)[\"']$", 1))))
+        return F.concat(F.when(said != "", F.array(_entry(name(child), _plain(said)))).otherwise(F.slice(own, 1, 0)), own)
+
+    return F.flatten(F.transform(unlisted, entries))
+
+
+def event_fields(df: DataFrame, xml: str | None = None) -> DataFrame:
+    """``event_type`` and the ``fields`` map of parsed Event rows; with ``xml``, the column that holds the
+    text, also what the schema doesn't list."""
+    system = _system_entries(df.schema)
+    if xml is not None:
+        system = F.concat(system, _other_entries(F.col(xml), df.schema))
+    df = df.withColumn("_system", system)
     offset = F.size("_system") + 1
     data = F.transform(
         F.coalesce("EventData.Data", F.array()),
         lambda d, i: _entry(F.lower(F.coalesce(d["_Name"], F.concat(F.lit("data_"), offset + i))), d["_VALUE"]))
     df = df.withColumn("_entries", F.concat("_system", data))
-    return df.select(F.lit("windows_event").alias("event_type"), last_value_map(F.col("_entries")).alias("fields"))
+    kept = [c for c in df.columns if c in ("file", "place")]
+    return df.select(*kept, F.lit("windows_event").alias("event_type"), last_value_map(F.col("_entries")).alias("fields"))
 
 
 def split_events(spark: SparkSession, path) -> DataFrame:
@@ -48,13 +81,20 @@ def split_events(spark: SparkSession, path) -> DataFrame:
     matter whether the file has a root element, a declaration or line breaks inside events.
     """
     pieces = spark.read.option("lineSep", "</Event>").text(path)
-    return pieces.select(F.regexp_extract("value", r"(?s)(<Event(?:\s|>).*)", 1).alias("xml")).filter(
-        F.col("xml") != "").select(F.concat("xml", F.lit("</Event>")).alias("xml"))
+    return pieces.select(
+        F.regexp_extract("value", r"(?s)(<Event(?:\s|>).*)", 1).alias("xml"), F.col("_metadata.file_path").alias("file"),
+        F.monotonically_increasing_id().alias("place")).filter(F.col("xml") != "").withColumn("xml", F.concat("xml", F.lit("</Event>")))
 
 
 def read_windows_xml(spark: SparkSession, path, schema: T.StructType = WINDOWS_EVENT) -> DataFrame:
     """Parsed events; elements that are not well-formed are left out."""
+    return read_xml_events(spark, path, schema)[0].drop("file", "place")
+
+
+def read_xml_events(spark: SparkSession, path, schema: T.StructType = WINDOWS_EVENT) -> tuple[DataFrame, DataFrame]:
+    """(events with file and place, elements that are not well-formed with their file)."""
     checked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = split_events(spark, path).select(F.from_xml("xml", checked, {"ignoreNamespace": "true"}).alias("e"))
-    return event_fields(parsed.filter(F.col("e._corrupt_record").isNull()).select(
-        *[F.col(f"e.{name}").alias(name) for name in schema.names]))
+    parsed = split_events(spark, path).withColumn("e", F.from_xml("xml", checked, {"ignoreNamespace": "true"}))
+    broken = F.col("e._corrupt_record").isNotNull()
+    good = parsed.filter(~broken).select("file", "place", "xml", *[F.col(f"e.{name}").alias(name) for name in schema.names])
+    return event_fields(good, "xml"), parsed.filter(broken).select("file", F.col("xml").alias("line"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions import severity, text, times
-from logloom.operators import filters, normalize, ordering, skew, stats
+from logloom.operators import filters, normalize, ordering, stats
 
 EVENTS = [
     ("evt-1", "2025-04-01 12:00:00", "process", "powershell.exe", "powershell.exe -encode ZQ=="),
@@ -90,15 +90,6 @@ def test_exact_quantile(spark):
         assert df.limit(1).select(ordering.exact_quantile(df, "v", q)).first()[0] == sorted(values)[place]
 
 
-def test_split_groups_bounds_hot_keys(spark):
-    rows = [("hot", f"i{i}") for i in range(5000)] + [(f"k{i % 50}", f"i{i}") for i in range(500)]
-    df = spark.createDataFrame(rows, "key string, item string")
-    lists = skew.bounded_lists(df, ["key"], "item", "items", max_items=100).collect()
-    assert max(len(r["items"]) for r in lists) < 300
-    assert sorted(i for r in lists if r.key == "hot" for i in r["items"]) == sorted({f"i{i}" for i in range(5000)})
-    assert all(r.part == 0 for r in lists if r.key != "hot") and len([r for r in lists if r.key != "hot"]) == 50
-
-
 def test_severity_scales(spark):
     df = spark.createDataFrame([("High", "warning", "7"), ("Odd", "EMERGENCY", "Medium"), (None, None, None)], "a string, b string, c string")
     rows = df.select(severity.severity_rank(F.col("a")), severity.text_severity(F.col("b")), severity.severity_num(F.col("c"))).collect()
@@ -161,3 +152,34 @@ def test_telemetry_scalars_only(spark):
     first, second = normalize.normalize_telemetry(df).collect()
     assert (first.process_name, first.process_id, first.hostname, first.event_type, first.severity_level) == ("p.exe", "4", None, "start", 1)
     assert (second.event_id, second.process_name, second.severity_level) == ("7", "plain", 9)
+
+
+def test_wrap_record_never_fails(spark):
+    texts = [None, "", "{broken", "[" * 100000, '{"a": [1, {"b": null}]}', "null", '"x"']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.wrap_record("t").alias("w")).orderBy("i").collect()
+    assert tuple(rows[0].w) == (None,) * 4
+    assert [r.w.processing_error for r in rows[1:4]] == ["not valid JSON", "not valid JSON", "nested too deep"]
+    assert rows[4].w.processing_error is None and rows[4].w.flattened_data.startswith("a")
+
+
+def test_std_columns_merge(spark):
+    df = normalize.std_columns(spark.createDataFrame([(None, 1), (2, 3)], "`Event Id` int, event_id int"))
+    assert df.columns == ["event_id"] and [r.event_id for r in df.collect()] == [1, 2]
+
+
+def test_event_ids_with_maps_and_without_time(spark):
+    df = spark.createDataFrame([({"a": "2"},), ({"a": "1"},)], "fields map<string,string>")
+    assert {r.fields["a"]: r.event_id for r in normalize.assign_event_id(df).collect()} == {"1": "evt-0", "2": "evt-1"}
+
+
+@pytest.mark.parametrize("said", ["2025-03-01T10:20:30+0000", "2025-03-01 10:20:30 +0000", "01/Mar/2025:10:20:30 +0000", "Mar 1 2025 10:20:30",
+                                  "1740824430", "1740824430000", "1740824430000000", "2025-03-01T10:20:30Z"])
+def test_more_time_layouts(spark, said):
+    row = spark.createDataFrame([(said,)], "t string").select(F.date_format(times.coerce_timestamp(F.col("t")), "yyyy-MM-dd HH:mm:ss")).first()
+    assert row[0] == "2025-03-01 10:20:30"
+
+
+def test_quantile_of_one_value(spark):
+    df = spark.createDataFrame([(5.0,)] * 90 + [(float(i),) for i in range(10, 20)], "v double")
+    for q, want in ((0.5, 5.0), (0.9, 5.0), (0.95, 14.0), (1.0, 19.0)):
+        assert df.limit(1).select(ordering.exact_quantile(df, "v", q)).first()[0] == want

@@ -169,3 +169,51 @@ def test_pending_inputs(spark, tmp_path):
     (tmp_path / "c").write_text("new")
     now = files.head_hash(files.list_files(spark, str(tmp_path)))
     assert sorted(r.path[-1] for r in files.pending_inputs(now, manifest).collect()) == ["b", "c"]
+
+
+def test_unlisted_fields_survive(spark, tmp_path):
+    rows = [{"event_id": "1", "custom_field": {"a": [1]}, "md5": "x"}]
+    (tmp_path / "a.json").write_text(json.dumps(rows, indent=2))
+    (tmp_path / "b.json").write_text(json.dumps({"data": rows}))
+    for df in (json_logs.read_json_array(spark, str(tmp_path / "a.json")), json_logs.read_json_wrapped(spark, str(tmp_path / "b.json"), "data")):
+        assert df.first().extra == {"custom_field": '{"a":[1]}', "md5": "x"}
+    xml = '<Event><System><EventID>1</EventID><Odd A="1&lt;2">v &amp; w</Odd><Empty/></System></Event>'
+    (tmp_path / "c.xml").write_text(xml)
+    fields = windows_xml.read_windows_xml(spark, str(tmp_path / "c.xml")).first().fields
+    assert fields == {"eventid": "1", "odd": "v & w", "odd_a": "1<2"}
+
+
+def test_awkward_file_names(spark, tmp_path):
+    for i, name in enumerate(("my log.log", "100%.log", "a#b.log", "x[1]{2}*.log", "q?.log")):
+        (tmp_path / name).write_text(f"CEF:0|v|p|1|{i}|n|5|src={i}\n")
+    assert files.head_hash(files.list_files(spark, str(tmp_path))).count() == 5
+    loaded = files.load_auto(spark, str(tmp_path))
+    assert sorted(r.fields["src"] for r in loaded.collect()) == ["0", "1", "2", "3", "4"]
+    for i, name in enumerate(("c [1].csv", "c%20.csv")):
+        (tmp_path / name).write_text(f"timestamp,event_type,hostname,user\n2025-01-01,t,h{i},u\n")
+    assert sorted(r.hostname for r in delimited.read_csv_by_header(spark, str(tmp_path / "c*")).collect()) == ["h0", "h1"]
+
+
+def test_long_headers_are_told_apart(spark, tmp_path):
+    """Headers that agree in their first 20,000 characters, and one with a line break inside quotes."""
+    wide = ",".join(f"column_{i:05d}" for i in range(1500))
+    (tmp_path / "a.csv").write_text(f"{wide},first\n{',' * 1500}1\n")
+    (tmp_path / "b.csv").write_text(f"{wide},second\n{',' * 1500}2\n")
+    (tmp_path / "c.csv").write_text('third,"odd\nname"\n3,x\n')
+    heads = {r.path[-5:]: r.header for r in files.head_record(files.list_files(spark, str(tmp_path))).collect()}
+    assert heads["a.csv"].endswith("first") and heads["b.csv"].endswith("second") and heads["c.csv"] == 'third,"odd\nname"'
+    rows = delimited.read_csv_by_header(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).select("first", "second").collect()
+    assert sorted((r.first or "", r.second or "") for r in rows) == [("", "2"), ("1", "")]
+
+
+def test_documents_and_rejects_in_dispatch(spark, tmp_path):
+    (tmp_path / "data.json").write_text(json.dumps({"data": [{"event_id": "1", "timestamp": "2025-01-01T00:00:00Z"}, {"event_id": "2", "timestamp": "2025-01-02T00:00:00Z"}]}))
+    (tmp_path / "ecs.json").write_text(json.dumps({"@timestamp": "2025-01-03T00:00:00Z", "event": {"type": "t"}, "id": "3", "odd": 1}, indent=2))
+    (tmp_path / "log.log").write_text("Jan  5 01:02:03 host app: id=4\nnoise\n\n")
+    (tmp_path / "lines.jsonl").write_text('{"event_id": "5", "timestamp": "never"}\n{"event_id": "6"}\n{cut\n')
+    (tmp_path / "x.txt").write_text("plain words")
+    events, rejects = files.load_events(spark, str(tmp_path), year=2025, strict=False)
+    rows = {r.event_id: r for r in events.collect()}
+    assert set(rows) == {"1", "2", "3", "evt-3", "6"} and str(rows["evt-3"].timestamp) == "2025-01-05 01:02:03"
+    assert rows["3"].extra["odd"] == "1" and rows["6"].timestamp is None
+    assert sorted(r.reason for r in rejects.collect()) == ["not a JSON line", "not a syslog line", "unknown format", "unreadable time"]
