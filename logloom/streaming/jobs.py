@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,9 @@ LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partiti
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_starting = threading.Lock()
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", rocksdb: bool = False) -> None:
     """Process everything available, exactly once, then stop.
 
@@ -25,20 +29,21 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     """
     spark = stream.sparkSession
     wanted = {LOCAL_MERGE: "true", **({PROVIDER: ROCKSDB} if rocksdb else {})}
-    before = {key: spark.conf.get(key, None) for key in wanted}
-    for key, value in wanted.items():
-        spark.conf.set(key, value)
-    try:
-        query = (
-            stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start(path))
-        query.awaitTermination()
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
+    with _starting:  # a started query has settings of its own, so runs side by side don't meet
+        before = {key: spark.conf.get(key, None) for key in wanted}
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        try:
+            query = (
+                stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start(path))
+        finally:
+            for key, value in before.items():
+                if value is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, value)
+    query.awaitTermination()
 
 
 def ingest(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "json", glob: str | None = None,
@@ -97,38 +102,64 @@ SEQUENCE_OUT = T.StructType([
 
 
 class SequenceTracker(StatefulProcessor):
-    """Open runs of ordered stages on one host, dropped when the time limit has passed."""
+    """Open runs of ordered stages on one host, advanced in event time.
+
+    Rows wait until the watermark has passed them, so late and shuffled arrivals within the delay give what
+    the batch detector gives. A timer wakes the host for its next waiting row, and once more when its oldest
+    run can't be completed any longer, so an idle host leaves no state behind.
+    """
 
     def __init__(self, stages: int, limit_seconds: int):
         self.stages = stages
         self.limit = limit_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # waiting: per next stage, runs as (start, event ids)
-        self.runs = handle.getListState("runs", "next_stage int, started bigint, ids string")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "micros bigint, event_id string, stage int")
+        self.runs = handle.getListState("runs", "next_stage int, started bigint, ids array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(rows).sort_values(["micros", "event_id"])
-        runs = [(int(n), int(s), i) for n, s, i in self.runs.get()] if self.runs.exists() else []
+        soonest = None
+        for batch in rows:
+            if len(batch):
+                self.waiting.appendList([(int(m), str(e), int(s)) for m, e, s in zip(batch["micros"], batch["event_id"], batch["stage"])])
+                first = int(batch["micros"].min())
+                soonest = first if soonest is None else min(soonest, first)
+        if soonest is not None:
+            self.handle.registerTimer(soonest // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((int(m), e, int(s)) for m, e, s in waiting if m < passed)
+        rest = [w for w in waiting if w[0] >= passed]
+        runs = [(int(n), int(s), list(i)) for n, s, i in self.runs.get()] if self.runs.exists() else []
         done = []
-        for micros, event, stage in zip(events["micros"], events["event_id"], events["stage"]):
+        for micros, event, stage in due:
             kept = []
             for wanted, started, ids in runs:
                 if micros - started > self.limit:
                     continue
                 if stage == wanted:
-                    wanted, ids = wanted + 1, f"{ids},{event}"
+                    wanted, ids = wanted + 1, [*ids, event]
                     if wanted == self.stages:
-                        done.append((key[0], started, int(micros), ids.split(",")))
+                        done.append((key[0], started, micros, ids))
                         continue
                 kept.append((wanted, started, ids))
             if stage == 0:
-                kept.append((1, int(micros), event))
+                kept.append((1, micros, [event]))
             runs = kept
-        if runs:
-            self.runs.put(runs)
-        else:
-            self.runs.clear()
+        runs = [r for r in runs if r[1] + self.limit >= passed]
+        for state, rows in ((self.waiting, rest), (self.runs, runs)):
+            if rows:
+                state.put([tuple(r) for r in rows])
+            else:
+                state.clear()
+        wake = [min(w[0] for w in rest)] if rest else []
+        wake += [min(r[1] for r in runs) + self.limit] if runs else []
+        if wake:
+            self.handle.registerTimer(max(min(wake), passed) // 1000 + 1)
         if done:
             out = pd.DataFrame(done, columns=["hostname", "started", "finished", "related_events"])
             for column in ("started", "finished"):
@@ -140,15 +171,15 @@ class SequenceTracker(StatefulProcessor):
 
 
 def sequences(events: DataFrame, stages: list[tuple[str, Column]], limit_seconds: int, delay: str) -> DataFrame:
-    """Ordered stages per host with state; finished runs are emitted as they complete."""
+    """Ordered stages per host with state; a run is emitted once the watermark has passed its last event."""
     stage_of = F.coalesce(*[F.when(test, F.lit(i)) for i, (_, test) in enumerate(stages)])
     staged = (
-        events.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
+        events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
         .select("hostname", "event_id", "timestamp", F.unix_micros("timestamp").alias("micros"), stage_of.alias("stage"))
-        .filter(F.col("stage").isNotNull()))
+        .filter(F.col("stage").isNotNull()).withWatermark("timestamp", delay))
     return staged.groupBy("hostname").transformWithStateInPandas(
         statefulProcessor=SequenceTracker(len(stages), limit_seconds), outputStructType=SEQUENCE_OUT,
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
 
 
 __all__ = ["run_to_files", "ingest", "event_frequency", "deduplicate", "scanning", "failed_bursts", "sequences"]
