@@ -14,71 +14,70 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import severity_rank
 from ..workspace import stage
+from .components import connected_components
 from .ordering import with_ordinal
 
 
-# A block is a range of 4096 chunks (see ``findings.POSITION_BITS``); bigger blocks than this many
-# rows are left to the plain rule.
-BLOCK_SHIFT = 24 + 12
-BLOCK_ROWS = 2_000_000
+#: Rows of a group of threats that one task decides in order. Bigger groups shrink by further rounds first.
+GROUP_ROWS = 1_000_000
 
 
-def _openers_in_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Openers that follow from one block alone: threats in order, those that depend on an
-    undecided threat of an earlier block, directly or through others, stay undecided."""
+def _decide(rows: pd.DataFrame) -> pd.DataFrame:
+    """Openers of one group, threats in order."""
     claimed: set = set()
-    waiting: set = set()
     opened = []
     for idx, group in rows.sort_values("idx").groupby("idx", sort=False):
         events = set(group["event_id"])
-        if events & claimed:
-            continue
-        if group["foreign"].any() or events & waiting:
-            waiting |= events
-        else:
+        if not events & claimed:
             opened.append(idx)
             claimed |= events
     return pd.DataFrame({"idx": pd.Series(opened, dtype="int64")})
 
 
-def _block_openers(undecided: DataFrame, first: DataFrame) -> DataFrame:
-    """Openers by whole blocks, so a long run of overlapping threats needs one round per block."""
-    block = F.shiftright("idx", BLOCK_SHIFT)
-    sized = undecided.groupBy(block.alias("block")).agg(F.count("*").alias("rows")).filter(F.col("rows") <= BLOCK_ROWS)
-    known = first.select("event_id", F.shiftright("idx", BLOCK_SHIFT).alias("first_block"))
-    marked = undecided.join(known, "event_id").select(
-        "idx", "event_id", block.alias("block"), (F.col("first_block") < block).alias("foreign"))
-    return marked.join(sized, "block", "left_semi").groupBy("block").applyInPandas(_openers_in_block, "idx long")
+def _group_openers(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(openers, rows of groups too big for one task). Threats of different components never meet,
+    so each component is decided by itself, all components in parallel."""
+    roots = connected_components(_sharing(undecided))
+    grouped = stage(undecided.join(roots.select(F.col("node").alias("idx"), "root"), "idx", "left").select(
+        "idx", "event_id", F.coalesce("root", "idx").alias("root")), "chain-groups")
+    big = grouped.groupBy("root").agg(F.count("*").alias("rows")).filter(F.col("rows") > GROUP_ROWS).select("root")
+    small = grouped.join(big, "root", "left_anti").groupBy("root").applyInPandas(_decide, "idx long")
+    return stage(small, "chain-heads"), stage(grouped.join(big, "root", "left_semi").select("idx", "event_id"), "chain-edges")
 
 
 def _openers(edges: DataFrame) -> DataFrame:
     """Chain openers among the threats that have events.
 
-    Each round: a threat that is the first undecided one on all its events opens a chain,
-    and every other threat on those events is settled as a member. Only undecided rows go
-    into the next round, each round is written out. The first round settles nearly all
-    rows; later ones also solve blocks of neighbouring threats, of bounded size, in one go.
+    A round: a threat that is the first undecided one on all its events opens a chain, and every other
+    threat on those events is settled as a member. The first round settles nearly all rows. What remains
+    falls into components that share no event; each is decided in one task, so a long run of overlapping
+    threats needs no round per link. Only components above ``GROUP_ROWS`` go through another round, after
+    which they have fallen apart further. Rounds are written out; the result is the same either way.
     """
     undecided = stage(edges, "chain-edges")
     found = []
     while not undecided.isEmpty():
-        first = undecided.groupBy("event_id").agg(F.min("idx").alias("idx"))
-        leads = first.groupBy("idx").agg(F.count("*").alias("leading"))
-        degree = undecided.groupBy("idx").agg(F.count("*").alias("degree"))
-        opened = leads.join(degree, "idx").filter(F.col("leading") == F.col("degree")).select("idx")
-        if found:
-            opened = opened.union(_block_openers(undecided, first)).distinct()
-        opened = stage(opened, "chain-heads")
+        opened, undecided = _round(undecided)
         found.append(opened)
-        claimed = undecided.join(opened, "idx", "left_semi").select("event_id").distinct()
-        settled = undecided.join(claimed, "event_id", "left_semi").select("idx").distinct()
-        undecided = stage(undecided.join(settled, "idx", "left_anti"), "chain-edges")
+        if not undecided.isEmpty():
+            opened, undecided = _group_openers(undecided)
+            found.append(opened)
     heads = edges.select("idx").limit(0)
     for part in found:
         heads = heads.union(part)
     return heads
 
 
+def _round(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    first = undecided.groupBy("event_id").agg(F.min("idx").alias("idx"))
+    leads = first.groupBy("idx").agg(F.count("*").alias("leading"))
+    degree = undecided.groupBy("idx").agg(F.count("*").alias("degree"))
+    opened = stage(leads.join(degree, "idx").filter(F.col("leading") == F.col("degree")).select("idx"), "chain-heads")
+    claimed = undecided.join(opened, "idx", "left_semi").select("event_id").distinct()
+    settled = undecided.join(claimed, "event_id", "left_semi").select("idx").distinct()
+    return opened, stage(undecided.join(settled, "idx", "left_anti"), "chain-edges")
+
+
 def assign_chains(threats: DataFrame, links: DataFrame) -> DataFrame:
     """(idx, head): the chain of every threat, named by the ``idx`` of its opener."""
     edges = links.select("idx", "event_id").distinct()
@@ -92,28 +91,18 @@ def assign_chains(threats: DataFrame, links: DataFrame) -> DataFrame:
 def connected_chains(threats: DataFrame, links: DataFrame) -> DataFrame:
     """(idx, head) by transitive sharing: the smallest ``idx`` of the connected component.
 
-    Minimum labels travel over events, then jump to the label of the label, so long paths
-    shorten by more than one step per round.
+    Threats of an event hang on the event's first threat, so an event named by very many threats is a
+    star and not a clique; the components come from star contraction.
     """
-    edges = stage(links.select("idx", "event_id").distinct(), "component-edges")
-    labels = stage(threats.select("idx", F.col("idx").alias("head")), "component-labels")
-    while True:
-        lowest = (
-            edges.join(labels, "idx").groupBy("event_id").agg(F.min("head").alias("low"))
-        )
-        hooked = edges.join(lowest, "event_id").groupBy("idx").agg(F.min("low").alias("low"))
-        offered = labels.join(hooked, "idx", "left").select(
-            "idx", "head", F.least("head", F.coalesce("low", "head")).alias("low"))
-        # The old label also learns the new one, so whole trees move together.
-        lowered = offered.groupBy("head").agg(F.min("low").alias("root"))
-        roots = lowered.select(F.col("head").alias("low"), F.col("root").alias("beyond"))
-        renewed = offered.join(lowered, "head").join(roots, "low", "left").select(
-            "idx", "head", F.least("low", "root", F.coalesce("beyond", "low")).alias("next"))
-        renewed = stage(renewed, "component-labels")
-        changed = not renewed.filter(F.col("next") < F.col("head")).isEmpty()
-        labels = renewed.select("idx", F.col("next").alias("head"))
-        if not changed:
-            return labels
+    roots = connected_components(_sharing(stage(links.select("idx", "event_id").distinct(), "component-edges")))
+    known = roots.select(F.col("node").alias("idx"), F.col("root").alias("head"))
+    return threats.select("idx").join(known, "idx", "left").select("idx", F.coalesce("head", "idx").alias("head"))
+
+
+def _sharing(edges: DataFrame) -> DataFrame:
+    """Edges ``a``, ``b`` between each threat and the first threat on each of its events."""
+    lowest = stage(edges.groupBy("event_id").agg(F.min("idx").alias("a")), "event-first")
+    return edges.join(lowest, "event_id").where(F.col("idx") != F.col("a")).select("a", F.col("idx").alias("b"))
 
 
 def number_chains(assignment: DataFrame) -> DataFrame:

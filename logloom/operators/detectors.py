@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import stage
 from .ordering import exact_quantile
 
 PRIVATE_ADDRESS = r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
@@ -114,8 +115,8 @@ def exfiltration(events: DataFrame, width: str = "1 hour", q: float = 0.99) -> D
     outbound = events.filter(~is_private(F.col("destination"))).withColumn(
         "slot", F.window("timestamp", width)["start"]).withColumn(
         "threat_id", _id("EXFIL", F.col("source"), _slot(F.col("slot"))))
-    volume = outbound.groupBy("threat_id", "source", "slot").agg(
-        F.sum(F.col("bytes").cast("decimal(18,2)")).cast("double").alias("total_bytes"), F.count("*").alias("event_count"))
+    volume = stage(outbound.groupBy("threat_id", "source", "slot").agg(
+        F.sum(F.col("bytes").cast("decimal(18,2)")).cast("double").alias("total_bytes"), F.count("*").alias("event_count")), "volume")
     large = volume.filter(F.col("total_bytes") > exact_quantile(volume, "total_bytes", q))
     links = outbound.select("threat_id", "event_id").join(large.select("threat_id"), "threat_id", "left_semi")
     return Detection(_headers(large, "Data Exfiltration", F.lit("High"), "Low"), links)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..workspace import stage
-from .skew import bounded_lists
 
 WIDE_SET = 10  # chunks with more distinct types than this take the candidate-join way
 
@@ -58,8 +57,8 @@ def context_window_metrics(spans: DataFrame, chains: DataFrame, chunk_count: Col
 
 
 def threat_types_by_chunk(threats: DataFrame) -> DataFrame:
-    kind = threats.select("source_chunk", F.coalesce("threat_type", F.lit("Unknown")).alias("threat_type"))
-    return bounded_lists(kind, ["source_chunk"], "threat_type", "types")
+    """One row per chunk and type; the types of a chunk are free text, so they aren't gathered into a list."""
+    return threats.select("source_chunk", F.coalesce("threat_type", F.lit("Unknown")).alias("threat_type")).distinct()
 
 
 def chunk_pairs(threats: DataFrame) -> DataFrame:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-POSITION_BITS = 24  # findings of one chunk are far fewer than 2^24
+POSITION_BITS = 24
 
 
 def finding_index(df: DataFrame) -> DataFrame:
-    """``idx`` orders findings by chunk and place in the chunk, without counting them globally."""
+    """``idx`` orders findings by chunk and place in the chunk, without counting them globally.
+
+    A chunk with 2^24 findings or more would run into the next one, so the job fails there.
+    """
     packed = F.col("chunk_idx") * F.lit(1 << POSITION_BITS) + F.col("pos")
-    return df.withColumn("idx", packed.cast("long"))
+    too_many = F.raise_error(F.lit("a chunk has too many findings to number")).cast("long")
+    return df.withColumn("idx", F.when(F.col("pos") < F.lit(1 << POSITION_BITS), packed.cast("long")).otherwise(too_many))
 
 
 def fill_blank_ids(df: DataFrame, id_column: str) -> DataFrame:

@@ -36,11 +36,21 @@ def with_ordinal(df: DataFrame, order_by: list[str], name: str = "ord") -> DataF
 
 
 def exact_quantile(df: DataFrame, column: str, q: float) -> Column:
-    """Smallest value with at least ``q`` of the rows at or below it, as a scalar subquery."""
-    ordered = with_ordinal(df.select(column), [column])
-    total = ordered.select(F.count("*").alias("n")).scalar()
-    rank = F.greatest(F.ceil(F.lit(q) * total), F.lit(1)) - 1
-    return ordered.filter(F.col("ord") == rank).select(F.max(column)).scalar()
+    """Smallest value with at least ``q`` of the rows at or below it, as a scalar subquery.
+
+    Equal values are counted first, so a value that most rows have is one row of the sort.
+    """
+    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    placed = stage(counted.repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "quantile")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_part").agg(F.sum("_n").alias("_rows"))
+    offsets = sums.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part").orderBy(column)
+    # Bounded: one row per partition of the sort.
+    running = placed.join(F.broadcast(offsets), "_part").withColumn("_upto", F.col("_offset") + F.sum("_n").over(inside))
+    total = placed.select(F.sum("_n")).scalar()
+    rank = F.greatest(F.ceil(F.lit(q) * total), F.lit(1))
+    return running.filter(F.col("_upto") >= rank).select(F.min(column)).scalar()
 
 
 def overlapping_chunks(ordered: DataFrame, size: int, overlap: int) -> DataFrame:

@@ -14,6 +14,7 @@ from .. import constants as C
 from ..functions.text import strict_json
 from ..functions.times import timestamp_text
 from ..schemas import FINDINGS, SUMMARY
+from ..workspace import stage
 from .ordering import with_ordinal
 
 _UNKNOWN = "unknown"
@@ -217,11 +218,18 @@ def summary_lines(chains: DataFrame, members: DataFrame, limitations: DataFrame)
 
 
 def summary_prompt(risk: DataFrame, pattern_count: Column, head: DataFrame, lines: DataFrame) -> DataFrame:
-    """Prompts for the closing summary: one row per ``LINES_PER_PROMPT`` lines, usually one.
+    """Prompts for the parts of the closing summary: one row per ``LINES_PER_PROMPT`` lines.
 
     ``head`` is the ten-row start of the timeline; it and the risk row are small by definition,
     everything of open length is cut into parts by position instead of being gathered.
     """
+    intro = summary_intro(risk, pattern_count, head)
+    ordered = with_ordinal(lines, ["section", "rank", "chain_no", "item", "text"])
+    return _part_prompts(ordered, intro, "Chains and limitations")
+
+
+def summary_intro(risk: DataFrame, pattern_count: Column, head: DataFrame) -> Column:
+    """What every prompt of the summary begins with, as a scalar: counts, risk and first events."""
     entry = F.struct("timestamp", F.concat(
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.lit(" - "), "event_type", F.lit(" - "), "description").alias("t"))
     opening = head.agg(
@@ -233,15 +241,41 @@ def summary_prompt(risk: DataFrame, pattern_count: Column, head: DataFrame, line
     intro = risk.select(F.concat(
         F.lit("Write the closing summary of a log analysis.\nThreats: "), "threat_count", F.lit(", patterns: "),
         pattern_count, F.lit(".\nRisk: "), "overall_risk_level", F.lit(". "), "reasoning")).scalar()
-    ordered = with_ordinal(lines, ["section", "rank", "chain_no", "item", "text"])
+    return F.concat(intro, F.lit("\n\nTimeline:\n"), timeline)
+
+
+_ASK = ("\n\nReply with one JSON object with the keys conclusion, confidence, attack_summary, key_indicators, "
+        "false_positives, reasoning and limitations.")
+
+
+def _part_prompts(ordered: DataFrame, intro: Column, title: str) -> DataFrame:
     parts = ordered.withColumn("part", F.floor(F.col("ord") / F.lit(LINES_PER_PROMPT)))
     body = parts.groupBy("part").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda e: e["text"]), "\n").alias("body"))
-    ask = ("\n\nReply with one JSON object with the keys conclusion, confidence, attack_summary, key_indicators, "
-           "false_positives, reasoning and limitations.")
     return body.select(
-        F.col("part").alias("chunk_idx"),
-        F.concat(intro, F.lit("\n\nTimeline:\n"), timeline, F.lit("\n\nChains and limitations:\n"), "body", F.lit(ask)).alias("prompt"))
+        F.col("part").alias("chunk_idx"), F.concat(intro, F.lit(f"\n\n{title}:\n"), "body", F.lit(_ASK)).alias("prompt"))
+
+
+def fold_summaries(scored: DataFrame, intro: Column, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One scored closing summary from the scored parts, however many they are.
+
+    The conclusions of the parts are the lines of the next prompts, and so on until one prompt holds
+    all that is left; that happens also for one part or none. ``score`` answers prompts; each level is
+    written before the next reads it, and a level has ``LINES_PER_PROMPT`` times fewer rows.
+    """
+    while True:
+        parsed = parse_replies(scored, SUMMARY, "summary")
+        said = F.coalesce("summary.conclusion", F.concat(F.lit("no summary: "), F.coalesce("parsing_error", F.lit("empty"))))
+        lines = parsed.select(F.col("chunk_idx").alias("ord"), F.concat(F.lit("- Part "), F.col("chunk_idx") + 1, F.lit(": "), said).alias("text"))
+        prompts = _part_prompts(lines, intro, "Summaries of the parts")
+        last = lines.agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0] < LINES_PER_PROMPT
+        if last:
+            nothing = lines.isEmpty()
+            if nothing:
+                prompts = scored.sparkSession.range(1).select(
+                    F.lit(0).cast("long").alias("chunk_idx"), F.concat(intro, F.lit(_ASK)).alias("prompt"))
+            return stage(score(prompts), "summary")
+        scored = stage(score(prompts), "summary-level")
 
 
 def final_summary(scored: DataFrame, finding_count: Column) -> DataFrame:

@@ -24,7 +24,7 @@ def detect_and_rank(events: DataFrame, scan_window: str, scan_minimum: int, burs
     rows = timeline.timeline(events, links, nothing)
     return rows.select(
         "event_id", "timestamp", "event_type", "description", "hostname", "severity",
-        F.array_join("related_threats", ",").alias("related_threats"), risk.alias("overall_risk_level"))
+        "threat_count", risk.alias("overall_risk_level"))
 
 
 def analyze(
@@ -70,6 +70,7 @@ def analyze(
         "chain_patterns": chain_patterns,
         "proposed_chains": findings.collect_chains(scoring.proposed_chains(parsed)),
         "timeline": timeline.timeline(events, threat_links, pattern_links),
+        "timeline_links": timeline.timeline_links(threat_links, pattern_links),
         "risk": reports.risk_assessment(threats, chunk_count),
         "recommendations": findings.distinct_texts(texts, "recommendations"),
         "limitations": findings.distinct_texts(texts, "limitations"),

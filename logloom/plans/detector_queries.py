@@ -77,12 +77,12 @@ def det_rare(spark, sf_dir):
     return _counted(found, "share").withColumn("share", F.round("share", 6))
 
 
-@query("det_ioc", """, i AS (SELECT '203.0.113.' || (70 + n_nationkey) AS indicator, n_name AS ioc_type FROM nation WHERE n_regionkey = 3)
+@query("det_ioc", """, i AS (SELECT '203.0.113.' || (70 + n_nationkey) AS indicator, n_name AS ioc_type FROM nation)
   SELECT 'IOC-' || indicator AS threat_id, 'High' AS severity, ioc_type, count(*) AS event_count, count(*) AS linked
   FROM ev JOIN i ON destination = indicator GROUP BY indicator, ioc_type""", "ev")
 def det_ioc(spark, sf_dir):
-    """The nations of one region stand for a list of known-bad addresses."""
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").filter(F.col("n_regionkey") == 3)
+    """The nations stand for a list of known-bad addresses."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
     indicators = nations.select(
         F.concat(F.lit("203.0.113."), F.lit(70) + F.col("n_nationkey")).alias("indicator"), F.col("n_name").alias("ioc_type"))
     return _counted(detectors.ioc_matches(load_events(spark, sf_dir), indicators, ["source", "destination"]), "ioc_type")

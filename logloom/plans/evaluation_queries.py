@@ -53,11 +53,9 @@ def context_window_metrics(spark, sf_dir):
     return _context(spark, sf_dir).withColumns({c: F.round(c, 6) for c in rounded})
 
 
-@query("threat_types_by_chunk", """SELECT chunk_idx AS source_chunk, string_agg(DISTINCT threat_type, ',' ORDER BY threat_type) AS types
-  FROM threats GROUP BY 1""", "threats")
+@query("threat_types_by_chunk", "SELECT DISTINCT chunk_idx AS source_chunk, threat_type FROM threats", "threats")
 def threat_types_by_chunk(spark, sf_dir):
-    return evaluation.threat_types_by_chunk(load_findings(spark, sf_dir).threats).select(
-        "source_chunk", F.array_join("types", ",").alias("types"))
+    return evaluation.threat_types_by_chunk(load_findings(spark, sf_dir).threats)
 
 
 CTES["type_sets"] = (["threats"], "type_sets AS (SELECT chunk_idx AS c, list(DISTINCT threat_type) AS t FROM threats GROUP BY 1)")

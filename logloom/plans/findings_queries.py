@@ -13,13 +13,11 @@ from .rule_findings import load_chains, load_findings, load_replies
 TS = stamp_sql('"timestamp"')
 
 CTES["tl"] = (["ev", "links", "pattern_links"], """tl AS (
-  SELECT ev.*, trim(process_name || ' ' || coalesce(command_line, '')) AS description, coalesce(t.ids, '') AS related_threats,
-    coalesce(p.ids, '') AS related_patterns
-  FROM ev LEFT JOIN (SELECT event_id, string_agg(DISTINCT threat_id, ',' ORDER BY threat_id) AS ids FROM links GROUP BY 1) t
-    USING (event_id)
-  LEFT JOIN (SELECT event_id, string_agg(DISTINCT pattern_id, ',' ORDER BY pattern_id) AS ids FROM pattern_links GROUP BY 1) p
-    USING (event_id)
-  WHERE t.ids IS NOT NULL OR p.ids IS NOT NULL)""")
+  SELECT ev.*, trim(process_name || ' ' || coalesce(command_line, '')) AS description, coalesce(t.n, 0) AS threat_count,
+    coalesce(p.n, 0) AS pattern_count
+  FROM ev LEFT JOIN (SELECT event_id, count(DISTINCT threat_id) AS n FROM links GROUP BY 1) t USING (event_id)
+  LEFT JOIN (SELECT event_id, count(DISTINCT pattern_id) AS n FROM pattern_links GROUP BY 1) p USING (event_id)
+  WHERE t.n > 0 OR p.n > 0)""")
 
 CTES["seq"] = (["threats"], """seq AS (
   SELECT threat_id, row_number() OVER (ORDER BY chunk_idx, pos) AS no FROM threats)""")
@@ -91,27 +89,31 @@ def collect_proposed_chains(spark, sf_dir):
 
 # --- timeline --------------------------------------------------------------------------
 
-_TL = "event_id, {ts} AS timestamp_text, event_type, description, hostname, username, severity, related_threats, related_patterns"
+_TL = "event_id, {ts} AS timestamp_text, event_type, description, hostname, username, severity, threat_count, pattern_count"
 
 
 @query("timeline", f"SELECT {_TL.format(ts=TS)} FROM tl", "tl")
 def timeline_query(spark, sf_dir):
     return _timeline(spark, sf_dir).select(
         "event_id", stamp("timestamp").alias("timestamp_text"), "event_type", "description", "hostname", "username",
-        "severity", F.array_join("related_threats", ",").alias("related_threats"),
-        F.array_join("related_patterns", ",").alias("related_patterns"))
+        "severity", "threat_count", "pattern_count")
 
 
-@query("threat_event_index", """SELECT event_id, string_agg(DISTINCT threat_id, ',' ORDER BY threat_id) AS threats,
-  count(DISTINCT threat_id) AS n FROM links GROUP BY event_id""", "links")
+@query("timeline_links", """SELECT DISTINCT event_id, 'threat' AS kind, threat_id AS finding_id FROM links
+  UNION ALL SELECT DISTINCT event_id, 'pattern', pattern_id FROM pattern_links""", "links", "pattern_links")
+def timeline_links(spark, sf_dir):
+    f = load_findings(spark, sf_dir)
+    return timeline.timeline_links(f.links, f.pattern_links)
+
+
+@query("threat_event_index", "SELECT DISTINCT event_id, threat_id FROM links", "links")
 def threat_event_index(spark, sf_dir):
-    index = timeline.event_index(load_findings(spark, sf_dir).links, "threat_id", "ids")
-    return index.select("event_id", F.array_join("ids", ",").alias("threats"), F.size("ids").cast("long").alias("n"))
+    return timeline.event_index(load_findings(spark, sf_dir).links, "threat_id")
 
 
 @query("timeline_position", """SELECT event_id, row_number() OVER (ORDER BY "timestamp", event_id) - 1 AS y_pos FROM tl""", "tl")
 def timeline_position(spark, sf_dir):
-    rows = _timeline(spark, sf_dir).select("timestamp", "event_id", "part")
+    rows = _timeline(spark, sf_dir).select("timestamp", "event_id")
     return timeline.timeline_position(rows).select("event_id", F.col("y_pos").cast("long").alias("y_pos"))
 
 

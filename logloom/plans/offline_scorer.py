@@ -23,6 +23,12 @@ def failed_action_scorer(prompt: str) -> str:
 
 
 def summary_scorer(prompt: str) -> str:
-    body = {"conclusion": "Summary of " + prompt.split("\n")[1], "confidence": "Medium", "attack_summary": "",
+    """Counts the threat and limitation lines of a prompt, or adds up the counts of earlier parts."""
+    body_lines = prompt.split("\n\n")[2].split("\n")
+    threats = sum(line.startswith("    - Threat: ") for line in body_lines)
+    limits = sum(line.startswith("- Context ") for line in body_lines)
+    for part in re.findall(r"^- Part \d+: (\d+) threat lines, (\d+) limitation lines", prompt, re.MULTILINE):
+        threats, limits = threats + int(part[0]), limits + int(part[1])
+    body = {"conclusion": f"{threats} threat lines, {limits} limitation lines", "confidence": "Medium", "attack_summary": "",
             "key_indicators": [], "false_positives": [], "reasoning": "", "limitations": []}
     return json.dumps(body)

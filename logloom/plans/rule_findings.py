@@ -113,7 +113,8 @@ def rule_patterns(chunked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def chunked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered events in overlapping chunks; the ordered table is written once."""
-    ordered = once(spark, ("ordered", sf_dir), lambda: with_ordinal(load_events(spark, sf_dir), ["timestamp", "event_id"]))
+    ordered = once(spark, ("ordered", sf_dir), lambda: with_ordinal(load_events(spark, sf_dir), ["timestamp", "event_id"]),
+                   f"{sf_dir}/events.parquet")
     return overlapping_chunks(ordered, C.CHUNK_SIZE, C.CHUNK_OVERLAP)
 
 
@@ -129,7 +130,7 @@ def load_findings(spark: SparkSession, sf_dir: str) -> Findings:
             stage(findings.links_of(kept, links, "threat_id"), "links"), kept_patterns,
             stage(findings.links_of(kept_patterns, pattern_links, "pattern_id"), "links"))
 
-    return once(spark, ("findings", sf_dir), build)
+    return once(spark, ("findings", sf_dir), build, f"{sf_dir}/events.parquet")
 
 
 def load_chains(spark: SparkSession, sf_dir: str) -> Chains:
@@ -142,7 +143,7 @@ def load_chains(spark: SparkSession, sf_dir: str) -> Chains:
         met = stage(chains.chain_patterns(events, f.pattern_links), "chain-patterns")
         return Chains(members, events, met, stage(chains.chain_headers(members, events, met), "chains"))
 
-    return once(spark, ("chains", sf_dir), build)
+    return once(spark, ("chains", sf_dir), build, f"{sf_dir}/events.parquet")
 
 
 def rule_replies(f: Findings) -> DataFrame:
@@ -181,4 +182,5 @@ def rule_replies(f: Findings) -> DataFrame:
 
 def load_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replies, written before anything reads them."""
-    return once(spark, ("replies", sf_dir), lambda: stage(rule_replies(load_findings(spark, sf_dir)), "replies"))
+    return once(spark, ("replies", sf_dir), lambda: stage(rule_replies(load_findings(spark, sf_dir)), "replies"),
+                f"{sf_dir}/events.parquet")

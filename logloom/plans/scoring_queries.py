@@ -51,7 +51,7 @@ def filter_prompt_budget(spark, sf_dir):
 def _scored(spark, sf_dir):
     """Replies are written before they are read."""
     return once(spark, ("scored", sf_dir), lambda: stage(
-        scoring.score_chunks(_prompts(spark, sf_dir), offline_scorer.failed_action_scorer), "replies"))
+        scoring.score_chunks(_prompts(spark, sf_dir), offline_scorer.failed_action_scorer), "replies"), f"{sf_dir}/events.parquet")
 
 
 @query("score_chunks", """SELECT chunk_idx, count(*) FILTER (action = 'error') AS failed_events, CASE WHEN count(*) FILTER (action = 'error') > 0
@@ -134,13 +134,15 @@ def pending_chunks(spark, sf_dir):
 
 
 def _summary_prompts(spark, sf_dir):
+    """Prompts of the parts, and what they begin with."""
     f, c = load_findings(spark, sf_dir), load_chains(spark, sf_dir)
     rows = stage(timeline.timeline(load_events(spark, sf_dir), f.links, f.pattern_links), "timeline")
     head = timeline.timeline_head(rows)
     texts = scoring.text_lists(scoring.parse_replies(load_replies(spark, sf_dir)))
     limits = texts.select(F.explode("limitations").alias("text")).distinct()
     lines = scoring.summary_lines(c.headers, c.members, limits)
-    return scoring.summary_prompt(reports.risk_assessment(f.threats), f.patterns.agg(F.count("*")).scalar(), head, lines)
+    shared = reports.risk_assessment(f.threats), f.patterns.agg(F.count("*")).scalar(), head
+    return scoring.summary_prompt(*shared, lines), scoring.summary_intro(*shared)
 
 
 _ASK = ("Reply with one JSON object with the keys conclusion, confidence, attack_summary, key_indicators, "
@@ -170,15 +172,18 @@ summary AS (
 
 @query("summary_prompt", "SELECT chunk_idx, prompt FROM summary", "summary")
 def summary_prompt(spark, sf_dir):
-    return _summary_prompts(spark, sf_dir).select("chunk_idx", "prompt")
+    return _summary_prompts(spark, sf_dir)[0].select("chunk_idx", "prompt")
 
 
-@query("final_summary", """SELECT chunk_idx, 'Summary of ' || split_part(prompt, chr(10), 2) AS conclusion, 'Medium' AS confidence
-  FROM summary""", "summary")
+@query("final_summary", """SELECT count(*) FILTER (text LIKE '    - Threat: %') || ' threat lines, ' || count(*) FILTER (section = 1) ||
+  ' limitation lines' AS conclusion, 'Medium' AS confidence FROM line""", "summary")
 def final_summary(spark, sf_dir):
-    scored = stage(scoring.score_chunks(_summary_prompts(spark, sf_dir), offline_scorer.summary_scorer, budget=None), "replies")
+    """One row: the parts are scored, then folded."""
+    prompts, intro = _summary_prompts(spark, sf_dir)
+    score = lambda p: scoring.score_chunks(p, offline_scorer.summary_scorer, budget=None)
+    folded = scoring.fold_summaries(stage(score(prompts), "replies"), intro, score)
     found = load_findings(spark, sf_dir).threats.agg(F.count("*")).scalar()
-    return scoring.final_summary(scored, found).select("chunk_idx", "conclusion", "confidence")
+    return scoring.final_summary(folded, found).select("conclusion", "confidence")
 
 
 @query("token_estimate", """SELECT conv_id, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) / 4.0 AS prompt_tokens,

@@ -46,9 +46,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def once(spark: SparkSession, key: tuple, build: Callable[[], object]) -> object:
-    """Build a staged table once per Spark application."""
-    full = (spark.sparkContext.applicationId, *key)
+def _listing(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of a table's files, so that a changed table is not taken for the old one."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in system.listStatus(place))
+
+
+def once(spark: SparkSession, key: tuple, build: Callable[[], object], source: str | None = None) -> object:
+    """Build a staged table once per Spark application, and anew when the files of ``source`` have changed."""
+    full = (spark.sparkContext.applicationId, *key, *(_listing(spark, source) if source else ()))
     if full not in _memo:
         _memo[full] = build()
     return _memo[full]
@@ -65,11 +73,3 @@ def release(spark: SparkSession) -> None:
         system.delete_dir(folder)
     _memo.clear()
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy step work for all cores when its small input is a single split.
-
-    Inputs with enough splits, so any big one, pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,9 +9,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import chains, evaluation, findings, reports, scoring
+from logloom.operators import chains, evaluation, findings, reports, scoring, timeline
 from logloom.plans import analysis
-from logloom.plans.offline_scorer import failed_action_scorer
+from logloom.plans.offline_scorer import failed_action_scorer, summary_scorer
 
 REPLY = """Some words first:
 
@@ -157,17 +157,51 @@ def test_chains_equal_model(spark, threats):
     assert {r.idx: r.head for r in chains.connected_chains(t, links).collect()} == components(threats)
 
 
-@pytest.mark.parametrize("shift,rows", [(3, 1000), (5, 1000), (5, 20)])
-def test_long_runs_by_blocks(spark, monkeypatch, shift, rows):
-    """Runs of overlapping threats over several small blocks, some of them above the block limit."""
-    monkeypatch.setattr(chains, "BLOCK_SHIFT", shift)
-    monkeypatch.setattr(chains, "BLOCK_ROWS", rows)
-    rnd = random.Random(shift + rows)
+@pytest.mark.parametrize("rows", [1000, 20])
+def test_long_runs_by_groups(spark, monkeypatch, rows):
+    """Runs of overlapping threats in groups below and above the limit of a task."""
+    monkeypatch.setattr(chains, "GROUP_ROWS", rows)
+    rnd = random.Random(rows)
     threats = [{i, i + 1} | ({i + 2} if rnd.random() < 0.3 else set()) for i in range(45)] + [{0, 44}, {90}, {90, 12}]
     t, links = frames(spark, threats)
     assert {r.idx: r.head for r in chains.assign_chains(t, links).collect()} == greedy(threats)
 
 
+def test_unbroken_run_needs_few_rounds(spark, monkeypatch):
+    """One run of overlapping threats over 50,000 chunks."""
+    rounds = []
+    plain = chains._round
+    monkeypatch.setattr(chains, "_round", lambda rows: rounds.append(1) or plain(rows))
+    ids = spark.range(50000).select(F.col("id").alias("idx"))
+    links = ids.select("idx", F.explode(F.array(F.col("idx").cast("string"), (F.col("idx") + 1).cast("string"))).alias("event_id"))
+    heads = chains.assign_chains(ids, links)
+    assert heads.where("idx % 2 = 0 AND head <> idx OR idx % 2 = 1 AND head <> idx - 1").count() == 0
+    assert heads.count() == 50000 and len(rounds) <= 3
+
+
+def test_event_of_many_findings(spark):
+    """25,000 threats on one event are one timeline row and 25,000 links."""
+    events = spark.createDataFrame([("e1", "p", None, "h", "u", 3, "t"), ("e2", "p", None, "h", "u", 3, "t")],
+                                   "event_id string, process_name string, command_line string, hostname string, username string, severity int, event_type string")
+    events = events.withColumn("timestamp", F.lit("2025-01-01").cast("timestamp"))
+    links = spark.range(25000).select(F.concat(F.lit("t"), "id").alias("threat_id"), F.lit("e1").alias("event_id"))
+    patterns = spark.createDataFrame([("p1", "e2"), ("p1", "e2")], "pattern_id string, event_id string")
+    rows = timeline.timeline(events, links, patterns)
+    assert sorted((r.event_id, r.threat_count, r.pattern_count) for r in rows.collect()) == [("e1", 25000, 0), ("e2", 0, 1)]
+    assert timeline.timeline_links(links, patterns).count() == 25001
+    assert {r.remaining for r in timeline.timeline_head(rows, 1).collect()} == {1}
+
+
+@pytest.mark.parametrize("parts", [0, 1, 2, 450])
+def test_summaries_fold_to_one(spark, parts):
+    rows = [(i, f'{{"conclusion": "{i % 3} threat lines, 1 limitation lines", "confidence": "High"}}', None) for i in range(parts)]
+    scored = spark.createDataFrame(rows, "chunk_idx long, reply string, error string")
+    score = lambda p: scoring.score_chunks(p, summary_scorer, budget=None)
+    folded = scoring.fold_summaries(scored, F.lit("a\n\nb"), score)
+    row = scoring.final_summary(folded, F.lit(1)).collect()
+    assert [r.conclusion for r in row] == [f"{sum(i % 3 for i in range(parts))} threat lines, {parts} limitation lines"]
+
+
 def test_chain_headers(spark):
     t = spark.createDataFrame([(0, "a", "Low", "X"), (5, "b", "High", "Y"), (9, "c", "Critical", "X"), (11, "d", None, "X")],
                               "idx long, threat_id string, severity string, threat_type string")
