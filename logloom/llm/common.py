@@ -19,9 +19,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
-def arrow_pass(df: DataFrame, columns: list[str], work: Callable, schema: str) -> DataFrame:
-    """``df.select(columns)`` through ``work`` (iterator of batches to iterator of batches)."""
-    return df.select(*columns).mapInArrow(work, schema)
+def tidy(work: Callable, store: str | None = None) -> Callable:
+    """``work`` in a worker that first drops what other operators remember there, and gives freed memory back.
+
+    Workers outlive stages; without this, the caches of each operator of a pipeline would add up.
+    """
+
+    def run(batches):
+        kept = sys.__dict__.setdefault("_logloom_worker", {})
+        for name in [n for n in kept if n != store]:
+            del kept[name]
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def arrow_pass(df: DataFrame, columns: list[str], work: Callable, schema: str, store: str | None = None) -> DataFrame:
+    """``df.select(columns)`` through ``work`` (iterator of batches to iterator of batches), which may use ``store``."""
+    return df.select(*columns).mapInArrow(tidy(work, store), schema)
 
 
 def append_columns(df: DataFrame, work: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
@@ -38,7 +54,7 @@ def append_columns(df: DataFrame, work: Callable[[pa.RecordBatch], list[pa.Array
             arrays = [part.column(part.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays(arrays + work(part), names=names)
 
-    return df.mapInArrow(run, T.StructType(kept + fields))
+    return df.mapInArrow(tidy(run), T.StructType(kept + fields))
 
 
 def strings(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import stage
+from .common import tidy
 
 #: Values of a tile's candidate side; with the vectors' length this gives the rows of a block.
 BLOCK_VALUES = 1 << 20
@@ -140,4 +141,4 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
             yield best()
 
     dealt_out = found.repartition("query_id").sortWithinPartitions("query_id")
-    return dealt_out.mapInArrow(merged, "query_id bigint, rank int, vec_id bigint, score double")
+    return dealt_out.mapInArrow(tidy(merged), "query_id bigint, rank int, vec_id bigint, score double")

@@ -205,4 +205,4 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(decoded, pa.string())],
                 names=["doc_id", "ids", "decoded"])
 
-    return arrow_pass(docs, ["doc_id", "text"], run, "doc_id bigint, ids array<int>, decoded string")
+    return arrow_pass(docs, ["doc_id", "text"], run, "doc_id bigint, ids array<int>, decoded string", "pieces")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..workspace import stage
-from .common import arrow_pass, raw_bytes, slices
+from .common import arrow_pass, raw_bytes, slices, tidy
 
 SEED = 42
 #: Blocks of the 64 bits. Fingerprints that differ in at most ``distance`` bits agree in ``BLOCKS - distance`` of them.
@@ -128,7 +128,7 @@ def near_links(prints: DataFrame, distance: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(missing[x]), pa.array(ids[x]), pa.array(missing[y]), pa.array(ids[y])], names=["am", "ai", "bm", "bi"])
 
-    raw = dealt.mapInArrow(run, "am boolean, ai bigint, bm boolean, bi bigint")
+    raw = dealt.mapInArrow(tidy(run), "am boolean, ai bigint, bm boolean, bi bigint")
     node = lambda m, i: F.struct(F.col(m).alias("missing"), F.col(i).alias("id"))
     return raw.select(node("am", "ai").alias("a"), node("bm", "bi").alias("b"))
 

@@ -124,4 +124,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 [part.column(0), pa.array(np.array(words, np.int64)), pa.array(np.array(tokens, np.int64))],
                 names=["doc_id", "n_words", "n_tokens"])
 
-    return arrow_pass(docs, ["doc_id", "text"], run, "doc_id bigint, n_words bigint, n_tokens bigint")
+    return arrow_pass(docs, ["doc_id", "text"], run, "doc_id bigint, n_words bigint, n_tokens bigint", "wordpiece")
