@@ -23,17 +23,28 @@ SEGMENT_CELLS = 1 << 15
 #: Low bits of a sequence id count the sequences of a segment.
 LOCAL_BITS = 24
 #: Words whose ids a worker remembers, per generation, and the longest that it remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
 STOPS = b".,;:!?"
 
 
+def _byte_signs() -> list[str]:
+    """The printable character by which a byte-level vocabulary writes each byte."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
+BYTE_SIGNS = _byte_signs()
+
+
 class WordIds:
     """Ids of whole texts from a tokenizer whose splits never cross white space, word by word.
 
-    Each word is given to the tokenizer about once per worker: letters-only words together in one call,
-    told apart by the end-of-word mark of their last id, others on their own. ASCII capitals are lowered
-    before the lookup, as the tokenizer lowers them anyway.
+    Each word is given to the tokenizer about once per worker: words of plain small letters, which its
+    normalizer leaves alone, straight to its model; other letters-only words together in one call, told apart
+    by the end-of-word mark of their last id; all others on their own. ASCII capitals are lowered before the
+    lookup, as the tokenizer lowers them anyway.
     """
 
     def __init__(self, path: str):
@@ -48,18 +59,28 @@ class WordIds:
         probe = "One two,three\nFOUR's  5.6 éÀ ß"
         if sum((self._ids(w) for w in probe.split()), []) != self._ids(probe) or self._ids(probe) != self._ids(probe.lower()):
             raise ValueError("the tokenizer's splits cross white space, or it tells capitals apart")
+        self.model = self.tokenizer.model
+        letters = [c for c in map(chr, (*range(97, 123), *range(0xDF, 0x100))) if self._direct(f"a{c}e") == self._ids(f"a{c}e")]
+        self.plain = frozenset(letters)
         self.cache = TwoAges(REMEMBERED)
         self.stops = {STOPS[i:i + 1]: np.array(self._ids(chr(c)), np.uint32).tobytes() for i, c in enumerate(STOPS)}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _direct(self, word: str) -> list[int]:
+        """Ids of one word from the model alone, past normalizer and splitter."""
+        return [t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(BYTE_SIGNS.__getitem__, word.encode())))]
+
     def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that the cache doesn't have."""
         found: dict[bytes, bytes] = {}
         stems = {w: w[:-1] for w in missing if w[-1:] in self.stops and w[:-1].decode().isalpha()}
         words = list(dict.fromkeys([*(w for w in missing if w not in stems), *stems.values()]))
-        plain = [w for w in words if w.decode().isalpha()]
+        for word in words:
+            if self.plain.issuperset(text := word.decode()):
+                found[word] = np.array(self._direct(text), np.uint32).tobytes()
+        plain = [w for w in words if w not in found and w.decode().isalpha()]
         if plain:
             ids = np.array(self._ids(b" ".join(plain).decode()), np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -186,7 +207,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cell: i
         yield batch(list(rows(cutter.rest())))
 
     ready = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")
-    return arrow_pass(ready, ["doc_id", "source", "text"], run, schema)
+    return arrow_pass(ready, ["doc_id", "source", "text"], run, schema, "packing")
 
 
 def deal_windows(queues: list[int], carried: np.ndarray, per_window: int) -> np.ndarray:
