@@ -271,7 +271,7 @@ def load_auto(spark, sf_dir):
     return loaded.select("format", F.try_element_at("fields", F.lit("src")).alias("src"), "hostname")
 
 
-_MIXED = ["json-array", "json-events", "json-events", "jsonl", "jsonl", "csv", "syslog", "leef", "cef", "xml-eventlog"]
+_MIXED = ["json-array", "json-events", "json-object", "jsonl", "jsonl", "csv", "syslog", "leef", "cef", "xml-eventlog"]
 
 
 def _mixed_folder(spark, sf_dir) -> str:
@@ -299,7 +299,7 @@ def _mixed_folder(spark, sf_dir) -> str:
         6: F.when(broken, text("-- mark --")).otherwise(text(
             F.date_format("timestamp", "MMM dd HH:mm:ss"), " ", host, ' app[1]: id="', event, '" kind="', kind, '"')),
         7: F.when(broken, text("LEEF:1.0|v")).otherwise(text("LEEF:1.0|v|p|1|", event, "|devTime=", at, "\tkind=", kind, "\thostname=", host)),
-        8: F.when(broken, text("CEF:0|v")).otherwise(text("CEF:0|v|p|1|", event, "|n|5|id=", event, " rt=", F.unix_millis("timestamp"), " hostname=", host)),
+        8: F.when(broken, text("CEF:0|v")).otherwise(text("CEF:0|v|p|1|", event, "|n|5|id=", event, " rt=", F.unix_millis(F.col("timestamp").cast("timestamp")), " hostname=", host)),
         9: text("<Event xmlns=\"http://x\"><System><EventRecordID>", event, "</EventRecordID><TimeCreated SystemTime=\"", at, "\"/><Computer>", host,
                 "</Computer>", F.when(broken, F.lit("<open>")).otherwise(F.lit("")), "</System></Event>"),
     }
@@ -319,8 +319,7 @@ def load_all_formats(spark, sf_dir):
     return events.select(
         F.coalesce(field("id"), field("eventrecordid"), "event_id").alias("id"),
         F.replace("format", F.lit("custom-telemetry"), F.lit("json-events")).alias("format"),
-        F.coalesce(F.get_json_object("hostname", "$.name"), "hostname", field("computer"), F.get_json_object(
-            F.try_element_at("extra", F.lit("host")), "$.name")).alias("hostname"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("second_text"))
+        F.coalesce("hostname", F.get_json_object(F.try_element_at("extra", F.lit("host")), "$.name")).alias("hostname"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("second_text"))
 
 
 _REASONS = {4: "not a JSON line", 5: "unreadable time", 6: "not a syslog line", 7: "not a LEEF line", 8: "not a CEF line", 9: "not well-formed XML"}

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..operators.normalize import std_columns, union_sources
 from ..operators.ordering import with_ordinal
 from ..schemas import FLOW
+from .json_logs import read_json_array
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
@@ -70,7 +71,7 @@ def read_parquet(spark: SparkSession, path) -> DataFrame:
 def read_directory(spark: SparkSession, path: str, kind: str, schema: T.StructType, max_events: int | None = None) -> DataFrame:
     """All ``*.json`` (root arrays) or ``*.csv`` files of a directory, by time, capped on request."""
     if kind == "json":
-        rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+        rows = read_json_array(spark, f"{path.rstrip('/')}/*.json", schema)
     elif kind == "csv":
         named = read_csv_by_header(spark, f"{path.rstrip('/')}/*.csv")
         rows = named.select(*[

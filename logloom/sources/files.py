@@ -16,6 +16,7 @@ from .. import constants as C
 from ..functions.severity import default_severity
 from ..functions.text import strip
 from ..schemas import RAW_EVENT
+from ..workspace import stage
 from . import delimited, json_logs, line_formats, windows_xml
 
 
@@ -164,7 +165,7 @@ def _records(records: DataFrame) -> DataFrame:
     shaped = normalize_telemetry(records.select("record", "file", "place"))
     known_names = F.array(*[F.lit(n) for n in known])
     return shaped.withColumn("extra", F.map_filter(F.from_json(F.to_json("record"), "map<string,string>"),
-                                                   lambda k, _: ~F.array_contains(known_names, k))).drop("record")
+                                                   lambda k, v: ~F.array_contains(known_names, k) | v.rlike(r"^[\[{]"))).drop("record")
 
 
 def _documents(spark: SparkSession, paths, year: int | None) -> Loaded:
@@ -236,7 +237,8 @@ def load_auto(spark: SparkSession, path, readers=None, year: int | None = None)
     return load_with_rejects(spark, path, readers, year).records
 
 
-# Where line and XML formats carry an event's time, kind and severity, in order.
+# Where line and XML formats carry an event's time, host, user and severity, in order.
+_FIELD_HOSTS, _FIELD_USERS = ("hostname", "computer", "dvchost", "shost"), ("user", "username", "usr", "usrname", "suser", "duser")
 _FIELD_TIMES = ("timestamp", "time", "rt", "start", "end", "devtime", "timecreated_systemtime")
 _FIELD_SEVERITIES = ("sev", "level")
 
@@ -245,13 +247,14 @@ def load_events(spark: SparkSession, path, year: int | None = None, strict: bool
     """Normalised events of a folder of any formats, and all rejects, those with unreadable times included.
 
     Events get ``event_id`` from their record or their place in the whole input: by time, then file and
-    place in the file. Rows that carry no time keep a null timestamp and come last, in source order.
+    place in the file. Rows that carry no time keep a null timestamp and come last, in source order. The
+    parsed rows are written once, since events and rejects both come from them.
     """
     from ..operators.normalize import assign_event_id, std_columns
     from ..functions.times import coerce_timestamp
 
     records, rejects = load_with_rejects(spark, path, year=year, strict=strict)
-    frame = std_columns(records)
+    frame = stage(std_columns(records), "loaded")
     text = lambda name: F.col(name) if name in frame.columns else F.lit(None).cast("string")
     field = lambda name: F.try_element_at("fields", F.lit(name)) if "fields" in frame.columns else F.lit(None).cast("string")
     said = F.nullif(F.coalesce(text("timestamp"), text("time"), *map(field, _FIELD_TIMES)), F.lit(""))
@@ -259,6 +262,8 @@ def load_events(spark: SparkSession, path, year: int | None = None, strict: bool
     if "severity_level" in frame.columns:
         severity = F.coalesce(severity, F.col("severity_level"))
     kind = F.coalesce(text("event_type"), text("type"))
+    frame = frame.withColumns({
+        "hostname": F.coalesce(text("hostname"), *map(field, _FIELD_HOSTS)), "username": F.coalesce(text("username"), *map(field, _FIELD_USERS))})
     frame = frame.withColumns({"_said": said, "timestamp": coerce_timestamp(said), "severity": severity, "event_type": kind})
     bad = F.col("_said").isNotNull() & F.col("timestamp").isNull()
     untimed = frame.where(bad).select("file", F.col("_said").alias("line"), F.lit("unreadable time").alias("reason"))

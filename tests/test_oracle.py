@@ -10,14 +10,14 @@ import __spark_entry__ as entry_module
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 
 
-@pytest.fixture(scope="module")
-def con(small):
-    return connect(small)
+#: Queries that find nothing in the smallest tables; they run on the next larger ones.
+SPARSE = {"det_lateral", "det_scanning", "det_sequence", "stream_sequence"}
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
-def test_query_equals_sql(spark, small, con, key):
-    found = difference(QUERIES[key](spark, small), con, ORACLES[key])
+def test_query_equals_sql(spark, small, key):
+    tables = small.replace("0.001", "0.01") if key in SPARSE else small
+    found = difference(QUERIES[key](spark, tables), connect(tables), ORACLES[key])
     assert found is None, found
 
 
