@@ -83,6 +83,7 @@ def chunk_similarity(spark, sf_dir):
 _TRUTH = """truth AS (SELECT DISTINCT CASE event_type WHEN 'alert' THEN 'Failed Activity' WHEN 'netconn' THEN 'Outbound Connection'
   WHEN 'regmod' THEN 'Persistence' ELSE 'Staging' END AS type FROM ev)"""
 CTES["truth"] = (["ev"], _TRUTH)
+CTES["kinds"] = (["threats"], "kinds AS (SELECT DISTINCT threat_type AS type FROM threats)")
 
 
 def _truth(spark, sf_dir):
@@ -127,12 +128,15 @@ def memory_metrics(spark, sf_dir):
     return _memory(spark, sf_dir).withColumns({c: F.round(c, 6) for c in rounded})
 
 
-@query("limitation_report", """, s AS (SELECT 1 - rate AS a, (SELECT 1 - avg(shared_types / (types_a + types_b - shared_types)) FROM pairs) AS b,
+_REPORT = """, s AS (SELECT 1 - rate AS a, (SELECT 1 - avg(shared_types / (types_a + types_b - shared_types)) FROM pairs) AS b,
     (SELECT 1 - count(*) FILTER (chunks > 1) / count(*) FROM chain_span) AS c FROM context),
   r AS (SELECT 'overall' AS area, (a + b + c) / 3 AS score FROM s UNION ALL SELECT 'context_window', a FROM s
     UNION ALL SELECT 'probabilistic_correlation', b FROM s UNION ALL SELECT 'memory', c FROM s)
   SELECT area, round(score, 6) AS score, CASE WHEN score < 0.25 THEN 'Minimal' WHEN score < 0.5 THEN 'Moderate' WHEN score < 0.75
-    THEN 'Significant' ELSE 'Severe' END || ' limitation' AS band FROM r""", "context", "pairs")
+    THEN 'Significant' ELSE 'Severe' END || ' limitation' AS band FROM r"""
+
+
+@query("limitation_report", _REPORT, "context", "pairs")
 def limitation_report(spark, sf_dir):
     f = load_findings(spark, sf_dir)
     inconsistency = evaluation.chunk_similarity(f.threats).select("inconsistency_rate").scalar()
@@ -142,6 +146,20 @@ def limitation_report(spark, sf_dir):
     return report.withColumn("score", F.round("score", 6))
 
 
+@query("evaluate_results", _REPORT + """ UNION ALL SELECT 'accuracy', round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6), ''
+  FROM (SELECT (SELECT count(*) FROM kinds WHERE type IN (FROM truth)) AS tp, (SELECT count(*) FROM kinds WHERE type NOT IN (FROM truth)) AS fp,
+    (SELECT count(*) FROM truth WHERE type NOT IN (FROM kinds)) AS fn)""", "context", "pairs", "truth", "kinds")
+def evaluate_results(spark, sf_dir):
+    """The report and the accuracy from chunk results that were written to files and read back."""
+    from ..sources.results import load_results, result_threats
+    from .analysis import evaluate
+    from .source_queries import store_results
+
+    found = evaluate(result_threats(load_results(spark, store_results(spark, sf_dir))), _truth(spark, sf_dir))
+    accuracy = found["accuracy"].select(F.lit("accuracy").alias("area"), F.col("f1_score").alias("score"), F.lit("").alias("band"))
+    return found["limitations"].select("area", "score", "band").unionByName(accuracy).withColumn("score", F.round("score", 6))
+
+
 # --- performance and cost --------------------------------------------------------------
 # One conversation counts as one scored chunk: its assistant turns are the calls.
 

@@ -377,14 +377,18 @@ def sink_chunk_results(spark, sf_dir):
 @query("load_results", """SELECT chunk_idx AS source_chunk, threat_type, severity, count(*) AS n FROM raw_threats GROUP BY ALL""", "raw_threats")
 def load_results(spark, sf_dir):
     """Chunk results stored as one file each, named by number, read back with their chunk."""
+    return results.result_threats(results.load_results(spark, store_results(spark, sf_dir))).groupBy(
+        "source_chunk", "threat_type", "severity").agg(F.count("*").alias("n"))
+
+
+def store_results(spark, sf_dir) -> str:
     folder = new_path(spark, "results")
     stored = _chunk_results(spark, sf_dir)
     text = stored.select(
         F.to_json(F.struct(*[c for c in stored.columns if c != "chunk_idx"])).alias("value"),
         F.concat(F.lit("chunk_result_"), F.col("chunk_idx") + 1, F.lit(".json")).alias("name"))
     _write_named(text, folder)
-    return results.result_threats(results.load_results(spark, folder)).groupBy("source_chunk", "threat_type", "severity").agg(
-        F.count("*").alias("n"))
+    return folder
 
 
 def _write_named(text: DataFrame, folder: str) -> None:

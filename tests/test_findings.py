@@ -275,10 +275,36 @@ def test_whole_analysis(spark, small):
     from logloom.plans.adapter import load_events
 
     events = load_events(spark, small)
-    result = analysis.analyze(events, failed_action_scorer)
+    result = analysis.analyze(events, failed_action_scorer, summarize=summary_scorer)
     chunks = result["run_state"].first()
     assert chunks.chunks == 25 and chunks.failed_chunks == 0
     alerts = events.filter("event_type = 'alert'")
     assert result["timeline"].select("event_id").distinct().count() == alerts.count()
     assert result["threats"].count() == 25 and result["risk"].first().reasoning.startswith("Based on 25 identified threats across 25")
     assert result["chains"].agg(F.sum("threat_count")).first()[0] == 25
+
+
+def test_resume_scores_only_what_failed(spark, small):
+    """A second run scores the failed chunk alone, and ends with the findings of an undisturbed run."""
+    from logloom.plans.adapter import load_events
+
+    events = load_events(spark, small).where("event_no < 200")
+
+    def flaky(prompt):
+        if "slice number 2." in prompt:
+            raise RuntimeError("down")
+        return failed_action_scorer(prompt)
+
+    def only_second(prompt):
+        assert "slice number 2." in prompt
+        return failed_action_scorer(prompt)
+
+    first = analysis.analyze(events, flaky, summarize=summary_scorer)
+    assert first["run_state"].first().failed_chunks == 1
+    second = analysis.analyze(events, only_second, stored=first["replies"], summarize=summary_scorer)
+    whole = analysis.analyze(events, failed_action_scorer, summarize=summary_scorer)
+    assert second["run_state"].first().failed_chunks == 0
+    ids = lambda result: sorted(r.threat_id for r in result["threats"].collect())
+    assert ids(second) == ids(whole) and ids(first) != ids(whole)
+    assert second["summary"].collect() == whole["summary"].collect() and second["summary"].count() == 1
+    assert second["totals"].first().chunks_processed == whole["totals"].first().chunks_processed
