@@ -88,3 +88,16 @@ LIMITATION_BANDS = [
     (0.75, "Significant limitation"),
 ]
 LIMITATION_TOP = "Severe limitation"
+
+# Sentences and layouts of the results, word for word, with places for values.
+RISK_REASONING = "Based on %d identified threats%s (%d high, %d medium, %d low severity)."
+RISK_CHUNKS = " across %d data chunks"
+CHAIN_COURSE = "The attack chain involves %s, beginning with %s and progressing to %s."
+SUMMARY_CHAIN = "Analysis identified a %s severity attack chain involving %d connected threats. %s"
+SUMMARY_NOTHING = "No significant threats identified in the analyzed data."
+SUMMARY_UNCLEAR = "Analysis identified %d potential threats but no clear attack patterns were established."
+SUMMARY_SEVERE = "Analysis identified %d high severity threats including %s. However, no clear attack chain was established."
+EVENTS_HEADER = "NETWORK FLOW DATA (%d total events)\n\n"
+EVENT_LAYOUT = "Event %d (ID: %s)\nTime: %s\nSource: %s\nDestination: %s\nAction: %s\n\n"
+CONCLUSION_NOTHING = "No significant threats detected"
+CONCLUSION_BROKEN = "Analysis complete but summary parsing failed"

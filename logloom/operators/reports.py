@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions.severity import severity_rank
 from ..functions.text import first_sentence
 from .chains import by_severity
@@ -48,10 +49,8 @@ def risk_assessment(threats: DataFrame, chunk_count: Column | None = None) -> Da
         counts = counts.withColumn("chunks", chunk_count)
     high, medium, low = (F.col(name) for name in LABELS)
     level = F.when(high > 0, "High").when(medium > 0, "Medium").when(low > 0, "Low").otherwise("Minimal")
-    where = [F.lit(" across "), F.col("chunks"), F.lit(" data chunks")] if chunk_count is not None else []
-    reasoning = F.concat(
-        F.lit("Based on "), F.col("threat_count"), F.lit(" identified threats"), *where, F.lit(" ("),
-        high, F.lit(" high, "), medium, F.lit(" medium, "), low, F.lit(" low severity)."))
+    where = F.format_string(C.RISK_CHUNKS, F.col("chunks")) if chunk_count is not None else F.lit("")
+    reasoning = F.format_string(C.RISK_REASONING, F.col("threat_count"), where, high, medium, low)
     spread = F.create_map(*[x for name in LABELS for x in (F.lit(name), F.col(name))])
     return counts.select(
         level.alias("overall_risk_level"), reasoning.alias("reasoning"), "threat_count",
@@ -74,8 +73,7 @@ def chain_type_summary(members: DataFrame) -> DataFrame:
         F.max_by("threat_type", "last_seen").alias("last_type"),
     ).select(
         "chain_no", "chain_id", "types", "first_type", "last_type",
-        F.concat(F.lit("The attack chain involves "), F.col("types"), F.lit(", beginning with "),
-                 F.col("first_type"), F.lit(" and progressing to "), F.col("last_type"), F.lit(".")).alias("text"))
+        F.format_string(C.CHAIN_COURSE, F.col("types"), F.col("first_type"), F.col("last_type")).alias("text"))
 
 
 def top_chain(chains: DataFrame) -> DataFrame:
@@ -99,15 +97,11 @@ def attack_summary(threats: DataFrame, chains: DataFrame, members: DataFrame) ->
     involved = members.join(best.select("chain_no"), "chain_no", "left_semi")
     chain_text = (
         best.join(chain_type_summary(involved).select("chain_no", "text"), "chain_no")
-        .select(F.concat(
-            F.lit("Analysis identified a "), F.lower("severity"), F.lit(" severity attack chain involving "),
-            F.col("threat_count"), F.lit(" connected threats. "), F.col("text"))).scalar()
+        .select(F.format_string(C.SUMMARY_CHAIN, F.lower("severity"), F.col("threat_count"), F.col("text"))).scalar()
     )
-    nothing = F.lit("No significant threats identified in the analyzed data.")
-    unclear = F.concat(F.lit("Analysis identified "), F.col("total"),
-                       F.lit(" potential threats but no clear attack patterns were established."))
-    severe = F.concat(F.lit("Analysis identified "), F.col("high"), F.lit(" high severity threats including "),
-                      first_high, F.lit(". However, no clear attack chain was established."))
+    nothing = F.lit(C.SUMMARY_NOTHING)
+    unclear = F.format_string(C.SUMMARY_UNCLEAR, F.col("total"))
+    severe = F.format_string(C.SUMMARY_SEVERE, F.col("high"), first_high)
     # A chain always exists when its sentence does.
     text = (
         F.when(F.col("total") == 0, nothing)

@@ -29,14 +29,11 @@ def render_events(chunked: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C
         return F.coalesce(F.col(column), F.lit(_UNKNOWN)) if column in chunked.columns else F.lit(_UNKNOWN)
 
     when = F.coalesce(timestamp_text(F.col("timestamp")), F.lit(_UNKNOWN))
-    line = F.concat(
-        F.lit("Event "), number, F.lit(" (ID: "), shown("event_id"), F.lit(")\nTime: "), when,
-        F.lit("\nSource: "), shown("source"), F.lit("\nDestination: "), shown("destination"),
-        F.lit("\nAction: "), shown("action"), F.lit("\n\n"))
+    line = F.format_string(C.EVENT_LAYOUT, number, shown("event_id"), when, shown("source"), shown("destination"), shown("action"))
     lines = chunked.select("chunk_idx", F.struct("ord", line.alias("text")).alias("line"))
     ordered = F.transform(F.array_sort(F.collect_list("line")), lambda x: x["text"])
     grouped = lines.groupBy("chunk_idx").agg(F.count("*").alias("event_count"), F.array_join(ordered, "").alias("body"))
-    header = F.concat(F.lit("NETWORK FLOW DATA ("), F.col("event_count"), F.lit(" total events)\n\n"))
+    header = F.format_string(C.EVENTS_HEADER, F.col("event_count"))
     return grouped.select("chunk_idx", "event_count", F.concat(header, "body").alias("events_text"))
 
 
@@ -289,7 +286,7 @@ def final_summary(scored: DataFrame, finding_count: Column) -> DataFrame:
 
     return parsed.select(
         "chunk_idx",
-        text("conclusion", "No significant threats detected", "Analysis complete but summary parsing failed"),
+        text("conclusion", C.CONCLUSION_NOTHING, C.CONCLUSION_BROKEN),
         text("confidence", "Medium", "Low"),
         text("attack_summary", None, None),
         text("reasoning", "The log shows no significant security threats.", "The summary reply could not be parsed."),

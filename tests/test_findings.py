@@ -18,12 +18,12 @@ REPLY = """Some words first:
 ```json
 {
   "identified_threats": [
-    {"threat_id": "threat-1", "threat_type": "Initial Access", "related_events": ["evt-1", "evt-2"], "severity": "Medium",
-     "confidence": "Medium", "description": "Encoded command and a connection."},
-    {"threat_id": "threat-2", "threat_type": "Execution", "related_events": ["evt-3", "evt-4", "evt-5"], "severity": "High",
-     "confidence": "High", "description": "File created and run."}
+    {"threat_id": "t-one", "threat_type": "Odd Login", "related_events": ["ev-a", "ev-b"], "severity": "Medium",
+     "confidence": "Medium", "description": "Login at night."},
+    {"threat_id": "t-two", "threat_type": "Strange Tool", "related_events": ["ev-c", "ev-d", "ev-e"], "severity": "High",
+     "confidence": "High", "description": "Tool nobody knows."}
   ],
-  "suspicious_patterns": [{"pattern_id": "pattern-1", "pattern_type": "Encoded", "related_events": ["evt-1"], "description": "d"}],
+  "suspicious_patterns": [{"pattern_id": "p-one", "pattern_type": "Night work", "related_events": ["ev-a"], "description": "d"}],
   "risk_assessment": {"overall_risk_level": "High", "reasoning": "r"},
   "recommendations": ["a", "b"],
   "limitations": ["c"]
@@ -40,7 +40,7 @@ def parsed(spark, *replies):
 def test_reply_parsing(spark):
     rows = parsed(spark, REPLY, "no braces", "{broken", "} before {", '{"a": 1} and a brace }').orderBy("chunk_idx").collect()
     assert rows[0].parsing_error is None and len(rows[0].findings.identified_threats) == 2
-    assert rows[0].findings.identified_threats[0].threat_id == "threat-1"
+    assert rows[0].findings.identified_threats[0].threat_id == "t-one"
     assert rows[0].findings.risk_assessment.overall_risk_level == "High"
     assert [r.parsing_error for r in rows[1:]] == ["No JSON found in response"] * 2 + ["JSON parsing error"] * 2
     assert rows[1].raw_text == "no braces"
@@ -52,14 +52,14 @@ def threat(id_, severity="Low", events=("e",), kind="T"):
 
 
 def test_combine_two_chunks(spark):
-    one = {"identified_threats": [threat("threat-1", "Medium", ["evt-1", "evt-2"])], "suspicious_patterns": [],
+    one = {"identified_threats": [threat("t-one", "Medium", ["ev-a", "ev-b"])], "suspicious_patterns": [],
            "recommendations": ["x"], "limitations": ["l1"]}
-    two = {"identified_threats": [threat("threat-2", "High", ["evt-3", "evt-4"])],
-           "suspicious_patterns": [{"pattern_id": "pattern-1", "pattern_type": "p", "related_events": ["evt-3"], "description": "d"}],
+    two = {"identified_threats": [threat("t-two", "High", ["ev-c", "ev-d"])],
+           "suspicious_patterns": [{"pattern_id": "p-one", "pattern_type": "p", "related_events": ["ev-c"], "description": "d"}],
            "recommendations": ["y"], "limitations": ["l2"]}
     p = parsed(spark, json.dumps(one), json.dumps(two))
     kept = findings.combine_threats(scoring.explode_threats(p)).orderBy("idx").collect()
-    assert [(r.threat_id, r.source_chunk) for r in kept] == [("threat-1", 0), ("threat-2", 1)]
+    assert [(r.threat_id, r.source_chunk) for r in kept] == [("t-one", 0), ("t-two", 1)]
     assert findings.combine_patterns(scoring.explode_patterns(p)).count() == 1
     texts = scoring.text_lists(p)
     assert findings.distinct_texts(texts, "recommendations").count() == 2
