@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ LOCAL_BITS = 24
 #: Words whose ids a worker remembers, per generation, and the longest that it remembers.
 REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
-STOPS = b".,;:!?"
+#: Signs that may end a word without changing how its letters are split: ASCII punctuation but the apostrophe.
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'").encode()
 
 
 def _byte_signs() -> list[str]:
@@ -42,9 +44,9 @@ class WordIds:
     """Ids of whole texts from a tokenizer whose splits never cross white space, word by word.
 
     Each word is given to the tokenizer about once per worker: words of plain small letters, which its
-    normalizer leaves alone, straight to its model; other letters-only words together in one call, told apart
-    by the end-of-word mark of their last id; all others on their own. ASCII capitals are lowered before the
-    lookup, as the tokenizer lowers them anyway.
+    normalizer leaves alone, straight to its model, and so the signs that follow them, which its splitter cuts
+    off; other letters-only words together in one call, told apart by the end-of-word mark of their last id;
+    all others on their own. ASCII capitals are lowered before the lookup, as the tokenizer lowers them anyway.
     """
 
     def __init__(self, path: str):
@@ -62,8 +64,7 @@ class WordIds:
         self.model = self.tokenizer.model
         letters = [c for c in map(chr, (*range(97, 123), *range(0xDF, 0x100))) if self._direct(f"a{c}e") == self._ids(f"a{c}e")]
         self.plain = frozenset(letters)
-        self.cache = TwoAges(REMEMBERED)
-        self.stops = {STOPS[i:i + 1]: np.array(self._ids(chr(c)), np.uint32).tobytes() for i, c in enumerate(STOPS)}
+        self.cache, self.signs = TwoAges(REMEMBERED), {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -72,25 +73,50 @@ class WordIds:
         """Ids of one word from the model alone, past normalizer and splitter."""
         return [t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(BYTE_SIGNS.__getitem__, word.encode())))]
 
+    def _packed(self, word: bytes) -> bytes:
+        return array("I", self._direct(word.decode())).tobytes()
+
+    def _simple(self, word: bytes, found: dict[bytes, bytes]) -> bytes | None:
+        """Ids of plain letters, signs, or plain letters with signs behind them; None for any other word."""
+        letters = word.rstrip(SIGNS)
+        if len(letters) == len(word):
+            return self._packed(word) if self.plain.issuperset(word.decode()) else None
+        ends = word[len(letters):]
+        tail = self.signs.get(ends)
+        if tail is None:
+            tail = self._packed(ends)
+            if len(self.signs) < REMEMBERED and len(ends) <= LONGEST_REMEMBERED:
+                self.signs[ends] = tail
+        if not letters:
+            return tail
+        head = self.cache.young.get(letters) or self.cache.old.get(letters) or found.get(letters)
+        if head is None:
+            if not self.plain.issuperset(letters.decode()):
+                return None
+            head = found[letters] = self._packed(letters)
+        elif not self.plain.issuperset(letters.decode()):
+            return None
+        return head + tail
+
     def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that the cache doesn't have."""
         found: dict[bytes, bytes] = {}
-        stems = {w: w[:-1] for w in missing if w[-1:] in self.stops and w[:-1].decode().isalpha()}
-        words = list(dict.fromkeys([*(w for w in missing if w not in stems), *stems.values()]))
-        for word in words:
-            if self.plain.issuperset(text := word.decode()):
-                found[word] = np.array(self._direct(text), np.uint32).tobytes()
-        plain = [w for w in words if w not in found and w.decode().isalpha()]
+        other = []
+        for word in missing:
+            ids = self._simple(word, found)
+            if ids is None:
+                other.append(word)
+            else:
+                found[word] = ids
+        plain = [w for w in other if w.decode().isalpha()]
         if plain:
             ids = np.array(self._ids(b" ".join(plain).decode()), np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(plain) and cuts[-1] == len(ids):
                 found.update(zip(plain, (p.tobytes() for p in np.split(ids, cuts[:-1])), strict=True))
-        rest = [w for w in words if w not in found]
+        rest = [w for w in other if w not in found]
         for word, coded in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            found[word] = np.array(coded.ids, np.uint32).tobytes()
-        for word, stem in stems.items():
-            found[word] = found[stem] + self.stops[word[-1:]]
+            found[word] = array("I", coded.ids).tobytes()
         return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter, defaultdict
 
@@ -21,20 +22,29 @@ def ids_of(text):
     return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+@functools.cache
+def shared_words():
+    return packing.WordIds(PATH)
+
+
 @pytest.fixture(scope="module")
 def words():
-    return packing.WordIds(PATH)
+    return shared_words()
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=4))
 def test_ids_are_the_tokenizers(texts):
-    words = packing.WordIds(PATH) if not hasattr(test_ids_are_the_tokenizers, "words") else test_ids_are_the_tokenizers.words
-    test_ids_are_the_tokenizers.words = words
-    for text, blob in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+    for text, blob in zip(texts, shared_words().encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(blob, np.uint32).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="abTé'.,*|!<>_1\n ÿ-", max_size=60))
+def test_words_with_signs(text):
+    assert np.frombuffer(shared_words().encode([text.encode()])[0], np.uint32).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_odd_words(words):
     for text in ("The, THE. the's İ Σ ΣΑΣ e\u0301 É <|endoftext|> a\u00a0b \x1c x" + "y" * 200 + ",", "\u0301a \u0301", "ﬁ ① 12345 ... ,, a,b"):
         assert np.frombuffer(words.encode([text.encode()])[0], np.uint32).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
