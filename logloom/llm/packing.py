@@ -47,12 +47,17 @@ class WordIds:
     normalizer leaves alone, straight to its model, and so the signs that follow them, which its splitter cuts
     off; other letters-only words together in one call, told apart by the end-of-word mark of their last id;
     all others on their own. ASCII capitals are lowered before the lookup, as the tokenizer lowers them anyway.
+    A text that may hold a literal special token, such as ``<|endoftext|>``, goes whole and unchanged to the
+    tokenizer with its own settings, which makes that token of it.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        self.literals = [t.content.encode().lower() for t in self.whole.get_added_tokens_decoder().values()]
+        # For words of texts without a literal: one that only lowering has made is no token.
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -121,7 +126,10 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.lower().split() for t in texts]
+        lowered = [t.lower() for t in texts]
+        whole = {i: array("I", self.whole.encode(texts[i].decode(), add_special_tokens=False).ids).tobytes()
+                 for i, t in enumerate(lowered) if any(x in t for x in self.literals)}
+        split = [[] if i in whole else t.split() for i, t in enumerate(lowered)]
         young, old = self.cache.young, self.cache.old
         missing = []
         for word in {w for words in split for w in words}:
@@ -141,6 +149,8 @@ class WordIds:
                 out.append(b"".join(map(get, words)))
             except KeyError:
                 out.append(b"".join(young.get(w) or long.get(w) or b"" for w in words))
+        for i, ids in whole.items():
+            out[i] = ids
         self.cache.turn()
         return out
 
