@@ -24,9 +24,9 @@ ORDINARY_WORDS = ("the and for with from this that not license version public ge
                   "changeme none null true false your here page http https www com net org index html default user name value key "
                   "der die und das von que los las del para les des une est dans pour").split()
 _NAME = "|".join(SECRET_NAMES)
-#: An assignment to a telling name, a known key format, or a long run of key characters with a digit.
+#: An assignment to a telling name (bare, or a quoted key such as "name": or ['name'] =), a known key format, or a long run of key characters with a digit.
 CANDIDATE = re.compile(
-    rf"(?P<name>(?:[A-Za-z0-9_-]{{0,40}}(?:{_NAME})))[\x20\t]{{0,3}}[=:][\x20\t]{{0,3}}[\"']?(?P<value>[^\s\"',;]{{6,}})"
+    rf"(?P<name>(?:[A-Za-z0-9_-]{{0,40}}(?:{_NAME})))[\"']?\]?[\x20\t]{{0,3}}[=:][\x20\t]{{0,3}}[\"']?(?P<value>[^\s\"',;]{{6,}})"
     r"|(?P<key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{12,}(?![A-Za-z0-9]))"
     r"|(?P<run>(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+(?![A-Za-z0-9+/_-]))", re.IGNORECASE)
 _DIGIT = re.compile("[0-9]")
@@ -172,6 +172,22 @@ def made_up_findings(seed: int = 11, n: int = 150) -> list[tuple[Finding, str, i
         add("run", "https:", "//www/" + "/".join("".join(rng.choice(syllables, 3)) for _ in range(3)) + "/" + pick(digits, 3), "", path, 0)
         add("run", "", pick(lower, 8) + "_" + pick(lower, 8) + pick(digits, 1), "", path, 0)
         add("run", "+1-", "-".join((pick(digits, 3), pick(digits, 4), pick(digits, 4), pick(digits, 4))), "", path, 0)
+    # Quoted keys, from random numbers of their own so that the rows above stay as they are.
+    rng = np.random.default_rng(seed + (1 << 20))
+    for _ in range(n):
+        path = rng.choice(["src1", "app/config.json", "deploy/prod.yml", "notes/readme.md", "src19"])
+        name = rng.choice(["password", "token", "api_key", "secret", "auth_token"])
+        key, mark = rng.choice(['"', "'"], 2)
+        lead = (f"{{{key}{name}{key}" if rng.random() < 0.6 else f"d[{key}{name}{key}]") + rng.choice([": ", ":", " = ", "=", " : "]) + mark
+        tail = mark + rng.choice(["}", "", ","])
+        add("name", lead, pick(lower + upper, rng.integers(12, 40)), tail, path, 1)
+        add("name", lead, pick(lower + upper + digits, rng.integers(8, 40)), tail, path, 1)
+        core = list(pick(lower + upper, rng.integers(5, 12)) + pick(digits, rng.integers(1, 4)) + pick("!#$%&*+-.?@^_", rng.integers(1, 3)))
+        add("name", lead, "".join(rng.permutation(core)), tail, path, 1)
+        value = rng.choice(["changeme", "your_token_here", "placeholder", "password", "example", "xxxxxxxxxx", "<token>", "None", "${TOKEN}", "null"])
+        add("name", lead, value + rng.choice(["", "1", "123"]), tail, rng.choice([path, "tests/test_auth.py"]), 0)
+        add("name", lead, "".join(rng.choice(syllables, rng.integers(3, 7))), tail, path, 0)
+        add("name", lead, "_".join("".join(rng.choice(syllables, 3)) for _ in range(2)), tail, path, 0)
     return out
 
 
