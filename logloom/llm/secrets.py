@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,11 +68,11 @@ def _class(c: str) -> int:
 
 
 def finding_features(finding: Finding, path: str | None = None) -> list[float]:
-    value = finding.value[:512]
+    value = finding.value
     n = max(len(value), 1)
     classes = [_class(c) for c in value]
     pairs = list(zip(classes, classes[1:], strict=False))
-    _, counts = np.unique(list(value), return_counts=True)
+    counts = np.array([k for _, k in sorted(Counter(value).items())])
     share = counts / n
     lowered = value.lower()
     covered = sum(len(w) for w in ORDINARY_WORDS if len(w) > 3 and w in lowered)
