@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, neighbours, packing, pieces, private_data, quality_rules, secrets, simhash, url_rules, wordpiece
+from . import boosting, collocations, neighbours, packing, pieces, private_data, quality_rules, secrets, simhash, url_rules, wordpiece
 
 PIECES = "piece_bpe_32k.model"
 WORD_PIECES = "word_bpe_49k.json"
@@ -74,17 +74,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"), secrets.train())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_quality_classifier, op3_private_data, op4_token_counts, op5_url_filters, op6_pieces, op7_quality_rules, op8_nearest,
-    op9_packing, op10_secrets)}
+    op9_packing, op10_secrets, op11_collocations)}
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 ORACLES = {
     "op5_url_filters": f"""
 WITH rules(rule_host, rule_path, action) AS (VALUES {_RULES}),
 rests AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 split AS (SELECT page_id,
-    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
 best AS (SELECT host, path, arg_max(struct_pack(rule := rule_host || rule_path, action := action), length(rule_host || rule_path)) AS hit
   FROM (SELECT DISTINCT host, path FROM split) JOIN rules
@@ -99,4 +104,19 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.siz
   FROM n q JOIN n c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5""",
+    "op11_collocations": rf"""
+WITH parts AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("text")}, '[.,;:!?\x0A-\x0D]')) AS part FROM documents),
+pieces AS (SELECT lang, list_filter(regexp_split_to_array(part, '[ \t]+'), x -> x <> '') AS w FROM parts),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+phrases AS (SELECT lang, w[i:i + m - 1] AS w, count(*) AS f FROM starts, (VALUES (1), (2), (3)) lengths(m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+candidates AS (SELECT * FROM phrases WHERE len(w) > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.w, c.f AS a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
+  FROM candidates c JOIN (VALUES (1), (2)) cut(k) ON k < len(c.w)
+  JOIN phrases l ON l.lang = c.lang AND l.w = c.w[1:k] JOIN phrases r ON r.lang = c.lang AND r.w = c.w[k + 1:]),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+kept AS (SELECT * FROM weakest s WHERE NOT EXISTS (SELECT 1 FROM candidates t WHERE t.lang = s.lang AND len(t.w) > len(s.w)
+  AND (t.w[1:2] = s.w OR t.w[2:3] = s.w) AND 100 * t.f >= 50 * s.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank, array_to_string(w, ' ') AS phrase,
+  a, l, r, n, score::BIGINT AS score FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""",
 }
