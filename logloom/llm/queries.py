@@ -106,17 +106,18 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 5""",
     "op11_collocations": rf"""
 WITH parts AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("text")}, '[.,;:!?\x0A-\x0D]')) AS part FROM documents),
-pieces AS (SELECT lang, list_filter(regexp_split_to_array(part, '[ \t]+'), x -> x <> '') AS w FROM parts),
+pieces AS (SELECT lang, list_filter(regexp_split_to_array(part, '[ \t]+'), lambda x: x <> '') AS w FROM parts),
 starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
-phrases AS (SELECT lang, w[i:i + m - 1] AS w, count(*) AS f FROM starts, (VALUES (1), (2), (3)) lengths(m) WHERE i + m - 1 <= len(w) GROUP BY ALL),
+phrases AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, count(*) AS f FROM starts, (VALUES (1), (2), (3)) lengths(m)
+  WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING f >= 10),
 totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
-candidates AS (SELECT * FROM phrases WHERE len(w) > 1 AND f >= 10),
-cuts AS (SELECT c.lang, c.w, c.f AS a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
-  FROM candidates c JOIN (VALUES (1), (2)) cut(k) ON k < len(c.w)
-  JOIN phrases l ON l.lang = c.lang AND l.w = c.w[1:k] JOIN phrases r ON r.lang = c.lang AND r.w = c.w[k + 1:]),
-weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
-kept AS (SELECT * FROM weakest s WHERE NOT EXISTS (SELECT 1 FROM candidates t WHERE t.lang = s.lang AND len(t.w) > len(s.w)
-  AND (t.w[1:2] = s.w OR t.w[2:3] = s.w) AND 100 * t.f >= 50 * s.a))
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank, array_to_string(w, ' ') AS phrase,
-  a, l, r, n, score::BIGINT AS score FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""",
+candidates AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM phrases WHERE m > 1),
+cuts AS (SELECT *, k, array_to_string(w[1:k], ' ') AS lead, array_to_string(w[k + 1:], ' ') AS rest FROM candidates, (VALUES (1), (2)) cut(k) WHERE k < m),
+scored AS (SELECT c.lang, c.phrase, m, a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts c JOIN (SELECT lang, phrase AS lead, f FROM phrases) l USING (lang, lead) JOIN (SELECT lang, phrase AS rest, f FROM phrases) r USING (lang, rest)),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, phrase, max(a) AS b FROM (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, a FROM candidates, (VALUES (1), (2)) place(i)
+  WHERE m = 3) GROUP BY lang, phrase)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM weakest JOIN totals USING (lang) LEFT JOIN longer USING (lang, phrase) WHERE m = 3 OR b IS NULL OR 100 * b < 50 * a QUALIFY rank <= 2000""",
 }
