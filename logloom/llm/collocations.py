@@ -1,14 +1,17 @@
 """Phrase collocations: words that stand together more often than apart, counted in HAT-tries.
 
-A task reads texts into a trie whose first level are word numbers and whose leaves are hash containers of the
-words that follow. A container that grows too large bursts into one container per next word. When the trie is
-full, its largest subtrees leave whole, as sorted runs: phrases with their counts, dealt to partitions. Each
-partition merges the runs it receives; what is frequent there goes on to scoring, which is plain joins.
+A task reads texts into a shallow trie over word numbers whose leaves are hash containers of phrases. A container that
+grows too large bursts into containers by the next word. When the trie is full, its largest subtrees leave whole,
+as sorted runs: phrases with their counts, dealt to partitions. Each partition merges the runs it receives; what is
+frequent there goes on to scoring, which is plain joins.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +24,18 @@ from ..workspace import stage
 from .common import arrow_pass, raw_bytes, slices, strings
 
 #: Entries of a task's trie at which subtrees are spilled, and words it may know before it starts anew.
-TRIE_ENTRIES = 1_000_000
+TRIE_ENTRIES = 800_000
 KNOWN_WORDS = 500_000
+#: Share of the entries that leave a full trie.
+SPILLED = 0.75
 #: Entries of a container at which it bursts.
 BURST = 16_384
+#: Words that are numbered and counted at a time.
+WORDS_AT_ONCE = 400_000
 #: UTF-8 bytes of text for which there is one partition of the merge: some million entries at most.
 PARTITION_BYTES = 1 << 21
+#: Runs that leave a task in one Arrow batch.
+ROWS_AT_ONCE = 64
 #: Parts of a language that are ranked apart before the best of each meet.
 SHARES = 64
 #: Counts stay below this, so a million times a square fits the 38 digits of a decimal.
@@ -34,7 +43,11 @@ LARGEST_COUNT = 10 ** 15
 
 _LANGUAGE = "und"
 _END = 0
-_LOW = (1 << 32) - 1
+#: Bits of a word's number; three of them make a key.
+_BITS = 21
+_LOW = (1 << _BITS) - 1
+#: Subtrees below the root, and containers that a burst one becomes.
+_SUBTREES, _PARTS = 1024, 64
 #: ASCII letters in lower case, tabs as blanks, and every sign that ends a piece as a line feed.
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -45,78 +58,75 @@ def pieces_of(text: bytes | None) -> list[list[bytes]]:
 
 
 class PhraseTrie:
-    """Counts of the words (first, second, third) from each position of a piece on, by language.
+    """Counts of the words (first, second, third) from each position of a piece on.
 
-    ``plain`` has one container per first word, keyed by second and third word as one number; a burst container
-    moves to ``deep``, where there is one container per second word. Shorter phrases are sums over subtrees.
+    Words are numbered per language. The root deals a phrase by the number of its first word to one of its subtrees,
+    which is a hash container for a group of words until it bursts into containers by the second word. ``leaf``
+    has the containers by subtree and part. Shorter phrases are sums over subtrees.
     """
 
-    def __init__(self, longest: int, entries: int, burst: int):
-        self.longest, self.limit, self.burst = longest, entries, burst
+    def __init__(self, longest: int, burst: int):
+        self.longest, self.burst = longest, burst
+        self.is_burst = np.zeros(_SUBTREES, bool)
+        self.leaf: dict[int, Counter] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[bytes, int] = {b"\n": _END}
-        self.plain: dict[str, dict] = {}
-        self.deep: dict[str, dict] = {}
-        self.entries = 0
-
-    def add(self, language: str, text: bytes | None) -> None:
-        numbers = self.numbers
-        tokens = (text or b"").translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
-        ids = [numbers.setdefault(t, len(numbers)) for t in tokens if t]
-        first = np.array([*ids, _END, _END], np.uint64)
-        second, third = first[1:-1], first[2:]
-        first = first[:-2]
+        """Drops all numbers; only for an empty trie."""
+        self.next_number = count(1).__next__
+        self.numbers: dict[str, defaultdict] = {}
+
+    def words(self) -> int:
+        return sum(map(len, self.numbers.values()))
+
+    def add(self, language: str, tokens: list[bytes], start: int, stop: int) -> None:
+        """Counts the phrases that begin at positions ``start`` to ``stop`` of a text's words and piece ends."""
+        numbers = self.numbers.get(language)
+        if numbers is None:
+            numbers = self.numbers[language] = defaultdict(self.next_number, {b"\n": _END})
+        own = tokens[start:stop + 2]
+        ids = np.r_[np.fromiter(map(numbers.__getitem__, own), np.int64, len(own)), _END, _END]
+        first, second, third = ids[:stop - start], ids[1:stop - start + 1], ids[2:stop - start + 2]
         third = np.where(second == _END, _END, third) if self.longest > 2 else np.zeros_like(third)
         real = first != _END
-        self._count(language, first[real].tolist(), (second[real] << np.uint64(32) | third[real]).tolist())
-
-    def _count(self, language: str, firsts: list[int], rests: list[int]) -> None:
-        plain, deep, burst, fresh = self.plain.setdefault(language, {}), self.deep.setdefault(language, {}), self.burst, 0
-        for first, rest in zip(firsts, rests, strict=True):
-            box, key, below = plain.get(first), rest, None
+        first, second, third = first[real], second[real], third[real]
+        keys = (first << 2 * _BITS) | (second << _BITS) | third
+        group = first % _SUBTREES
+        homes = group * _PARTS + np.where(self.is_burst[group], second % _PARTS, 0)
+        order = np.argsort(homes, kind="stable")
+        homes, keys = homes[order], keys[order].tolist()
+        starts = np.flatnonzero(np.r_[True, homes[1:] != homes[:-1]]).tolist() if len(homes) else []
+        for home, a, b in zip(homes[starts].tolist(), starts, [*starts[1:], len(keys)], strict=True):
+            box = self.leaf.get(home)
             if box is None:
-                below = deep.get(first)
-                if below is None:
-                    box = plain[first] = {}
-                else:
-                    key = rest & _LOW
-                    box = below.get(rest >> 32)
-                    if box is None:
-                        box = below[rest >> 32] = {}
-            seen = box.get(key)
-            if seen is None:
-                box[key] = 1
-                fresh += 1
-                if below is None and len(box) > burst:
-                    below = deep[first] = {}
-                    for k, n in plain.pop(first).items():
-                        below.setdefault(k >> 32, {})[k & _LOW] = n
-            else:
-                box[key] = seen + 1
-        self.entries += fresh
-
-    def subtrees(self) -> list[tuple[int, str, int]]:
-        """(entries, language, first word) of each subtree below the first level."""
-        found = [(len(box), language, first) for language, boxes in self.plain.items() for first, box in boxes.items()]
-        return found + [(sum(map(len, below.values())), language, first)
-                        for language, nodes in self.deep.items() for first, below in nodes.items()]
-
-    def take(self, share: float) -> dict[str, tuple[np.ndarray, ...]]:
-        """Removes the largest subtrees until ``share`` of all entries is gone; their entries by language, unsorted."""
-        wanted, taken = share * self.entries, {}
-        for size, language, first in sorted(self.subtrees(), key=lambda s: -s[0]):
-            if wanted <= 0:
-                break
-            wanted -= size
-            self.entries -= size
-            box = self.plain[language].pop(first, None)
-            boxes = [(0, box)] if box is not None else [(s << 32, b) for s, b in self.deep[language].pop(first).items()]
-            rest = np.concatenate([np.fromiter(b, np.uint64, len(b)) | np.uint64(s) for s, b in boxes])
-            count = np.concatenate([np.fromiter(b.values(), np.int64, len(b)) for _, b in boxes])
-            taken.setdefault(language, []).append((np.full(len(rest), first, np.uint64), rest, count))
-        return {language: tuple(map(np.concatenate, zip(*found, strict=True))) for language, found in taken.items()}
+                box = self.leaf[home] = Counter()
+            box.update(keys[a:b])
+
+    def burst_large(self) -> None:
+        for number in np.flatnonzero(~self.is_burst).tolist():
+            whole = self.leaf.get(number * _PARTS, ())
+            if len(whole) > self.burst:
+                self.is_burst[number] = True
+                del self.leaf[number * _PARTS]
+                for key, n in whole.items():
+                    self.leaf.setdefault(number * _PARTS + (key >> _BITS & _LOW) % _PARTS, Counter())[key] = n
+
+    def entries(self) -> int:
+        return sum(map(len, self.leaf.values()))
+
+    def take(self, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """Removes the largest subtrees until ``share`` of all entries is gone; their keys and counts, unsorted."""
+        sizes = np.zeros(_SUBTREES, np.int64)
+        for home, box in self.leaf.items():
+            sizes[home // _PARTS] += len(box)
+        largest = np.argsort(-sizes, kind="stable")
+        leaving = np.zeros(_SUBTREES, bool)
+        leaving[largest[np.cumsum(sizes[largest]) - sizes[largest] < share * sizes.sum()]] = True
+        taken = [self.leaf.pop(home) for home in [h for h in self.leaf if leaving[h // _PARTS]]]
+        self.is_burst &= ~leaving
+        total = sum(map(len, taken))
+        keys = np.fromiter(chain.from_iterable(taken), np.int64, total)
+        return keys, np.fromiter(chain.from_iterable(box.values() for box in taken), np.int64, total)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -124,83 +134,100 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _runs(language: str, entries: tuple[np.ndarray, ...], vocabulary: pa.Array, order: np.ndarray, digests: np.ndarray,
-          partitions: int, longest: int) -> pa.RecordBatch:
-    """One sorted run per partition: the phrases of all lengths in the entries, each line ended, and their counts."""
-    first, rest, count = entries
-    words = [order[first], order[rest >> np.uint64(32)], order[rest & np.uint64(_LOW)]]
-    place = np.lexsort(words[::-1])
-    words, count = [w[place] for w in words], count[place]
-    seed = np.uint64(xxhash.xxh64_intdigest(language.encode()))
+def _runs(language: str, keys: np.ndarray, n: np.ndarray, numbers: dict[bytes, int], partitions: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """One sorted run per partition: the phrases of all lengths among the entries of a language, and their counts."""
+    vocabulary = pa.array(list(numbers), pa.large_binary())
+    by_rank = pc.sort_indices(vocabulary).to_numpy()
+    by_rank = np.r_[0, by_rank[by_rank != 0]]  # the end of a piece, the first word known, goes before all others
+    own = np.fromiter(numbers.values(), np.int64, len(numbers))[by_rank]
+    rank = np.zeros(own.max() + 1, np.int64)
+    rank[own] = np.arange(len(own))
+    vocabulary = vocabulary.take(pa.array(by_rank))
+    digests = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary.to_pylist()), np.uint64, len(by_rank))
+    last = pc.binary_join_element_wise(vocabulary, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+    keys = (rank[keys >> 2 * _BITS] << 2 * _BITS) | (rank[keys >> _BITS & _LOW] << _BITS) | rank[keys & _LOW]
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    seed, blank = np.uint64(xxhash.xxh64_intdigest(language.encode())), pa.scalar(b" ", pa.large_binary())
     texts, counts, homes = [], [], []
     for length in range(1, longest + 1):
-        real = words[length - 1] > 0  # the end of a piece sorts first
-        own = [w[real] for w in words[:length]]
-        if not len(own[0]):
+        cut = keys >> (3 - length) * _BITS
+        real = (cut & _LOW) != _END
+        cut, m = cut[real], n[real]
+        if not len(cut):
             continue
-        new = np.r_[True, reduce(np.logical_or, [w[1:] != w[:-1] for w in own])]
-        starts = np.flatnonzero(new)
-        own = [w[starts] for w in own]
-        counts.append(np.add.reduceat(count[real], starts))
-        homes.append(reduce(lambda h, w: _mixed(h + digests[w]), own, np.full(len(starts), seed, np.uint64)) % np.uint64(partitions))
-        parts = [vocabulary.take(pa.array(w)) for w in own]
-        blank, line = pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary())
-        phrase = parts[0] if length == 1 else pc.binary_join_element_wise(*parts, blank)
-        texts.append(pc.binary_join_element_wise(phrase, line, pa.scalar(b"\n", pa.large_binary())))
+        starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
+        cut = cut[starts]
+        counts.append(np.add.reduceat(m, starts))
+        words = [cut >> (length - 1 - i) * _BITS & _LOW for i in range(length)]
+        homes.append(reduce(lambda h, w: _mixed(h + digests[w]), words, np.full(len(cut), seed, np.uint64)) % np.uint64(partitions))
+        parts = [vocabulary.take(pa.array(w)) for w in words[:-1]] + [last.take(pa.array(words[-1]))]
+        texts.append(parts[0] if length == 1 else pc.binary_join_element_wise(*parts, blank))
     homes, counts, texts = np.concatenate(homes), np.concatenate(counts), pa.concat_arrays(texts)
-    by_home = np.argsort(homes, kind="stable")
-    homes, counts, texts = homes[by_home], counts[by_home], texts.take(pa.array(by_home))
+    order = np.argsort(homes, kind="stable")
+    homes, counts, texts = homes[order], counts[order], texts.take(pa.array(order))
     starts = np.r_[np.flatnonzero(np.r_[True, homes[1:] != homes[:-1]]), len(homes)]
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    run = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(ends[starts]), texts.buffers()[2]])
-    numbers = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [
-        None, pa.py_buffer(starts * 8), pa.py_buffer(counts.astype("<i8"))])
-    return pa.RecordBatch.from_arrays([
-        pa.array([language] * len(run), pa.string()), pa.array(homes[starts[:-1]].astype(np.int64)), run.cast(pa.binary()),
-        numbers.cast(pa.binary())], names=["lang", "home", "phrases", "counts"])
+    ends, data, pack = np.frombuffer(texts.buffers()[1], np.int64), texts.buffers()[2], pa.Codec("zstd", 1).compress
+    counts = counts.astype("<i8")
+    for begin in range(0, len(starts) - 1, ROWS_AT_ONCE):
+        spans = list(zip(starts[begin:-1], starts[begin + 1:], strict=True))[:ROWS_AT_ONCE]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([language] * len(spans), pa.string()), pa.array([int(homes[a]) for a, _ in spans], pa.int64()),
+            pa.array([int(ends[b] - ends[a]) for a, b in spans], pa.int64()), pa.array([int(b - a) for a, b in spans], pa.int64()),
+            pa.array([pack(data.slice(int(ends[a]), int(ends[b] - ends[a])), asbytes=True) for a, b in spans], pa.binary()),
+            pa.array([pack(counts[a:b].tobytes(), asbytes=True) for a, b in spans], pa.binary())],
+            names=["lang", "home", "size", "entries", "phrases", "counts"])
+
+
+_RUN = "lang string, home bigint, size bigint, entries bigint, phrases binary, counts binary"
 
 
 def sorted_runs(docs: DataFrame, partitions: int, longest: int = 3, entries: int = TRIE_ENTRIES, burst: int = BURST) -> DataFrame:
-    """Runs of ``lang``, ``home`` (partition), ``phrases`` (one a line) and ``counts`` (8 bytes each, little-endian)."""
+    """Runs of ``lang``, ``home`` (partition), ``phrases`` (one a line) and ``counts`` (8 bytes each), both packed, with their numbers."""
 
     def run(batches):
-        trie = PhraseTrie(longest, entries, burst)
+        trie = PhraseTrie(longest, burst)
 
         def spill(share):
-            taken = trie.take(share)
-            vocabulary = pa.array(list(trie.numbers), pa.large_binary())  # in the order of their numbers
-            ranks = pc.sort_indices(vocabulary).to_numpy()
-            # The end of a piece is no word, so it may go before all others.
-            ranks = np.r_[_END, ranks[ranks != _END]]
-            order = np.empty(len(ranks), np.int64)
-            order[ranks] = np.arange(len(ranks))
-            vocabulary = vocabulary.take(pa.array(ranks))
-            digests = np.fromiter(map(xxhash.xxh64_intdigest, vocabulary.to_pylist()), np.uint64, len(ranks))
-            for language, found in taken.items():
-                yield _runs(language, found, vocabulary, order, digests, partitions, longest)
+            keys, n = trie.take(share)
+            if not len(keys):
+                return
+            language_of = np.zeros(max(max(d.values()) for d in trie.numbers.values()) + 1, np.int64)
+            for i, numbers in enumerate(trie.numbers.values()):
+                language_of[np.fromiter(numbers.values(), np.int64, len(numbers))] = i
+            languages = language_of[keys >> 2 * _BITS]
+            for i, (language, numbers) in enumerate(trie.numbers.items()):
+                own = languages == i
+                if own.any():
+                    yield from _runs(language, keys[own], n[own], numbers, partitions, longest)
 
         for part in slices(batches):
+            together: dict[str, list[bytes]] = {}
             for language, text in zip(strings(part, "lang"), raw_bytes(part), strict=True):
-                trie.add(_LANGUAGE if language is None else language, text)
-                if len(trie.numbers) > KNOWN_WORDS:
-                    yield from spill(1.0)
-                    trie.forget()
-                elif trie.entries > entries:
-                    yield from spill(0.5)
-        if trie.entries:
-            yield from spill(1.0)
-
-    return arrow_pass(docs, ["lang", "text"], run, "lang string, home bigint, phrases binary, counts binary")
-
-
-def _merged(rows: list[tuple[bytes, bytes]], least: int) -> tuple[pa.Array, pa.Array, int]:
+                together.setdefault(_LANGUAGE if language is None else language, []).append(text or b"")
+            for language, texts in together.items():
+                tokens = [t for t in b"\n".join(texts).translate(_TABLE).replace(b"\n", b" \n ").split(b" ") if t]
+                for start in range(0, len(tokens), WORDS_AT_ONCE):
+                    trie.add(language, tokens, start, min(start + WORDS_AT_ONCE, len(tokens)))
+                    trie.burst_large()
+                    if trie.words() > KNOWN_WORDS:
+                        yield from spill(1.0)
+                        trie.forget()
+                    elif trie.entries() > entries:
+                        yield from spill(SPILLED)
+        yield from spill(1.0)
+
+    return arrow_pass(docs, ["lang", "text"], run, _RUN)
+
+
+def _merged(rows: list[tuple[int, int, bytes, bytes]], least: int) -> tuple[pa.Array, pa.Array, int]:
     """Phrases of at least ``least`` occurrences over all runs, their counts, and the occurrences of single words."""
-    text = np.frombuffer(b"".join(p for p, _ in rows), np.uint8)
-    counts = np.frombuffer(b"".join(c for _, c in rows), "<i8")
-    ends = np.flatnonzero(text == 10)
-    phrases = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [
-        None, pa.py_buffer(np.r_[0, ends + 1].astype(np.int64)), pa.py_buffer(text)])
-    alone = np.add.reduceat(text == 32, np.r_[0, ends[:-1] + 1], dtype=np.int64) == 0
+    unpack = pa.Codec("zstd").decompress
+    text = np.concatenate([np.frombuffer(unpack(p, size), np.uint8) for size, _, p, _ in rows])
+    counts = np.concatenate([np.frombuffer(unpack(c, 8 * n), "<i8") for _, n, _, c in rows])
+    ends = np.flatnonzero(text == 10) + 1
+    phrases = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends]), pa.py_buffer(text)])
+    alone = np.add.reduceat(text == 32, np.r_[0, ends[:-1]], dtype=np.int64) == 0
     table = pa.table({"phrase": phrases, "n": counts}).group_by("phrase").aggregate([("n", "sum")])
     table = table.filter(pc.greater_equal(table["n_sum"], least))
     found = pc.binary_slice(table["phrase"].combine_chunks(), 0, -1)
@@ -232,18 +259,17 @@ def phrase_counts(docs: DataFrame, least: int = 10, longest: int = 3, entries: i
                 pa.concat_arrays([counts, pa.array([words], pa.int64())])], names=["lang", "phrase", "n"])
 
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("home", "lang", "phrases", "counts")]
-            for home, lang, phrases, counts in zip(*columns, strict=True):
-                if (now := (home.as_py(), lang.as_py())) != key and rows:
+            for row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+                if row[:2] != key and rows:
                     yield done()
                     rows = []
-                key = now
-                rows.append((phrases.as_py(), counts.as_py()))
+                key = row[:2]
+                rows.append(row[2:])
         if rows:
             yield done()
 
     together = runs.repartition("home", "lang").sortWithinPartitions("home", "lang")
-    return arrow_pass(together, ["home", "lang", "phrases", "counts"], merge, "lang string, phrase string, n bigint")
+    return arrow_pass(together, ["home", "lang", "size", "entries", "phrases", "counts"], merge, "lang string, phrase string, n bigint")
 
 
 def score_of(a: Column, left: Column, right: Column) -> Column:
