@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, collocations, neighbours, packing, pieces, private_data, quality_rules, secrets, simhash, url_rules, wordpiece
+from . import (boosting, collocations, neighbours, packing, pieces, private_data, quality_rules, secrets, shard_order, simhash,
+               spelling_variants, url_rules, wordpiece)
 
 PIECES = "piece_bpe_32k.model"
 WORD_PIECES = "word_bpe_49k.json"
@@ -78,11 +79,41 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_shard_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_order.shard_documents(table(spark, sf_dir, "documents"), 16)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_quality_classifier, op3_private_data, op4_token_counts, op5_url_filters, op6_pieces, op7_quality_rules, op8_nearest,
-    op9_packing, op10_secrets, op11_collocations)}
+    op9_packing, op10_secrets, op11_collocations, op12_shard_order,
+    op13_spelling_variants)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _half_byte(i: int) -> int:
+    """CRC-32 of four bits: its rule, four times."""
+    for _ in range(4):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned CRC-32 of a text's UTF-8 bytes, half a byte at a time."""
+    table = "[" + ", ".join(str(_half_byte(i)) for i in range(16)) + "]"
+    step = lambda c: f"xor(({c}) >> 4, {table}[(({c}) & 15) + 1])"
+    data = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda b: ('0x' || b)::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {data}, lambda c, b: {step(step('xor(c, b)'))}), 4294967295)"
+
+
+def _mix(half: str) -> str:
+    return f"('0x' || substr(md5('{shard_order.KEY}:' || round || ':' || {half}), 1, 8))::BIGINT"
+
+
 _RULES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 ORACLES = {
     "op5_url_filters": f"""
@@ -120,4 +151,33 @@ longer AS (SELECT lang, phrase, max(a) AS b FROM (SELECT lang, array_to_string(w
   WHERE m = 3) GROUP BY lang, phrase)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM weakest JOIN totals USING (lang) LEFT JOIN longer USING (lang, phrase) WHERE m = 3 OR b IS NULL OR 100 * b < 50 * a QUALIFY rank <= 2000""",
+    "op12_shard_order": f"""
+WITH RECURSIVE described AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS i FROM described),
+sides AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM documents)),
+walk AS (SELECT i, 0 AS round, i // b AS l, i % b AS r FROM numbered, sides
+  UNION ALL SELECT i, CASE WHEN round = {shard_order.ROUNDS} THEN 0 ELSE round + 1 END,
+    CASE WHEN round = {shard_order.ROUNDS} OR round % 2 = 1 THEN l ELSE (l + {_mix("r")}) % a END,
+    CASE WHEN round = {shard_order.ROUNDS} OR round % 2 = 0 THEN r ELSE (r + {_mix("l")}) % b END
+  FROM walk, sides WHERE round < {shard_order.ROUNDS} OR l * b + r >= n),
+placed AS (SELECT i, l * b + r AS v FROM walk, sides WHERE round = {shard_order.ROUNDS} AND l * b + r < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (v % 16)::INTEGER AS shard, v // 16 AS slot, NULL::INTEGER AS grown_shard, i AS row_number
+FROM numbered JOIN placed USING (i)""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE runs AS (SELECT doc_id, {_LOWER.format("run")} AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, c, {_crc32("doc_id || ':' || run")} AS h FROM runs),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2)
+  ELSE run END AS word FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+gaps AS (SELECT word, n, left(word, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+lacks AS (SELECT DISTINCT g.word AS longer, w.word AS shorter, g.n AS longer_n, w.n AS shorter_n FROM gaps g JOIN words w ON w.word = g.head || g.tail),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION ALL SELECT longer, shorter, shorter_n FROM lacks UNION ALL SELECT shorter, longer, longer_n FROM lacks),
+best AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+forms AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+ways AS (SELECT word, word AS at FROM forms UNION ALL SELECT ways.word, form FROM ways JOIN forms ON forms.word = ways.at WHERE form IS NOT NULL)
+SELECT f.word, f.form, ways.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN ways USING (word) JOIN forms last ON last.word = ways.at WHERE last.form IS NULL""",
 }
