@@ -18,12 +18,12 @@ from .components import connected_components
 from .ordering import with_ordinal
 
 
-#: Rows of a group of threats that one task decides in order. Bigger groups shrink by further rounds first.
-GROUP_ROWS = 1_000_000
+#: (threat, event) rows of a component that one task decides at a time.
+STRETCH_ROWS = 1_000_000
 
 
 def _decide(rows: pd.DataFrame) -> pd.DataFrame:
-    """Openers of one group, threats in order."""
+    """Openers of one stretch, threats in order."""
     claimed: set = set()
     opened = []
     for idx, group in rows.sort_values("idx").groupby("idx", sort=False):
@@ -34,37 +34,59 @@ def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"idx": pd.Series(opened, dtype="int64")})
 
 
-def _group_openers(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(openers, rows of groups too big for one task). Threats of different components never meet,
-    so each component is decided by itself, all components in parallel."""
+def _stretches(undecided: DataFrame) -> DataFrame:
+    """Rows with the ``root`` of their component and ``step``, the number of their stretch in it.
+
+    Stretches follow the order of the threats and hold ``STRETCH_ROWS`` rows or a little more; a threat with
+    more events than that is a stretch of its own. Places come from one distributed sort.
+    """
     roots = connected_components(_sharing(undecided))
-    grouped = stage(undecided.join(roots.select(F.col("node").alias("idx"), "root"), "idx", "left").select(
-        "idx", "event_id", F.coalesce("root", "idx").alias("root")), "chain-groups")
-    big = grouped.groupBy("root").agg(F.count("*").alias("rows")).filter(F.col("rows") > GROUP_ROWS).select("root")
-    small = grouped.join(big, "root", "left_anti").groupBy("root").applyInPandas(_decide, "idx long")
-    return stage(small, "chain-heads"), stage(grouped.join(big, "root", "left_semi").select("idx", "event_id"), "chain-edges")
+    grouped = undecided.join(roots.select(F.col("node").alias("idx"), "root"), "idx", "left").select(
+        F.coalesce("root", "idx").alias("root"), "idx", "event_id")
+    placed = stage(with_ordinal(grouped, ["root", "idx", "event_id"]), "chain-places")
+    threats = placed.groupBy("root", "idx").agg(F.min("ord").alias("start"), F.count("*").alias("rows"))
+    begins = placed.groupBy("root").agg(F.min("ord").alias("begin"))
+    large = (F.col("rows") > STRETCH_ROWS).cast("int")
+    step = (F.floor((F.col("start") - F.col("begin")) / STRETCH_ROWS) * 2 + large).cast("long")
+    steps = threats.join(begins, "root").select("idx", step.alias("step"))
+    return stage(placed.select("root", "idx", "event_id").join(steps, "idx"), "chain-stretches")
+
+
+def _ordered_openers(undecided: DataFrame) -> list[DataFrame]:
+    """Openers of components, stretch by stretch; the stretches of all components with one number in one job.
+
+    Threats on an event that an earlier stretch claimed are settled. The others of a stretch are decided in order by
+    one task. A threat alone in its stretch opens a chain, and its events are never gathered. So there are as
+    many jobs as the largest component has stretches, and a task holds one stretch.
+    """
+    placed = _stretches(undecided)
+    claims, found = undecided.select("event_id").limit(0), []
+    for step in sorted(r["step"] for r in placed.select("step").distinct().collect()):
+        part = placed.where(F.col("step") == step)
+        settled = part.join(claims, "event_id", "left_semi").select("idx").distinct()
+        rest = stage(part.join(settled, "idx", "left_anti"), "chain-rest")
+        threats = rest.select("root", "idx").distinct()
+        several = threats.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+        alone = threats.join(several, "root", "left_anti").select("idx")
+        decided = rest.join(several, "root", "left_semi").groupBy("root").applyInPandas(_decide, "idx long")
+        opened = stage(alone.unionByName(decided), "chain-heads")
+        found.append(opened)
+        claims = claims.unionByName(stage(rest.join(opened, "idx", "left_semi").select("event_id").distinct(), "chain-claims"))
+    return found
 
 
 def _openers(edges: DataFrame) -> DataFrame:
     """Chain openers among the threats that have events.
 
-    A round: a threat that is the first undecided one on all its events opens a chain, and every other
-    threat on those events is settled as a member. The first round settles nearly all rows. What remains
-    falls into components that share no event; each is decided in one task, so a long run of overlapping
-    threats needs no round per link. Only components above ``GROUP_ROWS`` go through another round, after
-    which they have fallen apart further. Rounds are written out; the result is the same either way.
+    First, a threat that is the first one on all its events opens a chain, and every other threat on those
+    events is settled as a member; that settles nearly all rows. What remains falls into components that
+    share no event, and these are decided in the order of their threats, all at the same time.
     """
-    undecided = stage(edges, "chain-edges")
-    found = []
-    while not undecided.isEmpty():
-        opened, undecided = _round(undecided)
-        found.append(opened)
-        if not undecided.isEmpty():
-            opened, undecided = _group_openers(undecided)
-            found.append(opened)
-    heads = edges.select("idx").limit(0)
-    for part in found:
-        heads = heads.union(part)
+    opened, undecided = _round(stage(edges, "chain-edges"))
+    heads = opened
+    if not undecided.isEmpty():
+        for part in _ordered_openers(undecided):
+            heads = heads.unionByName(part)
     return heads
 
 

@@ -159,24 +159,25 @@ def test_chains_equal_model(spark, threats):
 
 @pytest.mark.parametrize("rows", [1000, 20])
 def test_long_runs_by_groups(spark, monkeypatch, rows):
-    """Runs of overlapping threats in groups below and above the limit of a task."""
-    monkeypatch.setattr(chains, "GROUP_ROWS", rows)
+    """Runs of overlapping threats in one stretch and in many, with a threat larger than a stretch."""
+    monkeypatch.setattr(chains, "STRETCH_ROWS", rows)
     rnd = random.Random(rows)
-    threats = [{i, i + 1} | ({i + 2} if rnd.random() < 0.3 else set()) for i in range(45)] + [{0, 44}, {90}, {90, 12}]
+    threats = [{i, i + 1} | ({i + 2} if rnd.random() < 0.3 else set()) for i in range(45)] + [{0, 44}, {90}, {90, 12}, set(range(40, 75)), {74, 80}]
     t, links = frames(spark, threats)
     assert {r.idx: r.head for r in chains.assign_chains(t, links).collect()} == greedy(threats)
 
 
-def test_unbroken_run_needs_few_rounds(spark, monkeypatch):
-    """One run of overlapping threats over 50,000 chunks."""
+@pytest.mark.parametrize(("rows", "steps"), [(1_000_000, 1), (30_000, 4)])
+def test_unbroken_run_needs_few_rounds(spark, monkeypatch, rows, steps):
+    """One run of overlapping threats over 50,000 chunks takes one job per stretch of its 100,000 rows."""
     rounds = []
-    plain = chains._round
-    monkeypatch.setattr(chains, "_round", lambda rows: rounds.append(1) or plain(rows))
+    monkeypatch.setattr(chains, "STRETCH_ROWS", rows)
+    monkeypatch.setattr(chains, "stage", lambda df, label, keep=chains.stage: rounds.append(label) or keep(df, label))
     ids = spark.range(50000).select(F.col("id").alias("idx"))
     links = ids.select("idx", F.explode(F.array(F.col("idx").cast("string"), (F.col("idx") + 1).cast("string"))).alias("event_id"))
     heads = chains.assign_chains(ids, links)
     assert heads.where("idx % 2 = 0 AND head <> idx OR idx % 2 = 1 AND head <> idx - 1").count() == 0
-    assert heads.count() == 50000 and len(rounds) <= 3
+    assert heads.count() == 50000 and rounds.count("chain-rest") == steps
 
 
 def test_event_of_many_findings(spark):
