@@ -6,47 +6,83 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.normalize import std_columns, union_sources
 from ..operators.ordering import with_ordinal
 from ..schemas import FLOW
+from ..workspace import stage
+from .cutting import csv_heads, csv_records
 from .json_logs import read_json_array
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """Headered CSV with a given schema; malformed values become null, a header that differs is an error."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    """Headered CSV with a given schema; malformed and empty values become null, a header that differs is an error."""
+    rows, heads, _ = _by_position(spark, path, standard=False)
+    other = heads.where(F.col("header") != F.array(*map(F.lit, schema.names))).select("file", "header").first()
+    if other is not None:
+        raise ValueError(f"{other['file']} has the names {other['header']} where {schema.names} are expected")
+    return _or_fail(rows).select(*[F.nullif(F.get("values", F.lit(i)), F.lit("")).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)])
 
 
 def read_csv_by_header(spark: SparkSession, path) -> DataFrame:
     """Headered CSV files as text columns by name, whatever columns and order each file has.
 
-    Files whose whole header record is equal are read together. File names and headers reach the driver,
-    which holds every name in Spark's own file index as well.
+    Values may hold line breaks inside quotes. Empty values and those that a short row lacks are null; a row with
+    more values than names is an error.
     """
-    frames = [std_columns(spark.read.option("header", True).csv(paths)) for paths in _by_header(spark, path)]
-    return union_sources(*frames)
+    rows, heads, names = _by_position(spark, path)
+    return _or_fail(rows).select(*_columns(heads, names))
 
 
-def _by_header(spark: SparkSession, path) -> list[list[str]]:
-    from .files import exact, head_record, list_files
+def read_csv_placed(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): as ``read_csv_by_header``, each row with its ``file`` and ``place``; nothing is an error.
 
-    by_header: dict[str, list[str]] = {}
-    for row in head_record(list_files(spark, path).select("path")).toLocalIterator():
-        by_header.setdefault(row["header"], []).append(exact(row["path"]))
-    if not by_header:
+    Rejects have file, line and reason: rows with more or fewer values than names, records that are too large or
+    whose quote never closes, and the records of files without a header.
+    """
+    rows, heads, names = _by_position(spark, path)
+    said = F.concat(F.size("values"), F.lit(" values under "), F.size("header"), F.lit(" names"))
+    reason = F.coalesce("problem", F.when(F.col("header").isNull(), "no header").when(F.size("values") != F.size("header"), said))
+    judged = rows.withColumn("reason", reason)
+    own = [c.alias("_" + n if n in ("file", "place") else n) for c, n in zip(_columns(heads, names), names, strict=True)]
+    good = judged.where("reason is null").select("file", "place", *own)
+    return good, judged.where("reason is not null").select("file", F.col("text").alias("line"), "reason")
+
+
+def _by_position(spark: SparkSession, path, standard: bool = True) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Records with their file's ``header`` and ``order`` (per name, its places there), the table of headers, and all names.
+
+    The names of all files reach the driver, which needs them for the schema; files and headers don't.
+    """
+    heads = csv_heads(spark, path)
+    name = lambda n, i: F.when(n == "", F.concat(F.lit("_c"), i)).otherwise(F.lower(F.replace(n, F.lit(" "), F.lit("_"))) if standard else n)
+    heads = heads.withColumn("header", F.transform("header", name))
+    heads = stage(heads, "csv-heads")
+    seen = heads.select(F.posexplode("header").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()
+    if not seen:
         raise ValueError(f"no csv files found in {path}")
-    return [paths for _, paths in sorted(by_header.items())]
-
-
-def read_csv_placed(spark: SparkSession, path) -> DataFrame:
-    """As ``read_csv_by_header``, each row with its ``file`` and ``place``."""
-    frames = []
-    for paths in _by_header(spark, path):
-        raw = spark.read.option("header", True).csv(paths)
-        placed = raw.select(*[F.col("`" + c.replace("`", "``") + "`") for c in raw.columns], F.col("_metadata.file_path").alias("_file"),
-                            F.monotonically_increasing_id().alias("_place"))
-        frames.append(std_columns(placed).withColumnsRenamed({"_file": "file", "_place": "place"}))
-    return union_sources(*frames)
+    names = [r["name"] for r in seen]
+    places = F.transform(F.array(*map(F.lit, names)), lambda n: F.filter(
+        F.transform("header", lambda h, i: F.when(h == n, i)), lambda i: i.isNotNull()))
+    ordered = heads.select("file", F.col("place").alias("head"), "header", places.alias("order"))
+    rows = csv_records(spark, path).join(ordered, "file", "left")
+    return rows.where(F.col("head").isNull() | (F.col("place") != F.col("head"))), ordered, names
+
+
+def _value(place: int, most: int) -> Column:
+    """The first value present under the name at ``place``; a file has it ``most`` times at most."""
+    at = F.get("order", F.lit(place))
+    found = [F.nullif(F.get("values", F.get(at, F.lit(k))), F.lit("")) for k in range(most)]
+    return found[0] if most == 1 else F.coalesce(*found)
+
+
+def _columns(heads: DataFrame, names: list[str]) -> list[Column]:
+    most = heads.select(F.max(F.array_max(F.transform("order", lambda o: F.size(o))))).first()[0] or 1
+    return [_value(i, most).alias(n) for i, n in enumerate(names)]
+
+
+def _or_fail(rows: DataFrame) -> DataFrame:
+    problem = F.coalesce("problem", F.when(F.col("header").isNull(), "no header"), F.when(F.size("values") > F.size("header"), "more values than names"))
+    said = F.concat(F.col("file"), F.lit(", byte "), F.col("place"), F.lit(": "), problem)
+    return rows.where(F.when(problem.isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True))
 
 
 def read_flows(spark: SparkSession, path, start: Column) -> DataFrame:

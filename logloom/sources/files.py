@@ -60,25 +60,6 @@ def _heads(listing: DataFrame, render: Callable, name: str) -> DataFrame:
     return listing.mapInPandas(read, schema)
 
 
-def head_record(listing: DataFrame) -> DataFrame:
-    """``header``: the first CSV record of each file, whole, with line breaks inside quotes."""
-
-    def first(handle) -> str:
-        text = b""
-        while True:
-            more = handle.read(1 << 16)
-            text += more
-            quotes = 0
-            for i, byte in enumerate(text):
-                quotes += byte == 34
-                if byte == 10 and quotes % 2 == 0:
-                    return text[:i].decode("utf-8", "ignore").strip("\r ")
-            if not more:
-                return text.decode("utf-8", "ignore").strip("\r ")
-
-    return _heads(listing, first, "header")
-
-
 def head_sample(listing: DataFrame, chars: int = C.DETECT_SAMPLE_CHARS) -> DataFrame:
     """``sample``: the first characters of each file (a character is at most four bytes)."""
     return _heads(listing, lambda f: f.read(4 * chars).decode("utf-8", "ignore")[:chars], "sample")
@@ -170,7 +151,7 @@ def _records(records: DataFrame) -> DataFrame:
 
 def _documents(spark: SparkSession, paths, year: int | None) -> Loaded:
     records, broken = json_logs.read_json_documents(spark, paths)
-    return Loaded(_records(records), _rejects(broken, "not a JSON document"))
+    return Loaded(_records(records), broken)
 
 
 def _json_lines(spark: SparkSession, paths, year: int | None) -> Loaded:
@@ -179,8 +160,7 @@ def _json_lines(spark: SparkSession, paths, year: int | None) -> Loaded:
 
 
 def _csv(spark: SparkSession, paths, year: int | None) -> Loaded:
-    rows = delimited.read_csv_placed(spark, paths)
-    return Loaded(rows, rows.select("file", F.lit(None).cast("string").alias("line"), F.lit("").alias("reason")).limit(0))
+    return Loaded(*delimited.read_csv_placed(spark, paths))
 
 
 def _xml(spark: SparkSession, paths, year: int | None) -> Loaded:

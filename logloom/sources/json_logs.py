@@ -1,5 +1,4 @@
-"""JSON sources. A root array or wrapped array is one document, so one task reads one file;
-JSON Lines splits and is the form to prefer for big inputs."""
+"""JSON sources. A root array or wrapped array is cut into its elements where they lie, by many tasks; see ``cutting``."""
 
 from __future__ import annotations
 
@@ -10,16 +9,18 @@ from pyspark.sql import types as T
 from .. import constants as C
 from ..functions.text import strict_json, strip
 from ..schemas import PROCESS, RAW_EVENT
+from .cutting import LARGEST_RECORD, SHOWN, WRAPPERS, json_records
 
 
-#: Keys under which a document may hold its list of events, in the order they are tried.
-WRAPPERS = ("events", "data", "telemetry", "telemetry_events")
+def _parsed(spark: SparkSession, path, keys: tuple[str, ...], largest: int = LARGEST_RECORD) -> DataFrame:
+    """Records with ``record``, the VARIANT of their text, which is null if that is no JSON object."""
+    texts = json_records(spark, path, keys, largest)
+    is_object = strip(F.col("text")).startswith("{") & F.col("problem").isNull()
+    return texts.withColumn("record", F.when(is_object, strict_json(F.col("text"))))
 
 
-def _documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One VARIANT per document, null for text that is not JSON, and the file it comes from."""
-    raw = spark.read.option("multiLine", True).option("singleVariantColumn", "document").json(path)
-    return raw.select("document", F.col("_metadata.file_path").alias("file"))
+def _objects(spark: SparkSession, path, keys: tuple[str, ...], level: int) -> DataFrame:
+    return _parsed(spark, path, keys).where((F.col("level") == level) & F.col("record").isNotNull()).select("record")
 
 
 def known_fields(records: DataFrame, schema: T.StructType = RAW_EVENT, record: str = "record") -> DataFrame:
@@ -36,45 +37,42 @@ def known_fields(records: DataFrame, schema: T.StructType = RAW_EVENT, record: s
 
 
 def read_json_array(spark: SparkSession, path, schema: T.StructType = RAW_EVENT) -> DataFrame:
-    """Root array: one row per element, keys outside ``schema`` in ``extra``."""
-    items = F.try_variant_get("document", "$", "array<variant>")
-    return known_fields(_documents(spark, path).select(F.explode(items).alias("record")), schema)
+    """Root array: one row per element that is an object, keys outside ``schema`` in ``extra``.
+
+    ``read_json_documents`` has the other elements as rejects.
+    """
+    return known_fields(_objects(spark, path, (), 1), schema)
 
 
 def read_json_wrapped(spark: SparkSession, path, field: str, schema: T.StructType = RAW_EVENT) -> DataFrame:
     """Root object whose ``field`` ("events" or "data") holds the array."""
-    items = F.try_variant_get("document", f"$.{field}", "array<variant>")
-    return known_fields(_documents(spark, path).select(F.explode(items).alias("record")), schema)
+    return known_fields(_objects(spark, path, (field,), 2), schema)
 
 
 def read_json_object(spark: SparkSession, path, schema: T.StructType = RAW_EVENT) -> DataFrame:
     """Any other root object: one row."""
-    return known_fields(_documents(spark, path).where(F.col("document").isNotNull()).select(F.col("document").alias("record")), schema)
+    return known_fields(_objects(spark, path, (), 0), schema)
 
 
-def read_json_documents(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+def read_json_documents(spark: SparkSession, path, largest: int = LARGEST_RECORD) -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of documents of any form: a list under one of ``WRAPPERS``, a list, or one event.
 
-    Records are VARIANT with their file and place in it; rejects are the files that hold no JSON document.
+    Records are VARIANT objects with their file and place in it. Rejects have file, line (the beginning) and
+    reason: files that hold neither list nor object, elements that are no objects, that are broken, that have more
+    than ``largest`` bytes, or in which the document ends.
     """
-    read = _documents(spark, path)
+    read = _parsed(spark, path, WRAPPERS, largest)
     return (
-        read.where(F.col("document").isNotNull()).select(F.posexplode(_items(F.col("document"))).alias("place", "record"), "file"),
-        read.where(F.col("document").isNull()).select("file", F.lit(None).cast("string").alias("line")),
+        read.where(F.col("record").isNotNull()).select("place", "record", "file"),
+        read.where(F.col("record").isNull()).select("file", F.substring("text", 1, SHOWN).alias("line"),
+                                                    F.coalesce("problem", F.lit("not a JSON object")).alias("reason")),
     )
 
 
-def _items(document: Column) -> Column:
-    lists = [F.try_variant_get(document, f"$.{w}", "array<variant>") for w in WRAPPERS]
-    return F.coalesce(*lists, F.try_variant_get(document, "$", "array<variant>"), F.array(document))
-
-
 def read_telemetry(spark: SparkSession, path) -> DataFrame:
     """Telemetry documents as VARIANT records, one per event.
 
-    The root may be a list, an object with ``telemetry``, ``telemetry_events`` or ``events``,
-    or one event. A document is one VARIANT, so its size is limited by that type; big logs
-    should be JSON Lines.
+    The root may be a list, an object with ``telemetry``, ``telemetry_events`` or ``events``, or one event.
     """
     return read_json_documents(spark, path)[0].select("record")
 

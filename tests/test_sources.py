@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.schemas import strings
-from logloom.sources import delimited, files, json_logs, line_formats, results, windows_xml
+from logloom.sources import cutting, delimited, files, json_logs, line_formats, results, windows_xml
 
 
 def lines(spark, *texts):
@@ -200,8 +200,8 @@ def test_long_headers_are_told_apart(spark, tmp_path):
     (tmp_path / "a.csv").write_text(f"{wide},first\n{',' * 1500}1\n")
     (tmp_path / "b.csv").write_text(f"{wide},second\n{',' * 1500}2\n")
     (tmp_path / "c.csv").write_text('third,"odd\nname"\n3,x\n')
-    heads = {r.path[-5:]: r.header for r in files.head_record(files.list_files(spark, str(tmp_path))).collect()}
-    assert heads["a.csv"].endswith("first") and heads["b.csv"].endswith("second") and heads["c.csv"] == 'third,"odd\nname"'
+    heads = {r.file[-5:]: r.header for r in cutting.csv_heads(spark, str(tmp_path)).collect()}
+    assert heads["a.csv"][-1] == "first" and heads["b.csv"][-1] == "second" and heads["c.csv"] == ["third", "odd\nname"]
     rows = delimited.read_csv_by_header(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).select("first", "second").collect()
     assert sorted((r.first or "", r.second or "") for r in rows) == [("", "2"), ("1", "")]
 
