@@ -16,7 +16,8 @@ from .catalog import query, stamp, stamp_sql
 from .event_queries import telemetry_record
 from .rule_findings import load_replies
 
-DOCUMENT_EVENTS = 1000  # events per JSON document: one document is read by one task
+DOCUMENT_EVENTS = 1000  # events per JSON document
+INPUT_EVENTS = 100  # events per file whose change is looked for
 
 _FIELDS = ["event_id", "event_type", "process_name", "hostname", "username", "source", "destination", "action"]
 _FIELD_SQL = "SELECT " + ", ".join(_FIELDS) + ", '{\"k\":' || k || '}' AS unlisted FROM ev"
@@ -91,13 +92,16 @@ def src_json_lines(spark, sf_dir):
     return good.union(bad)
 
 
-@query("src_csv", "SELECT event_id, event_type, hostname, command_line, k, round(bytes, 2) AS bytes FROM ev", "ev")
+@query("src_csv", """SELECT event_id, event_type, hostname, CASE WHEN k % 5 = 0 THEN command_line || chr(10) || '"x", ' || k ELSE command_line END AS command_line,
+  k, round(bytes, 2) AS bytes FROM ev""", "ev")
 def src_csv(spark, sf_dir):
+    """One in five values has a line break, quotes and a comma."""
     path = new_path(spark, "csv")
     columns = ["event_id", "event_type", "hostname", "command_line", "k", "bytes"]
-    load_events(spark, sf_dir).select(*columns).write.option("header", True).csv(path)
-    schema = load_events(spark, sf_dir).select(*columns).schema
-    return delimited.read_csv(spark, path, schema).withColumn("bytes", F.round("bytes", 2))
+    broken = F.concat("command_line", F.lit('\n"x", '), "k")
+    rows = load_events(spark, sf_dir).select(*columns).withColumn("command_line", F.when(F.col("k") % 5 == 0, broken).otherwise(F.col("command_line")))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return delimited.read_csv(spark, path, rows.schema).withColumn("bytes", F.round("bytes", 2))
 
 
 @query("src_flow_csv", """SELECT 'evt-' || (row_number() OVER (ORDER BY event_no)) AS event_id, source, destination, action,
@@ -305,13 +309,16 @@ def _mixed_folder(spark, sf_dir) -> str:
     }
     for number, line in lines.items():
         events.filter(case == number).select(line).write.mode("append").text(path)
-    rows = events.filter(case == 5).select("event_id", F.when(broken, F.lit("soon")).otherwise(at).alias("timestamp"), "event_type", "hostname", "username")
-    rows.write.mode("append").option("header", True).csv(path)
+    record = F.when(F.col("event_no") % 100 == 15, text(event, ",", at)).otherwise(
+        text(event, ",", F.when(broken, F.lit("soon")).otherwise(at), ",", kind, ",", host, ',"', F.col("username"), '\n""of"" ', kind, '"'))
+    sheets = events.filter(case == 5).groupBy(block.alias("block")).agg(F.array_join(F.array_sort(F.collect_list(record)), "\n").alias("rows"))
+    _write_named(sheets.select(text("event_id,timestamp,event_type,hostname,username\n", F.col("rows")).alias("value"),
+                               text("block ", F.col("block"), ".csv").alias("name")), path)
     return path
 
 
 @query("load_events", "SELECT event_id AS id, ([" + ", ".join(f"'{f}'" for f in _MIXED) + """])[event_no % 10 + 1] AS format, hostname,
-  strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS second_text FROM ev WHERE event_no % 10 <= 3 OR event_no % 100 >= 10""", "ev")
+  strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS second_text FROM ev WHERE event_no % 10 <= 3 OR event_no % 100 >= 10 AND event_no % 100 <> 15""", "ev")
 def load_all_formats(spark, sf_dir):
     """Normalised events of a folder that mixes all formats."""
     events = files.load_events(spark, _mixed_folder(spark, sf_dir), year=2024).records
@@ -322,11 +329,11 @@ def load_all_formats(spark, sf_dir):
         F.coalesce("hostname", F.get_json_object(F.try_element_at("extra", F.lit("host")), "$.name")).alias("hostname"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("second_text"))
 
 
-_REASONS = {4: "not a JSON line", 5: "unreadable time", 6: "not a syslog line", 7: "not a LEEF line", 8: "not a CEF line", 9: "not well-formed XML"}
+_REASONS = {4: "not a JSON line", 5: "unreadable time", 6: "not a syslog line", 7: "not a LEEF line", 8: "not a CEF line", 9: "not well-formed XML", 15: "2 values under 5 names"}
 
 
-@query("load_rejects", "SELECT CASE event_no % 10 " + " ".join(f"WHEN {n} THEN '{r}'" for n, r in _REASONS.items()) +
-       " END AS reason, count(*) AS n FROM ev WHERE event_no % 100 BETWEEN 4 AND 9 GROUP BY 1", "ev")
+@query("load_rejects", "SELECT CASE event_no % 100 " + " ".join(f"WHEN {n} THEN '{r}'" for n, r in _REASONS.items()) +
+       f" END AS reason, count(*) AS n FROM ev WHERE event_no % 100 IN ({', '.join(map(str, _REASONS))}) GROUP BY 1", "ev")
 def load_rejects(spark, sf_dir):
     """What could not be read of the same folder, by reason."""
     rejects = files.load_events(spark, _mixed_folder(spark, sf_dir), year=2024).rejects
@@ -408,12 +415,12 @@ def _write_named(text: DataFrame, folder: str) -> None:
     text.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
 
 
-@query("pending_inputs", f"""SELECT 'block-' || (event_no // {DOCUMENT_EVENTS}) AS block, count(*) AS events FROM ev
-  GROUP BY event_no // {DOCUMENT_EVENTS} HAVING (event_no // {DOCUMENT_EVENTS}) % 2 = 1""", "ev")
+@query("pending_inputs", f"""SELECT 'block-' || (event_no // {INPUT_EVENTS}) AS block, count(*) AS events FROM ev
+  GROUP BY event_no // {INPUT_EVENTS} HAVING (event_no // {INPUT_EVENTS}) % 2 = 1""", "ev")
 def pending_inputs(spark, sf_dir):
     """Files of every other block are in the manifest; the rest are pending."""
     events, path = load_events(spark, sf_dir), new_path(spark, "inputs")
-    events.withColumn("block", F.floor(F.col("event_no") / F.lit(DOCUMENT_EVENTS))).select("block", "event_id").repartition(
+    events.withColumn("block", F.floor(F.col("event_no") / F.lit(INPUT_EVENTS))).select("block", "event_id").repartition(
         "block").write.partitionBy("block").csv(path)
     listing = files.head_hash(files.list_files(spark, path))
     block = F.regexp_extract("path", r"block=(\d+)", 1).cast("long")
