@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import stage
-from .ordering import exact_quantile
+from .ordering import exact_quantile, in_stretches
 
 PRIVATE_ADDRESS = r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
 
@@ -125,20 +125,20 @@ def exfiltration(events: DataFrame, width: str = "1 hour", q: float = 0.99) -> D
 def _partial_sessions(events: DataFrame, key: str, gap_seconds: int) -> tuple[DataFrame, DataFrame]:
     """Events with the number of their partial session, and the partial sessions with their ``session_start``.
 
-    First inside (key, time slice), with slices as long as the gap, then over the partial
-    sessions of a key. A slice holds at most two partial sessions, so their number is bounded
-    by the time span, not by the number of events.
+    Events are dealt to stretches of the order (key, time). Sessions are told apart inside (stretch, key), then
+    joined over the partial sessions of a key; of these a stretch adds one at most to the real sessions, so
+    their number is bounded by the time span, not by the number of events.
     """
     second = F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6
-    timed = events.withColumn("_t", second).withColumn("_slice", F.floor(F.col("_t") / F.lit(gap_seconds)))
-    inside = Window.partitionBy(key, "_slice").orderBy("_t")
+    timed = in_stretches(events.withColumn("_t", second), [key, "_t"], "session-events")
+    inside = Window.partitionBy("_part", key).orderBy("_t")
     starts = F.coalesce((F.col("_t") - F.lag("_t").over(inside) >= gap_seconds).cast("int"), F.lit(1))
     local = timed.withColumn("_new", starts).withColumn(
         "_local", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    partial = local.groupBy(key, "_slice", "_local").agg(
+    partial = local.groupBy(key, "_part", "_local").agg(
         F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.min("timestamp").alias("started"),
         F.max("timestamp").alias("ended"), F.count("*").alias("n"))
-    across = Window.partitionBy(key).orderBy("lo")
+    across = Window.partitionBy(key).orderBy("lo", "_part")
     opens = F.coalesce(F.col("lo") - F.lag("hi").over(across) >= gap_seconds, F.lit(True))
     named = partial.withColumn("_opened", F.when(opens, F.col("started"))).withColumn(
         "session_start", F.last("_opened", True).over(across.rowsBetween(Window.unboundedPreceding, 0)))
@@ -156,8 +156,8 @@ def failed_burst(events: DataFrame, failed: Column, gap_seconds: int = 300, mini
         F.sum("n").alias("event_count"), F.max("ended").alias("session_end")).filter(F.col("event_count") >= minimum)
     severity = F.when(F.col("event_count") >= 2 * minimum, "High").otherwise("Medium")
     parts = marked.join(groups.select("threat_id"), "threat_id", "left_semi").select(
-        "source", "_slice", "_local", "threat_id")
-    links = local.join(parts, ["source", "_slice", "_local"]).select("threat_id", "event_id")
+        "source", "_part", "_local", "threat_id")
+    links = local.join(parts, ["source", "_part", "_local"]).select("threat_id", "event_id")
     return Detection(_headers(groups, "Repeated Failures", severity, "High"), links)
 
 
@@ -191,30 +191,34 @@ def ioc_matches(events: DataFrame, indicators: DataFrame, columns: list[str]) ->
 def sequences(events: DataFrame, stages: list[tuple[str, Column]], limit_seconds: int, host: str = "hostname") -> DataFrame:
     """First-stage events followed by every later stage in order, on one host, within the limit.
 
-    A host's events are cut into slices of the limit; a slice also sees the next one, so a
-    sequence never crosses what one (host, slice) group holds. Walking back in time, each row
-    learns the nearest following row of the next stage.
+    Rows are dealt to stretches of the order (host, time, id). From the last stage but one to the first, each row
+    learns the nearest following row of the next stage that has a path to the end: inside its (stretch, host) if there
+    is one, else the first in a later stretch of the host. A stretch tells the earlier ones that first path only.
     """
     stage_of = F.coalesce(*[F.when(test, F.lit(i)) for i, (_, test) in enumerate(stages)])
     second = F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6
-    staged = events.select("event_id", F.col(host), "timestamp", stage_of.alias("stage"), second.alias("t")).filter(
-        F.col("stage").isNotNull()).withColumn("home", F.floor(F.col("t") / F.lit(limit_seconds)))
-    seen = staged.withColumn("slice", F.explode(F.array(F.col("home"), F.col("home") - 1)))
-    backwards = Window.partitionBy(host, "slice").orderBy(F.desc("t"), F.desc("event_id")).rowsBetween(
-        Window.unboundedPreceding, -1)
     last = len(stages) - 1
     # path: end time and event ids from this row to the last stage
     path = F.when(F.col("stage") == last, F.struct(F.col("t").alias("end"), F.array("event_id").alias("ids")))
-    seen = seen.withColumn("path", path)
-    for stage in range(last - 1, -1, -1):
-        following = F.last(F.when(F.col("stage") == stage + 1, F.col("path")), True).over(backwards)
-        seen = seen.withColumn("_next", following).withColumn(
-            "path",
-            F.when((F.col("stage") == stage) & F.col("_next").isNotNull(),
-                   F.struct(F.col("_next.end").alias("end"), F.concat(F.array("event_id"), F.col("_next.ids")).alias("ids")))
-            .otherwise(F.col("path")))
-    complete = seen.filter((F.col("stage") == 0) & (F.col("slice") == F.col("home")) & F.col("path").isNotNull()
-                           & (F.col("path.end") - F.col("t") <= limit_seconds))
+    staged = events.select("event_id", F.col(host), "timestamp", stage_of.alias("stage"), second.alias("t")).filter(
+        F.col("stage").isNotNull()).withColumn("path", path)
+    seen = in_stretches(staged, [host, "t", "event_id"], "sequence-events")
+    group = ["_part", host]
+    backwards = Window.partitionBy(*group).orderBy(F.desc("t"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(host).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    for number in range(last - 1, -1, -1):
+        found = F.when(F.col("stage") == number + 1, F.col("path"))
+        firsts = seen.groupBy(*group).agg(F.min_by(found, F.when(found.isNotNull(), F.struct("t", "event_id"))).alias("first"))
+        beyond = firsts.withColumn("_beyond", F.last("first", True).over(later)).select(
+            F.col("_part").alias("_p"), F.col(host).alias("_h"), "_beyond")
+        nearest = seen.withColumn("_near", F.last(found, True).over(backwards)).join(
+            beyond, (F.col("_part") == F.col("_p")) & F.col(host).eqNullSafe(F.col("_h")))
+        following = F.coalesce("_near", "_beyond")
+        grown = F.when((F.col("stage") == number) & following.isNotNull(),
+                       F.struct(following["end"].alias("end"), F.concat(F.array("event_id"), following["ids"]).alias("ids")))
+        # Rows of later stages are not asked again.
+        seen = stage(nearest.where(F.col("stage") <= number).withColumn("path", grown).select(*seen.columns), "sequence-paths")
+    complete = seen.filter((F.col("stage") == 0) & F.col("path").isNotNull() & (F.col("path.end") - F.col("t") <= limit_seconds))
     return complete.select(
         _id("SEQ", F.col(host), F.col("event_id")).alias("threat_id"), host, F.col("timestamp").alias("started"),
         (F.col("path.end") - F.col("t")).alias("seconds"), F.col("path.ids").alias("related_events"))

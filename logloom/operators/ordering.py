@@ -35,6 +35,17 @@ def with_ordinal(df: DataFrame, order_by: list[str], name: str = "ord") -> DataF
     return joined.withColumn(name, F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
 
 
+def in_stretches(df: DataFrame, order_by: list[str], label: str = "stretches") -> DataFrame:
+    """``df`` written with ``_part``: the number of the stretch of the order that a row lies in.
+
+    Stretches have about as many rows each, whatever the values; a key with a third of all rows has a third
+    of the stretches. Groups by (``_part``, key) are therefore bounded, and what they have to tell each other is
+    one row for each.
+    """
+    placed = df.repartitionByRange(*[F.col(c) for c in order_by]).withColumn("_part", F.spark_partition_id())
+    return stage(placed, label)
+
+
 def exact_quantile(df: DataFrame, column: str, q: float) -> Column:
     """Smallest value with at least ``q`` of the rows at or below it, as a scalar subquery.
 
