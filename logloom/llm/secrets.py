@@ -24,19 +24,34 @@ SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apik
 ORDINARY_WORDS = ("the and for with from this that not license version public general apache example test sample dummy placeholder "
                   "changeme none null true false your here page http https www com net org index html default user name value key "
                   "der die und das von que los las del para les des une est dans pour").split()
+#: Words before a value that say it is a digest, an identifier or data, not a secret.
+DIGEST_WORDS = ("commit sha sha1 sha256 sha384 sha512 md5 crc32 hash checksum digest etag revision rev blob tree parent object uuid guid id ids "
+                "image base64 integrity fingerprint build version serial isbn order ticket request trace span session_id png jpeg jpg gif").split()
+#: Prefixes of public key formats with what follows them.
+KEY_FORMATS = (r"(?:AKIA|ASIA)[A-Z0-9]{12,}", r"gh[pousr]_[A-Za-z0-9]{20,}", r"github_pat_\w{20,}", r"sk-[A-Za-z0-9_-]{20,}", r"xox[abprs]-[A-Za-z0-9-]{10,}",
+               r"AIza[A-Za-z0-9_-]{30,}", r"glpat-[A-Za-z0-9_-]{16,}", r"hf_[A-Za-z0-9]{20,}",
+               r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}(?:\.[A-Za-z0-9_-]*)?")
 _NAME = "|".join(SECRET_NAMES)
-#: An assignment to a telling name (bare, or a quoted key such as "name": or ['name'] =), a known key format, or a long run of key characters with a digit.
+#: What stands behind a telling name (bare, with a suffix, or a quoted key such as "name": or ['name'] =), the body of a private key, a password in a URL,
+#: a bearer token, a known key format, or a long run of key characters with a digit. Every part begins with a literal or a boundary, so a scan is linear.
 CANDIDATE = re.compile(
-    rf"(?P<name>(?:[A-Za-z0-9_-]{{0,40}}(?:{_NAME})))[\"']?\]?[\x20\t]{{0,3}}[=:][\x20\t]{{0,3}}[\"']?(?P<value>[^\s\"',;]{{6,}})"
-    r"|(?P<key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{12,}(?![A-Za-z0-9]))"
+    rf"(?:{_NAME})(?:[_-][A-Za-z0-9_-]{{0,16}}+)?[\"']?\]?[\x20\t]{{0,3}}[=:][\x20\t]{{0,3}}[\"']?(?:(?:bearer|basic)\x20{{1,3}})?(?P<value>[^\s\"',;]{{6,}})"
+    r"|(?<=PRIVATE\x20KEY-----)(?P<pem>[^-]{16,}+)(?=-----END)"
+    r"|(?<=://)[^\s/:@]{1,64}+:(?P<url>[^\s/@]{3,}+)(?=@)"
+    r"|(?<![A-Za-z0-9])(?:bearer|basic)\x20{1,3}(?P<bearer>[A-Za-z0-9._~+/=-]{8,}+)"
+    rf"|(?P<key>(?<![A-Za-z0-9])(?:{'|'.join(KEY_FORMATS)})(?![A-Za-z0-9]))"
     r"|(?P<run>(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+(?![A-Za-z0-9+/_-]))", re.IGNORECASE)
 _DIGIT = re.compile("[0-9]")
-_TELLS = re.compile(r"[=:]|AKIA|ASIA", re.IGNORECASE)
-KINDS = ("name", "key", "run")
+_TELLS = re.compile(r"[=:]|AKIA|ASIA|bearer|basic", re.IGNORECASE)
+KINDS = ("name", "key", "run", "url", "bearer", "pem")
 _WORD = re.compile(r"\w+")
+_HEX = re.compile("[0-9a-fA-F]+")
+_UUID = re.compile("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 FEATURES = ("length", "digits", "upper", "lower", "other", "hex", "entropy", "distinct", "change_class", "same_class", "letter_pairs",
             "covered", "ordinary", "named", "key_format", "assigned", "quoted", "name_before", "ordinary_before", "ordinary_after",
-            "digits_before", "path_depth", "path_is_test", "path_is_code", "luhn_digits")
+            "digits_before", "path_depth", "path_is_test", "path_is_code", "luhn_digits", "in_url", "bearer", "pem", "digest_before", "digest_shape",
+            "uuid_shape", "letters_and_digits", "signs_inside", "path_signs")
 
 
 @dataclass
@@ -89,7 +104,10 @@ def finding_features(finding: Finding, path: str | None = None) -> list[float]:
         float(any(name in "_".join(before[-2:]) for name in SECRET_NAMES)), sum(w in ordinary for w in before[-4:]),
         sum(w in ordinary for w in after[:4]), float(any(w.isdigit() for w in before[-2:])), path.count("/"),
         float("test" in path or "example" in path), float(path.rsplit(".", 1)[-1] in ("py", "js", "env", "yml", "yaml", "json", "ini")),
-        float(value.isdigit())]
+        float(value.isdigit()), float(finding.kind == "url"), float(finding.kind == "bearer"), float(finding.kind == "pem"),
+        sum(w in DIGEST_WORDS for w in before[-3:]) + float(lowered.startswith(("sha1-", "sha256-", "sha384-", "sha512-", "md5-"))),
+        float(bool(_HEX.fullmatch(value)) and n in _DIGEST_LENGTHS), float(bool(_UUID.fullmatch(value))),
+        float(classes.count(0) > 0 and classes.count(1) + classes.count(2) > 0), sum(c in "!#$%&*?@^~" for c in value), sum(c in "/._-" for c in value) / n]
 
 
 @dataclass
@@ -189,24 +207,61 @@ def made_up_findings(seed: int = 11, n: int = 150) -> list[tuple[Finding, str, i
         add("name", lead, value + rng.choice(["", "1", "123"]), tail, rng.choice([path, "tests/test_auth.py"]), 0)
         add("name", lead, "".join(rng.choice(syllables, rng.integers(3, 7))), tail, path, 0)
         add("name", lead, "_".join("".join(rng.choice(syllables, 3)) for _ in range(2)), tail, path, 0)
+    # Digests, identifiers and data against passwords, tokens and keys, again from random numbers of their own.
+    rng = np.random.default_rng(seed + (1 << 21))
+    base64, hexes = lower + upper + digits + "+/", "0123456789abcdef"
+    word = lambda a, b: "".join(rng.choice(syllables, rng.integers(a, b)))
+    for _ in range(n):
+        path = rng.choice(["src1", "app/config.py", "deploy/prod.env", "notes/readme.md", "src19"])
+        name = rng.choice(["password", "passwd", "pwd", "PASSWORD", "DB_PASSWORD", "secret"])
+        sign, quote = rng.choice(["=", " = ", ": ", ":"]), rng.choice(["", '"', "'"])
+        digest = rng.choice(["commit ", "sha1 ", "sha256:", "sha256 ", "md5: ", "md5 ", "checksum ", "checksum: ", "digest sha256:", "tree ", "parent ", "hash ",
+                             "etag ", 'ETag: "', "blob ", "revision ", "merge of ", "at ", "object ", ""])
+        add("run", digest, pick(hexes, rng.choice(_DIGEST_LENGTHS)), "", path, 0)
+        add("run", digest, pick(hexes, rng.choice([40, 64, 32])), "", path, 0)
+        uuid = "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12))
+        add("run", rng.choice(["id ", "id: ", "uuid ", "uuid=", "request ", "trace ", "session ", "guid ", "user ", ""]), uuid, "", path, 0)
+        add("run", rng.choice(['integrity="', "integrity: ", ""]), rng.choice(["sha256-", "sha384-", "sha512-"]) + pick(base64, rng.integers(43, 87)), "=", path, 0)
+        add("run", rng.choice(["data:image/png;base64,", "data:image/jpeg;base64,", "src=data:image/gif;base64,"]), rng.choice(["iVBORw0KGgo", "/9j/4AAQSkZJRg", "R0lGODlh"]) + pick(base64, rng.integers(40, 200)), "", path, 0)
+        add("run", rng.choice(["order ", "ticket ", "isbn ", "build ", "version ", "serial "]), "-".join(pick(digits, rng.integers(3, 6)) for _ in range(4)), "", path, 0)
+        add("bearer", rng.choice(["bearer ", "basic ", "Basic "]), word(4, 8), rng.choice([" ", ".", ""]), path, 0)
+        spoken = word(2, 4) + pick(digits, rng.integers(1, 4)) + rng.choice(["", word(1, 3), pick("!#$%&*?@^", 1)])
+        add("name", name + sign + quote, spoken, quote, path, 1)
+        add("name", name + sign + quote, spoken.capitalize() + pick("!#$%&*?@", rng.integers(0, 3)), quote, path, 1)
+        for _ in range(2):
+            parts = [word(1, 3) for _ in range(rng.integers(1, 4))]
+            add("name", name + sign + quote, "".join(p + pick(digits, rng.integers(i == 0, 3)) for i, p in enumerate(parts)), quote, path, 1)
+        add("name", rng.choice(["token", "api_key", "secret", "access_key"]) + sign + quote, rng.choice([uuid, pick(hexes, 40), pick(hexes, 32)]), quote, path, 1)
+        add("key", rng.choice(["", "token ", "use "]), rng.choice(["ghp_", "gho_", "glpat-", "hf_", "sk-", "xoxb-", "AIza"]) + pick(lower + upper + digits, rng.integers(24, 40)), "", path, 1)
+        jwt = "eyJ" + pick(base64[:62], rng.integers(15, 40)) + "." + pick(base64[:62], rng.integers(20, 60)) + "." + pick(base64[:62] + "_-", 43)
+        add("key", rng.choice(["", "jwt "]), jwt, "", path, 1)
+        add("bearer", rng.choice(["Authorization: Bearer ", "Bearer "]), rng.choice([jwt, pick(base64[:62], rng.integers(20, 50)), pick(hexes, 32),
+                                                                                     ".".join(pick(base64[:62], 8) for _ in range(3))]), "", path, 1)
+        add("url", rng.choice(["postgres://", "mysql://", "https://", "amqp://", "redis://"]) + word(1, 3) + ":", rng.choice([spoken, pick(base64[:62], 14), word(2, 4)]), "@" + word(2, 3), path, 1)
+        add("url", "https://" + word(1, 3) + ":", rng.choice(["${PASS}", "<password>", "password", "xxxxx", "$TOKEN", "{token}", "..."]), "@" + word(2, 3), path, 0)
+        add("pem", "-----BEGIN RSA PRIVATE KEY-----", "\n" + "\n".join(pick(base64, 64) for _ in range(3)) + "\n", "-----END", path, 1)
+        add("pem", "-----BEGIN PRIVATE KEY-----", rng.choice(["\n... your key here ...\n", "\n<private key goes here>\n", "\nexample example example\n"]), "-----END", path, 0)
     return out
 
 
 def train(findings: DataFrame | None = None, most: int = MAX_FINDINGS) -> Forest:
     """A forest from labelled findings: rows of ``value``, ``kind``, ``before``, ``after``, ``path``, ``label``.
 
-    Of a table of findings, about ``most`` rows chosen by hash are used; without one, made-up findings.
+    Equal rows count once. Of a table of findings, about ``most`` rows chosen by hash are used; without one, made-up
+    findings. Rows without value or label are left out; if none is left, nothing is taken for a secret.
     """
     if findings is None:
         rows = made_up_findings()
     else:
-        total = findings.count()
-        parts = 1 << 20
-        share = int(parts * min(1.0, most / max(total, 1)))
-        chosen = findings.where(F.pmod(F.xxhash64("value", "before", "after"), F.lit(parts)) < share)
-        rows = [(Finding(0, len(r["value"]), r["kind"], r["value"], r["before"] or "", r["after"] or ""), r["path"], int(r["label"]))
-                for r in chosen.where("value IS NOT NULL AND label IS NOT NULL").collect()]
-        rows.sort(key=lambda r: (r[0].value, r[0].before, r[2]))
+        columns = ["value", "kind", "before", "after", "path", "label"]
+        known = findings.where("value IS NOT NULL AND label IS NOT NULL").select(*columns).distinct()
+        total, parts = known.count(), 1 << 40
+        chosen = known.where(F.pmod(F.xxhash64(*columns), F.lit(parts)) < int(parts * min(1.0, most / max(total, 1))))
+        rows = [(Finding(0, len(r["value"]), r["kind"] or "run", r["value"], r["before"] or "", r["after"] or ""), r["path"], int(r["label"]))
+                for r in chosen.collect()]
+        rows.sort(key=lambda r: (r[0].value, r[0].before, r[0].after, r[0].kind, r[1] or "", r[2]))
+    if not rows:
+        return Forest(np.zeros((1, 1), np.int64), np.full((1, 1), np.inf), np.zeros((1, 2)))
     x = np.array([finding_features(f, p) for f, p, _ in rows])
     return fit_forest(x, np.array([label for _, _, label in rows], float))
 
@@ -222,8 +277,8 @@ def find_secrets(docs: DataFrame, forest: Forest, path: str = "source", bar: flo
     """One row per candidate: doc_id, start, end, kind, value, score, is_secret.
 
     ``score`` is the forest's probability; under ``bar`` a candidate counts as a false positive, and stays in
-    the result so marked. Whole texts are scanned; null and empty ones give no rows. Repeated rows give their
-    findings each. Further columns aren't read.
+    the result so marked. Whole texts are scanned; null and empty ones give no rows, and so does an empty table.
+    Repeated rows give their findings each. Further columns aren't read.
     """
 
     def run(batches):
