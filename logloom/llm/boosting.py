@@ -115,16 +115,19 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> Trees | None:
     """Trees for ``labels.quality`` from labelled documents that are not held out; None without such rows.
 
-    About ``most`` labels at most are used, chosen by a hash of the id; only their statistics reach the
-    driver. The chosen ids, of that bounded number, are sent to the documents, so no text is shuffled.
+    An id's label is that of most of its rows, 0 if as many say so. About ``most`` ids are used, chosen by a hash
+    of the id, and one document of each (that of the smallest statistics); only these statistics reach the driver.
+    The chosen ids, of that bounded number, are sent to the documents, so no text is shuffled. So neither
+    an id with most labels nor one with most documents makes more than one row.
     """
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    usable = usable.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"))
+    usable = usable.groupBy(F.col("doc_id").alias("label_id")).agg((2 * F.sum("quality") > F.count("*")).cast("int").alias("quality"))
     total = usable.count()
     if total == 0:
         return None
-    parts = 1 << 20
+    parts = 1 << 40
     chosen = usable.where(F.pmod(F.xxhash64("label_id"), F.lit(parts)) < int(parts * min(1.0, most / total)))
+    # Bounded: about ``most`` rows, one per id.
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
 
     def run(batches):
@@ -133,12 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) ->
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    rows = arrow_pass(labelled, ["doc_id", "quality", "text"], run, "doc_id bigint, quality int, x array<double>").toArrow()
+    found = arrow_pass(labelled, ["doc_id", "quality", "text"], run, "doc_id bigint, quality int, x array<double>")
+    rows = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).toArrow()
     if rows.num_rows == 0:
         return None
     x = np.array(rows.column("x").to_pylist())
     y, ids = rows.column("quality").to_numpy().astype(float), rows.column("doc_id").to_numpy()
-    order = np.lexsort((y, ids))  # the same trees whatever order the rows arrive in
+    order = np.argsort(ids)  # the same trees whatever order the rows arrive in
     return fit(x[order], y[order])
 
 
@@ -146,7 +150,7 @@ def score_documents(docs: DataFrame, trees: Trees | None, bar: float = 0.3) -> D
     """All columns of ``docs``, ``score`` (probability of label 1) and ``predicted`` (1 from ``bar`` on).
 
     Null and empty texts are scored as texts of zero statistics. Without trees every score is 0.5. Repeated
-    rows give a row each; a column with the name of a result gives way to it.
+    rows give a row each; a column with the name of a result gives way to it. An empty table gives an empty table.
     """
 
     def work(part):
