@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from operator import add
 
 import numpy as np
@@ -18,7 +19,8 @@ REMEMBERED = 220_000
 LONGEST_REMEMBERED = 64
 #: Up to so many symbols the agenda is a plain list, whose minimum is found faster than a heap is kept.
 SHORT = 48
-#: Of so many rows, the library encodes and decodes one as well; a difference fails the job.
+#: Every segment that is merged is held against the library in batches, and every row that is not plainly the sum of
+#: its segments; of so many other rows, one is held against it whole as well. A difference fails the job.
 CHECK_EVERY = 32
 NEVER = 1 << 60
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -62,6 +64,7 @@ class MergeModel:
         self.spaced = np.array([n.startswith(SPACE) and i not in special for i, n in enumerate(names)])
         self.silent = np.array([bool(lib.is_control(i)) for i in range(size)])
         self.first, self.inner = TwoAges(REMEMBERED), TwoAges(REMEMBERED // 4)
+        self.merged: list[tuple[str, bytes]] = []
 
     def symbols(self, text: str) -> list[str]:
         """The text's symbols after all merges: the best-scored adjacent pair first, the leftmost of equals."""
@@ -139,7 +142,8 @@ class MergeModel:
         if not text:
             return b""
         keys = text.split(" ")
-        if "" in keys or SPACE in text:  # runs of spaces are symbols of their own, in front of a word
+        plain = not ("" in keys or SPACE in text)
+        if not plain:  # runs of spaces are symbols of their own, in front of a word
             keys = [s[1:] for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE))]
         young, old, out = self.first.young, self.first.old, []
         for key in keys:
@@ -148,6 +152,8 @@ class MergeModel:
                 ids = old.get(key)
                 if ids is None:
                     ids = self._segment(key)
+                    if plain:
+                        self.merged.append((key, ids))
                 if len(key) <= LONGEST_REMEMBERED and "\n" not in key:
                     young[key] = ids
             out.append(ids)
@@ -165,6 +171,14 @@ class MergeModel:
             text = "".join(map(self.text.__getitem__, said.tolist()))
         return text[1:] if len(said) and self.spaced[said[0]] else text
 
+    def check_merged(self) -> None:
+        """Holds the segments merged since the last call against the library, which encodes them together."""
+        merged, self.merged = self.merged, []
+        theirs = self.library.encode([key for key, _ in merged], num_threads=1) if merged else []
+        for (key, ids), own in zip(merged, theirs, strict=True):
+            if array("i", own).tobytes() != ids:
+                raise ValueError(f"ids differ from the library's for the segment {key[:60]!r}")
+
     def check(self, text: str, ids: np.ndarray, decoded: str) -> None:
         theirs = self.library.encode(text, add_eos=True)
         if theirs != ids.tolist() or self.library.decode(theirs) != decoded:
@@ -183,7 +197,9 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     Null and empty texts have the end id alone and decode to an empty text. Repeated rows give a row each;
     further columns aren't read; an empty table gives an empty table. Texts are cut at spaces, which no
-    piece crosses, and a worker remembers a bounded number of words, so each is merged about once.
+    piece crosses, and a worker remembers a bounded number of words, so each is merged about once. What is merged
+    is encoded by the library too, in batches; rows with runs of spaces, or whose decoded text is not the text
+    itself, are encoded and decoded by it whole. A difference is an error.
     """
 
     def run(batches):
@@ -192,13 +208,15 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
         for part in slices(batches):
             blobs, decoded = [], []
             for text in strings(part):
-                blob = model.encode(text or "") + end
+                text = text or ""
+                blob = model.encode(text) + end
                 ids = np.frombuffer(blob, np.int32)
                 blobs.append(blob)
                 decoded.append(model.decode(ids))
-                if seen % CHECK_EVERY == 0:
-                    model.check(text or "", ids, decoded[-1])
+                if seen % CHECK_EVERY == 0 or decoded[-1] != text or SPACE in text or "  " in text or text[:1] == " " or text[-1:] == " ":
+                    model.check(text, ids, decoded[-1])
                 seen += 1
+            model.check_merged()
             offsets = np.cumsum([0, *(len(b) // 4 for b in blobs)], dtype=np.int64).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(blobs), np.int32))
             yield pa.RecordBatch.from_arrays(
