@@ -117,8 +117,9 @@ def judge_documents(docs: DataFrame, references: dict[str, np.ndarray] | None =
     windows, or, from ``MIN_WORDS`` words on, at a Jensen-Shannon distance over the limit from the reference
     of their language: character classes or common words. A document of no known language is held against
     the nearest reference. Null and empty texts have no words and fail. Repeated rows give a row each. A
-    column with the name of a result gives way to it. No document's text leaves its task; the references
-    are a few dozen sums per language.
+    column with the name of a result gives way to it. An empty table gives an empty table. No document's text
+    leaves its task; the references are a few dozen sums per language. References from the judged table itself
+    are only as good as most of it is; give fixed ones (``language_references`` of a trusted table) where that is in doubt.
     """
     if references is None:
         references = language_references(docs)

@@ -60,7 +60,8 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.drop("text", "lang")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         "class_distance", "word_distance")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
