@@ -67,13 +67,15 @@ class Finding:
 
 
 def candidates(text: str | None) -> list[Finding]:
-    """Candidate spans (code points, end exclusive) of a whole text, left to right, without overlaps."""
+    """Candidate spans (code points, end exclusive) of a whole text, left to right, without overlaps; what is masked is none."""
     if not text or not (_DIGIT.search(text) or _TELLS.search(text)):
         return []
     found = []
     for m in CANDIDATE.finditer(text):
         kind = m.lastgroup if m.lastgroup != "value" else "name"
         start, end = m.span("value" if kind == "name" else kind)
+        if MASK in text[start:end]:
+            continue
         found.append(Finding(start, end, kind, text[start:end], text[max(0, start - 48):start], text[end:end + 48]))
     return found
 

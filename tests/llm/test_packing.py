@@ -15,7 +15,6 @@ from logloom.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
 def ids_of(text):

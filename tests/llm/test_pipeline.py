@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from llm.test_simhash import plain_components
+from llm.test_similar_texts import plain_kept
 
 from logloom.llm import boosting, quality_rules, queries, secrets
 
@@ -23,7 +23,7 @@ def test_stages_one_by_one(spark, documents, small):
 
     first = corpus_pipeline.keep_first_copies(spark, regular, small)
     rows = [(r["doc_id"], r["text"]) for r in regular.collect()]
-    assert ids(first) == sorted({c for _, _, c in plain_components(rows)}) and first.columns == docs.columns
+    assert ids(first) == plain_kept(rows) and first.columns == docs.columns
 
     masked = corpus_pipeline.mask_secrets(spark, first, small)
     assert ids(masked) == ids(first) and masked.dtypes == docs.dtypes
