@@ -185,46 +185,80 @@ def first_chains(chains: DataFrame, n: int = 5) -> DataFrame:
     return by_severity(chains).limit(n)
 
 
+#: Sets per block of a hot event; every two blocks of one event meet in a task of their own.
+EVENT_BLOCK = 20_000
+
+
+def _distinct_sets(unique: DataFrame, id_column: str) -> DataFrame:
+    """(id, set_id, size): findings with the same events share a ``set_id``, the smallest of their ids.
+
+    Two hash sums and the size bring equal sets together; that they are equal is then confirmed event by event.
+    A set that only looked equal keeps its own id.
+    """
+    marks = unique.groupBy(id_column).agg(
+        F.count("*").alias("size"),
+        F.sum(F.xxhash64("event_id").cast("decimal(38,0)")).alias("sum_a"),
+        F.sum(F.xxhash64(F.lit("b"), "event_id").cast("decimal(38,0)")).alias("sum_b"),
+    )
+    columns = ["size", "sum_a", "sum_b"]
+    firsts = marks.groupBy(*columns).agg(F.min(id_column).alias("set_id"))
+    claimed = stage(marks.join(firsts, columns).select(id_column, "set_id", "size"), "set-claims")
+    own = unique.join(claimed.where(F.col(id_column) != F.col("set_id")), id_column)
+    theirs = unique.select(F.col(id_column).alias("set_id"), "event_id")
+    equal = own.join(theirs, ["set_id", "event_id"]).groupBy(id_column).agg(F.count("*").alias("same"))
+    sure = F.col("same").eqNullSafe(F.col("size")) | (F.col(id_column) == F.col("set_id"))
+    return stage(claimed.join(equal, id_column, "left").select(
+        id_column, F.when(sure, F.col("set_id")).otherwise(F.col(id_column)).alias("set_id"), "size"), "sets")
+
+
 def correlated_sets(links: DataFrame, id_column: str, threshold: float) -> DataFrame:
     """Pairs of distinct event sets whose Jaccard similarity reaches ``threshold``.
 
     Findings with the same events collapse to one set first, so copies never pair up; a row
     stands for all ``findings_a`` x ``findings_b`` links between two sets, and a set with
-    several findings has a row with itself. Prefix filter: events are ranked from rare to
-    common, and two similar sets must share one of the first |S| - ceil(t|S|) + 1 events, so
-    hot events seldom make candidates. Sizes are compared before the exact check.
+    several findings has a row with itself. So there are as many rows as similar pairs of distinct sets, and no
+    more than sets with copies besides.
+
+    Events are ranked from rare to common. Of two similar sets, the smaller has one of its first
+    s - ceil(2t s / (1+t)) + 1 events among the first s - ceil(t s) + 1 of the larger. The event's places leave
+    room for enough common events behind it, or the pair is dropped at once. So an event that a third of all
+    sets have seldom makes candidates; where it does, its sets are cut into blocks, and every two blocks meet in
+    a key of their own. What is left is counted exactly.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     unique = links.select(id_column, "event_id").distinct()
-    # Order-free fingerprint of a set: two independent hash sums and its size.
-    marks = unique.groupBy(id_column).agg(
-        F.count("*").alias("size"),
-        F.sum(F.xxhash64("event_id").cast("decimal(38,0)")).alias("sum_a"),
-        F.sum(F.xxhash64(F.lit("b"), "event_id").cast("decimal(38,0)")).alias("sum_b"),
-    )
-    print_columns = ["size", "sum_a", "sum_b"]
-    sets = stage(
-        marks.groupBy(*print_columns).agg(F.count("*").alias("findings"), F.min(id_column).alias("set_id")), "sets")
+    known = _distinct_sets(unique, id_column)
+    sets = known.groupBy("set_id").agg(F.count("*").alias("findings"), F.max("size").alias("size"))
     frequency = unique.groupBy("event_id").agg(F.count("*").alias("uses"))
     items = (
-        unique.join(sets.select(F.col("set_id").alias(id_column), "set_id", "size"), id_column)
+        unique.join(known.where(F.col(id_column) == F.col("set_id")), id_column)
         .join(frequency, "event_id")
         .select("set_id", "size", "event_id", "uses")
     )
     # Places inside a set come from one distributed sort, so a huge set needs no task of its own.
     items = with_ordinal(items, ["set_id", "uses", "event_id"])
     starts = items.groupBy("set_id").agg(F.min("ord").alias("start"))
-    prefix = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1
-    lead = items.join(starts, "set_id").filter(F.col("ord") - F.col("start") < prefix)
-    left = lead.select("event_id", F.col("set_id").alias("set_a"), F.col("size").alias("size_a"))
-    right = lead.select("event_id", F.col("set_id").alias("set_b"), F.col("size").alias("size_b"))
-    candidates = (
-        left.join(right, "event_id")
-        .filter((F.col("set_a") < F.col("set_b"))
-                & (F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b")))
-        .select("set_a", "set_b", "size_a", "size_b").distinct()
-    )
+    t, size, place = F.lit(threshold), F.col("size"), F.col("ord") - F.col("start")
+    least_whole = lambda c: F.ceil(c - 1e-9)  # noqa: E731  (a product may come out just above a whole number)
+    lead = stage(items.join(starts, "set_id").withColumn("place", place).where(place < size - least_whole(t * size) + 1).select(
+        "event_id", "set_id", "size", "place"), "set-prefixes")
+    blocks = lead.groupBy("event_id").agg(F.ceil(F.count("*") / EVENT_BLOCK).alias("blocks"))
+    dealt = lead.join(blocks, "event_id").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    small = dealt.where(F.col("place") < size - least_whole(2 * t / (1 + t) * size) + 1).select(
+        "event_id", F.col("own").alias("block_a"), every.alias("block_b"), F.col("set_id").alias("a"), size.alias("n_a"), F.col("place").alias("at_a"))
+    large = dealt.select("event_id", every.alias("block_a"), F.col("own").alias("block_b"), F.col("set_id").alias("b"), size.alias("n_b"),
+                         F.col("place").alias("at_b"))
+    need = least_whole(t / (1 + t) * (F.col("n_a") + F.col("n_b")))
+    room = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    met = small.join(large, ["event_id", "block_a", "block_b"]).where(
+        smaller & (F.col("n_a") >= t * F.col("n_b") - 1e-9) & (room >= need))
+    swap = F.col("a") > F.col("b")
+    candidates = met.select(
+        F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"),
+        F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("size_a"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("size_b")).distinct()
     shared = (
         candidates
         .join(items.select(F.col("set_id").alias("set_a"), "event_id"), "set_a")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..workspace import stage
+from .ordering import with_ordinal
 
-WIDE_SET = 10  # chunks with more distinct types than this take the candidate-join way
+#: Distinct type sets on each side of a tile, and types of a tile that are compared at a time.
+TILE_SETS, TILE_TYPES = 1024, 4096
 
 
 def _ratio(over: Column, under: Column) -> Column:
@@ -61,92 +65,72 @@ def threat_types_by_chunk(threats: DataFrame) -> DataFrame:
     return threats.select("source_chunk", F.coalesce("threat_type", F.lit("Unknown")).alias("threat_type")).distinct()
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of types that each left and each right set have in common: a product of 0/1 matrices, some types at a time."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    ends = [np.cumsum([0, *map(len, side)]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(side)), np.diff(e)) for side, e in zip((left, right), ends, strict=True)]
+    shared = np.intersect1d(*flat)
+    for start in range(0, len(shared), TILE_TYPES):
+        types, ones = shared[start:start + TILE_TYPES], []
+        for values, row, side in zip(flat, rows, (left, right), strict=True):
+            at = np.searchsorted(types, values)
+            known = (at < len(types)) & (types[np.minimum(at, len(types) - 1)] == values)
+            ones.append(np.zeros((len(side), len(types)), np.float32))
+            ones[-1][row[known], at[known]] = 1
+        out += (ones[0] @ ones[1].T).astype(np.int64)
+    return out
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    """Pairs of one tile counted by (smaller size, larger size, types in common)."""
+    block = table.column("block").to_numpy()
+    types = np.array([np.array(t, np.int64) for t in table.column("types").to_pylist()] + [None], object)[:-1]
+    chunks, sizes = table.column("chunks").to_numpy(), np.array([len(t) for t in types])
+    low = block == table.column("low")[0].as_py()
+    alone = table.column("low")[0] == table.column("high")[0]
+    high = low if alone else ~low
+    if not low.any() or not high.any():
+        low = high = np.zeros(len(block), bool)
+    common = _common(list(types[low]), list(types[high])) if low.any() else np.zeros((0, 0), np.int64)
+    # Products of chunk counts may pass 64 bits at very many chunks; then Python's integers count.
+    wide = float(chunks.max()) ** 2 * max(1, common.size) >= 2.0 ** 62
+    weight = chunks.astype(object if wide else np.int64)
+    pairs = weight[low][:, None] * weight[high][None, :]
+    if alone:
+        pairs[np.tril_indices(len(pairs))] = 0
+        np.fill_diagonal(pairs, weight[low] * (weight[low] - 1) // 2)
+    a, b = np.minimum.outer(sizes[low], sizes[high]).ravel(), np.maximum.outer(sizes[low], sizes[high]).ravel()
+    rows = np.array([a, b, common.ravel()])
+    order = np.lexsort(rows)
+    rows, pairs = rows[:, order], pairs.ravel()[order]
+    starts = np.flatnonzero(np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)]) if len(pairs) else np.zeros(0, int)
+    sums = np.add.reduceat(pairs, starts) if len(pairs) else pairs
+    return pa.table({"a": rows[0, starts], "b": rows[1, starts], "c": rows[2, starts], "pairs": pa.array([str(n) for n in sums], pa.string())})
+
+
 def chunk_pairs(threats: DataFrame) -> DataFrame:
     """All pairs of chunks, counted by (types_a, types_b, shared types) with types_a <= types_b.
 
-    Pairs are never listed. For chunks with few types the counts come from their subsets: with
-    N(S, a) chunks of a types that contain the set S, the sum over |S| = k of
-    N(S, a) * N(S, b) equals the sum over pairs of C(shared, k), and binomial inversion gives
-    the number of pairs for each overlap. Chunks with more than ``WIDE_SET`` types join the
-    others on their types. Pairs with nothing in common are what remains of the total.
+    Pairs are never listed. Chunks with equal type sets collapse to one row with their number. The sets, by size,
+    make blocks of ``TILE_SETS``; for every two blocks one task takes the product of their 0/1 matrices, whatever
+    the sets' sizes, and returns counts only. A task holds two blocks of sets, their square of counts and
+    ``TILE_TYPES`` columns (about 60 MB and the sets themselves); the work grows with the square of the distinct
+    sets, as the result depends on all of their pairs.
     """
     kinds = threats.select("source_chunk", F.coalesce("threat_type", F.lit("Unknown")).alias("t")).distinct()
-    chunk_sets = kinds.groupBy("source_chunk").agg(F.array_sort(F.collect_list("t")).alias("types"))
-    # Chunks with equal sets collapse before anything is expanded; written, as four branches read them.
-    sets = stage(chunk_sets.groupBy("types").agg(F.count("*").alias("chunks")).withColumn("size", F.size("types")), "type-sets")
-    big = "decimal(38,0)"
-
-    narrow = sets.filter(F.col("size") <= WIDE_SET)
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.col("size")) - 1).cast("int"))
-    subset = F.filter("types", lambda t, i: F.call_function("getbit", F.col("mask"), i) == 1)
-    holders = (
-        narrow.withColumn("mask", F.explode(masks))
-        .select(subset.alias("subset"), "size", "chunks")
-        .groupBy("subset", "size").agg(F.sum("chunks").cast(big).alias("holders"))
-    )
-    # At most WIDE_SET sizes per subset.
-    by_subset = holders.groupBy("subset").agg(F.collect_list(F.struct("size", "holders")).alias("sizes"))
-    left = by_subset.select("subset", "sizes", F.inline("sizes")).toDF("subset", "sizes", "a", "n_a")
-    products = (
-        left.select("subset", "a", "n_a", F.inline("sizes")).toDF("subset", "a", "n_a", "b", "n_b")
-        .filter(F.col("a") <= F.col("b"))
-        .groupBy("a", "b", F.size("subset").alias("k"))
-        .agg(F.sum((F.col("n_a") * F.col("n_b")).cast(big)).cast(big).alias("m"))
-    )
-    per_size = narrow.groupBy("size").agg(F.sum("chunks").cast(big).alias("n"))
-
-    def choose(n: Column, k: Column) -> Column:
-        return (F.factorial(n) / (F.factorial(k) * F.factorial(n - k))).cast(big)
-
-    # Same size on both sides: drop each chunk's pair with itself and halve.
-    own = per_size.select(F.col("size").alias("a"), F.col("size").alias("b"), "n")
-    unordered = products.join(own, ["a", "b"], "left").select(
-        "a", "b", "k",
-        F.when(F.col("n").isNull(), F.col("m"))
-        .otherwise(((F.col("m") - F.col("n") * choose(F.col("a"), F.col("k"))) / 2).cast(big)).alias("m"))
-    sign = F.when((F.col("k") - F.col("c")) % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).cast(big)
-    narrow_pairs = (
-        unordered.withColumn("c", F.explode(F.sequence(F.lit(1), F.col("k"))))
-        .groupBy("a", "b", "c")
-        .agg(F.sum((sign * choose(F.col("k"), F.col("c")) * F.col("m")).cast(big)).cast(big).alias("pairs"))
-    )
-
-    wide = sets.filter(F.col("size") > WIDE_SET)
-    wide_items = wide.select("types", "size", "chunks", F.explode("types").alias("t"))
-    all_items = sets.select(
-        F.col("types").alias("types_2"), F.col("size").alias("size_2"), F.col("chunks").alias("chunks_2"),
-        F.explode("types").alias("t"))
-    once = (F.col("size_2") <= WIDE_SET) | (F.col("types") < F.col("types_2"))
-    mixed = (
-        wide_items.join(all_items, "t").filter(once)
-        .groupBy("types", "types_2", "size", "size_2", "chunks", "chunks_2").agg(F.count("*").alias("c"))
-        .select(F.least("size", "size_2").alias("a"), F.greatest("size", "size_2").alias("b"), "c",
-                (F.col("chunks").cast(big) * F.col("chunks_2")).cast(big).alias("pairs"))
-    )
-    same = wide.filter(F.col("chunks") > 1).select(
-        F.col("size").alias("a"), F.col("size").alias("b"), F.col("size").cast("long").alias("c"),
-        (F.col("chunks").cast(big) * (F.col("chunks") - 1) / 2).cast(big).alias("pairs"))
-    meeting = (
-        narrow_pairs.select("a", "b", F.col("c").cast("long").alias("c"), "pairs").unionByName(mixed).unionByName(same)
-        .groupBy("a", "b", "c").agg(F.sum("pairs").cast(big).alias("pairs")).filter(F.col("pairs") > 0)
-    )
-
-    # One row per set size: a short list whatever the number of chunks.
-    sizes = sets.groupBy("size").agg(F.sum("chunks").cast(big).alias("n"))
-    listed = sizes.agg(F.collect_list(F.struct("size", "n")).alias("s"))
-    every = (
-        listed.select("s", F.inline("s")).toDF("s", "a", "n_a").select("a", "n_a", F.inline("s")).toDF("a", "n_a", "b", "n_b")
-        .filter(F.col("a") <= F.col("b"))
-        .select("a", "b", F.when(F.col("a") == F.col("b"), F.col("n_a") * (F.col("n_a") - 1) / 2)
-                .otherwise(F.col("n_a") * F.col("n_b")).cast(big).alias("possible"))
-    )
-    met = meeting.groupBy("a", "b").agg(F.sum("pairs").cast(big).alias("met"))
-    apart = every.join(met, ["a", "b"], "left").select(
-        "a", "b", F.lit(0).cast("long").alias("c"),
-        (F.col("possible") - F.coalesce("met", F.lit(0).cast(big))).cast(big).alias("pairs")).filter(F.col("pairs") > 0)
-    return meeting.unionByName(apart).select(
-        F.col("a").cast("long").alias("types_a"), F.col("b").cast("long").alias("types_b"),
-        F.col("c").alias("shared_types"), F.col("pairs").cast("long").alias("pairs"),
+    numbers = stage(kinds.select("t").distinct().withColumn("number", F.monotonically_increasing_id()), "type-numbers")
+    chunk_sets = kinds.join(numbers, "t").groupBy("source_chunk").agg(F.array_sort(F.collect_list("number")).alias("types"))
+    sets = chunk_sets.groupBy("types").agg(F.count("*").alias("chunks")).withColumn("size", F.size("types"))
+    placed = with_ordinal(sets, ["size", "types"]).select("types", "chunks", F.floor(F.col("ord") / TILE_SETS).alias("block"))
+    last = placed.agg(F.coalesce(F.max("block"), F.lit(0))).scalar()
+    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(
+        "types", "chunks", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    counted = tiles.groupBy("low", "high").applyInArrow(_tile, "a bigint, b bigint, c bigint, pairs string")
+    found = counted.groupBy("a", "b", "c").agg(F.sum(F.col("pairs").cast("decimal(38,0)")).alias("pairs")).where("pairs > 0")
+    return found.select(
+        F.col("a").alias("types_a"), F.col("b").alias("types_b"), F.col("c").alias("shared_types"), F.col("pairs").cast("long").alias("pairs"),
         (F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).alias("similarity"))
 
 

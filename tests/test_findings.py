@@ -245,10 +245,33 @@ def test_correlated_sets_equal_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("wide", [10, 3, 0])
-def test_chunk_pairs_equal_brute_force(spark, monkeypatch, wide):
-    """With a low limit, chunks with many types take the other way and the counts stay the same."""
-    monkeypatch.setattr(evaluation, "WIDE_SET", wide)
+@pytest.mark.parametrize("threshold", [0.25, 0.5, 0.75, 1.0])
+def test_correlated_sets_with_a_hot_event(spark, monkeypatch, threshold):
+    """One event in a third of all sets, in blocks; and sets whose hash sums are made equal stay apart."""
+    monkeypatch.setattr(chains, "EVENT_BLOCK", 7)
+    rnd = random.Random(8)
+    sets = [frozenset(rnd.sample(range(30), rnd.randint(1, 6)) + ([99] if i % 3 == 0 else [])) for i in range(90)] + [frozenset([99])] * 4
+    rows = [(f"t{i:02d}", f"e{e:02d}") for i, s in enumerate(sets) for e in s]
+    found = chains.correlated_sets(spark.createDataFrame(rows, "threat_id string, event_id string"), "threat_id", threshold).collect()
+    got = {(r.set_a, r.set_b): (r.shared, r.findings_a, r.findings_b) for r in found if r.set_a != r.set_b}
+    first = {s: min(i for i, o in enumerate(sets) if o == s) for s in sets}
+    want = {(f"t{first[a]:02d}", f"t{first[b]:02d}"): (len(a & b), sets.count(a), sets.count(b))
+            for a, b in itertools.combinations(sorted(first, key=first.get), 2) if len(a & b) >= threshold * len(a | b)}
+    assert len(found) == len(got) + sum(sets.count(s) > 1 for s in first) and got == want
+
+
+def test_sets_that_only_look_equal(spark, monkeypatch):
+    monkeypatch.setattr(chains.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    links = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "2"), ("b", "3"), ("c", "1"), ("c", "2")], "threat_id string, event_id string")
+    rows = chains._distinct_sets(links, "threat_id").collect()
+    assert sorted((r.threat_id, r.set_id) for r in rows) == [("a", "a"), ("b", "b"), ("c", "a")]
+
+
+@pytest.mark.parametrize(("wide", "tile", "types"), [(10, 1024, 4096), (3, 5, 2), (0, 16, 3)])
+def test_chunk_pairs_equal_brute_force(spark, monkeypatch, wide, tile, types):
+    """One tile, and many with few types at a time."""
+    monkeypatch.setattr(evaluation, "TILE_SETS", tile)
+    monkeypatch.setattr(evaluation, "TILE_TYPES", types)
     rnd = random.Random(wide)
     sets = [frozenset(rnd.sample("ABCDEFGH", rnd.randint(1, 6))) for _ in range(50)] + [frozenset("ABC")] * 6
     rows = [(i, t) for i, s in enumerate(sets) for t in s for _ in range(rnd.randint(1, 2))]
