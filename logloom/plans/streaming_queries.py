@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import jobs
 from ..workspace import new_path
-from .adapter import shape_events
+from .adapter import load_events, shape_events
 from .catalog import query, stamp, stamp_sql
 from .detector_queries import DET_SEQUENCE_SQL, SEQUENCE_LIMIT, attack_stages
 
@@ -68,10 +68,10 @@ def stream_detect(spark, sf_dir):
     return scans.union(bursts)
 
 
-@query("stream_sequence", DET_SEQUENCE_SQL.replace("'SEQ-' || c.hostname || '-' || e1 AS threat_id, ", "") + """
-  AND epoch_ms(t3) < epoch_ms((SELECT max("timestamp") FROM ev WHERE event_type IN ('process', 'alert')
-    OR (event_type = 'netconn' AND destination LIKE '203.%'))) - 3600000""", "ev")
+@query("stream_sequence", DET_SEQUENCE_SQL.replace("'SEQ-' || c.hostname || '-' || e1 AS threat_id, ", ""), "ev")
 def stream_sequence(spark, sf_dir):
-    """The rows of the batch detector whose last event the watermark has passed."""
-    found = jobs.sequences(_stream(spark, sf_dir), attack_stages(), SEQUENCE_LIMIT, DELAY)
-    return _finish(found, "sequences", rocksdb=True).select("hostname", F.array_join("related_events", ",").alias("related_events"))
+    """The rows of the batch detector: those that the stream emits, and those still open when it ends."""
+    found = _finish(jobs.sequences(_stream(spark, sf_dir), attack_stages(), SEQUENCE_LIMIT, DELAY), "sequences", rocksdb=True)
+    rest = jobs.finish_sequences(found, load_events(spark, sf_dir), attack_stages(), SEQUENCE_LIMIT, DELAY)
+    rows = found.select("hostname", "related_events").unionByName(rest)
+    return rows.select("hostname", F.array_join("related_events", ",").alias("related_events"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.detectors import sequences as sequences_of
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 # Sessions of a busy key are merged inside the map tasks before the shuffle.
@@ -107,65 +109,128 @@ class SequenceTracker(StatefulProcessor):
     Rows wait until the watermark has passed them, so late and shuffled arrivals within the delay give what
     the batch detector gives. A timer wakes the host for its next waiting row, and once more when its oldest
     run can't be completed any longer, so an idle host leaves no state behind.
+
+    State is kept by time bucket, a ``PARTS``-th of the limit: waiting rows under (bucket, number of arrival), open runs
+    under (stage they wait for, bucket of their start). Two small lists say which keys there are. A timer reads and
+    deletes the waiting buckets that are due, reads the runs that wait for a stage which occurs among them, all
+    of which advance, and drops buckets of runs that have expired unread. What is not due is not touched.
     """
 
+    PARTS = 16
+
     def __init__(self, stages: int, limit_seconds: int):
         self.stages = stages
         self.limit = limit_seconds * 1_000_000
+        self.width = max(1, self.limit // self.PARTS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "micros bigint, event_id string, stage int")
-        self.runs = handle.getListState("runs", "next_stage int, started bigint, ids array<string>")
+        self.waiting = handle.getMapState("waiting", "bucket bigint, arrival bigint", "micros array<bigint>, ids array<string>, stages array<int>")
+        self.waiting_keys = handle.getValueState("waitingKeys", "buckets array<bigint>, arrivals array<bigint>, firsts array<bigint>, next bigint")
+        self.runs = handle.getMapState("runs", "stage int, bucket bigint", "started array<bigint>, ids array<string>")
+        self.run_keys = handle.getValueState("runKeys", "stages array<int>, buckets array<bigint>")
+
+    def _known_waiting(self) -> tuple[list[tuple[int, int, int]], int]:
+        """(bucket, arrival, first time) of what waits, and the number of the next arrival."""
+        if not self.waiting_keys.exists():
+            return [], 0
+        buckets, arrivals, firsts, following = self.waiting_keys.get()
+        return [(int(b), int(a), int(f)) for b, a, f in zip(buckets, arrivals, firsts, strict=True)], int(following)
+
+    def _wait(self, known: list[tuple[int, int, int]], arrival: int, rows: list[tuple[int, str, int]]) -> None:
+        for bucket, group in groupby(sorted(rows), key=lambda r: r[0] // self.width):
+            own = list(group)
+            self.waiting.updateValue((bucket, arrival), tuple(map(list, zip(*own, strict=True))))
+            known.append((bucket, arrival, own[0][0]))
+        if known:
+            buckets, arrivals, firsts = map(list, zip(*known, strict=True))
+            self.waiting_keys.update((buckets, arrivals, firsts, arrival + 1))
+        else:
+            self.waiting_keys.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        soonest = None
-        for batch in rows:
-            if len(batch):
-                self.waiting.appendList([(int(m), str(e), int(s)) for m, e, s in zip(batch["micros"], batch["event_id"], batch["stage"])])
-                first = int(batch["micros"].min())
-                soonest = first if soonest is None else min(soonest, first)
-        if soonest is not None:
-            self.handle.registerTimer(soonest // 1000 + 1)
+        arrived = [(int(m), str(e), int(s)) for batch in rows for m, e, s in zip(batch["micros"], batch["event_id"], batch["stage"])]
+        if arrived:
+            self._wait(*self._known_waiting(), arrived)
+            self.handle.registerTimer(min(arrived)[0] // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted((int(m), e, int(s)) for m, e, s in waiting if m < passed)
-        rest = [w for w in waiting if w[0] >= passed]
-        runs = [(int(n), int(s), list(i)) for n, s, i in self.runs.get()] if self.runs.exists() else []
-        done = []
-        for micros, event, stage in due:
-            kept = []
-            for wanted, started, ids in runs:
-                if micros - started > self.limit:
-                    continue
-                if stage == wanted:
-                    wanted, ids = wanted + 1, [*ids, event]
-                    if wanted == self.stages:
-                        done.append((key[0], started, micros, ids))
-                        continue
-                kept.append((wanted, started, ids))
-            if stage == 0:
-                kept.append((1, micros, [event]))
-            runs = kept
-        runs = [r for r in runs if r[1] + self.limit >= passed]
-        for state, rows in ((self.waiting, rest), (self.runs, runs)):
-            if rows:
-                state.put([tuple(r) for r in rows])
+        known, arrival = self._known_waiting()
+        due, rest = [], []
+        for bucket, number, first in known:
+            if first < passed:
+                due += [(int(m), str(e), int(s)) for m, e, s in zip(*self.waiting.getValue((bucket, number)), strict=True)]
+                self.waiting.removeKey((bucket, number))
             else:
-                state.clear()
-        wake = [min(w[0] for w in rest)] if rest else []
-        wake += [min(r[1] for r in runs) + self.limit] if runs else []
+                rest.append((bucket, number, first))
+        late = [r for r in due if r[0] >= passed]
+        self._wait(rest, arrival, late)
+        done = self._advance(sorted(r for r in due if r[0] < passed), passed)
+        wake = [first for _, _, first in rest]
+        # A bucket's runs are told apart when it is read; the timer waits for the last that may be in it.
+        wake += [(bucket + 1) * self.width + self.limit for _, bucket in self._run_keys()]
         if wake:
             self.handle.registerTimer(max(min(wake), passed) // 1000 + 1)
         if done:
-            out = pd.DataFrame(done, columns=["hostname", "started", "finished", "related_events"])
+            out = pd.DataFrame([(key[0], *d) for d in done], columns=["hostname", "started", "finished", "related_events"])
             for column in ("started", "finished"):
                 out[column] = pd.to_datetime(out[column], unit="us", utc=True)
             yield out
 
+    def _run_keys(self) -> set[tuple[int, int]]:
+        if not self.run_keys.exists():
+            return set()
+        stages, buckets = self.run_keys.get()
+        return {(int(s), int(b)) for s, b in zip(stages, buckets, strict=True)}
+
+    def _advance(self, due: list[tuple[int, str, int]], passed: int) -> list[tuple[int, int, list[str]]]:
+        """Finished runs (start, end, ids) after the due events, in their order."""
+        keys = self._run_keys()
+        opened: dict[int, list[tuple[int, list[str]]]] = {}
+        done, before = [], set(keys)
+
+        def waiting_for(stage: int) -> list[tuple[int, list[str]]]:
+            """Runs that wait for ``stage``; read from the state once, and taken from it."""
+            if stage not in opened:
+                opened[stage] = []
+                for own in sorted(k for k in keys if k[0] == stage):
+                    started, ids = self.runs.getValue(own)
+                    ids = [str(i) for i in ids]
+                    opened[stage] += [(int(t), ids[n * stage:(n + 1) * stage]) for n, t in enumerate(started)]
+                    self.runs.removeKey(own)
+                    keys.discard(own)
+            return opened[stage]
+
+        for micros, event, stage in due:
+            if stage == 0:
+                waiting_for(1).append((micros, [event]))
+                continue
+            ready, opened[stage] = waiting_for(stage), []
+            for started, ids in ready:
+                if micros - started > self.limit:
+                    continue
+                if stage + 1 == self.stages:
+                    done.append((started, micros, [*ids, event]))
+                else:
+                    waiting_for(stage + 1).append((started, [*ids, event]))
+        for stage, bucket in [k for k in keys if (k[1] + 1) * self.width + self.limit <= passed]:
+            self.runs.removeKey((stage, bucket))
+            keys.discard((stage, bucket))
+        for stage, runs in opened.items():
+            alive = sorted((t, ids) for t, ids in runs if t + self.limit >= passed)
+            for bucket, group in groupby(alive, key=lambda r: r[0] // self.width):
+                own = list(group)
+                self.runs.updateValue((stage, bucket), ([t for t, _ in own], [i for _, ids in own for i in ids]))
+                keys.add((stage, bucket))
+        if keys:
+            stages, buckets = zip(*sorted(keys), strict=True)
+            self.run_keys.update((list(stages), list(buckets)))
+        elif before:
+            self.run_keys.clear()
+        return done
+
     def close(self) -> None:
         pass
 
@@ -182,4 +247,16 @@ def sequences(events: DataFrame, stages: list[tuple[str, Column]], limit_seconds
         outputMode="Append", timeMode="EventTime")
 
 
-__all__ = ["run_to_files", "ingest", "event_frequency", "deduplicate", "scanning", "failed_bursts", "sequences"]
+def finish_sequences(emitted: DataFrame, events: DataFrame, stages: list[tuple[str, Column]], limit_seconds: int, delay: str) -> DataFrame:
+    """Runs of a stream that has ended which its last watermark had not passed: hostname and related_events.
+
+    ``events`` are all that the stream was given, ``emitted`` what it returned. Only the last ``limit_seconds`` and
+    ``delay`` of them are looked at again, by the batch detector.
+    """
+    newest = events.agg(F.max("timestamp").cast("timestamp")).scalar()
+    open_since = newest - F.expr(f"INTERVAL {delay}") - F.make_dt_interval(secs=F.lit(2 * limit_seconds))
+    tail = sequences_of(events.where(F.col("timestamp").cast("timestamp") >= open_since), stages, limit_seconds)
+    return tail.select("hostname", "related_events").join(emitted.select("hostname", "related_events"), ["hostname", "related_events"], "left_anti")
+
+
+__all__ = ["run_to_files", "ingest", "event_frequency", "deduplicate", "scanning", "failed_bursts", "sequences", "finish_sequences"]
