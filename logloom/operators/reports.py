@@ -9,6 +9,7 @@ from .. import constants as C
 from ..functions.severity import severity_rank
 from ..functions.text import first_sentence
 from .chains import by_severity
+from .ordering import with_ordinal
 
 LABELS = ["High", "Medium", "Low"]
 
@@ -57,23 +58,42 @@ def risk_assessment(threats: DataFrame, chunk_count: Column | None = None) -> Da
         spread.alias("severity_distribution"))
 
 
-def chain_type_summary(members: DataFrame) -> DataFrame:
-    """Per chain: ``n type`` in first-seen order, and its first and last threat type.
+#: Types of a chain that its text names; it gives the number of the others.
+NAMED_TYPES = 100
 
-    Types are few per chain, so the text is built from counts, not from member rows.
+
+def chain_types(members: DataFrame) -> DataFrame:
+    """Link table chain -> type in first-seen order: chain_no, chain_id, place (from 0), threat_type, n, last_seen.
+
+    Types are free text and may be very many; places come from one distributed sort, so no chain is gathered.
     """
     kind = F.coalesce("threat_type", F.lit("Unknown"))
     order = F.struct(~F.col("is_head"), F.col("idx"))
     per_type = members.groupBy("chain_no", "chain_id", kind.alias("threat_type")).agg(
         F.count("*").alias("n"), F.min(order).alias("first_seen"), F.max(order).alias("last_seen"))
-    entry = F.struct("first_seen", F.concat(F.col("n"), F.lit(" "), F.col("threat_type")).alias("text"))
-    return per_type.groupBy("chain_no", "chain_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), ", ").alias("types"),
-        F.min_by("threat_type", "first_seen").alias("first_type"),
-        F.max_by("threat_type", "last_seen").alias("last_type"),
-    ).select(
+    placed = with_ordinal(per_type, ["chain_no", "first_seen"])
+    begins = placed.groupBy("chain_no").agg(F.min("ord").alias("_begin"))
+    return placed.join(begins, "chain_no").select(
+        "chain_no", "chain_id", (F.col("ord") - F.col("_begin")).alias("place"), "threat_type", "n", "last_seen")
+
+
+def chain_type_summary(members: DataFrame, named: int = NAMED_TYPES) -> DataFrame:
+    """Per chain: ``n type`` in first-seen order, its first and last threat type, and how many types were left out.
+
+    The text names the first ``named`` types; if there are more, it ends with their number. All of them are in
+    ``chain_types``.
+    """
+    types = chain_types(members)
+    entry = F.when(F.col("place") < named, F.struct("place", F.concat(F.col("n"), F.lit(" "), F.col("threat_type")).alias("text")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), ", ")
+    left_out = F.greatest(F.count("*") - named, F.lit(0))
+    summed = types.groupBy("chain_no", "chain_id").agg(
+        listed.alias("listed"), left_out.alias("types_left_out"),
+        F.min_by("threat_type", "place").alias("first_type"), F.max_by("threat_type", "last_seen").alias("last_type"))
+    more = F.when(F.col("types_left_out") > 0, F.concat(F.lit(" and "), F.col("types_left_out"), F.lit(" more types"))).otherwise("")
+    return summed.withColumn("types", F.concat("listed", more)).select(
         "chain_no", "chain_id", "types", "first_type", "last_type",
-        F.format_string(C.CHAIN_COURSE, F.col("types"), F.col("first_type"), F.col("last_type")).alias("text"))
+        F.format_string(C.CHAIN_COURSE, F.col("types"), F.col("first_type"), F.col("last_type")).alias("text"), "types_left_out")
 
 
 def top_chain(chains: DataFrame) -> DataFrame:

@@ -332,3 +332,20 @@ def test_resume_scores_only_what_failed(spark, small):
     assert ids(second) == ids(whole) and ids(first) != ids(whole)
     assert second["summary"].collect() == whole["summary"].collect() and second["summary"].count() == 1
     assert second["totals"].first().chunks_processed == whole["totals"].first().chunks_processed
+
+
+def test_chain_with_a_million_types(spark):
+    """Types of a chain are rows with a place; the text names some and counts the others."""
+    n = 1_000_000
+    ids = spark.range(n).select(F.col("id").alias("idx"), F.lit(1).alias("chain_no"), F.lit("chain-1").alias("chain_id"), (F.col("id") == 7).alias("is_head"),
+                                F.concat(F.lit("type "), F.col("id")).alias("threat_type"))
+    members = ids.unionByName(spark.createDataFrame(
+        [(0, 2, "chain-2", True, "b"), (1, 2, "chain-2", False, None), (2, 2, "chain-2", False, "b")],
+        "idx long, chain_no int, chain_id string, is_head boolean, threat_type string"))
+    types = reports.chain_types(members)
+    assert types.count() == n + 2
+    assert [(r.place, r.threat_type) for r in types.where("chain_no = 1 and place < 3").orderBy("place").collect()] == [(0, "type 7"), (1, "type 0"), (2, "type 1")]
+    rows = {r.chain_no: r for r in reports.chain_type_summary(members, named=3).collect()}
+    assert (rows[1].types, rows[1].types_left_out) == (f"1 type 7, 1 type 0, 1 type 1 and {n - 3} more types", n - 3)
+    assert (rows[1].first_type, rows[1].last_type) == ("type 7", f"type {n - 1}")
+    assert (rows[2].types, rows[2].types_left_out, rows[2].last_type) == ("2 b, 1 Unknown", 0, "b")
