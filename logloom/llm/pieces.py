@@ -65,6 +65,9 @@ class MergeModel:
         self.silent = np.array([bool(lib.is_control(i)) for i in range(size)])
         self.first, self.inner = TwoAges(REMEMBERED), TwoAges(REMEMBERED // 4)
         self.merged: list[tuple[str, bytes]] = []
+        #: Segments that don't decode to themselves, and whether the last text consists of others.
+        self.unlike: set[str] = set()
+        self.faithful = False
 
     def symbols(self, text: str) -> list[str]:
         """The text's symbols after all merges: the best-scored adjacent pair first, the leftmost of equals."""
@@ -139,6 +142,7 @@ class MergeModel:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text, without an end id."""
+        self.faithful = not text
         if not text:
             return b""
         keys = text.split(" ")
@@ -154,11 +158,14 @@ class MergeModel:
                     ids = self._segment(key)
                     if plain:
                         self.merged.append((key, ids))
+                        if self.decode(np.frombuffer(ids, np.int32)) != key:
+                            self.unlike.add(key)
                 if len(key) <= LONGEST_REMEMBERED and "\n" not in key:
                     young[key] = ids
             out.append(ids)
         self.first.turn()
         self.inner.turn()
+        self.faithful = plain and self.unlike.isdisjoint(keys)
         return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -212,7 +219,8 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 blob = model.encode(text) + end
                 ids = np.frombuffer(blob, np.int32)
                 blobs.append(blob)
-                decoded.append(model.decode(ids))
+                # Segments hold whole characters, so a text of segments that decode to themselves does so too.
+                decoded.append(text if model.faithful else model.decode(ids))
                 if seen % CHECK_EVERY == 0 or decoded[-1] != text or SPACE in text or "  " in text or text[:1] == " " or text[-1:] == " ":
                     model.check(text, ids, decoded[-1])
                 seen += 1
