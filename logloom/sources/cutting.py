@@ -34,6 +34,7 @@ def pieces(spark: SparkSession, path, separator: str) -> DataFrame:
     """``value`` (text up to a separator), its ``file``, the first byte of its ``block``, and the file's ``bytes``."""
     raw = spark.read.option("lineSep", separator).text(path)
     at = lambda name: F.col(f"_metadata.{name}")
+    # ``units.pieces`` gives the same for a table of files.
     return raw.select("value", at("file_path").alias("file"), at("file_block_start").alias("block"), at("file_size").alias("bytes"))
 
 
@@ -192,7 +193,7 @@ def _summaries(read: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"file": row["file"], "block": row["block"], "bytes": row["bytes"], "quotes": quotes,
                                                "outside": depth[0], "inside": depth[1], "size": size, "root": root}], schema=fields)
 
-    return read.mapInArrow(run, "file string, block bigint, bytes bigint, quotes bigint, outside bigint, inside bigint, size bigint, root string")
+    return read.select("value", "file", "block", "bytes").mapInArrow(run, "file string, block bigint, bytes bigint, quotes bigint, outside bigint, inside bigint, size bigint, root string")
 
 
 def _states(read: DataFrame) -> DataFrame:
@@ -291,8 +292,8 @@ def _cut_documents(read: DataFrame, largest: int, fragments: bool) -> DataFrame:
     return read.mapInArrow(run, _CUT)
 
 
-def json_records(spark: SparkSession, path, keys: tuple[str, ...] = WRAPPERS, largest: int = LARGEST_RECORD) -> DataFrame:
-    """Texts of the records of JSON documents: file, place, text, ``level`` and ``problem``.
+def json_records(read: DataFrame, keys: tuple[str, ...] = WRAPPERS, largest: int = LARGEST_RECORD) -> DataFrame:
+    """Texts of the records of JSON documents: file, place, text, ``level`` and ``problem``. ``read`` are their pieces up to ``}``.
 
     A document that is a list has its elements as records (level 1); one that is an object has the elements of the
     list under the first of ``keys`` that holds one (level 2), else it is a record itself (level 0). Files divide by
@@ -302,10 +303,9 @@ def json_records(spark: SparkSession, path, keys: tuple[str, ...] = WRAPPERS, la
     more than ``largest`` bytes, or the document ends inside it. Records are not parsed here; a broken one leaves the
     others whole as far as its brackets close.
     """
-    read = pieces(spark, path, "}")
-    # Bounded: one row per block of a file, as many as the scan has tasks at most.
+    # Bounded: one row per block of a file.
     states = stage(_states(read), "json-states")
-    lists = spark.createDataFrame([], "file string, opens bigint, closes bigint")
+    lists = read.sparkSession.createDataFrame([], "file string, opens bigint, closes bigint")
     if keys:
         lists = stage(_lists(read.join(F.broadcast(states), ["file", "block"]), keys), "json-lists")
     level = F.when(F.col("root") == "[", 1).when(F.col("root") != "{", None).when(F.col("opens").isNotNull(), 2).otherwise(0)
@@ -383,10 +383,10 @@ def _values(text: bytes) -> list[str]:
     return text.split(",") if '"' not in text else next(csv.reader(io.StringIO(text, newline="")), [""])
 
 
-def csv_heads(spark: SparkSession, path, largest: int = LARGEST_RECORD) -> DataFrame:
-    """``file``, ``place`` and ``header`` (names) of the first record of each file that isn't blank.
+def csv_heads(read: DataFrame, largest: int = LARGEST_RECORD) -> DataFrame:
+    """``file``, ``place`` and ``header`` (names) of the first record of each file that isn't blank, from its first block of lines.
 
-    A file whose first block or whose first ``largest`` bytes do not end it has no row.
+    A file whose first block or first ``largest`` bytes do not end it has no row.
     """
 
     def run(batches):
@@ -406,18 +406,17 @@ def csv_heads(spark: SparkSession, path, largest: int = LARGEST_RECORD) -> DataF
                     yield pa.RecordBatch.from_pylist([{"file": row["file"], "place": at, "header": _values(held.removeprefix(b"\xef\xbb\xbf"))}])
                     break
 
-    return pieces(spark, path, "\n").where(F.col("block") == 0).mapInArrow(run, "file string, place bigint, header array<string>")
+    return read.where(F.col("block") == 0).mapInArrow(run, "file string, place bigint, header array<string>")
 
 
-def csv_records(spark: SparkSession, path, largest: int = LARGEST_RECORD) -> DataFrame:
-    """CSV records: file, place (its first byte), ``values``, ``text`` and ``problem``; blank lines are left out.
+def csv_records(read: DataFrame, largest: int = LARGEST_RECORD) -> DataFrame:
+    """CSV records of lines: file, place (the first byte), ``values``, ``text`` and ``problem``; blank lines are left out.
 
     A record goes on over line breaks inside quotes, also from one block of a file to the next. ``problem`` says
     that it has more than ``largest`` bytes or that its last quote is never closed; it then has no values, and ``text``
     is its beginning. The header is a record like others.
     """
-    read = pieces(spark, path, "\n")
-    # Bounded: one row per block of a file, as many as the scan has tasks at most.
+    # Bounded: one row per block of a file.
     states = stage(_line_states(read), "csv-states")
     placed = read.join(F.broadcast(states), ["file", "block"])
 

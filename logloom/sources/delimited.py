@@ -9,13 +9,13 @@ from pyspark.sql import types as T
 from ..operators.ordering import with_ordinal
 from ..schemas import FLOW
 from ..workspace import stage
-from .cutting import csv_heads, csv_records
+from .cutting import csv_heads, csv_records, pieces
 from .json_logs import read_json_array
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     """Headered CSV with a given schema; malformed and empty values become null, a header that differs is an error."""
-    rows, heads, _ = _by_position(spark, path, standard=False)
+    rows, heads, _ = _by_position(pieces(spark, path, "\n"), standard=False)
     other = heads.where(F.col("header") != F.array(*map(F.lit, schema.names))).select("file", "header").first()
     if other is not None:
         raise ValueError(f"{other['file']} has the names {other['header']} where {schema.names} are expected")
@@ -28,17 +28,18 @@ def read_csv_by_header(spark: SparkSession, path) -> DataFrame:
     Values may hold line breaks inside quotes. Empty values and those that a short row lacks are null; a row with
     more values than names is an error.
     """
-    rows, heads, names = _by_position(spark, path)
+    rows, heads, names = _by_position(pieces(spark, path, "\n"))
     return _or_fail(rows).select(*_columns(heads, names))
 
 
-def read_csv_placed(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects): as ``read_csv_by_header``, each row with its ``file`` and ``place``; nothing is an error.
+def parse_csv(read: DataFrame, first: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of lines: as ``read_csv_by_header``, each row with its ``file`` and ``place``; nothing is an error.
 
     Rejects have file, line and reason: rows with more or fewer values than names, records that are too large or
-    whose quote never closes, and the records of files without a header.
+    whose quote never closes, and the records of files without a header. ``first`` are the first lines of each file,
+    where they can be had without reading them all.
     """
-    rows, heads, names = _by_position(spark, path)
+    rows, heads, names = _by_position(read, first)
     said = F.concat(F.size("values"), F.lit(" values under "), F.size("header"), F.lit(" names"))
     reason = F.coalesce("problem", F.when(F.col("header").isNull(), "no header").when(F.size("values") != F.size("header"), said))
     judged = rows.withColumn("reason", reason)
@@ -47,23 +48,23 @@ def read_csv_placed(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     return good, judged.where("reason is not null").select("file", F.col("text").alias("line"), "reason")
 
 
-def _by_position(spark: SparkSession, path, standard: bool = True) -> tuple[DataFrame, DataFrame, list[str]]:
+def _by_position(read: DataFrame, first: DataFrame | None = None, standard: bool = True) -> tuple[DataFrame, DataFrame, list[str]]:
     """Records with their file's ``header`` and ``order`` (per name, its places there), the table of headers, and all names.
 
     The names of all files reach the driver, which needs them for the schema; files and headers don't.
     """
-    heads = csv_heads(spark, path)
+    heads = csv_heads(read if first is None else first)
     name = lambda n, i: F.when(n == "", F.concat(F.lit("_c"), i)).otherwise(F.lower(F.replace(n, F.lit(" "), F.lit("_"))) if standard else n)
     heads = heads.withColumn("header", F.transform("header", name))
     heads = stage(heads, "csv-heads")
     seen = heads.select(F.posexplode("header").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()
     if not seen:
-        raise ValueError(f"no csv files found in {path}")
+        raise ValueError("no csv file with a header")
     names = [r["name"] for r in seen]
     places = F.transform(F.array(*map(F.lit, names)), lambda n: F.filter(
         F.transform("header", lambda h, i: F.when(h == n, i)), lambda i: i.isNotNull()))
     ordered = heads.select("file", F.col("place").alias("head"), "header", places.alias("order"))
-    rows = csv_records(spark, path).join(ordered, "file", "left")
+    rows = csv_records(read).join(ordered, "file", "left")
     return rows.where(F.col("head").isNull() | (F.col("place") != F.col("head"))), ordered, names
 
 

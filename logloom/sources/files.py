@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -18,6 +17,7 @@ from ..functions.text import strip
 from ..schemas import RAW_EVENT
 from ..workspace import stage
 from . import delimited, json_logs, line_formats, windows_xml
+from .units import first_pieces, lines, open_file, pieces
 
 
 def list_files(spark: SparkSession, path) -> DataFrame:
@@ -27,31 +27,13 @@ def list_files(spark: SparkSession, path) -> DataFrame:
         .select("path", "length", F.col("modificationTime").alias("modification_time")))
 
 
-def _open(path: str):
-    """A listed path as an input file, whatever characters its name has."""
-    from urllib.parse import quote
-
-    from pyarrow import fs
-
-    scheme, colon, rest = path.partition(":")
-    if not colon or scheme == "file":
-        return fs.LocalFileSystem().open_input_file("/" + (rest or path).lstrip("/"))
-    system, inner = fs.FileSystem.from_uri(quote(re.sub("^s3a:", "s3:", path), safe=":/"))
-    return system.open_input_file(inner)
-
-
-def exact(path: str) -> str:
-    """A listed path in a form that readers don't take for a pattern."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
-
-
 def _heads(listing: DataFrame, render: Callable, name: str) -> DataFrame:
     """``render`` of every file, opened in the tasks; nothing is fetched but what it reads."""
     schema = T.StructType([*listing.schema.fields, T.StructField(name, T.StringType())])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def head(path: str) -> str:
-            with _open(path) as handle:
+            with open_file(path) as handle:
                 return render(handle)
 
         for batch in batches:
@@ -110,9 +92,9 @@ def classify_sample(sample: Column) -> Column:
 
 
 def detect_formats(spark: SparkSession, path) -> DataFrame:
-    """(path, format), one row per file."""
-    sampled = head_sample(list_files(spark, path).select("path"))
-    return sampled.select("path", classify_sample(F.col("sample")).alias("format"))
+    """(path, length, format), one row per file."""
+    sampled = head_sample(list_files(spark, path).select("path", "length"))
+    return sampled.select("path", "length", classify_sample(F.col("sample")).alias("format"))
 
 
 class Loaded(NamedTuple):
@@ -129,9 +111,8 @@ def _rejects(rows: DataFrame, reason: str) -> DataFrame:
 def _lines(parse: Callable[..., DataFrame], knows: Callable[[Column], Column], reason: str) -> Callable:
     """Reader of a line format; lines that it doesn't know are rejects, blank ones aside."""
 
-    def read(spark: SparkSession, paths, year: int | None) -> Loaded:
-        text = spark.read.text(paths).select(
-            "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    def read(files: DataFrame, year: int | None) -> Loaded:
+        text = lines(files)
         dated = {"year": F.lit(year)} if year is not None and parse is line_formats.parse_syslog else {}
         rest = text.where(~knows(F.col("value")) & (strip(F.col("value")) != ""))
         return Loaded(parse(text, keep=("file", "place"), **dated), _rejects(rest.select("file", F.col("value").alias("line")), reason))
@@ -149,27 +130,27 @@ def _records(records: DataFrame) -> DataFrame:
                                                    lambda k, v: ~F.array_contains(known_names, k) | v.rlike(r"^[\[{]"))).drop("record")
 
 
-def _documents(spark: SparkSession, paths, year: int | None) -> Loaded:
-    records, broken = json_logs.read_json_documents(spark, paths)
+def _documents(files: DataFrame, year: int | None) -> Loaded:
+    records, broken = json_logs.parse_documents(pieces(files, "}"))
     return Loaded(_records(records), broken)
 
 
-def _json_lines(spark: SparkSession, paths, year: int | None) -> Loaded:
-    records, broken = json_logs.read_json_lines(spark, paths)
+def _json_lines(files: DataFrame, year: int | None) -> Loaded:
+    records, broken = json_logs.parse_lines(lines(files))
     return Loaded(_records(records), _rejects(broken, "not a JSON line"))
 
 
-def _csv(spark: SparkSession, paths, year: int | None) -> Loaded:
-    return Loaded(*delimited.read_csv_placed(spark, paths))
+def _csv(files: DataFrame, year: int | None) -> Loaded:
+    return Loaded(*delimited.parse_csv(pieces(files, "\n"), first_pieces(files, "\n")))
 
 
-def _xml(spark: SparkSession, paths, year: int | None) -> Loaded:
-    events, broken = windows_xml.read_xml_events(spark, paths)
+def _xml(files: DataFrame, year: int | None) -> Loaded:
+    events, broken = windows_xml.parse_xml_events(pieces(files, windows_xml.END_TAG).withColumn("place", F.col("at")))
     return Loaded(events, _rejects(broken, "not well-formed XML"))
 
 
-# Reader per format, (spark, paths, year) to ``Loaded``; add an entry to plug in another one.
-READERS: dict[str, Callable[[SparkSession, list[str], int | None], Loaded]] = {
+# Reader per format, from a table of files (path, length) and the year to ``Loaded``; add an entry to plug in another one.
+READERS: dict[str, Callable[[DataFrame, int | None], Loaded]] = {
     "json-array": _documents,
     "json-events": _documents,
     "json-object": _documents,
@@ -187,22 +168,22 @@ READERS: dict[str, Callable[[SparkSession, list[str], int | None], Loaded]] = {
 def load_with_rejects(spark: SparkSession, path, readers=None, year: int | None = None, strict: bool = True) -> Loaded:
     """Detect the format of every file, read each with its reader, union by column name.
 
-    There is one read per format. Keys without a column of their own are in ``fields`` or ``extra``, rows
-    that can't be read in ``rejects``. ``year`` completes syslog times. File names reach the driver, whose
-    file index holds them anyway. A file of unknown format is an error, or a reject if not ``strict``.
+    The files with their formats are a table; a reader gets its part of it and cuts it into units of bytes
+    (``units``), so neither the driver nor the plan knows single files. There is one read per format. Keys without a
+    column of their own are in ``fields`` or ``extra``, rows that can't be read in ``rejects``. ``year`` completes
+    syslog times. A file of unknown format is an error, or a reject if not ``strict``.
     """
     readers = readers or READERS
-    by_format: dict[str, list[str]] = {}
-    for row in detect_formats(spark, path).toLocalIterator():
-        by_format.setdefault(row["format"], []).append(row["path"])
-    unknown = [p for name, paths in by_format.items() if name not in readers for p in paths]
-    if unknown and strict:
-        raise ValueError(f"unsupported log format in {unknown[:5]}")
-    if not by_format:
+    files = stage(detect_formats(spark, path), "formats")
+    formats = sorted(r["format"] for r in files.select("format").distinct().collect())
+    unknown = files.where(~F.col("format").isin(*readers))
+    if strict and (some := unknown.select("path").limit(5).collect()):
+        raise ValueError(f"unsupported log format in {[r['path'] for r in some]}")
+    if not formats:
         raise ValueError(f"no files found in {path}")
-    records, rejects = None, spark.createDataFrame([(p, None, "unknown format") for p in unknown], "file string, line string, reason string")
-    for name in sorted(set(by_format) & set(readers)):
-        own = readers[name](spark, [exact(p) for p in by_format[name]], year)
+    records, rejects = None, unknown.select(F.col("path").alias("file"), F.lit(None).cast("string").alias("line"), F.lit("unknown format").alias("reason"))
+    for name in [f for f in formats if f in readers]:
+        own = readers[name](files.where(F.col("format") == name).select("path", "length"), year)
         frame = own.records.withColumn("format", F.lit(name))
         frame = frame.withColumns({c: F.col(c).cast("string") for c in ("timestamp", "severity") if c in frame.columns})
         records = frame if records is None else records.unionByName(frame, allowMissingColumns=True)

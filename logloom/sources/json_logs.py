@@ -9,18 +9,18 @@ from pyspark.sql import types as T
 from .. import constants as C
 from ..functions.text import strict_json, strip
 from ..schemas import PROCESS, RAW_EVENT
-from .cutting import LARGEST_RECORD, SHOWN, WRAPPERS, json_records
+from .cutting import LARGEST_RECORD, SHOWN, WRAPPERS, json_records, pieces
 
 
-def _parsed(spark: SparkSession, path, keys: tuple[str, ...], largest: int = LARGEST_RECORD) -> DataFrame:
+def _parsed(read: DataFrame, keys: tuple[str, ...], largest: int = LARGEST_RECORD) -> DataFrame:
     """Records with ``record``, the VARIANT of their text, which is null if that is no JSON object."""
-    texts = json_records(spark, path, keys, largest)
+    texts = json_records(read, keys, largest)
     is_object = strip(F.col("text")).startswith("{") & F.col("problem").isNull()
     return texts.withColumn("record", F.when(is_object, strict_json(F.col("text"))))
 
 
 def _objects(spark: SparkSession, path, keys: tuple[str, ...], level: int) -> DataFrame:
-    return _parsed(spark, path, keys).where((F.col("level") == level) & F.col("record").isNotNull()).select("record")
+    return _parsed(pieces(spark, path, "}"), keys).where((F.col("level") == level) & F.col("record").isNotNull()).select("record")
 
 
 def known_fields(records: DataFrame, schema: T.StructType = RAW_EVENT, record: str = "record") -> DataFrame:
@@ -61,7 +61,12 @@ def read_json_documents(spark: SparkSession, path, largest: int = LARGEST_RECORD
     reason: files that hold neither list nor object, elements that are no objects, that are broken, that have more
     than ``largest`` bytes, or in which the document ends.
     """
-    read = _parsed(spark, path, WRAPPERS, largest)
+    return parse_documents(pieces(spark, path, "}"), largest)
+
+
+def parse_documents(read: DataFrame, largest: int = LARGEST_RECORD) -> tuple[DataFrame, DataFrame]:
+    """As ``read_json_documents``, from the documents' pieces up to ``}``."""
+    read = _parsed(read, WRAPPERS, largest)
     return (
         read.where(F.col("record").isNotNull()).select("place", "record", "file"),
         read.where(F.col("record").isNull()).select("file", F.substring("text", 1, SHOWN).alias("line"),
@@ -90,10 +95,15 @@ def tolerant_lines(text: DataFrame) -> DataFrame:
 
 def read_json_lines(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """(records, rejects): parsed lines with file and place, and the lines that were not JSON with their file."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    return parse_lines(text)
+
+
+def parse_lines(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``read_json_lines``, from lines (``value``) with file and place."""
     lines = tolerant_lines(text)
     return (
-        lines.filter(F.col("record").isNotNull()).select("line", "record", "file", F.monotonically_increasing_id().alias("place")),
+        lines.filter(F.col("record").isNotNull()).select("line", "record", "file", "place"),
         lines.filter(F.col("record").isNull()).select("line", "file"),
     )
 

@@ -10,6 +10,9 @@ from ..functions.maps import last_value_map
 from ..schemas import WINDOWS_EVENT
 
 
+END_TAG = "</Event>"
+
+
 def _entry(key: Column | str, value: Column) -> Column:
     return F.struct(F.lit(key).alias("key") if isinstance(key, str) else key.alias("key"), value.alias("value"))
 
@@ -74,16 +77,14 @@ def event_fields(df: DataFrame, xml: str | None = None) -> DataFrame:
     return df.select(*kept, F.lit("windows_event").alias("event_type"), last_value_map(F.col("_entries")).alias("fields"))
 
 
-def split_events(spark: SparkSession, path) -> DataFrame:
-    """``xml``: one text per Event element.
+def split_events(pieces: DataFrame) -> DataFrame:
+    """``xml``: one text per Event element, from texts (``value``) up to an end tag, with file and place.
 
-    The end tag serves as line separator, so big files split between tasks, and it does not
+    The end tag serves as separator, so big files split between tasks, and it does not
     matter whether the file has a root element, a declaration or line breaks inside events.
     """
-    pieces = spark.read.option("lineSep", "</Event>").text(path)
-    return pieces.select(
-        F.regexp_extract("value", r"(?s)(<Event(?:\s|>).*)", 1).alias("xml"), F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("place")).filter(F.col("xml") != "").withColumn("xml", F.concat("xml", F.lit("</Event>")))
+    return pieces.select(F.regexp_extract("value", r"(?s)(<Event(?:\s|>).*)", 1).alias("xml"), "file", "place").filter(
+        F.col("xml") != "").withColumn("xml", F.concat("xml", F.lit(END_TAG)))
 
 
 def read_windows_xml(spark: SparkSession, path, schema: T.StructType = WINDOWS_EVENT) -> DataFrame:
@@ -93,8 +94,15 @@ def read_windows_xml(spark: SparkSession, path, schema: T.StructType = WINDOWS_E
 
 def read_xml_events(spark: SparkSession, path, schema: T.StructType = WINDOWS_EVENT) -> tuple[DataFrame, DataFrame]:
     """(events with file and place, elements that are not well-formed with their file)."""
+    pieces = spark.read.option("lineSep", END_TAG).text(path)
+    return parse_xml_events(pieces.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place")), schema)
+
+
+def parse_xml_events(pieces: DataFrame, schema: T.StructType = WINDOWS_EVENT) -> tuple[DataFrame, DataFrame]:
+    """As ``read_xml_events``, from texts up to an end tag."""
     checked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    parsed = split_events(spark, path).withColumn("e", F.from_xml("xml", checked, {"ignoreNamespace": "true"}))
+    parsed = split_events(pieces).withColumn("e", F.from_xml("xml", checked, {"ignoreNamespace": "true"}))
     broken = F.col("e._corrupt_record").isNotNull()
     good = parsed.filter(~broken).select("file", "place", "xml", *[F.col(f"e.{name}").alias(name) for name in schema.names])
     return event_fields(good, "xml"), parsed.filter(broken).select("file", F.col("xml").alias("line"))

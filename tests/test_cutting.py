@@ -57,7 +57,7 @@ def test_documents_over_blocks(spark, tmp_path, seed, size):
         (tmp_path / f"{name}.json").write_text(rng.choice(["", "﻿", " \n"]) + dump(value) + rng.choice(["", "\n", " \n "]))
     with blocks_of(spark, size):
         for name, level in (("list", 1), ("key", 2), ("object", 0)):
-            found = cutting.json_records(spark, str(tmp_path / f"{name}.json"))
+            found = cutting.json_records(cutting.pieces(spark, str(tmp_path / f"{name}.json"), "}"))
             assert {(r["level"], r["problem"]) for r in found.collect()} == {(level, None)}
             want = [layouts["object"]] if name == "object" else rows
             assert [json.loads(t) for t in texts_of(found)] == want
@@ -125,7 +125,7 @@ def test_csv_over_blocks(spark, tmp_path, seed, size):
             got = delimited.read_csv_by_header(spark, str(tmp_path / "a.csv"))
             assert got.columns == ["no", "one_two", 'th"ree', "fo\nur"]
             assert {r["no"]: tuple(r) for r in got.collect()} == {r[0]: tuple(v or None for v in r) for r in rows}
-        found = cutting.csv_records(spark, str(tmp_path / "a.csv"))
+        found = cutting.csv_records(cutting.pieces(spark, str(tmp_path / "a.csv"), "\n"))
         values = [r["values"] for r in sorted(found.collect(), key=lambda r: r["place"])]
         assert values[1:] == rows and {r["problem"] for r in found.collect()} == {None}
 
@@ -135,7 +135,7 @@ def test_quotes_inside_fields(spark, tmp_path):
     lines = ['a,b,c', '5" disk,x"y,"z"', '"p"q,r,s', 'm,"n""\no",', ',"",""', '"un\n,\n"" closed",1,2']
     (tmp_path / "a.csv").write_text("\n".join(lines))
     with blocks_of(spark, 12):
-        found = cutting.csv_records(spark, str(tmp_path / "a.csv"))
+        found = cutting.csv_records(cutting.pieces(spark, str(tmp_path / "a.csv"), "\n"))
         values = [r["values"] for r in sorted(found.collect(), key=lambda r: r["place"])]
     assert values == list(csv.reader(io.StringIO("\n".join(lines), newline="")))
 
@@ -157,10 +157,10 @@ def test_ragged_rows_and_open_quotes_are_rejects(spark, tmp_path):
 def test_odd_quote_in_a_long_file_is_linear(spark, tmp_path):
     body = "a,b\n" + '1,"odd\n' + "xxxx,yyyy\n" * 400_000
     (tmp_path / "a.csv").write_text(body)
-    batch_rows = cutting.csv_heads(spark, str(tmp_path / "a.csv"))
+    batch_rows = cutting.csv_heads(cutting.pieces(spark, str(tmp_path / "a.csv"), "\n"))
     batch_rows.collect()
     start = time.time()
-    rows = cutting.csv_records(spark, str(tmp_path / "a.csv")).select("problem", F.length("text").alias("n")).collect()
+    rows = cutting.csv_records(cutting.pieces(spark, str(tmp_path / "a.csv"), "\n")).select("problem", F.length("text").alias("n")).collect()
     assert [(r.problem, r.n) for r in rows if r.problem] == [("the last quote is never closed", cutting.SHOWN)] and time.time() - start < 20
 
 

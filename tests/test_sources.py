@@ -200,7 +200,7 @@ def test_long_headers_are_told_apart(spark, tmp_path):
     (tmp_path / "a.csv").write_text(f"{wide},first\n{',' * 1500}1\n")
     (tmp_path / "b.csv").write_text(f"{wide},second\n{',' * 1500}2\n")
     (tmp_path / "c.csv").write_text('third,"odd\nname"\n3,x\n')
-    heads = {r.file[-5:]: r.header for r in cutting.csv_heads(spark, str(tmp_path)).collect()}
+    heads = {r.file[-5:]: r.header for r in cutting.csv_heads(cutting.pieces(spark, str(tmp_path), "\n")).collect()}
     assert heads["a.csv"][-1] == "first" and heads["b.csv"][-1] == "second" and heads["c.csv"] == ["third", "odd\nname"]
     rows = delimited.read_csv_by_header(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).select("first", "second").collect()
     assert sorted((r.first or "", r.second or "") for r in rows) == [("", "2"), ("1", "")]
