@@ -101,3 +101,5 @@ EVENTS_HEADER = "NETWORK FLOW DATA (%d total events)\n\n"
 EVENT_LAYOUT = "Event %d (ID: %s)\nTime: %s\nSource: %s\nDestination: %s\nAction: %s\n\n"
 CONCLUSION_NOTHING = "No significant threats detected"
 CONCLUSION_BROKEN = "Analysis complete but summary parsing failed"
+REPLY_WITHOUT_JSON = "No JSON found in response"
+ALL_CHUNKS_FAILED = "All chunks failed to process"

@@ -121,7 +121,7 @@ def parse_replies(scored: DataFrame, schema=FINDINGS, name: str = "findings") ->
     missing = ~(F.contains(reply, F.lit("{")) & F.contains(reply, F.lit("}")))
     error = (
         F.when(F.col("error").isNotNull(), F.concat(F.lit("Processing error: "), F.col("error")))
-        .when(reply.isNull() | missing, F.lit("No JSON found in response"))
+        .when(reply.isNull() | missing, F.lit(C.REPLY_WITHOUT_JSON))
         .when(~valid, F.lit("JSON parsing error"))
     )
     checked = scored.withColumn("parsing_error", error)
@@ -180,7 +180,7 @@ def run_state(failures: DataFrame) -> DataFrame:
     """One row: how many chunks failed, and whether all of them did."""
     counts = failures.agg(F.count("*").alias("chunks"), F.count_if("failed").alias("failed_chunks"),
                           F.bool_and("failed").alias("all_failed"))
-    return counts.withColumn("error", F.when(F.col("all_failed"), F.lit("All chunks failed to process")))
+    return counts.withColumn("error", F.when(F.col("all_failed"), F.lit(C.ALL_CHUNKS_FAILED)))
 
 
 def pending_chunks(chunks: DataFrame, results: DataFrame) -> DataFrame:
