@@ -21,6 +21,8 @@ WINDOW = 2048
 CELL = 128
 #: Cells that one task deals out to windows.
 SEGMENT_CELLS = 1 << 15
+#: Weight of sources that no target share is left for, so that they come last.
+LEAST_WEIGHT = 1e-9
 #: Low bits of a sequence id count the sequences of a segment.
 LOCAL_BITS = 24
 #: Words whose ids a worker remembers, per generation, and the longest that it remembers.
@@ -246,12 +248,13 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cell: i
     return arrow_pass(ready, ["doc_id", "source", "text"], run, schema, "packing")
 
 
-def deal_windows(queues: list[int], carried: np.ndarray, per_window: int) -> np.ndarray:
+def deal_windows(queues: list[int], carried: np.ndarray, per_window: int, weights: np.ndarray | None = None) -> np.ndarray:
     """Window of each cell, cells listed queue by queue, by deficit round-robin.
 
     In every window each queue earns its share of the window's cells, on top of what earlier windows (and the
     segment before, ``carried``) left; queues with the largest deficit are served first, whole cells only,
-    and what a queue got too much is charged to its next windows.
+    and what a queue got too much is charged to its next windows. Shares are those of all cells or, with
+    ``weights``, of the weights of the queues that have cells left.
     """
     left, total = np.array(queues, np.int64), int(sum(queues))
     share = left / max(total, 1)
@@ -260,6 +263,9 @@ def deal_windows(queues: list[int], carried: np.ndarray, per_window: int) -> np.
     window_of = np.zeros(total, np.int64)
     for window in range(-(-total // per_window)):
         room = min(per_window, total - window * per_window)
+        if weights is not None:
+            share = np.where(left > 0, weights, 0.0)
+            share /= share.sum()
         deficit += share * room
         take = np.minimum(np.maximum(np.floor(deficit), 0), left).astype(np.int64)
         order = np.argsort(-(deficit - np.where(left > 0, 0, np.inf)), kind="stable")
@@ -274,14 +280,45 @@ def deal_windows(queues: list[int], carried: np.ndarray, per_window: int) -> np.
     return window_of
 
 
+class _Course:
+    """How far each source is served when so many cells of a level have been dealt, if sources have target shares.
+
+    At time t a source of weight w has had min(w t, its cells). ``steps`` are (w, time at which it runs out); sources
+    that are not named count as one, whose share goes by their tokens.
+    """
+
+    def __init__(self, cells: dict[str | None, int], targets: dict[str, float]):
+        rest = max(1.0 - sum(targets.values()), LEAST_WEIGHT)
+        self.weight = {name: max(targets.get(name, rest), LEAST_WEIGHT) for name, n in cells.items() if n}
+        self.cells = {name: n for name, n in cells.items() if n}
+        self.steps = [(self.weight[name], n / self.weight[name]) for name, n in self.cells.items()]
+        self.times = np.array([0.0, *sorted(end for _, end in self.steps)])
+        self.dealt = sum(w * np.minimum(self.times, end) for w, end in self.steps)
+
+    def time(self, dealt: float) -> float:
+        return float(np.interp(dealt, self.dealt, self.times))
+
+
+def _courses(counts: DataFrame, targets: dict[str, float]) -> dict[int, _Course]:
+    """Per level, from the cells of each named source and of all others; a row per level and name."""
+    name = F.when(F.col("source").isin(*targets), F.col("source")).alias("name")
+    cells: dict[int, dict] = {}
+    for r in counts.groupBy("level", name).agg(F.sum("cells").alias("n")).collect():
+        cells.setdefault(r["level"], {})[r["name"]] = r["n"]
+    return {level: _Course(own, targets) for level, own in cells.items()}
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, cell: int = CELL,
-                   with_ids: bool = False) -> DataFrame:
+                   with_ids: bool = False, targets: dict[str, float] | None = None) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``: every id in exactly one piece.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source (and ids). Each window of
-    ``window`` tokens takes from the sources in the proportions of their token totals, to within a cell; a
-    shortfall is carried to the next windows, and by arithmetic also to the next segment of windows, which
-    is another task. The last cells of a segment make sequences of powers of two, so nothing is padded.
+    ``window`` tokens takes from the sources in the proportions of ``targets`` (source to share, 1 in all at most;
+    the other sources have the rest, by their tokens), to within a cell. As every id is packed, a source that has
+    run out gives its share to the others, and sources without a share come when all with one have run out. Without
+    ``targets`` the proportions are those of the token totals, which hold in every window. A shortfall is carried to the
+    next windows, and by arithmetic also to the next segment of windows, which is another task. The last cells of a
+    segment make sequences of powers of two, so nothing is padded.
     Null and empty texts have the end id alone. A null source is a source of its own. Repeated rows are packed
     each. Further columns aren't read; an empty table gives an empty table.
 
@@ -307,9 +344,21 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window
         F.col("source").alias("s"), F.col("level").alias("l"), F.col("part").alias("p"), "before", "queue_cells", "segments", "phase")
     joined = pieces.join(places, pieces["source"].eqNullSafe(F.col("s")) & (pieces["level"] == F.col("l")) & (pieces["part"] == F.col("p")))
     place = (F.col("before") + F.col("cell") + F.col("phase")) / F.col("queue_cells") * F.col("segments")
+    weight, courses = F.lit(0.0), _courses(counts, targets) if targets and levels else None
+    if courses:
+        weights = F.create_map(*[F.lit(x) for level, c in courses.items() for name, w in c.weight.items()
+                                 for x in ((f"{level}:{name}", w) if name is not None else (f"{level}", w / c.cells[None]))])
+        named = F.concat("level", F.lit(":"), F.col("source"))
+        weight = F.coalesce(F.try_element_at(weights, named), F.try_element_at(weights, F.col("level").cast("string")) * F.col("queue_cells"))
+        steps = F.create_map(*[x for level, c in courses.items() for x in (
+            F.lit(level), F.array(*[F.struct(F.lit(float(w)).alias("w"), F.lit(float(end)).alias("end")) for w, end in c.steps]))])
+        time = (F.col("before") + F.col("cell") + F.col("phase")) / weight
+        dealt = F.aggregate(F.element_at(steps, F.col("level")), F.lit(0.0), lambda sum_, e: sum_ + e["w"] * F.least(time, e["end"]))
+        totals = F.create_map(*[F.lit(x) for level, c in courses.items() for x in (level, float(c.dealt[-1]))])
+        place = dealt / F.element_at(totals, F.col("level")) * F.col("segments")
     ready = joined.select(
         "doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "level", "offset", (F.col("before") + F.col("cell")).alias("nth"),
-        "queue_cells", "segments", "phase", F.least(F.floor(place), F.col("segments") - 1).cast("int").alias("segment"),
+        "queue_cells", "segments", "phase", weight.alias("weight"), F.least(F.floor(place), F.col("segments") - 1).cast("int").alias("segment"),
         *(["ids"] if with_ids else []))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "source", *(["ids"] if with_ids else [])]
     schema = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, source string, "
@@ -325,9 +374,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window
         cell_no = np.cumsum(new_cell) - 1
         queues = np.diff(np.r_[np.flatnonzero(new_queue[new_cell]), cell_no[-1] + 1])
         # What each queue was owed when the segment began: its exact share of earlier segments less what they took.
-        carried = number("queue_cells")[new_queue] * (segment / segments) - number("phase")[new_queue] - nth[new_queue]
+        all_cells, weights = number("queue_cells")[new_queue], None
+        owed = all_cells * (segment / segments)
+        if courses:
+            weights, course = number("weight")[new_queue], courses[level]
+            owed = np.minimum(weights * course.time(course.dealt[-1] * segment / segments), all_cells)
+        carried = owed - number("phase")[new_queue] - nth[new_queue]
         per_window = window >> level
-        window_of = deal_windows(queues.tolist(), np.clip(carried - carried.mean(), -1, 1), per_window)
+        window_of = deal_windows(queues.tolist(), np.clip(carried - carried.mean(), -1, 1), per_window, weights)
         rank = np.empty(len(window_of), np.int64)
         rank[np.argsort(window_of, kind="stable")] = np.arange(len(window_of))
         sequence, inside = _sequences(rank, per_window)

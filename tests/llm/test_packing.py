@@ -129,6 +129,50 @@ def test_deficits_are_carried(queues, per_window):
             assert abs((own <= w).sum() - share) < len(queues) + 1
 
 
+@pytest.mark.parametrize("cells", [1 << 15, 256])
+def test_windows_hold_target_proportions(spark, documents, monkeypatch, cells):
+    """Until a named source runs out, every full window has its target share, in one segment and in many."""
+    monkeypatch.setattr(packing, "SEGMENT_CELLS", cells)
+    tokens = Counter()
+    for r in documents.collect():
+        tokens[r["source"]] += len(ids_of(r["text"]))
+    (large, n), (small, m) = tokens.most_common(1)[0], tokens.most_common()[-1]
+    targets = {large: 0.5, small: 0.05, "not there": 0.1}
+    pieces = packing.pack_documents(documents, PATH, targets=targets).collect()
+    check(documents, pieces)
+    windows = defaultdict(Counter)
+    for p in pieces:
+        windows[p["sequence_id"]][p["source"]] += p["length"]
+    full = sorted((i, w) for i, w in windows.items() if sum(w.values()) == 2048 and i >> packing.LOCAL_BITS & 15 == 7)
+    # What isn't there has no share: the others' shares grow.
+    rest = 1 - sum(targets.values())
+    shares = {large: 0.5 / 0.9, small: 0.05 / 0.9}
+    lasts = min(n / shares[large], m / shares[small], (sum(tokens.values()) - n - m) / (rest / 0.9)) / 2048
+    before = full[:int(0.8 * lasts)]
+    assert len(before) >= 5
+    for source, share in shares.items():
+        assert all(abs(w[source] - 2048 * share) < 2.5 * packing.CELL for _, w in before)
+        assert abs(sum(w[source] for _, w in before) - 2048 * share * len(before)) < 4 * packing.CELL * (1 + len(before) * 16 // cells)
+
+
+def test_sources_without_a_share_come_last(documents):
+    first = documents.first()["source"]
+    pieces = packing.pack_documents(documents, PATH, targets={first: 1.0}).collect()
+    check(documents, pieces)
+    windows = defaultdict(set)
+    for p in pieces:
+        if p["sequence_id"] >> packing.LOCAL_BITS & 15 == 7:
+            windows[p["sequence_id"]].add(p["source"] == first)
+    mixed = [i for i, kinds in windows.items() if len(kinds) > 1]
+    assert len(mixed) <= 1 and max((i for i, kinds in windows.items() if kinds == {True}), default=-1) < min(i for i, kinds in windows.items() if kinds == {False})
+
+
+def test_targets_of_odd_rows(odd, empty):
+    for targets in ({"s": 0.5}, {"s": 1.0, "t": 0.0}, {"none such": 0.3}):
+        check(odd, packing.pack_documents(odd, PATH, targets=targets).collect())
+    assert packing.pack_documents(empty, PATH, targets={"s": 0.5}).count() == 0
+
+
 def test_odd_rows(odd, empty):
     check(odd, packing.pack_documents(odd, PATH).collect())
     assert packing.pack_documents(empty, PATH).count() == 0
