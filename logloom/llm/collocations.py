@@ -90,12 +90,14 @@ class PhraseTrie:
         third = np.where(second == _END, _END, third) if self.longest > 2 else np.zeros_like(third)
         real = first != _END
         first, second, third = first[real], second[real], third[real]
+        if not len(first):
+            return
         keys = (first << 2 * _BITS) | (second << _BITS) | third
         group = first % _SUBTREES
         homes = group * _PARTS + np.where(self.is_burst[group], second % _PARTS, 0)
         order = np.argsort(homes, kind="stable")
         homes, keys = homes[order], keys[order].tolist()
-        starts = np.flatnonzero(np.r_[True, homes[1:] != homes[:-1]]).tolist() if len(homes) else []
+        starts = np.flatnonzero(np.r_[True, homes[1:] != homes[:-1]]).tolist()
         for home, a, b in zip(homes[starts].tolist(), starts, [*starts[1:], len(keys)], strict=True):
             box = self.leaf.get(home)
             if box is None:
