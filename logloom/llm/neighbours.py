@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..workspace import stage
 from .common import tidy
@@ -22,7 +23,7 @@ PAIRS_AT_ONCE = 1 << 15
 
 def usable(vector: Column) -> Column:
     """No null, no null or non-finite component, and not all zero."""
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf")))
     return vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0)
 
 
@@ -90,7 +91,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     Candidates and queries are dealt into blocks of bounded size by a hash of their id, and each pair of a
     query block and a candidate block is one tile. A tile returns ``k`` rows per query, which heaps merge.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
+    # Single precision travels as it is, and becomes double in the tile without a change of value.
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"), is_query.alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).groupBy("vec_id").agg(
         F.min(F.struct("v", "asks")).alias("r")).select("vec_id", "r.v", "r.asks")
     rows = stage(rows.withColumn("dim", F.size("v")), "vectors")
@@ -110,7 +113,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         ids = table.column("vec_id").to_numpy()
         values = table.column("v").combine_chunks()
         values = (values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values).flatten()
-        values = values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        values = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         found = ([], [], []) if asks.all() or not asks.any() else tile_nearest(ids[asks], values[asks], ids[~asks], values[~asks], k)
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())],
                         names=["query_id", "vec_id", "score"])
