@@ -65,8 +65,9 @@ REACH = 24
 HIDDEN, STEPS, BATCH, RATE = 16, 220, 48, 0.02
 #: Texts that training takes, chosen by hash of their content.
 MAX_TRAINING_TEXTS = 1500
-#: Windows that are tagged at a time.
+#: Windows that are tagged at a time, and windows of texts that are decoded together.
 WINDOWS_AT_ONCE = 512
+WINDOWS_TOGETHER = 4096
 TAGS = 2 * len(KINDS) + 1  # 0: outside; 2k+1: first character of kind k; 2k+2: further ones
 _MARKS = "@._%+-()[]{}<>/\\:;,=#*\"'!?|&$~^`"
 PAD, SPACE, LINE, DIGIT, LOWER, UPPER, OTHER = range(7)
@@ -299,38 +300,86 @@ def _plausible(kind: int, value: str) -> bool:
     return bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", value)) and 9 <= len(digits) <= 15 and len(re.findall("[0-9]+", value)) >= 3
 
 
+def _best_paths(emissions: np.ndarray, bases: np.ndarray, lengths: np.ndarray, tagger: Tagger) -> np.ndarray:
+    """Best tag path of each stretch of the flat ``emissions``; all stretches advance together, the longest first."""
+    order = np.argsort(-lengths, kind="stable")
+    bases, lengths = bases[order], lengths[order]
+    trans, first = tagger.p["trans"] + _allowed(), tagger.p["first"] + _allowed()[0]
+    back, tags = np.zeros(emissions.shape, np.int8), np.zeros(len(emissions), np.int64)
+    score = emissions[bases] + first
+    steps = np.arange(int(lengths[0]))
+    active = np.searchsorted(-lengths, -steps, side="left")  # stretches that are longer than t
+    for t in steps[1:]:
+        n = active[t]
+        paths = score[:n, :, None] + trans
+        back[bases[:n] + t] = paths.argmax(axis=1)
+        score[:n] = paths.max(axis=1) + emissions[bases[:n] + t]
+    now = score.argmax(axis=1)
+    for t in steps[::-1]:
+        n, longer = active[t], active[t + 1] if t + 1 < len(steps) else 0
+        now[:longer] = back[bases[:longer] + t + 1, now[:longer]]
+        tags[bases[:n] + t] = now[:n]
+    return tags
+
+
+def _tagged_some(rows: list[tuple[int, np.ndarray, np.ndarray]], tagger: Tagger) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, tag of each character) of texts given as (row, classes, numbers of the windows to be read).
+
+    Neighbouring windows make a stretch. A character's emissions are the mean over the windows that hold it, by its
+    distance from their ends; then one path is decoded for the whole stretch.
+    """
+    inputs, offsets, odd, stretches, total = [], [], [], [], 0
+    for row, classes, own in rows:
+        padded = np.concatenate([np.zeros(STRIDE, np.int64), classes, np.zeros(WINDOW + STRIDE, np.int64)])
+        # Window k starts at (k - 1) * STRIDE of the text.
+        inputs.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[own * STRIDE])
+        breaks = np.flatnonzero(np.diff(own) > 1) + 1
+        for part in np.split(own, breaks):
+            offsets.append(total + (part - part[0]) * STRIDE)
+            odd.append((part - part[0]) % 2 == 1)
+            length = int(part[-1] - part[0]) * STRIDE + WINDOW
+            stretches.append((row, (int(part[0]) - 1) * STRIDE, total, length))
+            total += length
+    inputs, offsets, odd = np.concatenate(inputs), np.concatenate(offsets), np.concatenate(odd)
+    weight = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)
+    emissions, weights = np.zeros((total, TAGS), np.float32), np.zeros(total, np.float32)
+    for a in range(0, len(inputs), WINDOWS_AT_ONCE):
+        found = tagger._emissions(np.ascontiguousarray(inputs[a:a + WINDOWS_AT_ONCE].T))[0].transpose(1, 0, 2)
+        for half in (False, True):  # every other window of a stretch; these don't overlap
+            own = odd[a:a + WINDOWS_AT_ONCE] == half
+            at = offsets[a:a + WINDOWS_AT_ONCE][own][:, None] + np.arange(WINDOW)
+            emissions[at] += found[own] * weight[:, None]
+            weights[at] += weight
+    emissions /= weights[:, None]
+    bases, lengths = (np.array([s[i] for s in stretches]) for i in (2, 3))
+    tags, kept = _best_paths(emissions, bases, lengths, tagger), {row: np.zeros(len(classes), np.int64) for row, classes, _ in rows}
+    for row, start, base, length in stretches:
+        low, high = max(start, 0), min(start + length, len(kept[row]))
+        kept[row][low:high] = tags[base + low - start:base + high - start]
+    yield from kept.items()
+
+
 def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     """Spans that the tagger finds in whole texts.
 
-    Windows lie on a grid and overlap by half. Those near a digit or ``@`` are decoded, many at a time; each
-    character takes its tag from the window in whose middle half it lies, so the decoded windows agree on one
-    path per text, whose runs are the spans, however many windows they cross.
+    Windows lie on a grid and overlap by half. Those near a digit or ``@`` are read; neighbouring ones are decoded as
+    one stretch, so a span is found alike wherever the windows' borders fall. Texts are taken together up to
+    ``WINDOWS_TOGETHER`` windows; memory grows with the longest text.
     """
-    kept, owners, numbers, inputs = {}, [], [], []
+    out: list[list[Span]] = [[] for _ in texts]
+    held, count = [], 0
     for row, text in enumerate(texts):
-        if not text or not _SEED.search(text):
-            continue
-        points = code_points(text)
-        seeds = np.flatnonzero(((points >= 48) & (points < 58)) | (points == 64))
-        own = np.unique((np.clip(np.concatenate([seeds - REACH, seeds, seeds + REACH]), 0, len(points) - 1) + STRIDE // 2) // STRIDE)
-        classes = classes_of(points)
-        padded = np.concatenate([np.zeros(STRIDE, np.int64), classes, np.zeros(WINDOW + STRIDE, np.int64)])
-        # Window k starts at (k - 1) * STRIDE of the text and owns STRIDE characters from its quarter on.
-        starts = own * STRIDE
-        inputs.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[starts])
-        owners.append(np.full(len(own), row))
-        numbers.append(own)
-        kept[row] = np.zeros(len(points), np.int64)
-    if not inputs:
-        return [[] for _ in texts]
-    owners, numbers, inputs = np.concatenate(owners), np.concatenate(numbers), np.concatenate(inputs)
-    for a in range(0, len(inputs), WINDOWS_AT_ONCE):
-        tags = tagger.decode(inputs[a:a + WINDOWS_AT_ONCE])
-        for row, k, path in zip(owners[a:a + WINDOWS_AT_ONCE], numbers[a:a + WINDOWS_AT_ONCE], tags, strict=True):
-            start = int(k) * STRIDE - STRIDE // 2  # first owned character
-            low, high = max(start, 0), min(start + STRIDE, len(kept[row]))
-            kept[row][low:high] = path[low - (int(k) - 1) * STRIDE:high - (int(k) - 1) * STRIDE]
-    return [_runs(kept[row]) if row in kept else [] for row in range(len(texts))]
+        if text and _SEED.search(text):
+            points = code_points(text)
+            seeds = np.flatnonzero(((points >= 48) & (points < 58)) | (points == 64))
+            own = np.unique((np.clip(np.concatenate([seeds - REACH, seeds, seeds + REACH]), 0, len(points) - 1) + STRIDE // 2) // STRIDE)
+            held.append((row, classes_of(points), own))
+            count += len(own)
+        if held and (count >= WINDOWS_TOGETHER or row == len(texts) - 1):
+            for at, tags in _tagged_some(held, tagger):
+                out[at] = _runs(tags)
+            held, count = [], 0
+    return out
 
 
 def _runs(tags: np.ndarray) -> list[Span]:
@@ -357,7 +406,7 @@ def find_private_data(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """``doc_id`` and ``spans``: kind, start, end (code points, end exclusive) and whether a pattern found it.
 
     Spans are ordered by kind, as in ``KINDS``, then start. Null and empty texts have none. Every row of
-    ``docs`` gives a row; further columns aren't read.
+    ``docs`` gives a row, an empty table none; further columns aren't read.
     """
 
     def run(batches):

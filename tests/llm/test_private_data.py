@@ -72,6 +72,52 @@ def test_decode_is_the_best_path(tagger):
     assert paths[scores.argmax()].tolist() == tagger.decode(ids)[0].tolist()
 
 
+def test_stretches_of_one_window_are_decoded_like_windows(tagger):
+    """Paths of stretches of several lengths at once, against each window alone and against one long path."""
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, pd.CLASSES, (40, pd.WINDOW))
+    emissions = tagger._emissions(np.ascontiguousarray(ids.T))[0].transpose(1, 0, 2)
+    lengths = rng.integers(1, pd.WINDOW + 1, 40)
+    bases = np.cumsum(lengths) - lengths
+    flat = np.concatenate([e[:n] for e, n in zip(emissions, lengths, strict=True)])
+    tags = pd._best_paths(flat, bases, lengths, tagger)
+    trans, first = tagger.p["trans"] + pd._allowed(), tagger.p["first"] + pd._allowed()[0]
+
+    def value(e, path):
+        return first[path[0]] + e[np.arange(len(path)), path].sum() + trans[path[:-1], path[1:]].sum()
+
+    for e, n, b, own in zip(emissions, lengths, bases, ids, strict=True):
+        path = tags[b:b + n]
+        if n == pd.WINDOW:
+            assert path.tolist() == tagger.decode(own[None])[0].tolist()
+        score, best = first + e[0], None
+        for t in range(1, n):
+            score = (score[:, None] + trans).max(axis=0) + e[t]
+        best = score.max()
+        assert abs(value(e[:n], path) - best) < 1e-2
+
+
+@pytest.mark.parametrize(("body", "value"), [("call (555) 123-4567 now", "(555) 123-4567"), ("write to anna . berg @ mail . example . com now", None),
+                                             ("from 12[.]34[.]56[.]78 on", "12[.]34[.]56[.]78")])
+def test_added_spans_at_every_shift(tagger, body, value):
+    """Wherever the windows' borders fall in a text, the same span is added, whole."""
+    filler = "er in the and on ared thion of anest whe rinte to ander thes is and at ored es the " * 5
+    found = []
+    for shift in range(0, 2 * pd.WINDOW, 3):
+        text = filler[:shift] + " " + body + " " + filler[:100]
+        found.append(tuple(text[s:e] for _, s, e in pd.all_spans([text], tagger)[0][1]))
+    common = max(set(found), key=found.count)
+    assert value is None or common == (value,)
+    assert found.count(common) > 0.97 * len(found)
+
+
+def test_many_texts_together_change_nothing(tagger, texts, monkeypatch):
+    some = [t or "" for t in list(texts.values())[:40]]
+    together = pd.tagged_spans(some, tagger)
+    monkeypatch.setattr(pd, "WINDOWS_TOGETHER", 1)
+    assert sum(a != b for a, b in zip(together, pd.tagged_spans(some, tagger), strict=True)) == 0
+
+
 def test_held_out_spans(tagger, texts):
     """Spans of spellings and texts that training did not see."""
     windows = sorted({t[max(0, m.start() - 48):m.start() + 48] for t in texts.values() if t and (m := re.search("[0-9@]", t))})
