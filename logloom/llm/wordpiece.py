@@ -93,7 +93,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     Words are what white space separates (``str.split``). Each gets the start mark in front and is split
     greedily, the longest piece first; a character without a piece counts for its UTF-8 bytes. Null, empty
-    and blank texts count zero. Repeated rows give a row each; further columns aren't read.
+    and blank texts count zero. Repeated rows give a row each; further columns aren't read. An empty table gives
+    an empty table.
     """
 
     def run(batches):
