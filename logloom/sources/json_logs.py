@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
-from ..functions.text import strict_json, strip
+from ..functions.text import boxed_json, only_value, strip
 from ..schemas import PROCESS, RAW_EVENT
 from .cutting import LARGEST_RECORD, SHOWN, WRAPPERS, json_records, pieces
 
@@ -16,7 +16,9 @@ def _parsed(read: DataFrame, keys: tuple[str, ...], largest: int = LARGEST_RECOR
     """Records with ``record``, the VARIANT of their text, which is null if that is no JSON object."""
     texts = json_records(read, keys, largest)
     is_object = strip(F.col("text")).startswith("{") & F.col("problem").isNull()
-    return texts.withColumn("record", F.when(is_object, strict_json(F.col("text"))))
+    # A column of its own, so that a text is parsed once.
+    boxed = texts.withColumn("_boxed", F.when(is_object, boxed_json(F.col("text"))))
+    return boxed.withColumn("record", only_value(F.col("_boxed"))).drop("_boxed")
 
 
 def _objects(spark: SparkSession, path, keys: tuple[str, ...], level: int) -> DataFrame:
@@ -28,11 +30,11 @@ def known_fields(records: DataFrame, schema: T.StructType = RAW_EVENT, record: s
 
     Nested values are in ``extra`` as JSON text. Further columns of ``records`` stay.
     """
-    text = F.to_json(record)
+    text = F.col("_text")
     known = F.array(*[F.lit(n) for n in schema.names])
     rest = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, _: ~F.array_contains(known, k))
     others = [c for c in records.columns if c not in (record, *schema.names, "extra")]
-    return records.withColumn("_row", F.from_json(text, schema)).withColumn("_extra", rest).select(
+    return records.withColumn("_text", F.to_json(record)).withColumn("_row", F.from_json(text, schema)).withColumn("_extra", rest).select(
         *others, "_row.*", F.col("_extra").alias("extra"))
 
 
@@ -89,8 +91,8 @@ def tolerant_lines(text: DataFrame) -> DataFrame:
     """
     line = strip(F.col("value"))
     kept = text.withColumn("line", line).filter((line != "") & ~line.isin(C.BRACKET_LINES))
-    return kept.withColumn("line", F.regexp_replace("line", ",$", "")).withColumn(
-        "record", strict_json(F.col("line")))
+    kept = kept.withColumn("line", F.regexp_replace("line", ",$", "")).withColumn("_boxed", boxed_json(F.col("line")))
+    return kept.withColumn("record", only_value(F.col("_boxed"))).drop("_boxed")
 
 
 def read_json_lines(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
