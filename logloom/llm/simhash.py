@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
@@ -33,13 +34,19 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
         return 0
     width = min(width, len(words))
     shingles = zip(*(words[i:] for i in range(width)), strict=False)
-    counts, total = np.zeros(64, np.int64), len(words) - width + 1
+    total = len(words) - width + 1
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    for start in range(0, total, HASHES_AT_ONCE):
-        n = min(HASHES_AT_ONCE, total - start)
-        hashes = np.fromiter((digest(join(next(shingles)), SEED) for _ in range(n)), np.uint64, n)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    sizes = (min(HASHES_AT_ONCE, total - start) for start in range(0, total, HASHES_AT_ONCE))
+    return majority(np.fromiter((digest(join(next(shingles)), SEED) for _ in range(n)), np.uint64, n) for n in sizes)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned number."""
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        total += len(hashes)
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 

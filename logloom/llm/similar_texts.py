@@ -1,4 +1,4 @@
-"""Near-copies among documents: MinHash bands make candidates, exact Jaccard similarity of word shingles decides."""
+"""Near-copies among documents: SimHash fingerprints and MinHash bands make candidates, exact Jaccard similarity of word shingles decides."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..workspace import stage
+from . import simhash
 from .common import arrow_pass, raw_bytes, slices, tidy
 
 SEED = 42
@@ -53,7 +54,7 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, digest of the shingle set (hi, lo), its size n, sketch (s0, s1) and band keys, a row per row."""
+    """doc_id, digest of the shingle set (hi, lo), its size n, SimHash fingerprint fp, sketch (s0, s1) and band keys, a row per row."""
 
     def run(batches):
         for part in slices(batches):
@@ -62,19 +63,33 @@ def _prints(docs: DataFrame, width: int) -> DataFrame:
                 own = shingles(text, width)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64).tolist()
                 if not len(own):
-                    found.append((*digest, 0, 0, 0, []))
+                    found.append((*digest, 0, 0, 0, 0, []))
                     continue
                 least = minima(own)
                 sketch = np.packbits((least & 1).astype(np.uint8)).view(np.int64).tolist()
                 raw, step = least.tobytes(), 4 * ROWS
                 keys = np.array([xxhash.xxh64_intdigest(raw[b * step:(b + 1) * step], b) for b in range(BANDS)], np.uint64)
-                found.append((*digest, len(own), *sketch, keys.view(np.int64)))
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+                print_ = np.array(simhash.majority(own[i:i + simhash.HASHES_AT_ONCE] for i in range(0, len(own), simhash.HASHES_AT_ONCE)), np.uint64).view(np.int64).item()
+                found.append((*digest, len(own), print_, *sketch, keys.view(np.int64)))
+            kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())]
             columns = list(zip(*found, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))],
-                                             names=["doc_id", "hi", "lo", "n", "s0", "s1", "keys"])
+                                             names=["doc_id", "hi", "lo", "n", "fp", "s0", "s1", "keys"])
 
-    return arrow_pass(docs, ["doc_id", "text"], run, "doc_id bigint, hi bigint, lo bigint, n bigint, s0 bigint, s1 bigint, keys array<bigint>")
+    return arrow_pass(docs, ["doc_id", "text"], run, "doc_id bigint, hi bigint, lo bigint, n bigint, fp bigint, s0 bigint, s1 bigint, keys array<bigint>")
+
+
+def _fingerprint_links(prints: DataFrame, distance: int) -> DataFrame:
+    """Links ``a``, ``b`` that span what fingerprints of at most ``distance`` differing bits connect.
+
+    Documents of one fingerprint hang on the one of the smallest doc_id.
+    """
+    prints = prints.where("n > 0").select("doc_id", "fp")
+    first = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "similar-fingerprints")
+    same = prints.join(first, "fp").where(F.col("doc_id") != F.col("first")).select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    node = F.struct(F.lit(False).alias("missing"), F.col("first").alias("id")).alias("node")
+    near = simhash.near_links(first.select("fp", node), distance)
+    return same.unionByName(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
 
 
 def _dealt(rows: DataFrame, most: int) -> DataFrame:
@@ -202,11 +217,12 @@ def _left_to_meet(sets: DataFrame, near: DataFrame) -> DataFrame:
     return sets.join(dealt, "doc_id").repartition(*group).sortWithinPartitions(*group)
 
 
-def keep_one_per_group(docs: DataFrame, width: int = 5, bar: float = 0.8) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, width: int = 5, bar: float = 0.8, distance: int = 3) -> DataFrame:
     """``docs`` without near-copies: of the documents that links reach, the one of the smallest doc_id stays.
 
     Two documents are linked if the Jaccard similarity of their sets of word shingles is ``bar`` or more. Equal
-    sets collapse first. Others are candidates if they share a band of minima and their sketches are near;
+    sets collapse first. Others are candidates if their SimHash fingerprints differ in at most ``distance`` bits, or, as a
+    pair at the bar differs in some ten bits, if they share a band of minima and their sketches are near;
     within the components of candidates the sets decide: first of each member and the component's first document,
     then of every pair that could still connect something, so a group of copies of one text is settled in one pass.
     Of rows that repeat a doc_id the one with the smallest text stays. Rows without doc_id stay.
@@ -220,7 +236,8 @@ def keep_one_per_group(docs: DataFrame, width: int = 5, bar: float = 0.8) -> Dat
     smallest = stage(rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id")), "similar-sets").select("doc_id")
     prints = rows.join(smallest, "doc_id", "left_semi")
     banded = prints.select(F.explode("keys").alias("key"), "doc_id", "n", "s0", "s1")
-    groups = connected_components(_links(_dealt(banded, CHUNK), bar)).select(F.col("node").alias("doc_id"), F.col("root").alias("key"))
+    candidates = _fingerprint_links(prints, distance).unionByName(_links(_dealt(banded, CHUNK), bar))
+    groups = connected_components(candidates).select(F.col("node").alias("doc_id"), F.col("root").alias("key"))
     members = groups.join(rows.select("doc_id", "n", "s0", "s1"), "doc_id")
     sets = stage(_sets(named.select("doc_id", "text").join(members, "doc_id"), width), "similar-members")
     near = stage(_near_first(sets, bar), "similar-near")

@@ -87,3 +87,26 @@ def test_a_large_group_of_copies_is_settled_by_its_first(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in similar_texts.keep_one_per_group(docs).collect()) == plain_kept(rows)
     tiles = seen[0].groupBy("doc_id").count().collect()
     assert not tiles or max(r["count"] for r in tiles if r["doc_id"] < 1000) <= 2
+
+
+def test_fingerprints_make_candidates(spark):
+    """Pairs of at most 3 differing bits are candidates without any band of minima."""
+    words = [f"w{i}" for i in range(900)]
+    texts = [" ".join(words[:i * 14] + [f"x{i}"] + words[i * 14 + 1:]) for i in range(60)] + [" ".join(words[:i * 10]) for i in range(60)]
+    prints = similar_texts._prints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 5).where("n > 0").dropDuplicates(["hi", "lo"])
+    rows = sorted((r["doc_id"], r["fp"] & ((1 << 64) - 1)) for r in prints.collect())
+    root = {d: d for d, _ in rows}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[:i]:
+            if (x ^ y).bit_count() <= 3:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    links = similar_texts._fingerprint_links(prints.select("doc_id", "n", "fp"), 3)
+    reached = {r["node"]: r["root"] for r in similar_texts.connected_components(links).collect()}
+    assert reached and {d: reached.get(d, d) for d, _ in rows} == {d: find(d) for d, _ in rows}
