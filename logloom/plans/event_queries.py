@@ -162,9 +162,8 @@ def wrap_record(spark, sf_dir):
     raw = _nested_json(spark, sf_dir).withColumn(
         "json", F.when(k == 0, F.lit("null")).when(k == 1, F.lit('"x&y"')).when(k == 2, None).when(k == 3, F.lit('{"a":'))
         .when(k == 4, F.repeat(F.lit("["), 200000)).otherwise(F.col("json")))
-    wrapped = raw.select("event_id", text.wrap_record("json").alias("w"))
-    return wrapped.select("event_id", "w.flattened_data", "w.processing_error", F.length("w.original_json").cast("long").alias("original_length"),
-                          "w.raw_value")
+    return text.wrap_records(raw, "json").select("event_id", "w.flattened_data", "w.processing_error", F.length("w.original_json").cast("long").alias("original_length"),
+        "w.raw_value")
 
 
 @query("escape_text", r"""SELECT doc_id, md5(replace(replace(replace(array_to_string(list_transform(
