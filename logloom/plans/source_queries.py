@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import normalize
 from ..operators.scoring import parse_replies
 from ..schemas import strings
-from ..sources import delimited, files, json_logs, line_formats, results, windows_xml
-from ..workspace import new_path
+from ..sources import delimited, files, json_logs, line_formats, results, units, windows_xml
+from ..workspace import new_path, stage
 from .adapter import load_events, shape_events
 from .catalog import query, stamp, stamp_sql
 from .event_queries import telemetry_record
@@ -18,6 +18,7 @@ from .rule_findings import load_replies
 
 DOCUMENT_EVENTS = 1000  # events per JSON document
 INPUT_EVENTS = 100  # events per file whose change is looked for
+INPUT_FILES = 1000  # such files per folder
 
 _FIELDS = ["event_id", "event_type", "process_name", "hostname", "username", "source", "destination", "action"]
 _FIELD_SQL = "SELECT " + ", ".join(_FIELDS) + ", '{\"k\":' || k || '}' AS unlisted FROM ev"
@@ -399,15 +400,20 @@ def store_results(spark, sf_dir) -> str:
 
 
 def _write_named(text: DataFrame, folder: str) -> None:
-    """One file per row under its own name, written by the tasks."""
+    """One file per row under its own name, written by the tasks. A name may begin with a folder."""
 
     def write(batches):
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
         system.create_dir(base, recursive=True)
+        made = set()
         for batch in batches:
             for value, name in zip(batch["value"], batch["name"]):
+                inner = name.rpartition("/")[0]
+                if inner and inner not in made:
+                    system.create_dir(f"{base}/{inner}", recursive=True)
+                    made.add(inner)
                 with system.open_output_stream(f"{base}/{name}") as out:
                     out.write(value.encode())
             yield batch[["name"]]
@@ -419,15 +425,16 @@ def _write_named(text: DataFrame, folder: str) -> None:
   GROUP BY event_no // {INPUT_EVENTS} HAVING (event_no // {INPUT_EVENTS}) % 2 = 1""", "ev")
 def pending_inputs(spark, sf_dir):
     """Files of every other block are in the manifest; the rest are pending."""
-    events, path = load_events(spark, sf_dir), new_path(spark, "inputs")
-    events.withColumn("block", F.floor(F.col("event_no") / F.lit(INPUT_EVENTS))).select("block", "event_id").repartition(
-        "block").write.partitionBy("block").csv(path)
-    listing = files.head_hash(files.list_files(spark, path))
-    block = F.regexp_extract("path", r"block=(\d+)", 1).cast("long")
-    pending = files.pending_inputs(listing, listing.filter(block % 2 == 0))
-    rows = spark.read.csv(path).select(F.col("_metadata.file_path").alias("path"), F.lit(1).alias("one"))
-    same = F.regexp_replace("path", "^file:/+", "/")
-    counted = rows.groupBy(same.alias("path")).agg(F.count("*").alias("events"))
-    return pending.select(same.alias("path"), block.alias("b")).join(counted, "path").groupBy(
-        F.concat(F.lit("block-"), "b").alias("block")).agg(F.sum("events").alias("events"))
-
+    path = new_path(spark, "inputs")
+    block = F.floor(F.col("event_no") / F.lit(INPUT_EVENTS))
+    held = load_events(spark, sf_dir).groupBy(block.alias("block")).agg(F.concat(F.array_join(F.collect_list("event_id"), "\n"), F.lit("\n")).alias("value"))
+    folder = F.floor(F.col("block") / F.lit(INPUT_FILES))
+    # Events without a number share a file that belongs to no block.
+    name = F.coalesce(F.concat(folder, F.lit("/block="), "block", F.lit(".csv")), F.lit("unnumbered.csv"))
+    _write_named(held.select("value", name.alias("name")), path)
+    listing = stage(files.head_hash(files.list_files(spark, path)), "listing")
+    number = F.regexp_extract("path", r"block=(\d+)", 1).try_cast("long")
+    pending = files.pending_inputs(listing, listing.filter(number % 2 == 0))
+    rows = units.lines(pending.where(number.isNotNull()).select("path", "length"))
+    return rows.withColumnRenamed("file", "path").groupBy(F.concat(F.lit("block-"), number).alias("block")).agg(
+        F.count("*").alias("events"))
