@@ -337,7 +337,7 @@ _REASONS = {4: "not a JSON line", 5: "unreadable time", 6: "not a syslog line",
        f" END AS reason, count(*) AS n FROM ev WHERE event_no % 100 IN ({', '.join(map(str, _REASONS))}) GROUP BY 1", "ev")
 def load_rejects(spark, sf_dir):
     """What could not be read of the same folder, by reason."""
-    rejects = files.load_events(spark, _mixed_folder(spark, sf_dir), year=2024).rejects
+    rejects = files.load_rejects(spark, _mixed_folder(spark, sf_dir), year=2024)
     return rejects.groupBy("reason").agg(F.count("*").alias("n"))
 
 

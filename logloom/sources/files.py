@@ -211,7 +211,31 @@ def load_events(spark: SparkSession, path, year: int | None = None, strict: bool
     place in the file. Rows that carry no time keep a null timestamp and come last, in source order. The
     parsed rows are written once, since events and rejects both come from them.
     """
-    from ..operators.normalize import assign_event_id, std_columns
+    from ..operators.normalize import assign_event_id
+
+    frame, rejects = _load_timed(spark, path, year, strict)
+    text = lambda name: F.col(name) if name in frame.columns else F.lit(None).cast("string")
+    good = frame.where(~_unreadable()).withColumn("_late", F.col("timestamp").isNull())
+    given = F.nullif(text("event_id"), F.lit(""))
+    numbered = assign_event_id(good.withColumn("_given", given).drop("event_id"), ["file", "place"], first=["_late", "timestamp"])
+    events = numbered.withColumn("event_id", F.coalesce("_given", "event_id")).drop("_given", "_said", "_late")
+    filled = F.coalesce("severity", default_severity(F.col("event_type")))
+    return Loaded(events.withColumn("severity", filled), rejects)
+
+
+def load_rejects(spark: SparkSession, path, year: int | None = None, strict: bool = True) -> DataFrame:
+    """The rejects of ``load_events``; no event is sorted or numbered for them."""
+    return _load_timed(spark, path, year, strict)[1]
+
+
+def _unreadable() -> Column:
+    """Whether an event says a time that no format fits."""
+    return F.col("_said").isNotNull() & F.col("timestamp").isNull()
+
+
+def _load_timed(spark: SparkSession, path, year: int | None, strict: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows with their times, read from ``_said``; all rejects). The rows are written once."""
+    from ..operators.normalize import std_columns
     from ..functions.times import coerce_timestamp
 
     records, rejects = load_with_rejects(spark, path, year=year, strict=strict)
@@ -226,14 +250,8 @@ def load_events(spark: SparkSession, path, year: int | None = None, strict: bool
     frame = frame.withColumns({
         "hostname": F.coalesce(text("hostname"), *map(field, _FIELD_HOSTS)), "username": F.coalesce(text("username"), *map(field, _FIELD_USERS))})
     frame = frame.withColumns({"_said": said, "timestamp": coerce_timestamp(said), "severity": severity, "event_type": kind})
-    bad = F.col("_said").isNotNull() & F.col("timestamp").isNull()
-    untimed = frame.where(bad).select("file", F.col("_said").alias("line"), F.lit("unreadable time").alias("reason"))
-    good = frame.where(~bad).withColumn("_late", F.col("timestamp").isNull())
-    given = F.nullif(text("event_id"), F.lit(""))
-    numbered = assign_event_id(good.withColumn("_given", given).drop("event_id"), ["file", "place"], first=["_late", "timestamp"])
-    events = numbered.withColumn("event_id", F.coalesce("_given", "event_id")).drop("_given", "_said", "_late")
-    filled = F.coalesce("severity", default_severity(F.col("event_type")))
-    return Loaded(events.withColumn("severity", filled), rejects.unionByName(untimed))
+    untimed = frame.where(_unreadable()).select("file", F.col("_said").alias("line"), F.lit("unreadable time").alias("reason"))
+    return frame, rejects.unionByName(untimed)
 
 
 def pending_inputs(listing: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -248,4 +266,4 @@ def pending_inputs(listing: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 __all__ = ["RAW_EVENT", "READERS", "classify_sample", "delimited", "detect_formats", "head_hash", "head_sample",
-           "list_files", "load_auto", "load_events", "load_with_rejects", "pending_inputs"]
+           "list_files", "load_auto", "load_events", "load_rejects", "load_with_rejects", "pending_inputs"]
