@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.maps import last_value_map
+from ..functions.rows import rows_where
 from ..schemas import WINDOWS_EVENT
 
 
@@ -33,7 +36,7 @@ def _system_entries(schema: T.StructType) -> Column:
     return F.filter(F.array(*entries), lambda e: e.isNotNull())
 
 
-_CHILD = r"<(?:[\w.-]+:)?([\w.-]+)(\s[^<>]*?)?(?:/>|>([^<]*)</[^>]*>)"
+_OTHER_CHILD = r"<(?:[\w.-]+:)?(?!(?i:%s)[\s/>])([\w.-]+)(\s[^<>]*?)?(?:/>|>([^<]*)</[^>]*>)"
 
 
 def _plain(text: Column) -> Column:
@@ -43,22 +46,30 @@ def _plain(text: Column) -> Column:
     return text
 
 
-def _other_entries(xml: Column, schema: T.StructType) -> Column:
-    """Children of System that the schema doesn't list: their text, and attributes under ``child_attribute``."""
-    listed = F.array(*[F.lit(name.lower()) for name in schema["System"].dataType.names])
-    children = F.regexp_extract_all(F.regexp_extract(xml, r"(?s)<(?:\w+:)?System(?:\s[^>]*)?>(.*?)</(?:\w+:)?System>", 1), F.lit(_CHILD), F.lit(0))
-    name = lambda child: F.lower(F.regexp_extract(child, _CHILD, 1))
-    unlisted = F.filter(children, lambda child: ~F.array_contains(listed, name(child)))
+def _other_children(df: DataFrame, xml: str, schema: T.StructType) -> DataFrame:
+    """``_others``: name, attributes and text of the children of System that the schema doesn't list.
+
+    The pattern itself passes over listed names, so that an event without others yields no child.
+    """
+    body = F.regexp_extract(xml, r"(?s)<(?:\w+:)?System(?:\s[^>]*)?>(.*?)</(?:\w+:)?System>", 1)
+    other = F.lit(_OTHER_CHILD % "|".join(map(re.escape, schema["System"].dataType.names)))
+    parts = {name: F.regexp_extract_all("_body", other, F.lit(group)) for name, group in (("name", 1), ("attributes", 2), ("said", 3))}
+    return df.withColumn("_body", body).withColumns(parts).withColumn("_others", F.arrays_zip(*parts)).drop("_body", *parts)
+
+
+def _other_entries(children: Column) -> Column:
+    """Their text, and attributes under ``child_attribute``."""
 
     def entries(child: Column) -> Column:
-        said = F.regexp_extract(child, _CHILD, 3)
-        attributes = F.regexp_extract_all(F.regexp_extract(child, _CHILD, 2), F.lit(r"[\w.:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')"), F.lit(0))
+        name, said = F.lower(child["name"]), child["said"]
+        attributes = F.when(child["attributes"] != "", F.regexp_extract_all(
+            child["attributes"], F.lit(r"[\w.:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')"), F.lit(0))).otherwise(F.array().cast("array<string>"))
         own = F.transform(attributes, lambda a: _entry(
-            F.concat(name(child), F.lit("_"), F.lower(F.btrim(F.split_part(a, F.lit("="), F.lit(1))))),
+            F.concat(name, F.lit("_"), F.lower(F.btrim(F.split_part(a, F.lit("="), F.lit(1))))),
             _plain(F.regexp_extract(a, r"(?s)=\s*[\"'](.*)[\"']$", 1))))
-        return F.concat(F.when(said != "", F.array(_entry(name(child), _plain(said)))).otherwise(F.slice(own, 1, 0)), own)
+        return F.concat(F.when(said != "", F.array(_entry(name, _plain(said)))).otherwise(F.slice(own, 1, 0)), own)
 
-    return F.flatten(F.transform(unlisted, entries))
+    return F.flatten(F.transform(children, entries))
 
 
 def event_fields(df: DataFrame, xml: str | None = None) -> DataFrame:
@@ -66,7 +77,8 @@ def event_fields(df: DataFrame, xml: str | None = None) -> DataFrame:
     text, also what the schema doesn't list."""
     system = _system_entries(df.schema)
     if xml is not None:
-        system = F.concat(system, _other_entries(F.col(xml), df.schema))
+        df = _other_children(df, xml, df.schema)
+        system = F.concat(system, _other_entries(F.col("_others")))
     df = df.withColumn("_system", system)
     offset = F.size("_system") + 1
     data = F.transform(
@@ -83,8 +95,9 @@ def split_events(pieces: DataFrame) -> DataFrame:
     The end tag serves as separator, so big files split between tasks, and it does not
     matter whether the file has a root element, a declaration or line breaks inside events.
     """
-    return pieces.select(F.regexp_extract("value", r"(?s)(<Event(?:\s|>).*)", 1).alias("xml"), "file", "place").filter(
-        F.col("xml") != "").withColumn("xml", F.concat("xml", F.lit(END_TAG)))
+    begun = pieces.filter(F.contains("value", F.lit("<Event"))).select(
+        F.regexp_extract("value", r"(?s)(<Event(?:\s|>).*)", 1).alias("xml"), "file", "place")
+    return rows_where(begun, F.col("xml") != "", F.concat("xml", F.lit(END_TAG)).alias("xml"), "file", "place")
 
 
 def read_windows_xml(spark: SparkSession, path, schema: T.StructType = WINDOWS_EVENT) -> DataFrame:
@@ -104,5 +117,5 @@ def parse_xml_events(pieces: DataFrame, schema: T.StructType = WINDOWS_EVENT) ->
     checked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed = split_events(pieces).withColumn("e", F.from_xml("xml", checked, {"ignoreNamespace": "true"}))
     broken = F.col("e._corrupt_record").isNotNull()
-    good = parsed.filter(~broken).select("file", "place", "xml", *[F.col(f"e.{name}").alias(name) for name in schema.names])
+    good = rows_where(parsed, ~broken, "file", "place", "xml", *[F.col(f"e.{name}").alias(name) for name in schema.names])
     return event_fields(good, "xml"), parsed.filter(broken).select("file", F.col("xml").alias("line"))
