@@ -120,16 +120,27 @@ def _scalar(record: Column, path: str) -> Column:
     return F.when(~text.rlike(r"^[\[{]"), text).when(~kind.rlike("^(OBJECT|ARRAY)"), text)
 
 
-def unify_fields(record: Column) -> dict[str, Column]:
-    """Each standard field from the first synonym present; scalars only."""
-    return {
-        field: F.coalesce(*[_scalar(record, _path(name)) for name in names])
-        for field, names in C.FIELD_SYNONYMS.items()
-    }
+def scalar_texts(record: Column) -> Column:
+    """Texts of the scalars of a record by key, all from one pass over it, see ``_scalar``."""
+    texts = F.try_variant_get(record, "$", "map<string,string>")
+    values = F.try_variant_get(record, "$", "map<string,variant>")
+    bracket = lambda text: F.coalesce(text.rlike(r"^[\[{]"), F.lit(False))
+    nested = lambda name: F.schema_of_variant(F.try_element_at(values, name)).rlike("^(OBJECT|ARRAY)")
+    # Only a text that could be an object or an array asks for the kinds.
+    return F.when(F.exists(F.map_values(texts), bracket), F.map_filter(texts, lambda name, text: ~bracket(text) | ~nested(name))).otherwise(texts)
+
+
+def _first_of(record: Column, names: list[str], texts: Column | None) -> Column:
+    return F.coalesce(*[_scalar(record, _path(n)) if texts is None else F.try_element_at(texts, F.lit(n)) for n in names])
+
+
+def unify_fields(record: Column, texts: Column | None = None) -> dict[str, Column]:
+    """Each standard field from the first synonym present; scalars only. ``texts``: a column with the ``scalar_texts``."""
+    return {field: _first_of(record, names, texts) for field, names in C.FIELD_SYNONYMS.items()}
 
 
-def fallback_event_id(record: Column) -> Column:
-    return F.coalesce(*[_scalar(record, _path(name)) for name in C.EVENT_ID_FALLBACKS])
+def fallback_event_id(record: Column, texts: Column | None = None) -> Column:
+    return _first_of(record, C.EVENT_ID_FALLBACKS, texts)
 
 
 def lift_nested(record: Column, fields: dict[str, Column]) -> dict[str, Column]:
@@ -148,20 +159,17 @@ def lift_nested(record: Column, fields: dict[str, Column]) -> dict[str, Column]:
 
 def telemetry_severity(record: Column, text: Column) -> Column:
     """Severity words by table; a number in the record stays as it is."""
-    worded = F.lit(False)
-    for name in reversed(C.FIELD_SYNONYMS["severity"]):
-        kind = _kind(record, _path(name))
-        worded = F.when(kind.isNotNull(), kind == "STRING").otherwise(worded)
+    worded = F.coalesce(*[_kind(record, _path(name)) for name in C.FIELD_SYNONYMS["severity"]]) == "STRING"
     return F.when(worded, text_severity(text)).otherwise(text.try_cast("int"))
 
 
 def normalize_telemetry(df: DataFrame, record: str = "record") -> DataFrame:
     """One VARIANT column in, the standard telemetry fields out, all columns kept beside them."""
-    source = F.col(record)
-    fields = lift_nested(source, unify_fields(source))
+    source, texts = F.col(record), F.col("_scalars")
+    fields = lift_nested(source, unify_fields(source, texts))
     severity = telemetry_severity(source, fields.pop("severity"))
-    return df.select(
-        fallback_event_id(source).alias("event_id"),
+    return df.withColumn("_scalars", scalar_texts(source)).select(
+        fallback_event_id(source, texts).alias("event_id"),
         *[value.alias(name) for name, value in fields.items()],
         severity.alias("severity_level"),
         *[F.col(c) for c in df.columns],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..functions.rows import rows_where
 from ..functions.text import boxed_json, only_value, strip
 from ..schemas import PROCESS, RAW_EVENT
 from .cutting import LARGEST_RECORD, SHOWN, WRAPPERS, json_records, pieces
@@ -22,7 +23,7 @@ def _parsed(read: DataFrame, keys: tuple[str, ...], largest: int = LARGEST_RECOR
 
 
 def _objects(spark: SparkSession, path, keys: tuple[str, ...], level: int) -> DataFrame:
-    return _parsed(pieces(spark, path, "}"), keys).where((F.col("level") == level) & F.col("record").isNotNull()).select("record")
+    return rows_where(_parsed(pieces(spark, path, "}"), keys).where(F.col("level") == level), F.col("record").isNotNull(), "record")
 
 
 def known_fields(records: DataFrame, schema: T.StructType = RAW_EVENT, record: str = "record") -> DataFrame:
@@ -70,7 +71,7 @@ def parse_documents(read: DataFrame, largest: int = LARGEST_RECORD) -> tuple[Dat
     """As ``read_json_documents``, from the documents' pieces up to ``}``."""
     read = _parsed(read, WRAPPERS, largest)
     return (
-        read.where(F.col("record").isNotNull()).select("place", "record", "file"),
+        rows_where(read, F.col("record").isNotNull(), "place", "record", "file"),
         read.where(F.col("record").isNull()).select("file", F.substring("text", 1, SHOWN).alias("line"),
                                                     F.coalesce("problem", F.lit("not a JSON object")).alias("reason")),
     )
@@ -105,7 +106,7 @@ def parse_lines(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     """As ``read_json_lines``, from lines (``value``) with file and place."""
     lines = tolerant_lines(text)
     return (
-        lines.filter(F.col("record").isNotNull()).select("line", "record", "file", "place"),
+        rows_where(lines, F.col("record").isNotNull(), "line", "record", "file", "place"),
         lines.filter(F.col("record").isNull()).select("line", "file"),
     )
 
