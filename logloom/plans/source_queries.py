@@ -18,7 +18,7 @@ from .rule_findings import load_replies
 
 DOCUMENT_EVENTS = 1000  # events per JSON document
 INPUT_EVENTS = 100  # events per file whose change is looked for
-INPUT_FILES = 1000  # such files per folder
+INPUT_FILES = 1000  # such files per folder, and chunk results
 
 _FIELDS = ["event_id", "event_type", "process_name", "hostname", "username", "source", "destination", "action"]
 _FIELD_SQL = "SELECT " + ", ".join(_FIELDS) + ", '{\"k\":' || k || '}' AS unlisted FROM ev"
@@ -390,13 +390,15 @@ def load_results(spark, sf_dir):
 
 
 def store_results(spark, sf_dir) -> str:
-    folder = new_path(spark, "results")
+    """One file per chunk result, in folders of a bounded number each, which tasks can list."""
+    path = new_path(spark, "results")
     stored = _chunk_results(spark, sf_dir)
+    folder = F.floor(F.col("chunk_idx") / F.lit(INPUT_FILES))
     text = stored.select(
         F.to_json(F.struct(*[c for c in stored.columns if c != "chunk_idx"])).alias("value"),
-        F.concat(F.lit("chunk_result_"), F.col("chunk_idx") + 1, F.lit(".json")).alias("name"))
-    _write_named(text, folder)
-    return folder
+        F.concat(folder, F.lit("/chunk_result_"), F.col("chunk_idx") + 1, F.lit(".json")).alias("name"))
+    _write_named(text, path)
+    return path
 
 
 def _write_named(text: DataFrame, folder: str) -> None:
