@@ -22,12 +22,14 @@ EPOCHS = ((10, 1_000_000), (13, 1_000), (16, 1))
 
 
 def coerce_timestamp(text: Column) -> Column:
-    """Text to timestamp; null where no known layout fits."""
-    attempts = [F.try_to_timestamp(text)]
-    attempts += [F.try_to_timestamp(text, F.lit(layout)) for layout in LAYOUTS]
-    number = text.try_cast("bigint")
-    attempts += [F.when(text.rlike(f"^[0-9]{{{digits}}}$"), F.timestamp_micros(number * scale)) for digits, scale in EPOCHS]
-    return F.coalesce(*attempts)
+    """Text to timestamp; null where no known layout fits.
+
+    Text of digits alone is a year or an epoch; no layout is tried on it.
+    """
+    iso, number = F.try_to_timestamp(text), text.try_cast("bigint")
+    layouts = [F.try_to_timestamp(text, F.lit(layout)) for layout in LAYOUTS]
+    epochs = [F.when(text.rlike(f"^[0-9]{{{digits}}}$"), F.timestamp_micros(number * scale)) for digits, scale in EPOCHS]
+    return F.coalesce(iso, F.when(text.rlike("^[0-9]+$"), F.coalesce(*epochs)).otherwise(F.coalesce(*layouts)))
 
 
 def syslog_timestamp(text: Column, year: Column) -> Column:

@@ -20,6 +20,10 @@ from . import delimited, json_logs, line_formats, windows_xml
 from .units import first_pieces, lines, open_file, pieces
 
 
+#: Partitions of a listing whose files a task opens.
+LISTS_PER_TASK = 16
+
+
 def list_files(spark: SparkSession, path) -> DataFrame:
     """(path, length, modification_time); contents are not read."""
     return (
@@ -28,7 +32,12 @@ def list_files(spark: SparkSession, path) -> DataFrame:
 
 
 def _heads(listing: DataFrame, render: Callable, name: str) -> DataFrame:
-    """``render`` of every file, opened in the tasks; nothing is fetched but what it reads."""
+    """``render`` of every file, opened in the tasks; nothing is fetched but what it reads.
+
+    Spark lists a few dozen small files per task; several such lists share a task here, as long as every core has one.
+    """
+    tasks = max(listing.sparkSession.sparkContext.defaultParallelism, -(-listing.rdd.getNumPartitions() // LISTS_PER_TASK))
+    listing = listing.coalesce(tasks)
     schema = T.StructType([*listing.schema.fields, T.StructField(name, T.StringType())])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +248,7 @@ def _load_timed(spark: SparkSession, path, year: int | None, strict: bool) -> tu
     from ..functions.times import coerce_timestamp
 
     records, rejects = load_with_rejects(spark, path, year=year, strict=strict)
-    frame = stage(std_columns(records), "loaded")
+    frame = std_columns(records)
     text = lambda name: F.col(name) if name in frame.columns else F.lit(None).cast("string")
     field = lambda name: F.try_element_at("fields", F.lit(name)) if "fields" in frame.columns else F.lit(None).cast("string")
     said = F.nullif(F.coalesce(text("timestamp"), text("time"), *map(field, _FIELD_TIMES)), F.lit(""))
@@ -248,8 +257,10 @@ def _load_timed(spark: SparkSession, path, year: int | None, strict: bool) -> tu
         severity = F.coalesce(severity, F.col("severity_level"))
     kind = F.coalesce(text("event_type"), text("type"))
     frame = frame.withColumns({
-        "hostname": F.coalesce(text("hostname"), *map(field, _FIELD_HOSTS)), "username": F.coalesce(text("username"), *map(field, _FIELD_USERS))})
-    frame = frame.withColumns({"_said": said, "timestamp": coerce_timestamp(said), "severity": severity, "event_type": kind})
+        "hostname": F.coalesce(text("hostname"), *map(field, _FIELD_HOSTS)), "username": F.coalesce(text("username"), *map(field, _FIELD_USERS)),
+        "_said": said, "severity": severity, "event_type": kind})
+    # Times are read before the rows are written, so that neither the sampling for the order, nor the sort, nor the rejects read them again.
+    frame = stage(frame.withColumn("timestamp", coerce_timestamp(F.col("_said"))), "loaded")
     untimed = frame.where(_unreadable()).select("file", F.col("_said").alias("line"), F.lit("unreadable time").alias("reason"))
     return frame, rejects.unionByName(untimed)
 

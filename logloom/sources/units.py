@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a unit, and at most so many units for a task.
-UNIT_BYTES, UNITS_PER_TASK = 64 << 20, 512
+#: Bytes of a unit, its bytes where there are fewer units than cores, and at most so many units for a task.
+UNIT_BYTES, LEAST_UNIT_BYTES, UNITS_PER_TASK = 64 << 20, 4 << 20, 512
 #: Bytes read at a time, and pieces of an Arrow batch.
 READ_BYTES, BATCH_PIECES = 4 << 20, 8192
 CODECS = {"gz": "gzip", "bz2": "bz2", "zst": "zstd", "lz4": "lz4"}
@@ -39,17 +39,20 @@ def open_file(path: str):
 def units(files: DataFrame, unit_bytes: int | None = None) -> DataFrame:
     """``path``, ``bytes`` (of the file), ``start`` and ``stop`` of the units of ``files`` (path, length).
 
-    A compressed file is one unit. There is about one task per ``UNIT_BYTES``, or per ``UNITS_PER_TASK`` small files.
+    A compressed file is one unit. There is about one task per ``UNIT_BYTES``, or per ``UNITS_PER_TASK`` small files. Where
+    that makes fewer tasks than cores, units are smaller, as with Spark's own splits.
     """
-    unit_bytes = unit_bytes or UNIT_BYTES
+    size = files.select(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files")).first()
+    if unit_bytes is None:
+        share = -(-size["bytes"] // files.sparkSession.sparkContext.defaultParallelism)
+        unit_bytes = min(UNIT_BYTES, max(LEAST_UNIT_BYTES, share))
     packed = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*CODECS)
     last = F.when(packed, F.lit(0)).otherwise(F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / unit_bytes))
     cut = files.select("path", F.col("length").alias("bytes"), packed.alias("packed"), F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("n"))
     start = F.col("n") * unit_bytes
     cut = cut.select("path", "bytes", start.alias("start"), F.when(F.col("packed"), F.lit(1 << 62)).otherwise(
         F.least(start + unit_bytes, F.col("bytes"))).alias("stop"))
-    size = files.select(F.sum("length").alias("bytes"), F.count("*").alias("files")).first()
-    tasks = -(-(size["bytes"] or 0) // unit_bytes) + -(-size["files"] // UNITS_PER_TASK)
+    tasks = -(-size["bytes"] // unit_bytes) + -(-size["files"] // UNITS_PER_TASK)
     return cut.repartition(max(1, tasks))
 
 
