@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -69,3 +70,25 @@ def test_bounds_hold():
     unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     for i in range(5):
         assert sorted(c[q == 1000 + i]) == sorted(np.argsort(-(unit @ unit[i]), kind="stable")[:4])
+
+
+def test_tile_memory_is_bounded():
+    """A tile's pairs are compared in steps: 4,000 queries and 8,000 candidates have a matrix of 256 MB in doubles."""
+    rng = np.random.default_rng(5)
+    x, ids = rng.normal(size=(8000, 8)).astype(np.float32), np.arange(8000)
+    tracemalloc.start()
+    q, c, s = neighbours.tile_nearest(ids[:4000], x[:4000], ids, x, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(s) == 12000 and peak < 100 << 20
+
+
+def test_many_tiles_in_steps(spark, monkeypatch):
+    """Several query blocks and steps, copies of one vector in most steps, and vectors of two lengths."""
+    for name, value in (("BLOCK_VALUES", 3000), ("QUERY_VALUES", 1600), ("CANDIDATES_PER_QUERY", 1), ("STEP_ROWS", 50), ("PAIRS_AT_ONCE", 700),
+                        ("VALUES_AT_ONCE", 100)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(6)
+    rows = [(int(i), rng.normal(size=24 if i % 7 else 16).tolist()) for i in rng.permutation(9000)[:900]]
+    rows = [(i, [1.0] * 24 if n % 3 == 0 else v) for n, (i, v) in enumerate(rows)] + [(50 * n + 20000, rng.normal(size=16).tolist()) for n in range(250)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in answer(spark, rows, "double")) == plain(rows)
