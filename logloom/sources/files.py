@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +18,13 @@ from ..functions.text import strip
 from ..schemas import RAW_EVENT
 from ..workspace import stage
 from . import delimited, json_logs, line_formats, windows_xml
-from .units import first_pieces, lines, open_file, pieces
+from .units import BATCH_PIECES, file_system, first_pieces, lines, open_file, pieces
 
 
 #: Partitions of a listing whose files a task opens.
 LISTS_PER_TASK = 16
+#: Folders that a task lists.
+FOLDERS_PER_TASK = 16
 
 
 def list_files(spark: SparkSession, path) -> DataFrame:
@@ -31,6 +34,64 @@ def list_files(spark: SparkSession, path) -> DataFrame:
         .select("path", "length", F.col("modificationTime").alias("modification_time")))
 
 
+_LISTED = "path string, folder boolean, length bigint, modification_time bigint"
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    """Whether Spark's readers pass over a file or folder of this name."""
+    unread = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+    return unread and not (folder and name.startswith(("_common_metadata", "_metadata")))
+
+
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in the folders of ``path``, in the columns of ``_LISTED``."""
+    from pyarrow import fs
+
+    schema = pa.schema({"path": pa.string(), "folder": pa.bool_(), "length": pa.int64(), "modification_time": pa.int64()})
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            system, inner = file_system(path)
+            infos = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+            for start in range(0, len(infos), BATCH_PIECES):
+                rows = [{"path": f"{path.rstrip('/')}/{x.base_name}", "folder": x.type == fs.FileType.Directory, "length": x.size or 0,
+                         "modification_time": (x.mtime_ns or 0) // 1_000_000}
+                        for x in infos[start:start + BATCH_PIECES] if x.type in (fs.FileType.File, fs.FileType.Directory)]
+                yield pa.RecordBatch.from_pylist([r for r in rows if not _hidden(r["path"].rpartition("/")[2], r["folder"])], schema)
+
+
+def list_tree(spark: SparkSession, path) -> DataFrame:
+    """``list_files`` for any number of files in folders of bounded size: tasks list the folders, level by level, and write
+    what they find, so that the driver holds no file name. The modification time is in milliseconds.
+
+    A file system that only Spark reads is left to ``list_files``, and so is the error of a path that isn't there.
+    """
+    roots = []
+    for one in [path] if isinstance(path, str) else path:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(one)
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [(str(f.getPath()), f.isDirectory(), f.getLen(), f.getModificationTime()) for f in system.globStatus(place) or ()]
+        if not found or not arrow_opens(found[0][0]):
+            return list_files(spark, path)
+        roots += found
+    level, folders, cores = spark.createDataFrame(roots, _LISTED), sum(r[1] for r in roots), spark.sparkContext.defaultParallelism
+    files = level.where(~F.col("folder"))
+    while folders:
+        tasks = max(min(folders, cores), -(-folders // FOLDERS_PER_TASK))
+        level = stage(level.where("folder").select("path").repartition(tasks).mapInArrow(_children, _LISTED), "listed")
+        files = files.unionByName(level.where(~F.col("folder")))
+        folders = level.where("folder").count()
+    return files.drop("folder")
+
+
+def arrow_opens(path: str) -> bool:
+    """Whether tasks can open the path; else only Spark's readers may."""
+    try:
+        file_system(path)
+    except (OSError, ValueError):  # another scheme, or one whose library is missing
+        return False
+    return True
+
+
 def _heads(listing: DataFrame, render: Callable, name: str) -> DataFrame:
     """``render`` of every file, opened in the tasks; nothing is fetched but what it reads.
 
@@ -277,4 +338,4 @@ def pending_inputs(listing: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 __all__ = ["RAW_EVENT", "READERS", "classify_sample", "delimited", "detect_formats", "head_hash", "head_sample",
-           "list_files", "load_auto", "load_events", "load_rejects", "load_with_rejects", "pending_inputs"]
+           "list_files", "list_tree", "load_auto", "load_events", "load_rejects", "load_with_rejects", "pending_inputs"]

@@ -6,6 +6,7 @@ last one. Files come from a listing of any number of rows, which may have been f
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -20,22 +21,60 @@ READ_BYTES, BATCH_PIECES = 4 << 20, 8192
 CODECS = {"gz": "gzip", "bz2": "bz2", "zst": "zstd", "lz4": "lz4"}
 
 
-def open_file(path: str):
-    """A listed path as an input stream, whatever characters its name has; known codecs are undone."""
+def file_system(path: str):
+    """Arrow's file system of a listed path, and the path inside it, whatever characters its name has."""
     from urllib.parse import quote
 
     from pyarrow import fs
 
     scheme, colon, rest = path.partition(":")
     if not colon or scheme == "file":
-        handle = fs.LocalFileSystem().open_input_file("/" + (rest or path).lstrip("/"))
-    else:
-        system, inner = fs.FileSystem.from_uri(quote(re.sub("^s3a:", "s3:", path), safe=":/"))
-        handle = system.open_input_file(inner)
+        return fs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
+    return fs.FileSystem.from_uri(quote(re.sub("^s3a:", "s3:", path), safe=":/"))
+
+
+def open_file(path: str):
+    """A listed path as an input stream; known codecs are undone."""
+    system, inner = file_system(path)
+    handle = system.open_input_file(inner)
     codec = CODECS.get(path.rsplit(".", 1)[-1])
     return handle if codec is None else pa.CompressedInputStream(handle, codec)
 
 
+def documents(files: DataFrame) -> DataFrame:
+    """``path`` and ``text`` of the files of ``files`` (path, length), each read whole by a task, hundreds of small ones by one.
+
+    The encoding (UTF-8, UTF-16 or UTF-32) is told as JSON readers do; ``text`` is null if the file isn't text in it.
+    """
+    size = files.select(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files")).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-size["bytes"] // UNIT_BYTES), -(-size["files"] // UNITS_PER_TASK), min(size["files"], cores), 1)
+
+    def text(path: str) -> str | None:
+        with open_file(path) as handle:
+            raw = handle.read()
+        try:
+            # A byte order mark and nothing else is no text.
+            return raw.decode(json.detect_encoding(raw)) or (None if raw else "")
+        except UnicodeDecodeError:
+            return None
+
+    def run(batches):
+        for batch in batches:
+            paths, texts, held = [], [], 0
+            for path in batch.column(0).to_pylist():
+                paths.append(path)
+                texts.append(text(path))
+                held += len(texts[-1] or "")
+                if len(paths) >= BATCH_PIECES or held >= READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["path", "text"])
+                    paths, texts, held = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["path", "text"])
+
+    return files.select("path").repartition(tasks).mapInArrow(run, "path string, text string")
+
+
 def units(files: DataFrame, unit_bytes: int | None = None) -> DataFrame:
     """``path``, ``bytes`` (of the file), ``start`` and ``stop`` of the units of ``files`` (path, length).
 
