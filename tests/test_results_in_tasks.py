@@ -7,6 +7,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from test_lazy_findings import _events
+
+from logloom.plans import evaluation_queries
 from logloom.schemas import RESULT
 from logloom.sources import files, results
 
@@ -68,3 +71,13 @@ def test_file_system_that_only_spark_reads(spark, tmp_path):
     spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.results.link./in", f"file://{tmp_path}")
     loaded = results.load_results(spark, "viewfs://results/in")
     assert sorted((r.source_chunk, r.chunk_count) for r in loaded.collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_evaluation_lists_no_file_on_the_driver(spark, tmp_path, monkeypatch):
+    def fails(*_):
+        raise AssertionError("the driver lists files")
+
+    for module in (files, results):
+        monkeypatch.setattr(module, "list_files", fails, raising=False)
+    report = evaluation_queries.evaluate_results(spark, _events(spark, tmp_path / "e"))
+    assert {r.area for r in report.collect()} == {"overall", "context_window", "probabilistic_correlation", "memory", "accuracy"}
